@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._util import pick
+from ._util import cut, pick
 
-#: Words in a window, and the share of an item's windows that must be found in one place.
+#: Words in a window, and the share of an item's windows that must be found close together.
 WINDOW_WORDS, MIN_COVERAGE = 5, 0.8
-#: Windows of the benchmark that may be sent to every executor (24 bytes each and their slots); more are shuffled.
-BROADCAST_WINDOWS = 200_000
+#: Windows of the benchmark, and ids of documents that may hold an item, that may be sent to every executor (some
+#: 40 bytes each); more are shuffled.
+BROADCAST_ROWS = 200_000
 NUMBER, NAME, UNIT = "<number>", "<name>", "<unit>"
 # Words for numbers, and units of measure.
 NUMBER_WORDS = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "twenty", "thirty", "forty", "fifty", "hundred", "thousand", "million"]
@@ -19,71 +22,84 @@ _MARK = "\x02"
 
 
 def words(text: Column) -> Column:
-    """The words and numbers of a text; a capital letter that doesn't begin a sentence or line is marked."""
-    marked = F.regexp_replace(text, r"(?<=[^.!?:\s] )(?=\p{Lu})", _MARK)
+    """The words and numbers of a text in lower case; a capital that doesn't begin a sentence or line leaves a mark."""
+    marked = F.lower(F.regexp_replace(text, r" (?<=[^.!?:\s] )(?=\p{Lu})", " " + _MARK))
     return F.coalesce(F.regexp_extract_all(marked, F.lit(_MARK + r"?(?:\d+(?:[.,]\d+)*|\p{L}+)"), F.lit(0)), F.array().cast("array<string>"))
 
 
-def canonical(raw: Column) -> Column:
-    """The words of ``words`` in lower case, with placeholders for numbers, names, and units behind a number."""
+def canonical(raw: Column, of: Callable[[Column], Column] = lambda x: x) -> Column:
+    """``of`` the words of ``words``, with placeholders for numbers, names, and units behind a number."""
 
     def is_number(x: Column) -> Column:
-        return F.substring(x, 1, 1).between("0", "9") | F.lower(x).isin(NUMBER_WORDS)
+        return F.substring(x, 1, 1).between("0", "9") | x.isin(NUMBER_WORDS)
 
     def one(x: Column, i: Column) -> Column:
-        behind = F.get(raw, i - 1)
-        return F.when(is_number(x), NUMBER).when(F.lower(x).isin(UNITS) & F.coalesce(is_number(behind), F.lit(False)), UNIT).when(F.substring(x, 1, 1) == _MARK, NAME).otherwise(F.lower(x))
-
-    return F.transform(raw, one)
+        behind = F.coalesce(is_number(F.get(raw, i - 1)), F.lit(False))
+        return F.when(x.startswith(_MARK), NAME).when(is_number(x), NUMBER).when(x.isin(UNITS) & behind, UNIT).otherwise(x)
 
+    return F.transform(raw, lambda x, i: of(one(x, i)))
 
-def _windows(canon: Column) -> Column:
-    """A hash of each window; of all words if there are fewer; nothing without words."""
-    n = F.size(canon)
-    starts = F.when(n > 0, F.sequence(F.lit(1), F.greatest(n - (WINDOW_WORDS - 1), F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(F.slice(canon, i, WINDOW_WORDS)))
 
+def _windows(parsed: DataFrame, *keys: str) -> DataFrame:
+    """(keys, pos, window) of rows (keys, h): a hash of the word hashes of each window, or of all if there are fewer.
 
-def _slots(raw: Column, canon: Column, at: Column) -> Column:
-    """What stands for the placeholders of the window at ``at`` (from 0)."""
-    pairs = F.arrays_zip(F.slice(raw, at + 1, WINDOW_WORDS).alias("r"), F.slice(canon, at + 1, WINDOW_WORDS).alias("c"))
-    return F.transform(F.filter(pairs, lambda x: x["c"].isin(NUMBER, NAME, UNIT)), lambda x: F.lower(F.ltrim(F.lit(_MARK), x["r"])))
+    The window's hash is taken behind the generator, in generated code: no array of windows is built, and no row
+    carries the words of its document.
+    """
+    spread = parsed.select(*keys, "h", F.posexplode(F.slice("h", 1, F.greatest(F.size("h") - (WINDOW_WORDS - 1), F.lit(1)))).alias("pos", "_"))
+    return spread.select(*keys, "pos", F.xxhash64(*[F.get("h", F.col("pos") + k) for k in range(WINDOW_WORDS)]).alias("window"))
 
 
-def _parsed(rows: DataFrame, key: str) -> DataFrame:
-    """(key, raw, canon, pos, window) for each window of each row."""
-    parsed = rows.select(F.col("doc_id").alias(key), words(F.col("text")).alias("raw")).select(key, "raw", canonical(F.col("raw")).alias("canon"))
-    return parsed.select(key, "raw", "canon", _windows(F.col("canon")).alias("windows")).select(key, "raw", "canon", F.posexplode("windows").alias("pos", "window"))
+def _hashed(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.select(*keys, words(F.col("text")).alias("raw")).select(*keys, canonical(F.col("raw"), F.xxhash64).alias("h")).where(F.size("h") > 0)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``doc_id, item_id, coverage, n_slots, verbatim`` for each benchmark item that a whole text holds.
 
     Numbers, names (capitals within a sentence) and units behind numbers become placeholders, case and punctuation
-    go. An item is found where ``MIN_COVERAGE`` of its windows of ``WINDOW_WORDS`` words stand in its order, if its
-    slots are consistent: one value of the item always stands for one value of the document, so a question whose
-    parameters were exchanged is caught, and prose that only shares its frame is not. verbatim tells whether
-    all slots have the item's own values. Of several places the best covered one is reported.
+    go. An item is found where ``MIN_COVERAGE`` of its windows of ``WINDOW_WORDS`` words stand within twice its
+    length, if its slots are consistent: one value of the item always stands for one value of the document, so a
+    question whose parameters were exchanged is caught, and prose that only shares its frame is not. verbatim tells
+    whether all slots have the item's own values. Of several places the best covered one is reported.
+
+    Only windows meet in the join; the words of the few documents that hold enough of an item are then looked at
+    again for the slots. Items of equal text are one, under their smallest id.
 
-    Null and empty texts and items without words match nothing; shorter ones than a window match whole. Rows and
-    items that repeat are one; a null id matches nothing. Empty tables give no rows.
+    Null and empty texts and items without words match nothing; shorter ones than a window match whole. Rows that
+    repeat are one; a null id matches nothing. Empty tables give no rows.
     """
-    items = _parsed(pick(benchmark, item_col, item_text_col).where("doc_id is not null").distinct(), "item_id")
-    items = items.select("item_id", F.col("pos").alias("item_pos"), "window", _slots(F.col("raw"), F.col("canon"), F.col("pos")).alias("item_slots"))
-    sizes = items.groupBy("item_id").agg(F.count(F.lit(1)).alias("of"))
-    small = items.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
-    found = _parsed(pick(docs, id_col, text_col).where("doc_id is not null"), "doc_id")
-    slots = _slots(F.col("raw"), F.col("canon"), F.col("pos")).alias("slots")
-    if small:  # the slots of a window are only looked up once it is found
-        met = found.join(F.broadcast(items), "window").select("doc_id", "item_id", "pos", "item_pos", "item_slots", slots)
-    else:
-        met = found.select("doc_id", "pos", "window", slots).join(items, "window")
-    met = met.select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("place"), "item_pos", F.arrays_zip(F.col("item_slots").alias("of"), F.col("slots").alias("is")).alias("pairs"))
-    # a group has no more rows than the item has windows
-    placed = met.groupBy("doc_id", "item_id", "place").agg(F.countDistinct("item_pos").alias("n"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    placed = placed.join(F.broadcast(sizes) if small else sizes, "item_id").where(F.col("n") >= MIN_COVERAGE * F.col("of"))
-    values = F.size(F.array_distinct(F.transform("pairs", lambda x: x["of"])))
-    placed = placed.where(values == F.size("pairs")).select("doc_id", "item_id", (F.col("n") / F.col("of")).alias("coverage"), F.size("pairs").alias("n_slots"), F.forall("pairs", lambda x: x["of"] == x["is"]).alias("verbatim"))
+    items = pick(benchmark, item_col, item_text_col).where("doc_id is not null and text is not null").groupBy("text").agg(F.min("doc_id").alias("item_id"))
+    items = items.select("item_id", words(F.col("text")).alias("raw")).where(F.size("raw") > 0)
+    items = cut(items.select("item_id", "raw", canonical(F.col("raw")).alias("canon")))
+    index = _windows(items.select("item_id", F.transform("canon", lambda x: F.xxhash64(x)).alias("h")), "item_id")
+    sizes = items.select("item_id", F.greatest(F.size("raw") - (WINDOW_WORDS - 1), F.lit(1)).alias("of"))
+    index = index.join(sizes, "item_id").select("window", "item_id", F.col("pos").alias("item_pos"), "of")
+    few = index.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+    rows = pick(docs, id_col, text_col).where("doc_id is not null and text is not null").withColumn("t", F.xxhash64("text"))
+    met = _windows(_hashed(rows, "doc_id", "t"), "doc_id", "t").join(F.broadcast(index) if few else index, "window")
+    # an item and its drift fit into one of two overlapping stretches, each as long as the item twice
+    place = (F.col("pos") - F.col("item_pos")) / F.greatest(F.col("of"), F.lit(2 * WINDOW_WORDS))
+    stretch = F.explode(F.array(F.floor(place), F.floor(place) + 1)).alias("stretch")
+    met = met.select("doc_id", "t", "item_id", "of", "item_pos", "pos", stretch)
+    held = met.groupBy("doc_id", "t", "item_id", "of", "stretch").agg(F.countDistinct("item_pos").alias("n"), F.collect_set(F.struct("pos", "item_pos")).alias("hits"))
+    held = cut(held.where(F.col("n") >= MIN_COVERAGE * F.col("of")))
+
+    suspects = held.select("doc_id", "t").distinct()
+    suspects = F.broadcast(suspects) if suspects.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else suspects
+    again = rows.join(suspects, ["doc_id", "t"], "left_semi").dropDuplicates(["doc_id", "t"])
+    again = cut(again.select("doc_id", "t", words(F.col("text")).alias("doc_raw")))
+    looked = held.join(again, ["doc_id", "t"]).join(F.broadcast(items) if few else items, "item_id")
+
+    def slots(hit: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(0), F.lit(WINDOW_WORDS - 1)), lambda k: F.get("canon", hit["item_pos"] + k).isin(NUMBER, NAME, UNIT))
+        bare = lambda c, i: F.ltrim(F.lit(_MARK), F.get(c, i))
+        return F.transform(at, lambda k: F.struct(bare("raw", hit["item_pos"] + k).alias("of"), bare("doc_raw", hit["pos"] + k).alias("is")))
+
+    looked = looked.select("doc_id", "item_id", (F.col("n") / F.col("of")).alias("coverage"), F.array_distinct(F.flatten(F.transform("hits", slots))).alias("pairs"))
+    consistent = F.size(F.array_distinct(F.transform("pairs", lambda x: x["of"]))) == F.size("pairs")
+    placed = looked.where(consistent).select("doc_id", "item_id", "coverage", F.size("pairs").alias("n_slots"), F.forall("pairs", lambda x: x["of"] == x["is"]).alias("verbatim"))
     best = placed.groupBy("doc_id", "item_id").agg(F.max(F.struct("coverage", "verbatim", "n_slots")).alias("b"))
     return best.select("doc_id", "item_id", "b.coverage", F.col("b.n_slots").cast("long").alias("n_slots"), "b.verbatim")
 
