@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._util import whole_groups
@@ -172,35 +172,48 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("uid", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("kept", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("kept", pa.binary())])
     for batch in batches:
         for k in range(0, batch.num_rows, 256):
             out, part = [], batch.slice(k, 256)
-            for uid, value, spans in zip(part.column("uid").to_pylist(), part.column("text"), part.column("spans")):
+            for doc_id, value, spans in zip(part.column("doc_id").to_pylist(), part.column("text"), part.column("spans")):
                 text = value.as_buffer().to_pybytes() if value.is_valid else b""
                 runs = merged([(s["start"], s["stop"]) for s in spans.as_py()]) if spans.is_valid else []
                 edges = [0, *(x for run in runs for x in run), len(text)]
                 kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
-                out.append((uid, len(text), len(text) - len(kept), [{"start": a, "stop": b} for a, b in runs], kept))
+                out.append((doc_id, len(text), len(text) - len(kept), [{"start": a, "stop": b} for a, b in runs], kept))
             yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*out), schema)], schema=schema)
 
 
 def _spans(rows: DataFrame) -> DataFrame:
     """``(uid, start, stop)`` of repeated strings, for ``rows`` of (uid, text)."""
     layout = "uid long, g long, c long, place long, lo long, n long"
-    # a phrase's two hashes, and each distinct one with its number and one of its places
-    counted = rows.mapInArrow(_first_of_each, layout + ", occurs long").select("g", "c", "occurs", "uid", F.struct("uid", "place", "lo", "n").alias("at"))
-    distinct = counted.repartition("g").groupBy("g", "c").agg(F.sum("occurs").alias("occurs"), F.min("at").alias("at"))
-    kinds = distinct.groupBy("g").agg(F.count(F.lit(1)).alias("kinds"), F.max("occurs").alias("most")).where("kinds > 1")
+    # a phrase's two hashes, and each distinct one with its number and one of its places; the filter, true of all,
+    # keeps the place in both uses of the distinct phrases, so that they read one shuffle
+    counted = rows.mapInArrow(_first_of_each, layout + ", occurs long").select("g", "c", "occurs", F.struct("uid", "place", "lo", "n").alias("at"))
+    distinct = counted.repartition("g").groupBy("g", "c").agg(F.sum("occurs").alias("occurs"), F.min("at").alias("at")).where("at is not null")
     repeated = distinct.where("occurs > 1").select(F.xxhash64("g", "c").alias("phrase"))
     whole = rows.mapInArrow(_parse, layout).select(F.xxhash64("g", "c").alias("phrase"), "uid", F.col("lo").alias("start"), (F.col("lo") + F.col("n") - 1 + LENGTH).alias("stop"))
     whole = whole.join(repeated.hint("merge"), "phrase").select("uid", "start", "stop")
-    wanted = distinct.join(kinds.hint("merge"), "g").select(F.col("at.uid").alias("uid"), F.struct("g", "at.lo", "at.n", "at.place", (F.col("occurs") == 1).alias("lone"), (F.col("kinds") > HOT_TRIGGER).alias("hot")).alias("w"))
+    several = distinct.withColumn("kinds", F.count(F.lit(1)).over(Window.partitionBy("g"))).where("kinds > 1")
+    wanted = several.select(F.col("at.uid").alias("uid"), F.struct("g", "at.lo", "at.n", "at.place", (F.col("occurs") == 1).alias("lone"), (F.col("kinds") > HOT_TRIGGER).alias("hot")).alias("w"))
     opened = rows.join(wanted.groupBy("uid").agg(F.collect_list("w").alias("wanted")).hint("merge"), "uid").mapInArrow(_open, "g long, sub long, uid long, lo long, n long, lone boolean, bytes binary")
     parts = opened.repartition("g", "sub").sortWithinPartitions("g", "sub").mapInArrow(_compare, "uid long, start long, stop long")
     return whole.unionByName(parts)
 
 
+def _with_spans(docs: DataFrame, text_col: str, *rest: Column) -> DataFrame:
+    """``(uid, text, rest, spans)`` for each row of ``docs``; rest is a struct of the given columns.
+
+    Texts are dealt out by uid once: the search and the removal read the same shuffle. What else a row has follows
+    by itself, so that both sides of that shuffle stay equal.
+    """
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{text_col}`").cast("string").alias("text"), F.struct(*rest, F.lit(0).alias("_")).alias("rest"))
+    texts = rows.select("uid", "text")
+    spans = _spans(texts).groupBy("uid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    return texts.join(spans.hint("merge"), "uid", "left").join(rows.select("uid", "rest").hint("merge"), "uid")
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Removes each byte that is covered by a string of ``LENGTH`` bytes that also starts somewhere else.
 
@@ -213,11 +226,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     of each other and are each returned. doc_id may be null or repeated. An empty table gives no rows. ``docs``
     must give the same rows in the same order when it is read again, as a table's files do.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    texts, ids = rows.select("uid", "text"), rows.select("uid", "doc_id")
-    spans = _spans(texts).groupBy("uid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    out = texts.join(spans.hint("merge"), "uid", "left").mapInArrow(_remove, "uid long, n_bytes long, n_removed long, spans array<struct<start:long,stop:long>>, kept binary")
-    return ids.join(out.hint("merge"), "uid").drop("uid")
+    found = _with_spans(docs, text_col, F.col(f"`{id_col}`").cast("long").alias("doc_id")).select("rest.doc_id", "text", "spans")
+    return found.mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,stop:long>>, kept binary")
 
 
 def strip_repeats(docs: DataFrame) -> DataFrame:
@@ -225,9 +235,8 @@ def strip_repeats(docs: DataFrame) -> DataFrame:
 
     n_chars follows the text where the table has it. Null texts stay null.
     """
-    rows = docs.withColumn("_uid", F.monotonically_increasing_id())
-    spans = _spans(rows.select(F.col("_uid").alias("uid"), "text")).groupBy(F.col("uid").alias("_uid")).agg(F.collect_list(F.struct("start", "stop")).alias("_spans"))
-    texts = rows.join(spans.hint("merge"), "_uid", "left")
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    found = _with_spans(docs, "text", *others)
 
     @F.pandas_udf("string")
     def left(text, spans):
@@ -240,10 +249,11 @@ def strip_repeats(docs: DataFrame) -> DataFrame:
             out.append(t)
         return pd.Series(out, dtype=object)
 
-    texts = texts.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(left("text", "_spans")))
+    found = found.select("rest", F.when(F.col("spans").isNull(), F.col("text")).otherwise(left("text", "spans")).alias("text"))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        texts = texts.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return texts.select(*docs.columns)
+        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return found.select(*[new.get(c, F.col(f"rest.`{c}`")) for c in docs.columns])
 
 
 def digest(result: DataFrame) -> DataFrame:
