@@ -86,14 +86,12 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     by_conv = Window.partitionBy("conv_id").orderBy("turn")
     turns = cut(turns.select("conv_id", "turn", "n_quotes", "n_linked", "quoted_conv", F.coalesce(-F.col("reply.t"), F.lag("turn").over(by_conv)).alias("reply_to"), F.coalesce(-F.col("reply.t"), F.when(F.col("n_linked") > 0, F.lag("turn").over(by_conv)), F.col("turn")).alias("up")))
 
-    # the turn that replies lead back to: each round doubles the distance
-    up = turns.select("conv_id", "turn", "up")
-    while True:
+    # the turn that replies lead back to: each round doubles the distance, for those that have not arrived yet
+    up = turns.select("conv_id", "turn", "up", (F.col("up") == F.col("turn")).alias("there"))
+    while not up.where("not there").isEmpty():
         further = up.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("next"))
-        new = cut(up.join(further, ["conv_id", "up"]).select("conv_id", "turn", F.col("up").alias("old"), F.col("next").alias("up")))
-        if new.where("old != up").limit(1).count() == 0:
-            break
-        up = new.drop("old")
+        moved = up.where("not there").join(further, ["conv_id", "up"]).select("conv_id", "turn", F.col("next").alias("up"), (F.col("next") == F.col("up")).alias("there"))
+        up = cut(up.where("there").unionByName(moved))
     turns = turns.drop("up").join(up.select("conv_id", "turn", F.col("up").alias("thread")), ["conv_id", "turn"])
     out = parsed.drop("lines").join(turns, ["conv_id", "turn"], "left")
     in_order = Window.partitionBy("conv_id").orderBy("thread", "turn", "own_text", "role")
