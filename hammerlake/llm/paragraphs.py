@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._util import cut, pick, slices, whole_groups
@@ -17,7 +17,7 @@ from .components import connected_components
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 #: Shorter paragraphs (bylines, notices, headings) repeat in unrelated texts and are left alone.
 MIN_WORDS = 20
-ROWS_PER_BAND, RECALL = 4, 0.999
+ROWS_PER_BAND, RECALL = 3, 0.999
 #: Paragraphs of one band value that a task compares; more are divided in blocks.
 HOT_BAND = 1024
 _PRIME = (1 << 31) - 1
@@ -40,25 +40,47 @@ def _permutations(count: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(1, _PRIME, count), rng.integers(0, _PRIME, count)
 
 
-def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bands = bands_for()
+def _classes(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, list[bytes]]]:
+    """(row, number, hash of the words, words) of the paragraphs of a batch that are long enough."""
+    of = xxhash.xxh3_64_intdigest
+    for row, text in enumerate(batch.column("text")):
+        for k, line in enumerate((text.as_py() or "").encode().lower().split(b"\n")):
+            if len(words := line.split()) >= MIN_WORDS:
+                yield row, k, of(b" ".join(words)) >> 1, words
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, "text"):
+            rows = [(row, k, same) for row, k, same, _ in _classes(part)]
+            at, para, same = (list(c) for c in zip(*rows)) if rows else ([], [], [])
+            yield pa.record_batch([part.column("doc_id").take(pa.array(at, pa.int64())), pa.array(para, pa.int32()), pa.array(same, pa.int64())], ["doc_id", "para", "same"])
+
+
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key of each band, class) of the classes of each batch."""
+    bands, of = bands_for(), xxhash.xxh3_64_intdigest
     a, b = _permutations(bands * ROWS_PER_BAND)
-    names, of = ["doc_id", "para", "same", "keys", "shingles"], xxhash.xxh3_64_intdigest
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32())]
     for batch in batches:
-        for part in slices(batch, "text", 2 << 20):
-            rows: list[tuple] = []
-            for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text")):
-                for k, line in enumerate((text.as_py() or "").encode().lower().split(b"\n")):
-                    if len(words := line.split()) < MIN_WORDS:
-                        continue
-                    s = shingles(words)
-                    least = np.full(len(a), _PRIME, np.int64)
+        for part in slices(batch, "text"):
+            keys: dict[int, list[int]] = {}
+            for _, _, same, words in _classes(part):
+                if same not in keys:
+                    s, least = shingles(words), np.full(len(a), _PRIME, np.int64)
                     for at in range(0, len(s), 4096):
                         np.minimum(least, ((s[at : at + 4096, None] * a + b) % _PRIME).min(axis=0), out=least)
-                    keys = [of(x.tobytes(), i) >> 1 for i, x in enumerate(least.reshape(bands, -1))]
-                    rows.append((doc_id, k, of(b" ".join(words)) >> 1, keys, s.astype(np.int32)))
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 5, kinds)], names)
+                    keys[same] = [of(x.tobytes(), i) >> 1 for i, x in enumerate(least.reshape(bands, -1))]
+            yield pa.record_batch([pa.array([k for ks in keys.values() for k in ks], pa.int64()), pa.array(np.repeat(np.array([*keys], np.int64), bands))], ["key", "same"])
+
+
+def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, "text"):
+            sets: dict[int, np.ndarray] = {}
+            for _, _, same, words in _classes(part):
+                if same not in sets:
+                    sets[same] = shingles(words).astype(np.int32)
+            yield pa.record_batch([pa.array([*sets], pa.int64()), pa.array([*sets.values()], pa.list_(pa.int32()))], ["same", "shingles"])
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,22 +118,24 @@ def duplicate_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Null and empty texts have no paragraphs; rows whose doc_id is null are left alone; a repeated row repeats its
     paragraphs, which stay once. An empty table gives no rows.
     """
-    layout = "doc_id long, para int, same long, keys array<long>, shingles array<int>"
-    found = pick(docs, id_col, text_col).where("doc_id is not null").mapInArrow(_paragraphs, layout)
-    # the paragraphs of a class share keys and shingles, so any one of them will do
-    classes = cut(found.groupBy("same").agg(F.min(F.struct("doc_id", "para")).alias("first"), F.count(F.lit(1)).alias("n"), F.any_value("keys").alias("keys"), F.any_value("shingles").alias("shingles")))
-    banded = classes.select("same", F.explode(F.transform("keys", lambda k, i: F.xxhash64(k, i))).alias("key"))
-    met = banded.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
-    pairs = cut(banded.join(met, "key"))
+    texts = pick(docs, id_col, text_col).where("doc_id is not null")
+    places = texts.mapInArrow(_places, "doc_id long, para int, same long")
+    dealt = texts.mapInArrow(_bands, "key long, same long").repartition("key").distinct()
+    # bands in which the same classes meet are one: a group is named by its members, and compared once
+    by_key = Window.partitionBy("key")
+    met = dealt.withColumn("many", F.count(F.lit(1)).over(by_key)).where("many > 1").withColumn("group", F.bit_xor(F.xxhash64("same")).over(by_key))
+    pairs = cut(met.select(F.xxhash64("group", "many").alias("key"), "same", "many").distinct())
+    sets = texts.mapInArrow(_shingled, "same long, shingles array<int>").join(pairs.select("same").distinct(), "same", "left_semi").groupBy("same").agg(F.any_value("shingles").alias("shingles"))
     blocks = F.ceil(F.col("many") / HOT_BAND).cast("long")
     own = F.pmod(F.xxhash64("same"), blocks)
     parts = pairs.select("key", "same", blocks.alias("b"), own.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("j"))
     parts = parts.select("key", "same", (F.least("i", "j") * F.col("b") + F.greatest("i", "j")).alias("part"))
-    parts = parts.join(classes.select("same", "shingles"), "same").select("key", "part", "same", "shingles")
+    parts = parts.join(sets, "same").select("key", "part", "same", "shingles")
     links = parts.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_similar, "src long, dst long")
     groups = connected_components(links).select(F.col("node").alias("same"), F.col("component"))
-    named = classes.select("same", "first", "n").join(groups, "same", "left").select("same", "n", "first", F.coalesce("component", "same").alias("component"))
+    classes = places.groupBy("same").agg(F.min(F.struct("doc_id", "para")).alias("first"), F.count(F.lit(1)).alias("n"))
+    named = classes.join(groups, "same", "left").select("same", "n", "first", F.coalesce("component", "same").alias("component"))
     heads = named.groupBy("component").agg(F.min("first").alias("head"), F.sum("n").alias("members")).where("members > 1")
     clusters = named.join(heads, "component").select("same", "head")
-    members = found.select("doc_id", "para", "same").join(clusters, "same")
+    members = places.join(clusters, "same")
     return members.select("doc_id", "para", F.col("head.doc_id").alias("cluster_doc"), F.col("head.para").alias("cluster_para"), (F.struct("doc_id", "para") != F.col("head")).alias("removed"))
