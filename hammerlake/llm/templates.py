@@ -94,7 +94,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
     def slots(hit: Column) -> Column:
         at = F.filter(F.sequence(F.lit(0), F.lit(WINDOW_WORDS - 1)), lambda k: F.get("canon", hit["item_pos"] + k).isin(NUMBER, NAME, UNIT))
-        bare = lambda c, i: F.ltrim(F.lit(_MARK), F.get(c, i))
+        bare = lambda c, i: F.ltrim(F.get(c, i), F.lit(_MARK))
         return F.transform(at, lambda k: F.struct(bare("raw", hit["item_pos"] + k).alias("of"), bare("doc_raw", hit["pos"] + k).alias("is")))
 
     looked = looked.select("doc_id", "item_id", (F.col("n") / F.col("of")).alias("coverage"), F.array_distinct(F.flatten(F.transform("hits", slots))).alias("pairs"))
