@@ -165,7 +165,8 @@ def _scored(rows: DataFrame, matched: Column, sample: tuple[Column, Column, Colu
 
 def score(listings: DataFrame, estimates: DataFrame) -> DataFrame:
     """Listings with cost, estimate, profits, scores and grade. Without an estimate profits and score stay null:
-    the grade tells whether the type isn't estimated, the rights are a risk, or the market isn't known."""
+    the grade tells whether the type isn't estimated, the rights are a risk, or the market isn't known.
+    ``estimates`` is meant to be a written table, as each estimate serves many scorings."""
     cost = F.col("min_bid_price") + money.acquisition_tax(F.col("min_bid_price"), F.col("property_type"), F.col("area_m2"))
     rows = listings.join(estimates, KEY, "left").withColumns({"cost": cost, "rights_score": rights_score(), "matched": F.coalesce("matched", F.lit(0))})
     rows = rows.withColumns({"liquidity_score": liquidity_score(F.col("matched")), "confidence": numbers.ladder(F.col("matched"), CONFIDENCE, 0.6), "est": F.when((F.col("est") > 0) & (F.col("matched") >= 2), F.col("est"))})
