@@ -35,7 +35,7 @@ def stale(states: DataFrame, key: str, checked: str, now: str, days: int, jitter
     return states.where(age.isNull() | (age > F.lit(days) + F.crc32(F.col(key).cast("string")) % jitter))
 
 
-def limited(events: DataFrame, seconds: int, limit: int) -> DataFrame:
+def limited(events: DataFrame, seconds: int, limit: int, late: str = "1 hour") -> DataFrame:
     """``(user_id, ts, allowed)`` on a stream: an event is allowed if fewer than ``limit`` allowed ones lie within the
     ``seconds`` before it. A user's state are the times of at most ``limit`` events, and it ends when they are old."""
 
@@ -52,7 +52,7 @@ def limited(events: DataFrame, seconds: int, limit: int) -> DataFrame:
             if allowed[-1]:
                 times.append(t)
         state.update((times,))
-        state.setTimeoutDuration(seconds * 1000)
+        state.setTimeoutTimestamp(int(max(max(times, default=0.0) * 1000, state.getCurrentWatermarkMs())) + seconds * 1000)
         yield pd.DataFrame({"user_id": key[0], "ts": rows["ts"], "allowed": allowed})
 
-    return events.select("user_id", "ts").groupBy("user_id").applyInPandasWithState(step, "user_id long, ts timestamp, allowed boolean", "times array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.select("user_id", "ts").withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(step, "user_id long, ts timestamp, allowed boolean", "times array<double>", "append", GroupStateTimeout.EventTimeTimeout)
