@@ -15,12 +15,14 @@ from ._util import cut, pick, slices, whole_groups
 from .components import connected_components
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
-#: Shorter paragraphs (bylines, notices, headings) repeat in unrelated texts and are left alone.
-MIN_WORDS = 20
+#: A line with words is a paragraph, however short.
+MIN_WORDS = 1
 ROWS_PER_BAND, RECALL = 3, 0.999
 #: Paragraphs of one band value that a task compares; more are divided in blocks.
 HOT_BAND = 1024
 _PRIME = (1 << 31) - 1
+#: Shingles whose minima are taken at a time.
+_STEP = 4096
 
 
 def bands_for(similarity: float = SIMILARITY, rows: int = ROWS_PER_BAND, recall: float = RECALL) -> int:
@@ -41,7 +43,7 @@ def _permutations(count: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _classes(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, list[bytes]]]:
-    """(row, number, hash of the words, words) of the paragraphs of a batch that are long enough."""
+    """(row, number, hash of the words, words) of the paragraphs of a batch."""
     of = xxhash.xxh3_64_intdigest
     for row, text in enumerate(batch.column("text")):
         for k, line in enumerate((text.as_py() or "").encode().lower().split(b"\n")):
@@ -57,29 +59,50 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([part.column("doc_id").take(pa.array(at, pa.int64())), pa.array(para, pa.int32()), pa.array(same, pa.int64())], ["doc_id", "para", "same"])
 
 
+def _minima(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least value of each permutation (columns) over each set (rows)."""
+    sizes = np.array([len(x) for x in sets])
+    flat, ends = np.concatenate(sets), np.cumsum(sizes)
+    least = np.full((len(a), len(sets)), np.iinfo(np.int64).max)
+    for at in range(0, len(flat), _STEP):
+        x = flat[at : at + _STEP] * a[:, None] + b[:, None]
+        for _ in range(2):  # modulo the Mersenne prime, by its bits
+            x = (x & _PRIME) + (x >> 31)
+        first, last = np.searchsorted(ends, [at, at + x.shape[1] - 1], side="right")
+        starts = np.maximum(ends[first : last + 1] - sizes[first : last + 1] - at, 0)
+        least[:, first : last + 1] = np.minimum(least[:, first : last + 1], np.minimum.reduceat(x, starts, axis=1))
+    return least.T
+
+
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key of each band, class) of the classes of each batch."""
-    bands, of = bands_for(), xxhash.xxh3_64_intdigest
+    """(key of each band, class) of the classes of each batch; those without a whole shingle equal no other class."""
+    bands = bands_for()
     a, b = _permutations(bands * ROWS_PER_BAND)
     for batch in batches:
         for part in slices(batch, "text"):
-            keys: dict[int, list[int]] = {}
+            sets: dict[int, np.ndarray] = {}
             for _, _, same, words in _classes(part):
-                if same not in keys:
-                    s, least = shingles(words), np.full(len(a), _PRIME, np.int64)
-                    for at in range(0, len(s), 4096):
-                        np.minimum(least, ((s[at : at + 4096, None] * a + b) % _PRIME).min(axis=0), out=least)
-                    keys[same] = [of(x.tobytes(), i) >> 1 for i, x in enumerate(least.reshape(bands, -1))]
-            yield pa.record_batch([pa.array([k for ks in keys.values() for k in ks], pa.int64()), pa.array(np.repeat(np.array([*keys], np.int64), bands))], ["key", "same"])
+                if len(words) >= SHINGLE_WORDS and same not in sets:
+                    sets[same] = shingles(words)
+            if sets:
+                least = _minima([*sets.values()], a, b).reshape(len(sets), bands, ROWS_PER_BAND).astype(np.uint64)
+                keys = np.tile(np.arange(1, bands + 1, dtype=np.uint64), (len(sets), 1))
+                for k in range(ROWS_PER_BAND):
+                    keys = (keys ^ least[:, :, k]) * np.uint64(0x9E3779B97F4A7C15)
+                    keys ^= keys >> np.uint64(32)
+                yield pa.record_batch([pa.array((keys >> np.uint64(1)).astype(np.int64).ravel()), pa.array(np.repeat(np.array([*sets], np.int64), bands))], ["key", "same"])
 
 
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(class, shingles); a lone shingle has 31 more bits of its hash beside it, as its 31 are too few among millions."""
+    of = xxhash.xxh3_64_intdigest
     for batch in batches:
         for part in slices(batch, "text"):
             sets: dict[int, np.ndarray] = {}
             for _, _, same, words in _classes(part):
-                if same not in sets:
-                    sets[same] = shingles(words).astype(np.int32)
+                if len(words) >= SHINGLE_WORDS and same not in sets:
+                    s = shingles(words).astype(np.int32)
+                    sets[same] = s if len(s) > 1 else np.append(s, np.int32(of(b" ".join(words[:SHINGLE_WORDS])) >> 33))
             yield pa.record_batch([pa.array([*sets], pa.int64()), pa.array([*sets.values()], pa.list_(pa.int32()))], ["same", "shingles"])
 
 
@@ -109,8 +132,9 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def duplicate_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, para, cluster_doc, cluster_para, removed)`` for each paragraph that has a near-duplicate.
 
-    Paragraphs are lines with ``MIN_WORDS`` words or more, para their number among all lines from 0. Two are linked
-    if the Jaccard similarity of their five-word shingles (A-Z lower-cased) is ``SIMILARITY`` or more; clusters are
+    Paragraphs are all lines that have words, para their number among all lines from 0. Two are linked if the
+    Jaccard similarity of their five-word shingles (A-Z lower-cased; of all words if there are fewer) is
+    ``SIMILARITY`` or more; clusters are
     connected components, named by their first paragraph (smallest doc_id, then number), and every other one
     is to be removed. Equal paragraphs are one class before anything is compared. Bands are tuned to find a pair at
     the limit with probability ``RECALL``, and each found pair is verified on whole sets.

@@ -120,6 +120,27 @@ def test_paragraphs(docs, texts):
     assert got == {k: v for k, v in want.items() if size[v] > 1}
 
 
+def test_short_paragraphs(spark):
+    long = "one two three four five six seven eight nine ten eleven twelve"
+    lines = ["Chapter", "All rights reserved.", "chapter", "all  rights reserved.", "a b c d e", "A b c d e", "x x x x x", "x x x x x x x", "a b c d f", "", " ", "alone here", long, long + " thirteen", long[4:] + " on", "six words are in this line", "Six words are in this line"]
+    rows = [(k % 3, k) for k in range(len(lines))]
+    texts = {i: "\n".join(lines[k] if k % 3 == i else "" for k in range(len(lines))) for i in range(3)}
+    sets = {r: frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for r in rows if (w := lines[r[1]].lower().split())}
+    want = roots(sets, [(a, b) for (a, x), (b, y) in combinations(sets.items(), 2) if len(x & y) >= 0.8 * len(x | y)])
+    size = Counter(want.values())
+    got = {(r.doc_id, r.para): (r.cluster_doc, r.cluster_para) for r in paragraphs.duplicate_paragraphs(spark.createDataFrame([*texts.items()], "doc_id long, text string")).collect()}
+    assert got and got == {k: v for k, v in want.items() if size[v] > 1}
+
+
+def test_minima_of_sets_that_cross_steps(monkeypatch):
+    monkeypatch.setattr(paragraphs, "_STEP", 7)
+    rng = np.random.default_rng(3)
+    sets = [rng.integers(0, paragraphs._PRIME, n) for n in (1, 20, 7, 3, 1, 40)]
+    a, b = paragraphs._permutations(6)
+    want = [[min((int(v) * int(p) + int(q)) % paragraphs._PRIME for v in s) for p, q in zip(a, b)] for s in sets]
+    assert paragraphs._minima(sets, a, b).tolist() == want
+
+
 def test_bpe(spark, docs, texts):
     from tokenizers import Tokenizer
 
