@@ -11,6 +11,8 @@ from ._util import cut, pick
 
 #: Words in a window, and the share of an item's windows that must be found close together.
 WINDOW_WORDS, MIN_COVERAGE = 5, 0.8
+#: Words by which a place may leave its alignment, if the alignment without limit isn't consistent.
+DRIFT_WORDS = 5
 #: Windows of the benchmark, and ids of documents that may hold an item, that may be sent to every executor (some
 #: 40 bytes each); more are shuffled.
 BROADCAST_ROWS = 200_000
@@ -61,7 +63,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     go. An item is found where ``MIN_COVERAGE`` of its windows of ``WINDOW_WORDS`` words stand within twice its
     length, if its slots are consistent: one value of the item always stands for one value of the document, so a
     question whose parameters were exchanged is caught, and prose that only shares its frame is not. verbatim tells
-    whether all slots have the item's own values. Of several places the best covered one is reported.
+    whether all slots have the item's own values. Slots are read along an alignment: of the places of a window that
+    occurs several times, the one nearest to it counts. Of several places the best covered one is reported.
 
     Only windows meet in the join; the words of the few documents that hold enough of an item are then looked at
     again for the slots. Items of equal text are one, under their smallest id.
@@ -97,7 +100,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         bare = lambda c, i: F.ltrim(F.get(c, i), F.lit(_MARK))
         return F.transform(at, lambda k: F.struct(bare("raw", hit["item_pos"] + k).alias("of"), bare("doc_raw", hit["pos"] + k).alias("is")))
 
-    looked = looked.select("doc_id", "item_id", (F.col("n") / F.col("of")).alias("coverage"), F.array_distinct(F.flatten(F.transform("hits", slots))).alias("pairs"))
+    # each diagonal of a stretch is an alignment: of an item position's hits, the one nearest to the diagonal counts
+    places = F.transform("hits", lambda x: F.struct(x["item_pos"].alias("item_pos"), (x["pos"] - x["item_pos"]).alias("diagonal"), slots(x).alias("slots")))
+    looked = looked.select("doc_id", "item_id", "of", places.alias("hits"))
+    lines = looked.select("doc_id", "item_id", "of", "hits", F.explode(F.array_distinct(F.transform("hits", lambda x: x["diagonal"]))).alias("d"))
+    by_nearness = F.array_sort(F.transform("hits", lambda x: F.struct(x["item_pos"].alias("item_pos"), F.abs(x["diagonal"] - F.col("d")).alias("off"), x["diagonal"].alias("diagonal"), x["slots"].alias("slots"))))
+    lines = lines.select("doc_id", "item_id", "of", by_nearness.alias("hits"))
+    lines = lines.select("doc_id", "item_id", "of", F.filter("hits", lambda x, i: ~F.get("hits", i - 1)["item_pos"].eqNullSafe(x["item_pos"])).alias("hits"))
+    lines = lines.select("doc_id", "item_id", "of", F.explode(F.array("hits", F.filter("hits", lambda x: x["off"] <= DRIFT_WORDS))).alias("hits")).where(F.size("hits") >= MIN_COVERAGE * F.col("of"))
+    looked = lines.select("doc_id", "item_id", (F.size("hits") / F.col("of")).alias("coverage"), F.array_distinct(F.flatten(F.transform("hits", lambda x: x["slots"]))).alias("pairs"))
     consistent = F.size(F.array_distinct(F.transform("pairs", lambda x: x["of"]))) == F.size("pairs")
     placed = looked.where(consistent).select("doc_id", "item_id", "coverage", F.size("pairs").alias("n_slots"), F.forall("pairs", lambda x: x["of"] == x["is"]).alias("verbatim"))
     best = placed.groupBy("doc_id", "item_id").agg(F.max(F.struct("coverage", "verbatim", "n_slots")).alias("b"))

@@ -195,6 +195,18 @@ def test_templates(spark):
     assert templates.find_leaks(docs, bench.where("false")).count() == 0
 
 
+def test_templates_with_windows_that_repeat(spark):
+    series = "2, 4, 8, 16, 32, 64"
+    names = "we saw Anna Bert Carl Dora Emil Fritz there"
+    frame = "take 3 parts of water and add 5 parts of salt, then stir."
+    near = frame.replace("3", "7").replace("5", "9")
+    rows = [(1, "The row " + series + " is known."), (2, "Then " + names + " again."), (3, f"{near} {frame} {near}"), (4, "The row 3, 9, 3, 9, 3, 9 is known."), (5, "The row 1, 1, 2, 1, 1, 2 is known.")]
+    bench = spark.createDataFrame([(1, series), (2, names), (3, frame), (4, "5, 5, 6, 7, 7, 8")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.verbatim for r in templates.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got[1, 1] and got[2, 2] and got[3, 3]
+    assert (4, 4) not in got and (5, 4) in got and not got[5, 4]
+
+
 def test_templates_find_whole_passages(spark, docs, texts):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     want = {(i, r.item_id) for r in bench.collect() for i, t in texts.items() if r.text in t}
