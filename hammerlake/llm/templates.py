@@ -25,42 +25,51 @@ _MARK = "\x02"
 
 def words(text: Column) -> Column:
     """The words and numbers of a text in lower case; a capital that doesn't begin a sentence or line leaves a mark."""
-    marked = F.lower(F.regexp_replace(text, r" (?<=[^.!?:\s] )(?=\p{Lu})", " " + _MARK))
+    marked = F.regexp_replace(text, r" (?<=[^.!?:\s] )(?=\p{Lu})", " " + _MARK)
+    # by way of upper case, as sharp s and final sigma have two forms; Spark drops the inner one of two bare changes
+    marked = F.lower(F.concat(F.upper(marked), F.lit("")))
     return F.coalesce(F.regexp_extract_all(marked, F.lit(_MARK + r"?(?:\d+(?:[.,]\d+)*|\p{L}+)"), F.lit(0)), F.array().cast("array<string>"))
 
 
-def canonical(raw: Column, of: Callable[[Column], Column] = lambda x: x) -> Column:
-    """``of`` the words of ``words``, with placeholders for numbers, names, and units behind a number."""
+def canonical(rows: DataFrame, *keys: str, of: Callable[[Column], Column] = lambda x: x) -> DataFrame:
+    """(keys, plain, typed) of rows (keys, raw): ``of`` the words of ``words``, with placeholders for numbers and units
+    behind a number; typed has placeholders for names too, which need the text's capitals."""
 
     def is_number(x: Column) -> Column:
         return F.substring(x, 1, 1).between("0", "9") | x.isin(NUMBER_WORDS)
 
     def one(x: Column, i: Column) -> Column:
-        behind = F.coalesce(is_number(F.get(raw, i - 1)), F.lit(False))
-        return F.when(x.startswith(_MARK), NAME).when(is_number(x), NUMBER).when(x.isin(UNITS) & behind, UNIT).otherwise(x)
+        behind = F.coalesce(is_number(F.get("bare", i - 1)), F.lit(False))
+        return F.when(is_number(x), NUMBER).when(x.isin(UNITS) & behind, UNIT).otherwise(x)
 
-    return F.transform(raw, lambda x, i: of(one(x, i)))
+    bare = rows.select(*keys, "raw", F.transform("raw", lambda x: F.ltrim(x, F.lit(_MARK))).alias("bare"))
+    plain = bare.select(*keys, "raw", F.transform("bare", lambda x, i: of(one(x, i))).alias("plain"))
+    return plain.select(*keys, "plain", F.transform("raw", lambda x, i: F.when(x.startswith(_MARK), of(F.lit(NAME))).otherwise(F.get("plain", i))).alias("typed"))
 
 
 def _windows(parsed: DataFrame, *keys: str) -> DataFrame:
-    """(keys, pos, window) of rows (keys, h): a hash of the word hashes of each window, or of all if there are fewer.
+    """(keys, pos, window) of rows (keys, plain, typed): a hash of the word hashes of each window, or of all if there
+    are fewer. A window with names stands twice, typed and plain.
 
     The window's hash is taken behind the generator, in generated code: no array of windows is built, and no row
     carries the words of its document.
     """
-    spread = parsed.select(*keys, "h", F.posexplode(F.slice("h", 1, F.greatest(F.size("h") - (WINDOW_WORDS - 1), F.lit(1)))).alias("pos", "_"))
-    return spread.select(*keys, "pos", F.xxhash64(*[F.get("h", F.col("pos") + k) for k in range(WINDOW_WORDS)]).alias("window"))
+    spread = parsed.select(*keys, "plain", "typed", F.posexplode(F.slice("plain", 1, F.greatest(F.size("plain") - (WINDOW_WORDS - 1), F.lit(1)))).alias("pos", "_"))
+    window = lambda c: F.xxhash64(*[F.get(c, F.col("pos") + k) for k in range(WINDOW_WORDS)])
+    both = spread.select(*keys, "pos", window("plain").alias("p"), window("typed").alias("t_"))
+    return both.select(*keys, "pos", F.explode(F.when(F.col("p") == F.col("t_"), F.array("p")).otherwise(F.array("p", "t_"))).alias("window"))
 
 
 def _hashed(rows: DataFrame, *keys: str) -> DataFrame:
-    return rows.select(*keys, words(F.col("text")).alias("raw")).select(*keys, canonical(F.col("raw"), F.xxhash64).alias("h")).where(F.size("h") > 0)
+    return canonical(rows.select(*keys, words(F.col("text")).alias("raw")), *keys, of=F.xxhash64)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``doc_id, item_id, coverage, n_slots, verbatim`` for each benchmark item that a whole text holds.
 
     Numbers, names (capitals within a sentence) and units behind numbers become placeholders, case and punctuation
-    go. An item is found where ``MIN_COVERAGE`` of its windows of ``WINDOW_WORDS`` words stand within twice its
+    go. Windows are also met with names as words, so that a copy in upper, lower or title case is found, with the
+    item's names; exchanged names are found where the text has its capitals. An item is found where ``MIN_COVERAGE`` of its windows of ``WINDOW_WORDS`` words stand within twice its
     length, if its slots are consistent: one value of the item always stands for one value of the document, so a
     question whose parameters were exchanged is caught, and prose that only shares its frame is not. verbatim tells
     whether all slots have the item's own values. Slots are read along an alignment: of the places of a window that
@@ -74,8 +83,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """
     items = pick(benchmark, item_col, item_text_col).where("doc_id is not null and text is not null").groupBy("text").agg(F.min("doc_id").alias("item_id"))
     items = items.select("item_id", words(F.col("text")).alias("raw")).where(F.size("raw") > 0)
-    items = cut(items.select("item_id", "raw", canonical(F.col("raw")).alias("canon")))
-    index = _windows(items.select("item_id", F.transform("canon", lambda x: F.xxhash64(x)).alias("h")), "item_id")
+    items = cut(items)
+    index = _windows(canonical(items, "item_id", of=F.xxhash64), "item_id")
+    slotted = cut(items.join(canonical(items, "item_id"), "item_id").select("item_id", "raw", F.col("typed").alias("canon")))
     sizes = items.select("item_id", F.greatest(F.size("raw") - (WINDOW_WORDS - 1), F.lit(1)).alias("of"))
     index = index.join(sizes, "item_id").select("window", "item_id", F.col("pos").alias("item_pos"), "of")
     few = index.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
@@ -93,7 +103,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     suspects = F.broadcast(suspects) if suspects.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else suspects
     again = rows.join(suspects, ["doc_id", "t"], "left_semi").dropDuplicates(["doc_id", "t"])
     again = cut(again.select("doc_id", "t", words(F.col("text")).alias("doc_raw")))
-    looked = held.join(again, ["doc_id", "t"]).join(F.broadcast(items) if few else items, "item_id")
+    looked = held.join(again, ["doc_id", "t"]).join(F.broadcast(slotted) if few else slotted, "item_id")
 
     def slots(hit: Column) -> Column:
         at = F.filter(F.sequence(F.lit(0), F.lit(WINDOW_WORDS - 1)), lambda k: F.get("canon", hit["item_pos"] + k).isin(NUMBER, NAME, UNIT))

@@ -195,6 +195,23 @@ def test_templates(spark):
     assert templates.find_leaks(docs, bench.where("false")).count() == 0
 
 
+def test_templates_find_any_case(spark):
+    item = "In spring the driver Anna met Bert near the river Elbe, and they sold Carl 12 km of old Straße rope for 9 euros."
+    cases = [item.upper(), item.title(), item.lower(), item.upper().replace("12", "15"), item.swapcase(), "Nothing of it stands here at all. " * 3]
+    rows = [(k, f"Before it. {c} After it.") for k, c in enumerate(cases)]
+    got = {r.doc_id: r.verbatim for r in templates.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert got == {0: True, 1: True, 2: True, 3: False, 4: True}
+
+
+def test_templates_find_whole_passages_in_any_case(spark, docs):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    fold = lambda c: F.trim(F.regexp_replace(F.lower(F.upper(c)), r"[^\p{L}\p{N}]+", " "))
+    cased = docs.withColumn("text", F.expr("case doc_id % 3 when 0 then upper(text) when 1 then initcap(text) else text end"))
+    texts = {r.doc_id: f" {r.t} " for r in cased.select("doc_id", fold(F.col("text")).alias("t")).collect() if r.t}
+    want = {(i, r.item_id) for r in bench.select("item_id", fold(F.col("text")).alias("t")).collect() for i, t in texts.items() if f" {r.t} " in t}
+    assert any(i % 3 < 2 for i, _ in want) and {(r.doc_id, r.item_id) for r in templates.find_leaks(cased, bench).collect()} >= want
+
+
 def test_templates_with_windows_that_repeat(spark):
     series = "2, 4, 8, 16, 32, 64"
     names = "we saw Anna Bert Carl Dora Emil Fritz there"
