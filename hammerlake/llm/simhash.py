@@ -61,7 +61,8 @@ def fingerprint(text: str | None) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = np.fromiter((fingerprint(t.as_py()) for t in batch.column("text")), np.uint64, batch.num_rows)
-        yield pa.record_batch([batch.column("doc_id"), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+        others = [c for c in batch.schema.names if c != "text"]
+        yield pa.record_batch([*(batch.column(c) for c in others), pa.array(prints.view(np.int64))], [*others, "fp"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -164,7 +165,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group: the one whose doc_id names the group, once."""
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    first = docs.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))))
-    return first.where("_nth = 1").drop("_nth").join(kept, "doc_id", "left_semi")
+    """``docs`` with one document of each group: of those with its smallest doc_id, the one whose text has the smallest hash.
+
+    A row is known by its doc_id and text: rows of one doc_id with other texts are documents of their own, rows that
+    agree in both are one. Documents whose doc_id is null are members like others, and stay if their group has no id.
+    """
+    row = F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row")
+    prints = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row, F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, row long, fp long")
+    classes = cut(prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")).select("fp", F.col("fp").alias("rep"), "first"))
+    found = connected_components(links(classes)).select(F.col("node").alias("rep"), "component")
+    groups = classes.join(found, "rep", "left").groupBy(F.coalesce("component", "rep").alias("group")).agg(F.min("first").alias("first"))
+    kept = groups.select(F.col("first.row").alias("_row"))
+    first = docs.withColumn("_row", row).withColumn("_nth", F.row_number().over(Window.partitionBy("_row").orderBy("_row")))
+    return first.where("_nth = 1").drop("_nth").join(kept, "_row", "left_semi").drop("_row")

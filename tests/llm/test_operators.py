@@ -73,6 +73,16 @@ def test_simhash_divides_hot_entries(spark, monkeypatch):
     assert {k: got.get(k, k) for k in want} == want
 
 
+def test_keep_one_of_odd_ids(spark):
+    texts = [" ".join(hashlib.sha256(f"{k} {i}".encode()).hexdigest()[:6] for i in range(60)) for k in range(6)]
+    rows = [(None, texts[0]), (None, texts[0]), (None, texts[1]), (5, texts[1]), (7, texts[2]), (7, texts[3]), (7, texts[3]), (8, texts[3]), (9, texts[4]), (None, None), (3, texts[5]), (2, texts[5])]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, other long")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    want = [(None, texts[0]), (5, texts[1]), (7, texts[2]), (7, texts[3]), (9, texts[4]), (None, None), (2, texts[5])]
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(repr, want))
+
+
 def test_covering():
     triples = simhash.covering_triples()
     assert len(triples) == 20 and all(any(set(t) <= set(f) for t in triples) for f in combinations(range(8), 4))
