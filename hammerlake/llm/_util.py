@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,3 +75,26 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator
     if kept:
         table, bounds, _ = ready(pa.Table.from_batches(kept), True)
         yield table, bounds
+
+
+class WordHashes(dict):
+    """The hash of each word that was met."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def gram_hashes(h: np.ndarray, size: int) -> np.ndarray:
+    """A hash for each run of ``size`` word hashes (of all of them if there are fewer)."""
+    n = max(min(1, len(h)), len(h) - size + 1)
+    out = np.zeros(n, np.uint64)
+    for k in range(min(size, len(h))):
+        out = (out ^ h[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out

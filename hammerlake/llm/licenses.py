@@ -8,10 +8,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 
-from ._util import pick, slices
+from ._util import WordHashes, gram_hashes, pick, slices
 
 #: Words in a fingerprint, and fingerprints of which one is kept; a shared run of GRAM + WINDOW - 1 words is found.
 GRAM, WINDOW = 3, 3
@@ -49,27 +48,6 @@ def winnow(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return np.unique(np.arange(len(views)) + window - 1 - views.argmin(axis=1))
 
 
-class WordHashes(dict):
-    """The hash of each word that was met."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def gram_hashes(words: list[bytes], of: WordHashes) -> np.ndarray:
-    """A hash for each run of ``GRAM`` words (of all words if there are fewer)."""
-    h = np.fromiter(map(of.__getitem__, words), np.uint64, len(words))
-    n = max(min(1, len(words)), len(words) - GRAM + 1)
-    out = np.zeros(n, np.uint64)
-    for k in range(min(GRAM, len(words))):
-        out = (out ^ h[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
-    return out
-
-
 def align(template: list[bytes], words: list[bytes], diagonal: int, band: int = BAND) -> tuple[int, int, int]:
     """The most template words that match in order within a band around a diagonal, and the span of words they cover.
 
@@ -109,7 +87,7 @@ class Scanner:
         self.index: dict[int, list[tuple[str, int]]] = defaultdict(list)
         self.hashes = WordHashes()
         for k, w in self.words.items():
-            hashes = gram_hashes(w, self.hashes)
+            hashes = gram_hashes(self.hashes.of(w), GRAM)
             # all fingerprints of a template that is too short for winnowing to find it whole
             for at in range(len(hashes)) if len(w) < 2 * (GRAM + WINDOW) else winnow(hashes).tolist():
                 self.index[int(hashes[at])].append((k, at))
@@ -121,7 +99,7 @@ class Scanner:
     def scan(self, text: bytes) -> list[tuple[str, float, int, int]]:
         """(template, covered share, start, end in characters), in order of start; the longest of those that overlap."""
         words = words_of(text)
-        hashes = gram_hashes(words, self.hashes)
+        hashes = gram_hashes(self.hashes.of(words), GRAM)
         hits = np.flatnonzero(self.maybe[hashes & np.uint64(0xFFFF)])
         hits = hits[np.isin(hashes[hits], self.known)]
         wanted: dict[str, set[int]] = defaultdict(set)

@@ -117,29 +117,66 @@ def test_repeats_divides_hot_triggers(spark, monkeypatch):
         assert got[i] == mark.sum()
 
 
-def test_paragraphs(docs, texts):
-    sets = {}
-    for i, t in texts.items():
-        for k, line in enumerate(t.encode().lower().split(b"\n")):
-            if len(w := line.split()) >= paragraphs.MIN_WORDS:
-                sets[i, k] = set(paragraphs.shingles(w).tolist())
-    links = [(a, b) for (a, x), (b, y) in combinations(sets.items(), 2) if (n := len(x & y)) and n >= 0.8 * (len(x) + len(y) - n)]
-    want = roots(sets, links)
+def near_by_brute_force(paragraphs):
+    """Clusters of word lists by key: sets of five words that share four fifths."""
+    sets = {k: frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for k, w in paragraphs.items()}
+    by = {}
+    for k, x in sets.items():
+        for s in x:
+            by.setdefault(s, []).append(k)
+    met = {p for ks in by.values() for p in combinations(sorted(ks), 2)}
+    want = roots(sets, [(a, b) for a, b in met if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
     size = Counter(want.values())
-    got = {(r.doc_id, r.para): (r.cluster_doc, r.cluster_para) for r in paragraphs.duplicate_paragraphs(docs).collect()}
-    assert got == {k: v for k, v in want.items() if size[v] > 1}
+    return {k: v for k, v in want.items() if size[v] > 1}
+
+
+def clusters(found):
+    return {(r.doc_id, r.para): (r.cluster_doc, r.cluster_para) for r in found.collect()}
+
+
+def test_every_line_as_paragraph(spark, docs, texts):
+    lines = {(i, k): w for i, t in texts.items() for k, line in enumerate(t.encode().lower().split(b"\n")) if (w := line.split())}
+    assert clusters(paragraphs.near_paragraphs(docs, min_words=1)) == near_by_brute_force(lines)
+
+
+def test_paragraphs(spark):
+    rng = np.random.default_rng(6)
+    say = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 4)) for _ in range(n))
+    whole, wrapped, head = say(60), [say(8) for _ in range(5)], say(3)
+    edited = whole.split()
+    edited[-1] = "other"
+    rows = [(1, f"{head}\n{whole}\n\n" + "\n".join(wrapped)), (2, f"{say(30)}\n{' '.join(edited)}"), (3, say(25) + "\n" + "\n".join(wrapped) + "\n" + say(60)), (4, "few words"), (5, "Few  words"), (6, say(50) + "\n" + head), (7, None), (None, whole)]
+    # by hand: a long line, or shorter ones that have 20 words together; a shorter rest with its neighbour
+    want = {(1, 0): (1, 0), (2, 1): (1, 0), (1, 3): (1, 3), (3, 1): (1, 3), (4, 0): (4, 0), (5, 0): (4, 0)}
+    assert clusters(paragraphs.near_paragraphs(spark.createDataFrame(rows, "doc_id long, text string"))) == want
+    assert paragraphs.units([3, 60, 0, 8, 8, 8, 2, 25]) == [(0, 0, 63), (3, 63, 26), (7, 89, 25)]
+    assert paragraphs.units([0, 4]) == [(1, 0, 4)] and paragraphs.units([30, 0, 19]) == [(0, 0, 30), (0, 0, 49)] and paragraphs.units([0]) == []
+    assert paragraphs.units([2, 40, 3, 50, 12]) == [(0, 0, 45), (3, 45, 50), (3, 45, 62)]
 
 
 def test_short_paragraphs(spark):
     long = "one two three four five six seven eight nine ten eleven twelve"
     lines = ["Chapter", "All rights reserved.", "chapter", "all  rights reserved.", "a b c d e", "A b c d e", "x x x x x", "x x x x x x x", "a b c d f", "", " ", "alone here", long, long + " thirteen", long[4:] + " on", "six words are in this line", "Six words are in this line"]
-    rows = [(k % 3, k) for k in range(len(lines))]
-    texts = {i: "\n".join(lines[k] if k % 3 == i else "" for k in range(len(lines))) for i in range(3)}
-    sets = {r: frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for r in rows if (w := lines[r[1]].lower().split())}
-    want = roots(sets, [(a, b) for (a, x), (b, y) in combinations(sets.items(), 2) if len(x & y) >= 0.8 * len(x | y)])
-    size = Counter(want.values())
-    got = {(r.doc_id, r.para): (r.cluster_doc, r.cluster_para) for r in paragraphs.duplicate_paragraphs(spark.createDataFrame([*texts.items()], "doc_id long, text string")).collect()}
-    assert got and got == {k: v for k, v in want.items() if size[v] > 1}
+    texts = {i: "\n".join(line if k % 3 == i else "" for k, line in enumerate(lines)) for i in range(3)}
+    want = near_by_brute_force({(k % 3, k): line.lower().split() for k, line in enumerate(lines) if line.split()})
+    got = clusters(paragraphs.near_paragraphs(spark.createDataFrame([*texts.items()], "doc_id long, text string"), min_words=1))
+    assert got and got == want
+
+
+def test_passages_inside_paragraphs(spark, docs, texts):
+    where, words = {}, {i: t.encode().lower().split() for i, t in texts.items()}
+    for i, w in words.items():
+        for k in range(len(w) - 59):
+            where.setdefault(tuple(w[k : k + 60]), []).append((i, k))
+    shared = {i for x in where.values() if len({i for i, _ in x}) > 1 for i, _ in x}
+    found = paragraphs.repeated_passages(docs).collect()
+    assert shared and len(shared & {r.doc_id for r in found}) >= 0.97 * len(shared)
+    joined = {i: b" " + b" ".join(w) + b" " for i, w in words.items()}
+    for r in found:  # what is reported does repeat: its first passage stands where it says, and so does its last
+        w = words[r.doc_id][r.first : r.first + r.words]
+        assert len(w) == r.words >= 32 and words[r.cluster_doc][r.cluster_first : r.cluster_first + 32] == w[:32]
+        assert sum(x.count(b" " + b" ".join(w[-32:]) + b" ") for x in joined.values()) > 1
+    assert any(not r.removed for r in found)
 
 
 def test_minima_of_sets_that_cross_steps(monkeypatch):
@@ -271,7 +308,8 @@ def test_odd_rows_and_empty_tables(spark):
         "counts": (lambda d: piece_counts.token_counts(d, public_tokenizers.path("piece_bpe_32k.model")), 9),
         "languages": (lambda d: languages.identify(d, model), 9),
         "licenses": (lambda d: licenses.scan_licenses(d), 0),
-        "paragraphs": (lambda d: paragraphs.duplicate_paragraphs(d), 2),
+        "paragraphs": (lambda d: paragraphs.near_paragraphs(d), 2),
+        "passages": (lambda d: paragraphs.repeated_passages(d), 2),
         "templates": (lambda d: templates.find_leaks(d, bench), 0),
     }
     for name, (run, n) in runs.items():
