@@ -26,7 +26,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.match_recordings(audio.sonify(_table(spark, sf_dir, "embeddings")))
+    return audio.matches_by_query(audio.sonify(_table(spark, sf_dir, "embeddings")))
 
 
 def op3_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:

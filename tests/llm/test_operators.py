@@ -285,16 +285,50 @@ def test_quotes(spark):
     assert (got[None, 0].own_text, got[None, 0].position) == (None, None)
 
 
+def tunes(seed, count, notes=64):
+    rng, t = np.random.default_rng(seed), np.arange(256) / audio.RATE
+    return [np.concatenate([20000 * np.sin(2 * np.pi * 220 * 2 ** (p / 12) * t) * np.hanning(256) for p in rng.integers(0, 24, notes)]) for _ in range(count)]
+
+
+def pcm(x):
+    return np.clip(x, -32768, 32767).astype("<i2").tobytes()
+
+
 def test_audio(spark):
     rng = np.random.default_rng(4)
-    t = np.arange(256) / audio.RATE
-    tune = lambda n: np.concatenate([np.sin(2 * np.pi * 220 * 2 ** (p / 12) * t) * np.hanning(256) for p in rng.integers(0, 24, n)])
-    a, b = tune(80), tune(80)
-    pcm = lambda x: (x * 20000).astype("<i2").tobytes()
-    noisy = np.concatenate([np.zeros(10 * audio.HOP), a]) + 0.02 * rng.standard_normal(len(a) + 10 * audio.HOP)
-    rows = spark.createDataFrame([(100, pcm(a)), (1, pcm(noisy)), (2, pcm(b)), (3, b""), (4, None), (5, pcm(a))], "rec_id long, pcm binary")
-    got = {(r.query_id, r.match_id): r.offset for r in audio.match_recordings(rows).collect()}
-    assert got == {(100, 1): 10, (100, 5): 0}
+    a, b = tunes(4, 2, 80)
+    noisy = np.concatenate([np.zeros(10 * audio.HOP), a]) + 400 * rng.standard_normal(len(a) + 10 * audio.HOP)
+    odd = [(3, b""), (4, None), (None, pcm(a)), (5, pcm(a)), (5, pcm(a)), (200, b""), (300, pcm(tunes(5, 1)[0]))]
+    rows = spark.createDataFrame([(100, pcm(a), 1), (1, pcm(noisy), 1), (2, pcm(b), 1), *[(i, x, 1) for i, x in odd]], "rec_id long, pcm binary, codes int")
+    got = {(r.query_id, r.match_id): (r.offset, r.copies) for r in audio.match_recordings(rows).collect()}
+    assert got == {(100, 1): (10 * audio.HOP, 1), (100, 5): (0, 2)}
+    by_query = {r.query_id: (r.n_classes, r.n_recordings, r.best_id) for r in audio.matches_by_query(rows).collect()}
+    assert by_query == {100: (2, 3, 5), 200: (0, 0, None), 300: (0, 0, None)}
+    assert audio.matches_by_query(rows.where("false")).count() == 0
+
+
+def test_audio_recall(spark):
+    """Planted copies with noise that begin anywhere, against an alignment at every offset and phase."""
+    rng, rows, pairs = np.random.default_rng(7), [], []
+    for k, x in enumerate(tunes(8, 30)):
+        rows.append((100 * k, pcm(x)))
+        for j in range(1, 5):
+            late = np.concatenate([50 * rng.standard_normal(int(rng.integers(0, 1500))), x[: int(rng.integers(10000, len(x)))]])
+            rows.append((100 * k + j, pcm(late + (0.04 + 0.06 * j) * 20000 * rng.standard_normal(len(late)))))
+    codes = {i: audio.fingerprint(np.frombuffer(p, "<i2")) for i, p in rows}
+
+    def error(x, y):
+        places = [(max(0, -d), min(len(x), len(y) - d), d) for d in range(-len(x) + 30, len(y) - 30)]
+        return min(np.bitwise_count(x[lo:hi] ^ y[lo + d : hi + d]).mean() / 32 for lo, hi, d in places)
+
+    for i, p in rows:
+        if i % 100 == 0:
+            phases = [audio.fingerprint(np.frombuffer(p, "<i2")[k:]) for k in audio.PHASES]
+            pairs += [(i, i + j) for j in range(1, 5) if min(error(x, codes[i + j]) for x in phases) <= audio.MAX_BIT_ERROR]
+    got = {(r.query_id, r.match_id) for r in audio.match_recordings(spark.createDataFrame(rows, "rec_id long, pcm binary")).collect()}
+    recall = len(got & set(pairs)) / len(pairs)
+    print(f"recall {recall:.3f} of {len(pairs)}")
+    assert len(pairs) > 80 and recall >= 0.9 and not any(a // 100 != b // 100 for a, b in got)
 
 
 def test_odd_rows_and_empty_tables(spark):
