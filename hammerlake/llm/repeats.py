@@ -2,10 +2,12 @@
 
 A rolling hash picks trigger strings; the triggers cut each text into overlapping phrases, which begin and end
 with what their own bytes decide, so equal text is cut alike wherever it stands. The dictionary of distinct
-phrases is far smaller than a repetitive corpus. Where a whole phrase repeats, all strings in it do; only the
-distinct phrases that share a trigger but differ are opened, and their suffixes, as deep as a string is long, are
-brought together by trigger and compared. Corpus order is needed only to depth ``length``: what matters is which
-strings are equal, so hashes stand for ranks, and equal strings meet by shuffle and not by sorting the corpus.
+phrases is far smaller than a repetitive corpus, and the parse is each text as its phrases. Where a whole phrase repeats
+in the parse, all strings in it do. Of the rest of the dictionary, suffix arrays put the strings that begin in each phrase
+into order by their bytes, ``length`` bytes deep, which is as deep as order matters here; neighbours with a common
+prefix of that length are equal strings. Equal strings have one trigger, so that an array for each trigger is corpus
+order in parts. A phrase reaches ``length - 1`` bytes into the next ones: no string crosses into another phrase, and
+the parse needs no order beyond its phrases.
 """
 
 from __future__ import annotations
@@ -24,10 +26,10 @@ from ._util import whole_groups
 LENGTH = 200
 #: Bytes of a trigger string.
 TRIGGER = 48
-#: Distinct phrases of one trigger that a task compares; more are divided by a part that equal strings share.
+#: Distinct phrases of one trigger whose strings a task puts in order; the strings of more are dealt out one by one.
 HOT_TRIGGER = 2048
-#: String starts, counted from the trigger, that a divided phrase keeps together.
-BLOCK = 16
+#: Strings that a task orders at a time, if their triggers allow.
+ORDERED = 50_000
 #: Starts that are parsed at a time; their positions fit the low bits of a key.
 SPAN = 1 << 18
 BASE = 0x9E3779B97F4A7C15
@@ -77,10 +79,6 @@ def phrases(text: bytes, length: int = LENGTH, trigger: int = TRIGGER) -> Iterat
         yield h[place].view(np.int64), place + base, first + base, np.diff(np.append(first, len(least)))
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         columns: list[list] = [[], [], [], [], [], []]
@@ -113,22 +111,13 @@ def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of phrases that share their trigger with different ones; those of hot triggers in blocks of starts."""
-    schema = pa.schema([("g", pa.int64()), ("sub", pa.int64()), ("uid", pa.int64()), ("lo", pa.int64()), ("n", pa.int64()), ("lone", pa.bool_()), ("bytes", pa.binary())])
+    """The bytes of phrases that share their trigger with different ones."""
+    schema = pa.schema([("g", pa.int64()), ("uid", pa.int64()), ("lo", pa.int64()), ("n", pa.int64()), ("lone", pa.bool_()), ("bytes", pa.binary())])
     for batch in batches:
         out: list[tuple] = []
         for uid, value, wanted in zip(batch.column("uid").to_pylist(), batch.column("text"), batch.column("wanted").to_pylist()):
             text = value.as_buffer().to_pybytes()
-            for w in wanted:
-                g, lo, n, place = w["g"], w["lo"], w["n"], w["place"]
-                if not w["hot"]:
-                    out.append((g, 0, uid, lo, n, w["lone"], text[lo : lo + n + LENGTH - 1]))
-                    continue
-                for k in range((place - lo - n + 1) // BLOCK, (place - lo) // BLOCK + 1):
-                    last = place - BLOCK * k  # the starts of block k: last - BLOCK + 1 to last
-                    a, b = max(lo, last - BLOCK + 1), min(lo + n - 1, last)
-                    core = text[last : last - BLOCK + 1 + LENGTH]  # within each string of the block
-                    out.append((g, _signed(xxhash.xxh3_64_intdigest(core, k)), uid, a, b - a + 1, w["lone"], text[a : b + LENGTH]))
+            out += [(w["g"], uid, w["lo"], w["n"], w["lone"], text[w["lo"] : w["lo"] + w["n"] + LENGTH - 1]) for w in wanted]
             if len(out) > 20_000:
                 yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*out), schema)], schema=schema)
                 out = []
@@ -136,27 +125,55 @@ def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*out), schema)], schema=schema)
 
 
+def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each string of the phrases of hot triggers, by a hash of 128 bits."""
+    for batch in batches:
+        for uid, value, wanted in zip(batch.column("uid").to_pylist(), batch.column("text"), batch.column("wanted").to_pylist()):
+            text = value.as_buffer().to_pybytes()
+            at = np.concatenate([np.arange(w["lo"], w["lo"] + w["n"]) for w in wanted])
+            halves = np.frombuffer(b"".join([xxhash.xxh3_128_digest(text[p : p + LENGTH]) for p in at.tolist()]), "<i8").reshape(-1, 2)
+            lone = np.repeat([w["lone"] for w in wanted], [w["n"] for w in wanted])
+            yield pa.record_batch([pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), pa.array(np.full(len(at), uid)), pa.array(at), pa.array(lone)], ["h", "h2", "uid", "start", "lone"])
+
+
+def suffix_order(parts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """The order by bytes of all strings of ``length`` that begin in the parts, and which of them equals the one before.
+
+    Strings count through the parts: those of the first, then of the second, and so on.
+    """
+    flat = np.frombuffer(b"".join(parts), np.uint8)
+    sizes = np.array([len(x) for x in parts])
+    n = sizes - length + 1
+    at = np.repeat(np.cumsum(sizes) - sizes - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    strings = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(flat, length)[at]).view(f"S{length}").ravel()
+    order = np.argsort(strings, kind="stable")
+    strings = strings[order]
+    return order, np.concatenate([[False], strings[1:] == strings[:-1]])
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of starts, in phrases that occur once, of strings that another phrase of the same trigger has too."""
-    of = xxhash.xxh3_64_intdigest
-    for table, bounds in whole_groups(batches, ["g", "sub"]):
+    for table, bounds in whole_groups(batches, ["g"]):
         uid, lo, n = (table.column(c).to_numpy() for c in ("uid", "lo", "n"))
         lone, parts = table.column("lone").to_numpy(), table.column("bytes")
-        runs: list[np.ndarray] = []
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            if b - a < 2 or not lone[a:b].any():
-                continue
-            texts = [parts[i].as_py() for i in range(a, b)]
-            hashes = np.fromiter((of(t[p : p + LENGTH]) for t in texts for p in range(len(t) - LENGTH + 1)), np.uint64, int(n[a:b].sum()))
-            _, which, times = np.unique(hashes, return_inverse=True, return_counts=True)
-            row = np.repeat(np.arange(a, b), n[a:b])
-            start = lo[row] + np.arange(len(row)) - np.repeat(np.cumsum(n[a:b]) - n[a:b], n[a:b])
-            found = np.flatnonzero((times[which] > 1) & lone[row])
+        runs: list[np.ndarray] = [np.zeros((0, 3), np.int64)]
+        ends, a = np.concatenate([[0], np.cumsum(n)]), 0
+        while a < len(bounds) - 1:  # as many whole triggers as are ordered at a time
+            b = max(a + 1, int(np.searchsorted(ends[bounds], ends[bounds[a]] + ORDERED, side="right")) - 1)
+            first, last = int(bounds[a]), int(bounds[b])
+            a = b
+            order, equal = suffix_order(parts.slice(first, last - first).to_pylist())
+            twice = np.zeros(len(order), bool)
+            twice[order] = equal | np.append(equal[1:], False)
+            own = n[first:last]
+            row = np.repeat(np.arange(first, last), own)
+            start = lo[row] + np.arange(len(row)) - np.repeat(np.cumsum(own) - own, own)
+            found = np.flatnonzero(twice & lone[row])
             if len(found):
                 new = np.concatenate([[True], (np.diff(found) != 1) | (np.diff(row[found]) != 0)])
-                ends = np.append(np.flatnonzero(new)[1:], len(found)) - 1
-                runs.append(np.stack([uid[row[found[new]]], start[found[new]], start[found[ends]] + LENGTH], axis=1))
-        all_runs = np.concatenate(runs) if runs else np.zeros((0, 3), np.int64)
+                stop = np.append(np.flatnonzero(new)[1:], len(found)) - 1
+                runs.append(np.stack([uid[row[found[new]]], start[found[new]], start[found[stop]] + LENGTH], axis=1))
+        all_runs = np.concatenate(runs)
         yield pa.record_batch([pa.array(all_runs[:, k]) for k in range(3)], ["uid", "start", "stop"])
 
 
@@ -192,26 +209,30 @@ def _spans(rows: DataFrame) -> DataFrame:
     # keeps the place in both uses of the distinct phrases, so that they read one shuffle
     counted = rows.mapInArrow(_first_of_each, layout + ", occurs long").select("g", "c", "occurs", F.struct("uid", "place", "lo", "n").alias("at"))
     distinct = counted.repartition("g").groupBy("g", "c").agg(F.sum("occurs").alias("occurs"), F.min("at").alias("at")).where("at is not null")
-    repeated = distinct.where("occurs > 1").select(F.xxhash64("g", "c").alias("phrase"))
-    whole = rows.mapInArrow(_parse, layout).select(F.xxhash64("g", "c").alias("phrase"), "uid", F.col("lo").alias("start"), (F.col("lo") + F.col("n") - 1 + LENGTH).alias("stop"))
-    whole = whole.join(repeated.hint("merge"), "phrase").select("uid", "start", "stop")
+    repeated = distinct.where("occurs > 1").select("g", "c")
+    whole = rows.mapInArrow(_parse, layout).select("g", "c", "uid", F.col("lo").alias("start"), (F.col("lo") + F.col("n") - 1 + LENGTH).alias("stop"))
+    whole = whole.join(repeated.hint("merge"), ["g", "c"]).select("uid", "start", "stop")
     several = distinct.withColumn("kinds", F.count(F.lit(1)).over(Window.partitionBy("g"))).where("kinds > 1")
-    wanted = several.select(F.col("at.uid").alias("uid"), F.struct("g", "at.lo", "at.n", "at.place", (F.col("occurs") == 1).alias("lone"), (F.col("kinds") > HOT_TRIGGER).alias("hot")).alias("w"))
-    opened = rows.join(wanted.groupBy("uid").agg(F.collect_list("w").alias("wanted")).hint("merge"), "uid").mapInArrow(_open, "g long, sub long, uid long, lo long, n long, lone boolean, bytes binary")
-    parts = opened.repartition("g", "sub").sortWithinPartitions("g", "sub").mapInArrow(_compare, "uid long, start long, stop long")
-    return whole.unionByName(parts)
+    wanted = several.select(F.col("at.uid").alias("uid"), (F.col("kinds") > HOT_TRIGGER).alias("hot"), F.struct("g", "at.lo", "at.n", (F.col("occurs") == 1).alias("lone")).alias("w"))
+    wanted = wanted.groupBy("uid").agg(F.collect_list(F.when(~F.col("hot"), F.col("w"))).alias("wanted"), F.collect_list(F.when(F.col("hot"), F.col("w"))).alias("dealt"))
+    opened = rows.join(wanted.where("size(wanted) > 0").hint("merge"), "uid").mapInArrow(_open, "g long, uid long, lo long, n long, lone boolean, bytes binary")
+    parts = opened.repartition("g").sortWithinPartitions("g").mapInArrow(_compare, "uid long, start long, stop long")
+    # a hot trigger's strings are counted like words, before and behind the shuffle: no trigger has to fit into a task
+    hot = rows.join(wanted.where("size(dealt) > 0").select("uid", F.col("dealt").alias("wanted")).hint("merge"), "uid").mapInArrow(_deal, "h long, h2 long, uid long, start long, lone boolean")
+    twice = hot.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("h", "h2")
+    strings = hot.where("lone").join(twice.hint("merge"), ["h", "h2"]).select("uid", "start", (F.col("start") + LENGTH).alias("stop"))
+    return whole.unionByName(parts).unionByName(strings)
 
 
 def _with_spans(docs: DataFrame, text_col: str, *rest: Column) -> DataFrame:
     """``(uid, text, rest, spans)`` for each row of ``docs``; rest is a struct of the given columns.
 
-    Texts are dealt out by uid once: the search and the removal read the same shuffle. What else a row has follows
-    by itself, so that both sides of that shuffle stay equal.
+    Texts are numbered and dealt out by their number once: parsing, opening and removal all read that shuffle, so that a
+    number means the same row in each of them.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{text_col}`").cast("string").alias("text"), F.struct(*rest, F.lit(0).alias("_")).alias("rest"))
-    texts = rows.select("uid", "text")
-    spans = _spans(texts).groupBy("uid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    return texts.join(spans.hint("merge"), "uid", "left").join(rows.select("uid", "rest").hint("merge"), "uid")
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{text_col}`").cast("string").alias("text"), F.struct(*rest, F.lit(0).alias("_")).alias("rest")).repartition("uid")
+    spans = _spans(rows).groupBy("uid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    return rows.join(spans.hint("merge"), "uid", "left")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -223,10 +244,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     or end within a character.
 
     Null and empty texts and those shorter than ``LENGTH`` have nothing to remove. Repeated rows are occurrences
-    of each other and are each returned. doc_id may be null or repeated. An empty table gives no rows. ``docs``
-    must give the same rows in the same order when it is read again, as a table's files do.
+    of each other and are each returned. doc_id may be null or repeated. An empty table gives no rows.
     """
-    found = _with_spans(docs, text_col, F.col(f"`{id_col}`").cast("long").alias("doc_id")).select("rest.doc_id", "text", "spans")
+    found = _with_spans(docs, text_col, F.col(f"`{id_col}`").cast("long").alias("doc_id")).select(F.col("rest.doc_id").alias("doc_id"), "text", "spans")
     return found.mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,stop:long>>, kept binary")
 
 

@@ -103,18 +103,29 @@ def test_repeats(docs, texts):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.digest(repeats.remove_repeats(docs)).collect()} == want
 
 
-def test_repeats_divides_hot_triggers(spark, monkeypatch):
-    monkeypatch.setattr(repeats, "HOT_TRIGGER", 1)
+def test_repeats_deals_out_hot_triggers(spark, monkeypatch):
     rng = np.random.default_rng(2)
     core = "".join(rng.choice(list("abcdefgh"), 260))
     rows = [(k, "".join(rng.choice(list("xyz"), 30)) + core[k % 7 :] + "".join(rng.choice(list("xyz"), 30))) for k in range(20)]
-    got = {r.doc_id: r.n_removed for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     seen = Counter(t[k : k + 200] for _, t in rows for k in range(len(t) - 199))
+    want = {}
     for i, t in rows:
         mark = np.zeros(len(t), bool)
         for k in range(len(t) - 199):
             mark[k : k + 200] |= seen[t[k : k + 200]] > 1
-        assert got[i] == mark.sum()
+        want[i] = mark.sum()
+    for hot in (1, 4, 2048):
+        monkeypatch.setattr(repeats, "HOT_TRIGGER", hot)
+        assert {r.doc_id: r.n_removed for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+
+
+def test_suffix_order(monkeypatch):
+    rng = np.random.default_rng(9)
+    parts = [bytes(rng.integers(0, 3, n).astype(np.uint8)) for n in (9, 4, 30, 12)]
+    strings = [x[k : k + 4] for x in parts for k in range(len(x) - 3)]
+    order, equal = repeats.suffix_order(parts, 4)
+    assert [strings[k] for k in order] == sorted(strings)
+    assert equal.tolist() == [k > 0 and strings[order[k]] == strings[order[k - 1]] for k in range(len(strings))]
 
 
 def near_by_brute_force(paragraphs):
