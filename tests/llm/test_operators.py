@@ -282,6 +282,28 @@ def test_templates_with_windows_that_repeat(spark):
     assert (4, 4) not in got and (5, 4) in got and not got[5, 4]
 
 
+def test_templates_with_other_parameters(spark):
+    """Generated questions, each with values of its own at random, against slots that are compared word by word."""
+    rng = np.random.default_rng(11)
+    names, nouns = "Anna Ben Carl Dora Emil Frida Gerd Hanna".split(), "cows pigs hens apples stones".split()
+    frame = "{} has {} {} on the farm near the river. {} gives {} {} more {}, and then they walk {} km to the mill. How many {} does {} have in the end after school?"
+    fill = lambda a, b, n, x: frame.format(a, n[0], x, b, a, n[1], x, n[2], x, a)
+    items, rows, want = [], [], set()
+    for k in range(4):
+        (a, b, c, d), x = rng.choice(names, 4, replace=False), nouns[k]
+        items.append((k, fill(a, b, (3, 3, 9), x)))
+        other = fill(c, d, rng.integers(10, 99, 3), x)
+        wrong = other.replace(f"does {c} have", f"does {a} have").replace(f"gives {c} ", f"gives {b} ")
+        rows += [(10 * k, f"Well. {other} Yes."), (10 * k + 1, items[-1][1].upper()), (10 * k + 2, wrong), (10 * k + 3, items[-1][1].replace("farm near the river", "hill under a tree").replace("walk", "ride"))]
+        want |= {(10 * k, k), (10 * k + 1, k)}
+    items += [(100, "What is 3 + 4 and 5 + 6 and 7 + 8 and 9 + 1?"), (101, "Anna has 12 apples. Ben gives her 5 more apples. How many apples does Anna have now in total after school?"), (102, "A farmer has 3 cows, 3 pigs and 9 hens on the farm near the river and the mill.")]
+    rows += [(100, "Intro. " + items[4][1]), (101, items[5][1].replace("Anna", "Carl").replace("Ben", "Dora").replace("12", "40").replace("5", "9")), (102, "A farmer has 4 cows, 7 pigs and 2 hens on the farm near the river and the mill.")]
+    got = {(r.doc_id, r.item_id): (r.verbatim, r.consistent) for r in templates.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert want | {(k, k) for k in (100, 101, 102)} <= set(got) and all(i == d // 10 or i == d for d, i in got)
+    assert not any((10 * k + j, k) in got for k in range(4) for j in (2, 3))
+    assert got[100, 100] == (True, True) and got[101, 101] == (False, True) and got[102, 102] == (False, False)
+
+
 def test_templates_find_whole_passages(spark, docs, texts):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     want = {(i, r.item_id) for r in bench.collect() for i, t in texts.items() if r.text in t}
