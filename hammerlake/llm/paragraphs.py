@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._util import WordHashes, cut, gram_hashes, pick, slices, whole_groups
+from ._util import WordHashes, cut, gram_hashes, pick, slices, whole_groups, written
 from .components import connected_components
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
@@ -71,9 +71,11 @@ def anchors(h: np.ndarray) -> np.ndarray:
     g = gram_hashes(h, 3) if len(h) >= PASSAGE_WORDS else np.zeros(0, np.uint64)
     if not len(g):
         return np.zeros(0, np.int64)
-    edge = np.full(REACH, np.iinfo(np.uint64).max, np.uint64)
-    views = np.lib.stride_tricks.sliding_window_view(np.concatenate([edge, g, edge]), 2 * REACH + 1)
-    at = np.flatnonzero(views.argmin(axis=1) == REACH)
+    first = np.ones(len(g), bool)
+    for k in range(1, min(REACH, len(g) - 1) + 1):
+        first[k:] &= g[k:] < g[:-k]
+        first[:-k] &= g[:-k] <= g[k:]
+    at = np.flatnonzero(first)
     return at[at + PASSAGE_WORDS <= len(h)]
 
 
@@ -214,7 +216,7 @@ def near_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     paragraphs, which stay once. An empty table gives no rows.
     """
     texts = pick(docs, id_col, text_col).where("doc_id is not null")
-    places = texts.mapInArrow(lambda x: _places(x, min_words), "doc_id long, para int, first int, words int, same long")
+    places = written(texts.mapInArrow(lambda x: _places(x, min_words), "doc_id long, para int, first int, words int, same long"))
     dealt = texts.mapInArrow(lambda x: _bands(x, min_words), "key long, same long").repartition("key").distinct()
     # bands in which the same classes meet are one: a group is named by its members, and compared once
     by_key = Window.partitionBy("key")
@@ -249,7 +251,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     A word or a few that are said again and again have no such place. Odd rows are as in ``near_paragraphs``.
     """
     texts = pick(docs, id_col, text_col).where("doc_id is not null")
-    found = texts.mapInArrow(_passages, "h long, h2 long, doc_id long, para int, first int")
+    found = written(texts.mapInArrow(_passages, "h long, h2 long, doc_id long, para int, first int"))
     heads = found.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "para", "first")).alias("head")).where("n > 1").select("h", "h2", "head")
     again = found.join(heads, ["h", "h2"]).select("doc_id", "para", "first", "head", (F.struct("doc_id", "para", "first") != F.col("head")).alias("removed")).distinct()
     in_order = Window.partitionBy("doc_id", "removed").orderBy("first")
