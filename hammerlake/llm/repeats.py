@@ -81,23 +81,23 @@ def phrases(text: bytes, length: int = LENGTH, trigger: int = TRIGGER) -> Iterat
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        columns: list[list] = [[], [], [], [], [], []]
+        columns: list[list] = [[], [], [], [], []]
         rows = 0
 
         def ready() -> pa.RecordBatch:
             out = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in columns]
-            return pa.record_batch([pa.array(x, pa.int64()) for x in out], ["uid", "g", "c", "place", "lo", "n"])
+            return pa.record_batch([pa.array(x, pa.int64()) for x in out], ["uid", "g", "c", "lo", "n"])
 
         for uid, value in zip(batch.column("uid").to_pylist(), batch.column("text")):
             text = value.as_buffer().to_pybytes() if value.is_valid else b""
-            for g, place, lo, n in phrases(text):
+            for g, _, lo, n in phrases(text):
                 c = np.fromiter((xxhash.xxh3_64_intdigest(text[a:b]) for a, b in zip(lo.tolist(), (lo + n + LENGTH - 1).tolist())), np.uint64, len(lo))
-                for column, v in zip(columns, (np.full(len(g), uid), g, c.view(np.int64), place, lo, n)):
+                for column, v in zip(columns, (np.full(len(g), uid), g, c.view(np.int64), lo, n)):
                     column.append(v)
                 rows += len(g)
             if rows > 100_000:
                 yield ready()
-                columns, rows = [[], [], [], [], [], []], 0
+                columns, rows = [[], [], [], [], []], 0
         yield ready()
 
 
@@ -117,7 +117,7 @@ def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for uid, value, wanted in zip(batch.column("uid").to_pylist(), batch.column("text"), batch.column("wanted").to_pylist()):
             text = value.as_buffer().to_pybytes()
-            out += [(w["g"], uid, w["lo"], w["n"], w["lone"], text[w["lo"] : w["lo"] + w["n"] + LENGTH - 1]) for w in wanted]
+            out += [(w["g"], uid, w["lo"], w["n"], w["lone"], text[w["lo"] : w["lo"] + w["n"] + LENGTH - 1]) for w in wanted if not w["hot"]]
             if len(out) > 20_000:
                 yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*out), schema)], schema=schema)
                 out = []
@@ -129,7 +129,7 @@ def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each string of the phrases of hot triggers, by a hash of 128 bits."""
     for batch in batches:
         for uid, value, wanted in zip(batch.column("uid").to_pylist(), batch.column("text"), batch.column("wanted").to_pylist()):
-            text = value.as_buffer().to_pybytes()
+            text, wanted = value.as_buffer().to_pybytes(), [w for w in wanted if w["hot"]]
             at = np.concatenate([np.arange(w["lo"], w["lo"] + w["n"]) for w in wanted])
             halves = np.frombuffer(b"".join([xxhash.xxh3_128_digest(text[p : p + LENGTH]) for p in at.tolist()]), "<i8").reshape(-1, 2)
             lone = np.repeat([w["lone"] for w in wanted], [w["n"] for w in wanted])
@@ -204,33 +204,34 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _spans(rows: DataFrame) -> DataFrame:
     """``(uid, start, stop)`` of repeated strings, for ``rows`` of (uid, text)."""
-    layout = "uid long, g long, c long, place long, lo long, n long"
-    # a phrase's two hashes, and each distinct one with its number and one of its places; the filter, true of all,
-    # keeps the place in both uses of the distinct phrases, so that they read one shuffle
-    counted = rows.mapInArrow(_first_of_each, layout + ", occurs long").select("g", "c", "occurs", F.struct("uid", "place", "lo", "n").alias("at"))
+    layout = "uid long, g long, c long, lo long, n long"
+    # a phrase's two hashes, and each distinct one with its number and one of its places; the filters, true of all,
+    # make both uses of the distinct phrases alike, so that they read one shuffle
+    counted = rows.mapInArrow(_first_of_each, layout + ", occurs long").select("g", "c", "occurs", F.struct("uid", "lo", "n").alias("at")).where("g is not null and c is not null")
     distinct = counted.repartition("g").groupBy("g", "c").agg(F.sum("occurs").alias("occurs"), F.min("at").alias("at")).where("at is not null")
     repeated = distinct.where("occurs > 1").select("g", "c")
     whole = rows.mapInArrow(_parse, layout).select("g", "c", "uid", F.col("lo").alias("start"), (F.col("lo") + F.col("n") - 1 + LENGTH).alias("stop"))
     whole = whole.join(repeated.hint("merge"), ["g", "c"]).select("uid", "start", "stop")
     several = distinct.withColumn("kinds", F.count(F.lit(1)).over(Window.partitionBy("g"))).where("kinds > 1")
-    wanted = several.select(F.col("at.uid").alias("uid"), (F.col("kinds") > HOT_TRIGGER).alias("hot"), F.struct("g", "at.lo", "at.n", (F.col("occurs") == 1).alias("lone")).alias("w"))
-    wanted = wanted.groupBy("uid").agg(F.collect_list(F.when(~F.col("hot"), F.col("w"))).alias("wanted"), F.collect_list(F.when(F.col("hot"), F.col("w"))).alias("dealt"))
-    opened = rows.join(wanted.where("size(wanted) > 0").hint("merge"), "uid").mapInArrow(_open, "g long, uid long, lo long, n long, lone boolean, bytes binary")
+    wanted = several.select(F.col("at.uid").alias("uid"), F.struct("g", "at.lo", "at.n", (F.col("occurs") == 1).alias("lone"), (F.col("kinds") > HOT_TRIGGER).alias("hot")).alias("w"))
+    # both uses take the whole join, so that they read the same shuffles
+    texts = rows.join(wanted.groupBy("uid").agg(F.collect_list("w").alias("wanted")).hint("merge"), "uid")
+    opened = texts.where(F.exists("wanted", lambda w: ~w["hot"])).mapInArrow(_open, "g long, uid long, lo long, n long, lone boolean, bytes binary")
     parts = opened.repartition("g").sortWithinPartitions("g").mapInArrow(_compare, "uid long, start long, stop long")
     # a hot trigger's strings are counted like words, before and behind the shuffle: no trigger has to fit into a task
-    hot = rows.join(wanted.where("size(dealt) > 0").select("uid", F.col("dealt").alias("wanted")).hint("merge"), "uid").mapInArrow(_deal, "h long, h2 long, uid long, start long, lone boolean")
+    hot = texts.where(F.exists("wanted", lambda w: w["hot"])).mapInArrow(_deal, "h long, h2 long, uid long, start long, lone boolean")
     twice = hot.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("h", "h2")
     strings = hot.where("lone").join(twice.hint("merge"), ["h", "h2"]).select("uid", "start", (F.col("start") + LENGTH).alias("stop"))
     return whole.unionByName(parts).unionByName(strings)
 
 
 def _with_spans(docs: DataFrame, text_col: str, *rest: Column) -> DataFrame:
-    """``(uid, text, rest, spans)`` for each row of ``docs``; rest is a struct of the given columns.
+    """``(uid, text, rest, spans)`` for each row of ``docs``; rest is a struct of the given columns, one at least.
 
     Texts are numbered and dealt out by their number once: parsing, opening and removal all read that shuffle, so that a
     number means the same row in each of them.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{text_col}`").cast("string").alias("text"), F.struct(*rest, F.lit(0).alias("_")).alias("rest")).repartition("uid")
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{text_col}`").cast("string").alias("text"), F.struct(*rest).alias("rest")).repartition("uid")
     spans = _spans(rows).groupBy("uid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     return rows.join(spans.hint("merge"), "uid", "left")
 
@@ -255,7 +256,7 @@ def strip_repeats(docs: DataFrame) -> DataFrame:
 
     n_chars follows the text where the table has it. Null texts stay null.
     """
-    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"] or [F.lit(0).alias("_")]
     found = _with_spans(docs, "text", *others)
 
     @F.pandas_udf("string")
