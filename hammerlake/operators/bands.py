@@ -1,7 +1,8 @@
 """Robust price bands: trimmed, recent, laddered and rolling.
 
-A group's members never meet in one task: counts and medians are partial aggregates, and the two smallest values come
-from a limited window, which leaves two rows of each group and task before the shuffle.
+Counts and medians are partial aggregates, and the two smallest values come from a limited window, which leaves two
+rows of each group and task before the shuffle. Where windows overlap, no row is multiplied: each month's values are
+gathered once, as an exact median's state is, and the windows are put together from months.
 """
 
 from __future__ import annotations
@@ -41,14 +42,30 @@ def recent(rows: DataFrame, keys: Sequence[str], month: str, months: int = 12, i
     return rows.join(newest, list(keys)).where(F.col(month).isNull() | F.col("_newest").isNull() | (F.col(month) >= edge)).drop("_newest")
 
 
+def _by_month(rows: DataFrame, keys: Sequence[str], month: str, value: str) -> DataFrame:
+    """``(keys, month, values)``: one row for each month of a group."""
+    return rows.where(F.col(value).isNotNull()).groupBy(*keys, month).agg(F.collect_list(value).alias("values"))
+
+
+def _band(months: Column, min_basis: int) -> Column:
+    """``(basis, lo, mid)`` of the values of several months; null if too few are left."""
+
+    def of(v: Column) -> Column:
+        n = F.size(v)
+        trimmed = n >= TRIM_FROM
+        below, above = F.get(v, F.floor((n - 1) / 2).cast("int")), F.get(v, F.floor(n / 2).cast("int"))
+        basis = (n - F.when(trimmed, 2).otherwise(0)).cast("long")
+        return F.when(basis >= min_basis, F.struct(basis.alias("basis"), F.get(v, F.when(trimmed, 1).otherwise(0)).alias("lo"), (below + (above - below) * 0.5).alias("mid")))
+
+    return F.get(F.transform(F.array(F.array_sort(F.flatten(months))), of), 0)  # by way of an array, so that values are sorted once
+
+
 def window_ladder(rows: DataFrame, keys: Sequence[str], month: str, value: str, steps: Sequence[tuple[int, float]] = LADDER) -> DataFrame:
     """``(keys, months, confidence, basis, lo, mid)`` of the shortest window that has a band."""
-    newest = rows.groupBy(*keys).agg(F.max(month).alias("_newest"))
-    tagged = rows.join(newest, list(keys)).withColumn("months", F.explode(F.array(*[F.when(F.col(month) >= F.col("_newest") - m, F.lit(m)) for m, _ in steps]))).where("months is not null")
-    bands = trimmed_band(tagged, [*keys, "months"], value)
-    best = bands.groupBy(*keys).agg(F.min_by(F.struct("months", "basis", "lo", "mid"), "months").alias("b"))
-    confidence = F.coalesce(*[F.when(F.col("b.months") == m, F.lit(c)) for m, c in steps])
-    return best.select(*keys, "b.months", confidence.alias("confidence"), "b.basis", "b.lo", "b.mid")
+    groups = _by_month(rows.where(F.col(month).isNotNull()), keys, month, value).groupBy(*keys).agg(F.max(month).alias("_newest"), F.collect_list(F.struct(F.col(month).alias("m"), "values")).alias("_all"))
+    within = lambda m: F.transform(F.filter("_all", lambda x: x["m"] >= F.col("_newest") - m), lambda x: x["values"])
+    best = groups.select(*keys, F.coalesce(*[F.when(b.isNotNull(), F.struct(F.lit(m).alias("months"), F.lit(c).alias("confidence"), b.alias("b"))) for m, c in steps for b in (_band(within(m), MIN_BASIS),)]).alias("w")).where("w is not null")
+    return best.select(*keys, "w.months", "w.confidence", "w.b.basis", "w.b.lo", "w.b.mid")
 
 
 def clamped_ratio(rows: DataFrame, keys: Sequence[str], low: Column, value: str, least: float = 0.65, most: float = 1.0, min_side: int = 3) -> DataFrame:
@@ -60,9 +77,7 @@ def clamped_ratio(rows: DataFrame, keys: Sequence[str], low: Column, value: str,
 
 
 def rolling_band(rows: DataFrame, keys: Sequence[str], month: str, value: str, months: int = 12) -> DataFrame:
-    """``(keys, month, basis, lo, mid)`` for each month that occurs: the band of the ``months`` that end with it.
-
-    A row counts for the months ahead that it reaches; only the groups' partial sums are shuffled.
-    """
-    ahead = rows.withColumn("_to", F.explode(F.sequence(F.col(month), F.col(month) + months - 1))).drop(month).withColumnRenamed("_to", month)
-    return trimmed_band(ahead, [*keys, month], value).join(rows.select(*keys, month).distinct(), [*keys, month], "left_semi")
+    """``(keys, month, basis, lo, mid)`` for each month that occurs: the band of the ``months`` that end with it."""
+    frame = Window.partitionBy(*keys).orderBy(month).rangeBetween(1 - months, 0)
+    framed = _by_month(rows, keys, month, value).select(*keys, month, F.collect_list("values").over(frame).alias("_months"))
+    return framed.select(*keys, month, _band(F.col("_months"), MIN_BASIS).alias("b")).where("b is not null").select(*keys, month, "b.basis", "b.lo", "b.mid")

@@ -16,6 +16,23 @@ def first_tier(pairs: DataFrame, keys: Sequence[str], tiers: Sequence[Column]) -
     return tagged.join(best, list(keys)).where(F.col("tier") == F.col("_best")).drop("_best")
 
 
+def tier_of_nearness(rows: DataFrame, outer: str, inner: str, size: str, bands: Sequence[float]) -> DataFrame:
+    """``(outer, inner, size, many, tier, n)`` for each combination: how many other rows are in its first tier that has any.
+
+    The tiers are rows of the same ``outer`` and ``inner`` whose size is within each of ``bands`` (ascending, as a share
+    of the own size), and then all of the same ``outer``. Rows that are alike are counted first; inner tiers meet by
+    equality of both keys, and the last one is a count.
+    """
+    kinds = rows.groupBy(outer, inner, size).agg(F.count(F.lit(1)).alias("many"))
+    others = kinds.select(outer, inner, F.col(size).alias("_size"), F.col("many").alias("_many"))
+    gap = F.abs(F.col("_size") - F.col(size))
+    near = kinds.join(others, [outer, inner]).groupBy(outer, inner, size, "many").agg(*[(F.sum(F.when(gap <= F.col(size) * b, F.col("_many")).otherwise(0)) - 1).alias(f"_n{k}") for k, b in enumerate(bands)])
+    of_outer = kinds.groupBy(outer).agg((F.sum("many") - 1).alias(f"_n{len(bands)}"))
+    found = near.join(of_outer, outer)
+    first = F.coalesce(*[F.when(F.col(f"_n{k}") > 0, F.struct(F.lit(k + 1).alias("tier"), F.col(f"_n{k}").alias("n"))) for k in range(len(bands) + 1)])
+    return found.select(outer, inner, size, "many", first.alias("f")).where("f is not null").select(outer, inner, size, "many", "f.tier", "f.n")
+
+
 def by_size(left: DataFrame, right: DataFrame, on: Sequence[str], left_size: str, right_size: str, band: float) -> DataFrame:
     """Pairs that agree in ``on`` and whose right size is within ``band`` of the left one.
 

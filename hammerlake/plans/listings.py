@@ -48,9 +48,12 @@ def match_trades(listings: DataFrame, trades: DataFrame) -> DataFrame:
     building's that mixes several blocks is passed over."""
     t = trades.where(~F.coalesce(F.col("cancelled"), F.lit(False)) & (F.col("price") > 0)).select(F.col("kind"), F.col("lawd_cd").alias("t_lawd"), text.name_key(F.col("apt_name")).alias("t_name"), text.block_numbers(F.col("apt_name")).alias("t_blocks"), text.squeezed(F.col("dong")).alias("t_dong"), F.col("area_m2").alias("t_area"), "price", "deal_ym", "floor")
     a = listings.select(*KEY, kind_of(F.col("property_type")).alias("kind"), "lawd_cd", text.name_key(F.col("apt_name")).alias("name"), text.squeezed(F.col("dong")).alias("own_dong"), "area_m2")
-    pairs = matching.by_size(a.where("kind is not null"), t, ["kind"], "area_m2", "t_area", NEAR_AREA)
     blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
-    pairs = pairs.where(blank("lawd_cd") | blank("t_lawd") | (F.col("lawd_cd") == F.col("t_lawd")))
+    a = a.where("kind is not null")
+    meet = lambda x, y, *more: matching.by_size(x, y, ["kind", *more], "area_m2", "t_area", NEAR_AREA)
+    # a district meets itself; only what has none meets all districts
+    placed = meet(a.where(~blank("lawd_cd")), t.where(~blank("t_lawd")).withColumnRenamed("t_lawd", "lawd_cd"), "lawd_cd")
+    pairs = placed.unionByName(meet(a.where(blank("lawd_cd")), t.drop("t_lawd"))).unionByName(meet(a.where(~blank("lawd_cd")), t.where(blank("t_lawd")).drop("t_lawd")))
     named = (F.length("name") >= 2) & (F.length("t_name") >= 1) & (F.contains("t_name", "name") | F.contains("name", "t_name")) & (blank("t_dong") | (F.col("t_dong") == F.col("own_dong")))
     close = F.abs(F.col("t_area") - F.col("area_m2")) / F.col("area_m2") <= SAME_AREA
     spread = pairs.withColumn("tier", F.explode(F.array_compact(F.array(F.when(named & close, 1), F.when(named, 2), F.when(~blank("own_dong") & (F.col("t_dong") == F.col("own_dong")), 3)))))

@@ -77,19 +77,14 @@ def rolling_band(t):
 # joins ---------------------------------------------------------------------------------------------------------------
 @query("WITH p AS (SELECT a.p_partkey AS k, CASE WHEN a.p_brand = b.p_brand AND abs(b.p_size - a.p_size) <= 0.03 * a.p_size THEN 1 WHEN a.p_brand = b.p_brand AND abs(b.p_size - a.p_size) <= 0.1 * a.p_size THEN 2 ELSE 3 END AS tier FROM part a JOIN part b ON a.p_type = b.p_type AND a.p_partkey <> b.p_partkey), q AS (SELECT *, min(tier) OVER (PARTITION BY k) AS best FROM p) SELECT k AS p_partkey, best AS tier, count(*) AS n FROM q WHERE tier = best GROUP BY 1, 2")
 def tiered_match(t):
-    # parts of one type, brand and size are alike to every other part: their number stands for them
-    parts = t("part")
-    kinds = parts.groupBy("p_type", c("p_brand").alias("brand"), c("p_size").alias("size")).agg(F.count(F.lit(1)).alias("many"))
-    pairs = parts.join(kinds, "p_type").withColumn("many", c("many") - F.when((c("p_brand") == c("brand")) & (c("p_size") == c("size")), 1).otherwise(0)).where("many > 0")
-    same, gap = c("p_brand") == c("brand"), F.abs(c("size") - c("p_size"))
-    best = matching.first_tier(pairs, ["p_partkey"], [same & (gap <= c("p_size") * 0.03), same & (gap <= c("p_size") * 0.1), F.lit(True)])
-    return best.groupBy("p_partkey", "tier").agg(F.sum("many").alias("n"))
+    kind = ["p_type", "p_brand", "p_size"]
+    return t("part").select("p_partkey", *kind).join(matching.tier_of_nearness(t("part"), *kind, [0.03, 0.1]), kind).select("p_partkey", "tier", "n")
 
 
-@query("WITH a AS (SELECT DISTINCT l_orderkey, l_partkey, l_quantity FROM lineitem WHERE l_linenumber <= 4), b AS (SELECT DISTINCT l_suppkey, l_partkey, l_quantity FROM lineitem), z AS (SELECT l_orderkey, count(*) AS of FROM a GROUP BY 1), s AS (SELECT l_orderkey, l_suppkey, count(*) AS shared FROM a JOIN b USING (l_partkey, l_quantity) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY shared DESC, l_suppkey) AS i, lead(shared) OVER (PARTITION BY l_orderkey ORDER BY shared DESC, l_suppkey) AS nxt FROM s) SELECT l_orderkey, l_suppkey, shared, of FROM r JOIN z USING (l_orderkey) WHERE i = 1 AND shared >= 2 AND shared >= 0.4 * of AND shared >= 1.5 * coalesce(nxt, 0)")
+@query("WITH a AS (SELECT DISTINCT l_orderkey, l_partkey, l_quantity FROM lineitem), b AS (SELECT DISTINCT l_suppkey, l_partkey, l_quantity FROM lineitem), z AS (SELECT l_orderkey, count(*) AS of FROM a GROUP BY 1), s AS (SELECT l_orderkey, l_suppkey, count(*) AS shared FROM a JOIN b USING (l_partkey, l_quantity) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY shared DESC, l_suppkey) AS i, lead(shared) OVER (PARTITION BY l_orderkey ORDER BY shared DESC, l_suppkey) AS nxt FROM s) SELECT l_orderkey, l_suppkey, shared, of FROM r JOIN z USING (l_orderkey) WHERE i = 1 AND shared >= 2 AND shared >= 0.4 * of AND shared >= 1.5 * coalesce(nxt, 0)")
 def fingerprint_link(t):
     lines = t("lineitem")
-    return matching.fingerprint_link(lines.where("l_linenumber <= 4"), lines, "l_orderkey", "l_suppkey", ["l_partkey", "l_quantity"], least=2, coverage=0.4, margin=1.5)
+    return matching.fingerprint_link(lines, lines, "l_orderkey", "l_suppkey", ["l_partkey", "l_quantity"], least=2, coverage=0.4, margin=1.5)
 
 
 @query("SELECT a.p_partkey AS p_partkey, arg_min(b.p_partkey, abs(b.p_size - a.p_size)::BIGINT * 1000000000 + b.p_partkey) AS near_key, min(abs(b.p_size - a.p_size)) AS distance FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey GROUP BY 1")
