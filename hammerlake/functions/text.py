@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that deny a clause, and provinces with the beginnings of their addresses.
 NEGATIONS = ["없음", "없다", "해당없음", "아님", "소멸", "no ", "not ", "none"]
 PROVINCES = ["서울", "부산", "대구", "인천", "광주", "대전", "울산", "세종", "경기", "강원", "충북", "충남", "전북", "전남", "경북", "경남", "제주"]
+# Spellings of brands in the order in which they are replaced, roles beside which names stand, what isn't a name, endings
+# of companies, and particles, the longest first.
+BRANDS = [("lh", "엘에이치"), ("gs", "지에스"), ("sk", "에스케이"), ("kcc", "케이씨씨"), ("e편한세상", "이편한세상"), ("xi", "자이")]
+ROLES = "임차인|채무자|소유자|채권자|임대인|전세권자|공유자|점유자|신청인|상속인|배우자|임차권자|연고자|유치권자"
+NO_NAMES = {"공유자", "채무자", "소유자", "소유권", "임차인", "점유자", "신청인", "배우자", "상속인", "전원", "갑구", "을구", "지분", "대지권", "전부", "일부", "비율", "토지", "건물", "청구", "매각", "소유", "부분", "구분", "등기", "명의", "증여", "매매", "공유", "성명", "상속", "임대인", "임차권자", "연고자", "유치권자", "제출", "제출한", "확약서", "보정서", "동의서", "포기서", "신고서", "서면", "대리인", "주식", "있으며", "있음", "없으며", "없음", "미상", "불명", "다수", "수인", "본인", "모두", "각각", "해당", "동일", "상기", "전술", "아래", "기타", "및", "또는", "외의", "위의", "법인"}
+COMPANIES = ("은행", "카드", "캐피탈", "보험", "증권", "생명", "화재", "신탁", "저축", "대부", "공사", "공단", "금고", "신협", "농협", "수협", "축협", "조합", "재단", "협회", "공제", "센터", "관리단", "자산관리", "파이낸셜", "회사", "법인", "중앙회", "전력")
+PARTICLES = ["으로부터", "로부터", "으로", "에게", "에서", "부터", "로", "은", "는", "이", "가", "의", "에", "와", "과", "도", "만", "께", "님", "을", "를"]
+MASK, CANARY = "[성명]", r"(?:세입자|거주자|동거인|대표자|관리인)\s*[가-힣]{2,4}(?=[\s,.)]|$)"
+WEEKDAYS = ["월", "화", "수", "목", "금", "토", "일"]
 
 
 def squeezed(text: Column) -> Column:
@@ -57,11 +69,27 @@ def korean_number(text: Column) -> Column:
     return F.when(F.coalesce(eok, man, cheon, bare).isNotNull(), total)
 
 
-def masked_names(text: Column) -> Column:
-    """Names behind or before a role, masked but for their first letter; companies keep theirs."""
-    role = "임차인|채무자|소유자|채권자|임대인|전세권자"
-    kept = r"(?!주식|유한|은행|조합)"
-    return F.regexp_replace(F.regexp_replace(text, f"((?:{role})\\s*{kept}[가-힣])[가-힣]{{1,3}}(?=[\\s,.)]|$)", "$1○○"), f"\\b{kept}([가-힣])[가-힣]{{1,2}}(?=\\s*\\((?:{role}))", "$1○○")
+def _masked(text: str) -> str:
+    def one(token: str) -> str:
+        stem = next((token[: -len(j)] for j in PARTICLES if token.endswith(j) and len(token) - len(j) >= 2), token)
+        if not 2 <= len(stem) <= 4 or stem in NO_NAMES or token in NO_NAMES or stem.endswith(COMPANIES) or token.endswith(COMPANIES):
+            return token
+        return MASK + token[len(stem) :]
+
+    behind = re.sub(rf"((?:{ROLES})[은는이가]?\s*[:：]?\s*)((?:{ROLES})\s+)?([가-힣]+(?:\s*[,，·]\s*[가-힣]+)*)", lambda m: m[1] + (m[2] or "") + re.sub(r"[가-힣]+", lambda x: one(x[0]), m[3]), text)
+    return re.sub(rf"(?<![가-힣])([가-힣]{{2,6}})(?=\s*(?:\((?:{ROLES})|지분))", lambda m: one(m[1]), behind)
+
+
+@F.pandas_udf("string")
+def masked_names(texts: pd.Series) -> pd.Series:
+    """Texts with persons' names beside a role, or before a share, masked whole: in lists each of them, with the particle behind
+    kept. Companies and words of the law stay. Null stays null. (A pandas function, as each match needs a decision.)"""
+    return texts.map(_masked, na_action="ignore")
+
+
+def names_left(masked: Column) -> Column:
+    """Whether a masked text still has what looks like a name behind a word for a person that no role covers: a canary."""
+    return masked.rlike(CANARY)
 
 
 def floor_of(address: Column) -> Column:
@@ -71,10 +99,24 @@ def floor_of(address: Column) -> Column:
 
 
 def name_key(name: Column) -> Column:
-    """A building's name for comparison: no spaces, brackets or case, without the ending for apartments."""
-    return F.regexp_replace(F.regexp_replace(squeezed(name), r"\(.*?\)|[·\-]", ""), "아파트$", "")
+    """A building's name for comparison: no spaces, brackets or case, brands spelled in one way, without the ending for apartments."""
+    key = squeezed(name)
+    for latin, spelled in BRANDS:
+        key = F.replace(key, F.lit(latin), F.lit(spelled))
+    return F.regexp_replace(F.regexp_replace(key, r"\(.*?\)|[·\-]", ""), "아파트$", "")
 
 
 def block_numbers(name: Column) -> Column:
     """The numbers of blocks and phases in a name, sorted."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(F.coalesce(name, F.lit("")), F.lit(r"(\d+)\s*(?:차|단지|블럭|BL)"), F.lit(1))))
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(F.coalesce(name, F.lit("")), F.lit(r"(\d+)\s*(?:단지|차)"), F.lit(1))))
+
+
+def in_region(address: Column, region: str) -> Column:
+    """Whether an address begins with a region or names it."""
+    return F.contains(F.coalesce(address, F.lit("")), F.lit(region))
+
+
+def weekday(date: Column) -> Column:
+    """The day of the week of ``YYYY-MM-DD``; empty for anything else."""
+    valid = F.when(date.rlike(r"^\d{4}-\d{2}-\d{2}$"), date.try_cast("date"))
+    return F.coalesce(F.get(F.array(*map(F.lit, WEEKDAYS)), F.weekday(valid)), F.lit(""))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -21,17 +22,20 @@ def share(name: str, rows: DataFrame, good, least: float, min_rows: int = 50) ->
     return counted.select(F.lit(name).alias("gate"), F.when(bad, F.col("n") - F.col("g")).otherwise(0).cast("long").alias("violations"), (~bad).alias("ok"))
 
 
+def least_share(name: str, rows: DataFrame, goods: list[Column], least: float, min_rows: int = 50) -> DataFrame:
+    """``share`` for the worst of several conditions."""
+    counted = rows.agg(F.count(F.lit(1)).alias("n"), F.least(*[F.count_if(g) for g in (*goods, goods[0])]).alias("g"))
+    bad = (F.col("n") >= min_rows) & (F.col("g") < least * F.col("n"))
+    return counted.select(F.lit(name).alias("gate"), F.when(bad, F.col("n") - F.col("g")).otherwise(0).cast("long").alias("violations"), (~bad).alias("ok"))
+
+
 def run(spark: SparkSession, gates: dict[str, Callable[[], DataFrame]]) -> DataFrame:
-    """The results of all gates; one that can't be run has failed (its violations are null)."""
-    out = []
+    """The results of all gates, each run by itself as a job that brings one row; one that can't be run has failed (its
+    violations are null), and the others still tell."""
+    rows = []
     for name, gate in gates.items():
         try:
-            result = gate()
-            result.schema  # noqa: B018  analysis happens here
-        except PySparkException:
-            result = spark.range(1).select(F.lit(name).alias("gate"), F.lit(None).cast("long").alias("violations"), F.lit(False).alias("ok"))
-        out.append(result.select("gate", "violations", "ok"))
-    all_of = out[0]
-    for r in out[1:]:
-        all_of = all_of.unionByName(r)
-    return all_of
+            rows.append(tuple(gate().select("gate", "violations", "ok").first()))
+        except (PySparkException, Py4JError):
+            rows.append((name, None, False))
+    return spark.createDataFrame(rows, "gate string, violations long, ok boolean")

@@ -15,6 +15,13 @@ def latest(rows: DataFrame, keys: Sequence[str], by: Sequence[str]) -> DataFrame
     return best.select(*keys, *[F.col(f"_r.{c}") for c in rest]).select(*rows.columns)
 
 
+def first(rows: DataFrame, keys: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """One row of each key: the first by ``by``."""
+    rest = [c for c in rows.columns if c not in keys]
+    best = rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*by)).alias("_r"))
+    return best.select(*keys, *[F.col(f"_r.{c}") for c in rest]).select(*rows.columns)
+
+
 def merge_known(base: DataFrame, delta: DataFrame, keys: Sequence[str], static: Sequence[str] = (), dynamic: Sequence[str] = ()) -> DataFrame:
     """``base`` with the rows of ``delta``: static columns keep the old value if the new one is null, 0 or empty,
     dynamic ones only if it is null. Keys of one side only stay as they are."""
@@ -51,14 +58,36 @@ def diff(old: DataFrame, new: DataFrame, keys: Sequence[str], watched: Sequence[
     return a.join(b, list(keys), "full_outer").select(*keys, change.alias("change"))
 
 
+def swap_in(new: DataFrame, path: str) -> None:
+    """Writes a table beside ``path`` and then puts it there by renaming: a job that fails midway leaves the old one, and
+    ``new`` may read it. Between the two renames, ``path`` is briefly absent; the old table lies at ``path.old`` until the end."""
+    spark = new.sparkSession
+    new.write.mode("overwrite").parquet(f"{path}.new")
+    of = spark._jvm.org.apache.hadoop.fs.Path
+    here, fresh, old = of(path), of(f"{path}.new"), of(f"{path}.old")
+    fs = here.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(old, True)
+    if fs.exists(here) and not fs.rename(here, old):
+        raise OSError(f"{path} can't be renamed")
+    if not fs.rename(fresh, here):
+        fs.rename(old, here)
+        raise OSError(f"{path}.new can't be renamed")
+    fs.delete(old, True)
+
+
 def replace_snapshot(new: DataFrame, path: str) -> bool:
     """Writes a snapshot in place of the old one; an empty one never replaces anything. Tells whether it was written."""
     if new.isEmpty():
         return False
-    new.write.mode("overwrite").parquet(path)
+    swap_in(new, path)
     return True
 
 
+def replace_children(stored: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``stored`` with the children of the keys that ``new`` has replaced by those of ``new``."""
+    return stored.join(new.select(*keys).distinct(), list(keys), "left_anti").unionByName(new)
+
+
 def children(rows: DataFrame, keys: Sequence[str], items: str) -> DataFrame:
     """Children of an array column, numbered from 0 in ``seq``; written again for a key, they replace the old ones."""
     return rows.select(*keys, F.posexplode(items).alias("seq", "_i")).select(*keys, "seq", "_i.*")

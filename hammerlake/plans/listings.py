@@ -95,18 +95,25 @@ def estimate(listings: DataFrame, trades: DataFrame) -> DataFrame:
 
 
 def estimate_confirmed(listings: DataFrame, trades: DataFrame) -> DataFrame:
-    """As ``estimate``, from ``trades`` (keys, trade_ymd, price, deleted) of the very building and size.
+    """As ``estimate``, from ``trades`` (keys, trade_ymd, price, deleted, floor) of the very building and size.
 
     Prices themselves are compared, in the shortest window of 12, 24 or 60 months with enough of them; confidence
-    falls with its length, and an estimate far from the appraisal is none.
+    falls with its length, and an estimate far from the appraisal is none. A low floor costs what it does in that window, or the
+    usual part. Every listing has a row: kinds that aren't estimated, shares, and those without trades enough have no
+    estimate, and scope says why.
     """
     rows = trades.where((F.coalesce("deleted", F.lit(0)) == 0) & (F.col("price") > 0)).withColumn("m", numbers.month_of(F.col("trade_ymd"))).where("m is not null").withColumn("price", F.col("price").cast("double"))
     band = bands.window_ladder(rows, KEY, "m", "price")
-    joined = listings.select(*KEY, "address", "appraisal_price").join(band, KEY).withColumn("mult", floor_factor(text.floor_of(F.col("address"))))
+    newest = rows.groupBy(*KEY).agg(F.max("m").alias("newest"))
+    within = rows.join(band.select(*KEY, "months"), KEY).join(newest, KEY).where("m >= newest - months and floor > 0")
+    ratio = bands.clamped_ratio(within, KEY, F.col("floor") <= LOW_FLOOR, "price")
+    joined = listings.select(*KEY, "address", "appraisal_price", "property_type", "special_rights").join(band, KEY, "left").join(ratio, KEY, "left").withColumn("mult", floor_factor(text.floor_of(F.col("address")), F.col("ratio")))
     est = F.bround(F.col("mid") * F.col("mult")).cast("bigint")
     far = est / F.when(F.col("appraisal_price") > 0, F.col("appraisal_price"))
-    ok = ~F.coalesce((far > MAX_RATIO) | (far < CONFIRMED_MIN), F.lit(False))
-    return joined.select(*KEY, F.when(ok, est).alias("est"), F.when(ok, F.bround(F.col("lo") * F.col("mult")).cast("bigint")).alias("band_low"), "basis", "months", F.when(ok, F.col("confidence")).otherwise(1.0).alias("window_mult"), F.when(ok, F.lit(SAME_SAME)).otherwise(F.lit("appraisal_mismatch")).alias("scope"))
+    shared = F.arrays_overlap(F.coalesce("special_rights", F.array().cast("array<string>")), F.array(F.lit("지분"), F.lit("대지권미등기")))
+    scope = F.when(kind_of(F.col("property_type")).isNull(), "unsupported").when(shared, "share_sale").when(F.col("mid").isNull(), "no_comps").when(F.coalesce((far > MAX_RATIO) | (far < CONFIRMED_MIN), F.lit(False)), "appraisal_mismatch").otherwise(SAME_SAME)
+    ok = scope == SAME_SAME
+    return joined.select(*KEY, F.when(ok, est).alias("est"), F.when(ok, F.bround(F.col("lo") * F.col("mult")).cast("bigint")).alias("band_low"), "basis", "months", F.when(ok, F.col("confidence")).otherwise(1.0).alias("window_mult"), scope.alias("scope"))
 
 
 def comps(found: DataFrame) -> DataFrame:
@@ -168,13 +175,15 @@ def _scored(rows: DataFrame, matched: Column, sample: tuple[Column, Column, Colu
 
 def score(listings: DataFrame, estimates: DataFrame) -> DataFrame:
     """Listings with cost, estimate, profits, scores and grade. Without an estimate profits and score stay null:
-    the grade tells whether the type isn't estimated, the rights are a risk, or the market isn't known.
+    the grade tells whether the type isn't estimated, the rights are a risk, or the market isn't known. Unverified
+    rights leave no score, but for those that bar the sale anyhow.
     ``estimates`` is meant to be a written table, as each estimate serves many scorings."""
     cost = F.col("min_bid_price") + money.acquisition_tax(F.col("min_bid_price"), F.col("property_type"), F.col("area_m2"))
     rows = listings.join(estimates, KEY, "left").withColumns({"cost": cost, "rights_score": rights_score(), "matched": F.coalesce("matched", F.lit(0))})
     rows = rows.withColumns({"liquidity_score": liquidity_score(F.col("matched")), "confidence": numbers.ladder(F.col("matched"), CONFIDENCE, 0.6), "est": F.when((F.col("est") > 0) & (F.col("matched") >= 2), F.col("est"))})
     rows = rows.withColumns({"_price": F.col("est"), "_low": F.col("band_low"), "_high": F.col("band_high"), "_confidence": F.col("confidence")})
     out = _scored(rows, F.col("matched"), (F.coalesce("scope", F.lit("")), F.col("basis"), F.col("matched")))
+    out = out.withColumn("arb_score", F.when(F.coalesce("rights_verified", F.lit(False)) | F.col("_gated"), F.col("arb_score")))
     missing = F.when(F.col("_gated"), RISK).when(kind_of(F.col("property_type")).isNull(), UNSUPPORTED).otherwise(UNKNOWN)
     return out.withColumns({"gap_score": F.coalesce("gap_score", F.lit(0.0)), "grade": F.when(F.col("est").isNull(), missing).otherwise(F.col("grade"))}).drop("_gated")
 
@@ -209,35 +218,106 @@ def market_view(scored: DataFrame, prices: DataFrame) -> DataFrame:
     return rows.select(*[new.get(c, F.col(c)) for c in scored.columns], "market_source", flag.alias("kb_divergence"))
 
 
-def search(rows: DataFrame, words: str | None = None, area: tuple[float, float] | None = None, fails: int | None = None, profit: int | None = None, least_score: float | None = None, kind: str | None = None, region: str | None = None, bid: tuple[int, int] | None = None, evaluable: bool = False) -> DataFrame:
-    """The rows that all given conditions hold for; one that isn't given holds for all."""
-    burden = F.col("profit_low")
-    for given, cond in (
-        (words, lambda: text.contains_squeezed(F.concat_ws(" ", "case_no", "apt_name", "address", "dong"), words)),
-        (area, lambda: (F.col("area_m2") >= area[0]) & (F.col("area_m2") < area[1])),
-        (fails, lambda: F.col("fail_count") >= fails),
-        (profit, lambda: F.coalesce(burden, F.col("expected_profit")) >= profit),
-        (least_score, lambda: F.col("arb_score") >= least_score),
-        (kind, lambda: F.col("property_type") == kind),
-        (region, lambda: F.col("address").contains(region)),
-        (bid, lambda: F.col("min_bid_price").between(*bid)),
-        (evaluable or None, lambda: F.col("est").isNotNull()),
-    ):
-        rows = rows.where(cond()) if given is not None else rows
+#: Square metres of a pyeong, brackets of areas in pyeong, tiers of scopes, and days that count as soon.
+PYEONG, BRACKETS = 3.3058, {"~20": (None, 20), "20": (20, 30), "30": (30, 40), "40": (40, 50), "50plus": (50, None)}
+SCOPE_TIERS, OTHER_TIER = {SAME_SAME: 0, SAME_NEAR: 0, "": 1, SAME_DONG: 2}, 3
+SOON_DAYS, OPENS, OPEN_MINUTES, ENOUGH_BASIS = 7, "1000", 120, 5
+
+
+def decision_profit() -> Column:
+    """The profit that decides: at the low end, or else the expected one."""
+    return F.coalesce("profit_low", "expected_profit")
+
+
+def net_profit(burden: str | None = None) -> Column:
+    """The profit that decides less what a buyer takes over, if that column is given."""
+    return decision_profit() - (F.coalesce(burden, F.lit(0)) if burden else F.lit(0))
+
+
+def scope_tier() -> Column:
+    tier = F.coalesce(*[F.when(F.col("scope") == k, F.lit(v)) for k, v in SCOPE_TIERS.items()], F.lit(OTHER_TIER))
+    return F.when(decision_profit().isNull(), OTHER_TIER).otherwise(tier)
+
+
+def days_until(today: Column, date: str = "sale_date") -> Column:
+    """Days to a sale; null if its date can't be read."""
+    return F.date_diff(F.substring(date, 1, 10).try_cast("date"), today)
+
+
+def bidding_closed(now: Column, date: str = "sale_date", time: str = "sale_time") -> Column:
+    """Whether a sale of today is over: two hours behind its opening (``HHMM``; ten o'clock if that can't be read). Other days' aren't."""
+    t = F.when(F.col(time).rlike(r"^(?:[01]\d|2[0-3])[0-5]\d$"), F.col(time)).otherwise(OPENS)
+    minutes = F.substring(t, 1, 2).cast("int") * 60 + F.substring(t, 3, 2).cast("int") + OPEN_MINUTES
+    passed = F.unix_seconds(now) - F.unix_seconds(F.date_trunc("day", now)) > minutes * 60
+    return F.coalesce((days_until(now.cast("date"), date) == 0) & passed, F.lit(False))
+
+
+def split_upcoming(rows: DataFrame, now: Column) -> DataFrame:
+    """``rows`` that have a date, with ``upcoming``: later days, and today until bidding has closed."""
+    days = days_until(now.cast("date"))
+    return rows.where(days.isNotNull() & F.col("sale_date").rlike(r"^\d{4}-\d{2}-\d{2}$")).withColumn("upcoming", (days > 0) | ((days == 0) & ~bidding_closed(now)))
+
+
+def positive(rows: DataFrame, burden: str | None = None, uncertain: str | None = None) -> DataFrame:
+    """Rows with a profit left after burdens; where those aren't known, none is."""
+    rows = rows.where(~F.coalesce(F.col(uncertain), F.lit(False))) if uncertain else rows
+    return rows.where(net_profit(burden) > 0)
+
+
+def recommended(rows: DataFrame, legacy: bool = True) -> DataFrame:
+    """Rows that may be recommended: a profit at the low end, no risk, prices of the same building and size from enough trades.
+
+    With ``legacy`` rows from before scopes and bases were kept pass, without it what isn't known doesn't.
+    """
+    gain = (decision_profit() > 0) & ~F.coalesce(F.col("grade") == RISK, F.lit(False))
+    scope, enough = F.coalesce("scope", F.lit("")), F.col("basis") >= ENOUGH_BASIS
+    old = scope.isin("", SAME_SAME) & (F.col("basis").isNull() | enough)
+    new = F.col("profit_low").isNotNull() & (scope == SAME_SAME) & enough
+    return rows.where(gain & (old if legacy else new))
+
+
+def search(rows: DataFrame, words: str | None = None, area: tuple[float | None, float | None] | str | None = None, fails: int | None = None, profit: int | None = None, least_score: float | None = None, kind: str | None = None, region: str | None = None, bid: tuple[int | None, int | None] = (None, None), evaluable: bool = False, burden: str | None = None) -> DataFrame:
+    """The rows that all given conditions hold for; one that isn't given holds for all.
+
+    ``area`` is a range in square metres or the name of a bracket, ``burden`` the column that profits are lessened by. What isn't known
+    holds for no condition.
+    """
+    low, high = tuple(x and x * PYEONG for x in BRACKETS.get(area, (None, None))) if isinstance(area, str) else area or (None, None)
+    conditions = [
+        words and text.contains_squeezed(F.concat_ws(" ", "apt_name", "address"), words),
+        evaluable and F.col("est").isNotNull(),
+        low is not None and F.col("area_m2") >= low,
+        high is not None and F.col("area_m2") < high,
+        fails is not None and F.coalesce("fail_count", F.lit(0)) >= fails,
+        profit is not None and net_profit(burden) >= profit,
+        least_score is not None and F.col("arb_score") >= least_score,
+        kind and F.col("property_type") == kind,
+        region and text.in_region(F.col("address"), region),
+        bid[1] is not None and (F.col("min_bid_price") > 0) & (F.col("min_bid_price") <= bid[1]),
+        bid[0] is not None and (F.col("min_bid_price") > 0) & (F.col("min_bid_price") >= bid[0]),
+    ]
+    for c in conditions:
+        rows = rows.where(c) if isinstance(c, Column) else rows
     return rows
 
 
+_verified = lambda: F.coalesce("rights_verified", F.lit(False))
 ORDERS = {
-    "default": lambda: [F.when(F.coalesce("profit_low", "expected_profit").isNull(), 3).when(F.col("scope") == SAME_SAME, 0).when(F.col("scope") == SAME_NEAR, 1).otherwise(2), F.coalesce("rights_verified", F.lit(False)).cast("int").desc(), F.coalesce("profit_low", "expected_profit").desc_nulls_last()],
-    "score": lambda: [F.col("arb_score").desc_nulls_last()],
-    "profit": lambda: [F.coalesce("profit_low", "expected_profit").desc_nulls_last()],
-    "price": lambda: [F.col("min_bid_price").asc_nulls_last()],
-    "date": lambda: [F.col("sale_date").asc_nulls_last()],
-    "area": lambda: [F.col("area_m2").desc_nulls_last()],
-    "fails": lambda: [F.col("fail_count").desc_nulls_last()],
+    "profit": lambda b, u: [scope_tier(), F.when((F.coalesce(F.col(u), F.lit(False)) if u else F.lit(False)) | ~_verified(), 1).otherwise(0), F.coalesce(net_profit(b), F.lit(0)).desc()],
+    "gap": lambda b, u: [F.col("gap_rate").desc_nulls_last()],
+    "score": lambda b, u: [F.when(F.col("arb_score").isNull() | ~_verified(), 1).otherwise(0), F.col("arb_score").desc_nulls_last()],
+    "score_asc": lambda b, u: [F.col("arb_score").asc_nulls_last()],
+    "profit_asc": lambda b, u: [net_profit(b).asc_nulls_last()],
+    "recent": lambda b, u: [F.nullif(F.col("sale_date"), F.lit("")).desc_nulls_last()],
+    "old": lambda b, u: [F.nullif(F.col("sale_date"), F.lit("")).asc_nulls_last()],
 }
 
 
-def ordered(rows: DataFrame, by: str = "default") -> DataFrame:
-    """One of the orders, with the key as the last word; an unknown name is the default."""
-    return rows.orderBy(*ORDERS.get(by, ORDERS["default"])(), *KEY)
+def order_by(by: str = "profit", burden: str | None = None, uncertain: str | None = None) -> list[Column]:
+    """One of the orders, with the key as the last word; an unknown name is the first. The first puts prices of the same
+    building before others, sure burdens before unsure ones, and then the larger net profit."""
+    return [*ORDERS.get(by, ORDERS["profit"])(burden, uncertain), *map(F.col, KEY)]
+
+
+def ordered(rows: DataFrame, by: str = "profit", burden: str | None = None, uncertain: str | None = None) -> DataFrame:
+    return rows.orderBy(*order_by(by, burden, uncertain))

@@ -271,9 +271,9 @@ def multi_sort(t):
     return ranking.page(t("orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), [tier, F.desc("o_totalprice"), c("o_orderkey")], 2)
 
 
-@query("SELECT event_id, user_id FROM (SELECT event_id, user_id, ts, lag(ts, 3) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS back FROM events) WHERE ts - back < INTERVAL 1 HOUR")
+@query("SELECT event_id, user_id FROM (SELECT event_id, user_id, ts, lag(ts, 3) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS back FROM events) WHERE ts - back < INTERVAL 1 DAY")
 def rate_limit(t):
-    return ranking.over_rate(t("events"), "user_id", "ts", "event_id", 3600, 3).select("event_id", "user_id")
+    return ranking.over_rate(t("events"), "user_id", "ts", "event_id", 86400, 3).select("event_id", "user_id")
 
 
 @query("SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
@@ -350,3 +350,6 @@ def name_search(t):
 @query("SELECT conv_id, turn, role, k::INTEGER AS k, s AS sentence FROM (SELECT conv_id, turn, role, unnest(string_split(text, '. ')) AS s, generate_subscripts(string_split(text, '. '), 1) - 1 AS k FROM conversations)")
 def raw_parse(t):
     return t("conversations").select("conv_id", "turn", "role", F.posexplode(F.split("text", r"\. ", -1)).alias("k", "sentence"))
+
+
+from hammerlake.plans import cases  # noqa: E402, F401  registers its queries

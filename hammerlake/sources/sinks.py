@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hammerlake.operators import merging
+
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    """CSV with a header and Windows line ends, as spreadsheets take it; in as many files as ``rows`` has partitions."""
-    rows.write.mode("overwrite").option("header", True).option("lineSep", "\r\n").option("quoteAll", True).csv(path)
+    """CSV with a header, Windows line ends and a byte-order mark, as spreadsheets take it; in as many files as ``rows`` has partitions."""
+    marked = rows.withColumnRenamed(rows.columns[0], "\ufeff" + rows.columns[0])
+    marked.write.mode("overwrite").option("header", True).option("lineSep", "\r\n").option("quoteAll", True).csv(path)
 
 
 def features(rows: DataFrame, lon: str = "lon", lat: str = "lat") -> DataFrame:
@@ -24,7 +27,9 @@ def write_partitions(rows: DataFrame, path: str, keys: list[str]) -> None:
 
 
 def archive(rows: DataFrame, path: str, uid: str, fetched: str) -> None:
-    """The newest raw record of each uid."""
-    from hammerlake.operators.merging import latest
-
-    latest(rows, [uid], [fetched]).write.mode("overwrite").parquet(path)
+    """Adds raw records to an archive, which keeps the newest of each uid; uids that aren't in ``rows`` stay."""
+    spark = rows.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        rows = spark.read.parquet(path).unionByName(rows, allowMissingColumns=True)
+    merging.swap_in(merging.latest(rows, [uid], [fetched]), path)
