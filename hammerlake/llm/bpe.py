@@ -12,7 +12,6 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ._util import pick, slices
 from .merging import PairIndex, Words
@@ -158,17 +157,3 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     tokenizer = WordTokenizer(path)
     layout = "doc_id long, ids array<int>, decoded string" if texts_too else "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return pick(docs, id_col, text_col).mapInArrow(lambda batches: _code(batches, tokenizer, texts_too), layout)
-
-
-def decode_ids(rows: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
-    """``rows`` with ``decoded``: the text of an array of ids, null if the array is null; unknown ids fail."""
-    tokens = WordTokenizer(path).tokens
-    vocabulary = F.array(*[F.lit(t) for t in tokens]) if len(tokens) < 100 else None
-    if vocabulary is not None:
-        return rows.withColumn("decoded", F.array_join(F.transform(ids_col, lambda i: vocabulary[i]), " "))
-
-    @F.pandas_udf("string")
-    def text(ids):
-        return ids.map(lambda x: None if x is None else " ".join([tokens[i] for i in x]))
-
-    return rows.withColumn("decoded", text(F.col(ids_col)))

@@ -161,7 +161,11 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def keep_known(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` without the texts whose language is unknown; a null lang becomes the prediction."""
+    """``docs`` without the texts whose language is unknown; a null lang becomes the prediction.
+
+    ``docs`` has text and lang, and any other columns, which stay as they are. Null and empty texts and those without
+    letters go, as all do where nothing could be learned; repeated rows and null ids stay. An empty table gives no rows.
+    """
     names = docs.columns
     layout = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 

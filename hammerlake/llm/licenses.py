@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ._util import WordHashes, gram_hashes, pick, slices
+from .license_texts import TEMPLATES
 
 #: Words in a fingerprint, and fingerprints of which one is kept; a shared run of GRAM + WINDOW - 1 words is found.
 GRAM, WINDOW = 3, 3
@@ -18,23 +19,6 @@ GRAM, WINDOW = 3, 3
 BAND, MIN_COVERAGE = 8, 0.8
 WORD = re.compile(rb"[a-z0-9]+")
 
-# The wording of well-known licenses and notices.
-TEMPLATES = {
-    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-    "MIT-notice": "Released under the MIT License.",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
-    "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
-    "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
-    "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
-    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
-    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
-    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
-    "CC-BY-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
-}
-
-
 def words_of(text: bytes) -> list[bytes]:
     """Words of ASCII letters and digits, A-Z lower-cased."""
     return WORD.findall(text.lower())
@@ -113,13 +97,13 @@ class Scanner:
             last = None
             for d in sorted(diagonals):
                 if last is not None and d - last <= BAND // 2:
-                    continue  # the same place: its band holds this diagonal too
+                    continue  # the same place: the band, wider by that much, holds this diagonal and its drift too
                 last = d
-                n, a, b = align(self.words[k], words, d)
+                n, a, b = align(self.words[k], words, d, BAND + BAND // 2)
                 if n >= MIN_COVERAGE * len(self.words[k]):
                     found.append((n, k, n / len(self.words[k]), spans[a][0], spans[b - 1][1]))
         out: list[tuple[str, float, int, int]] = []
-        for _, k, share, a, b in sorted(found, key=lambda x: (-x[0], x[3], x[1])):
+        for _, k, share, a, b in sorted(found, key=lambda x: (-x[0], -x[2], x[3], x[1])):
             if all(b <= x[2] or a >= x[3] for x in out):
                 out.append((k, share, a, b))
         return [(k, share, len(text[:a].decode()), len(text[:b].decode())) for k, share, a, b in sorted(out, key=lambda x: x[2])]
@@ -130,7 +114,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_c
 
     coverage is the share of the template's words that an alignment within ``BAND`` words of a diagonal matches in
     order, ``MIN_COVERAGE`` at least; start and end are in characters. Of places that overlap, the one with most
-    matched words is reported (then the first, then by name). The index holds the templates alone and is as large
+    matched words is reported (then the better covered template, the first, and by name): a license with one clause more
+    is told from the one without it. The index holds the templates alone and is as large
     as they are; documents meet it in their own task.
 
     Null and empty texts have no rows; repeated rows are each scanned; a null doc_id stays null. No templates or

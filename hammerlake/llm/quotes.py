@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ._util import cut
 
-#: Shorter quoted passages are too common to tell where they come from.
+#: Shorter quoted passages come from everywhere: they are linked within their conversation only.
 MIN_WORDS = 4
 _PREFIX = r"^(?:[ \t]*>)*[ \t]?"
 
@@ -43,9 +43,10 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     """``(conv_id, turn, role, own_text, reply_to, quoted_conv, n_quotes, n_linked, thread, position)`` for each message.
 
     ``messages`` has conv_id and turn (long), role and text. Lines that begin with ``>`` are quoted, nested as
-    many levels as there are marks; neighbouring lines of one level are a passage. Passages of ``MIN_WORDS`` words
-    or more are normalised, hashed, and joined to messages whose whole own text or one of whose own lines or
-    paragraphs is the same: the latest earlier message of the conversation, else the first of all conversations.
+    many levels as there are marks; neighbouring lines of one level are a passage. Passages that have words are
+    normalised, hashed, and joined to messages whose whole own text or one of whose own lines or paragraphs is the
+    same: the latest earlier message of the conversation, else, for passages of ``MIN_WORDS`` words or more, the first
+    of all conversations.
     A message replies to the turn of its shallowest linked passage in its conversation, or else to the turn
     before it. own_text is the text without quotes; thread the first turn that replies lead back to; position
     counts a conversation's messages thread by thread, each before its replies (equal turns in order of text).
@@ -68,17 +69,17 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     by_row = Window.partitionBy("conv_id", "turn", "row").orderBy("k")
     opened = numbered.select("conv_id", "turn", "row", "k", "line.level", "line.text", (F.lag("line.level", 1, -1).over(by_row) != F.col("line.level")).cast("int").alias("opens"))
     passages = opened.withColumn("passage", F.sum("opens").over(by_row)).where("level > 0").groupBy("conv_id", "turn", "row", "passage").agg(F.first("level").alias("level"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]), " ").alias("text"))
-    passages = passages.select("conv_id", "turn", "passage", "level", _normal(F.col("text")).alias("text")).where(_words(F.col("text")) >= MIN_WORDS).select("conv_id", "turn", "passage", "level", F.xxhash64("text").alias("hash")).distinct()
+    passages = passages.select("conv_id", "turn", "passage", "level", _normal(F.col("text")).alias("text")).where("text <> ''").select("conv_id", "turn", "passage", "level", F.xxhash64("text").alias("hash")).distinct()
 
     # originals: whole own texts, and their lines and paragraphs
     parts = F.concat(F.array("own_text"), F.split("own_text", "\n"), F.split("own_text", r"\n\s*\n"))
-    originals = known.select("conv_id", "turn", F.explode(parts).alias("text")).select("conv_id", "turn", _normal(F.col("text")).alias("text")).where(_words(F.col("text")) >= MIN_WORDS).select("conv_id", "turn", F.xxhash64("text").alias("hash")).distinct()
+    originals = known.select("conv_id", "turn", F.explode(parts).alias("text")).select("conv_id", "turn", _normal(F.col("text")).alias("text")).where("text <> ''").select("conv_id", "turn", F.xxhash64("text").alias("hash"), (_words(F.col("text")) >= MIN_WORDS).alias("long")).distinct()
 
     # within a conversation: the last original before each passage, by one sort instead of a join of all with all
     both = originals.select("conv_id", "hash", "turn", F.col("turn").alias("original"), F.lit(None).cast("long").alias("passage"), F.lit(None).cast("int").alias("level")).unionByName(passages.select("conv_id", "hash", "turn", F.lit(None).cast("long").alias("original"), "passage", "level"))
     before = Window.partitionBy("conv_id", "hash").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
     near = both.withColumn("from_turn", F.last("original", ignorenulls=True).over(before)).where("passage is not null").drop("original")
-    first = originals.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
+    first = originals.where("long").groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
     linked = near.join(first, "hash", "left").select("conv_id", "turn", "passage", "level", "from_turn", F.when(F.col("from_turn").isNotNull(), F.col("conv_id")).otherwise(F.when(F.col("first.conv_id") != F.col("conv_id"), F.col("first.conv_id"))).alias("from_conv"))
     of_turn = linked.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n_quotes"), F.count("from_conv").alias("n_linked"), F.min(F.when(F.col("from_turn").isNotNull(), F.struct("level", (-F.col("from_turn")).alias("t")))).alias("reply"), F.min(F.when(F.col("from_conv") != F.col("conv_id"), F.col("from_conv"))).alias("quoted_conv"))
 

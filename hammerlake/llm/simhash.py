@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._util import cut, pick, whole_groups
@@ -168,13 +168,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group: of those with its smallest doc_id, the one whose text has the smallest hash.
 
     A row is known by its doc_id and text: rows of one doc_id with other texts are documents of their own, rows that
-    agree in both are one. Documents whose doc_id is null are members like others, and stay if their group has no id.
+    agree in both are one, with the other columns of any of them. An empty table gives no rows. Documents whose doc_id is null are members like others, and stay if their group has no id.
     """
     row = F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row")
     prints = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row, F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, row long, fp long")
     classes = cut(prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")).select("fp", F.col("fp").alias("rep"), "first"))
     found = connected_components(links(classes)).select(F.col("node").alias("rep"), "component")
     groups = classes.join(found, "rep", "left").groupBy(F.coalesce("component", "rep").alias("group")).agg(F.min("first").alias("first"))
-    kept = groups.select(F.col("first.row").alias("_row"))
-    first = docs.withColumn("_row", row).withColumn("_nth", F.row_number().over(Window.partitionBy("_row").orderBy("_row")))
-    return first.where("_nth = 1").drop("_nth").join(kept, "_row", "left_semi").drop("_row")
+    kept = groups.select(F.col("first.row").alias("row"))
+    whole = docs.select(row, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("all"))
+    one = whole.join(kept, "row", "left_semi").groupBy("row").agg(F.any_value("all").alias("all"))
+    return one.select(*[F.col(f"all.`{c}`").alias(c) for c in docs.columns])

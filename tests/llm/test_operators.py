@@ -240,6 +240,26 @@ def test_licenses(spark):
     assert [g[:2] for g in got] == [("MIT", 11), ("MIT-notice", text.index("Released"))] and 0.95 < got[0][2] < 1
 
 
+def test_license_recall(spark):
+    """Every template with some words changed, left out and put in, among other words, is found and no other where it stands."""
+    rng, rows = np.random.default_rng(12), []
+    say = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(n))
+    names = [k for k, t in licenses.TEMPLATES.items() if len(t.split()) >= 15]
+    for k, name in enumerate(names):
+        w = licenses.TEMPLATES[name].split()
+        for _ in range(max(1, len(w) // 25)):
+            at = int(rng.integers(0, len(w)))
+            w[at : at + 1] = [[], [say(1)], [w[at], say(1)]][int(rng.integers(0, 3))]
+        rows.append((k, f"{say(30)} {' '.join(w)} {say(30)}"))
+    found = [(r.doc_id, r.license) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    right = {(k, name) for k, name in enumerate(names)} & set(found)
+    print(f"license recall {len(right) / len(names):.3f}, rows {len(found)}")
+    assert len(right) >= 0.9 * len(names) and len(found) <= 1.2 * len(names)
+    whole = [(k, t) for k, t in enumerate(licenses.TEMPLATES.values())]
+    exact = licenses.scan_licenses(spark.createDataFrame(whole, "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.license, r.coverage) for r in sorted(exact, key=lambda r: r.doc_id)] == [(k, n, 1.0) for k, n in enumerate(licenses.TEMPLATES)]
+
+
 def test_templates(spark):
     item = "A train leaves Berlin at 9 and drives 120 km in 3 hours before the driver Anna stops to rest for 20 minutes."
     other = item.replace("Berlin", "Madrid").replace("120", "340").replace("Anna", "Luis").replace("9", "7")
@@ -318,6 +338,67 @@ def test_quotes(spark):
     assert (got[None, 0].own_text, got[None, 0].position) == (None, None)
 
 
+def brute_links(rows):
+    """(conv, turn) to (n_quotes, n_linked, reply_to): each passage is looked for in all earlier messages, one by one."""
+    import re
+
+    normal = lambda t: re.sub(r"[\W_]+", " ", t.lower()).strip()
+    parsed, own = {}, {}
+    for conv, turn, text in rows:
+        passages, mine, before = [], [], 0
+        for line in text.split("\n"):
+            marks = re.match(r"^(?:[ \t]*>)*[ \t]?", line)[0]
+            level, rest = marks.count(">"), line[len(marks) :]
+            if level and level == before:
+                passages[-1][1].append(rest)
+            elif level:
+                passages.append((level, [rest]))
+            else:
+                mine.append(rest)
+            before = level
+        parsed[conv, turn] = [(level, normal(" ".join(t))) for level, t in passages]
+        text = "\n".join(mine).strip()
+        own[conv, turn] = {normal(x) for x in [text, *text.split("\n"), *re.split(r"\n\s*\n", text)]}
+    out, turns = {}, sorted(parsed)
+    for conv, turn in turns:
+        found = []
+        linked = 0
+        for level, p in parsed[conv, turn]:
+            here = [t for c, t in turns if c == conv and t < turn and p in own[c, t]]
+            there = len(p.split()) >= 4 and min(((c, t) for c, t in turns if p in own[c, t]), default=(conv, 0))[0] != conv
+            found += [(level, -here[-1])] if here else []
+            linked += bool(here or there)
+        last = [t for c, t in turns if c == conv and t < turn]
+        out[conv, turn] = (sum(p != "" for _, p in parsed[conv, turn]), linked, -min(found)[1] if found else (last[-1] if last else None))
+    return out
+
+
+def test_quotes_by_brute_force(spark):
+    rng, rows = np.random.default_rng(13), []
+    said = ["Yes.", "Sounds good", "We meet at the mill at noon", "The report has two parts\n\nand one of them is long", "No", "Nobody has seen the old bridge since May", "Thanks, fine"]
+    for conv in range(6):
+        texts = []
+        for turn in range(12):
+            text = str(rng.choice(said))
+            for _ in range(int(rng.integers(0, 3))):
+                source = str(rng.choice(said if rng.random() < 0.3 or not texts else texts)).split("\n")
+                text = "\n".join([*(f"{'> ' * int(rng.integers(1, 3))}{x}" for x in source[:1]), text])
+            texts.append("\n".join(x for x in text.split("\n") if not x.startswith(">")))
+            rows.append((conv, turn, text))
+    got = {(r.conv_id, r.turn): (r.n_quotes, r.n_linked, r.reply_to) for r in quotes.link_quotes(spark.createDataFrame([(c, t, "u", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")).collect()}
+    assert got == brute_links(rows)
+
+
+def test_odd_messages(spark):
+    layout = "conv_id long, turn long, role string, text string, hash long, lines int"
+    rows = [(1, 0, "u", "The first message has words.", 1, 1), (1, 0, "u", "The first message has words.", 1, 1), (1, 1, None, None, 1, 1), (1, 1, "a", "> The first message has words.\nok", 1, 1), (None, 3, "u", "> a", 1, 1), (2, None, "u", "", 1, 1), (3, 5, "u", "> " * 50 + "x " * 20000, 1, 1)]
+    given = spark.createDataFrame(rows, layout)
+    found = quotes.link_quotes(given).collect()
+    assert len(found) == len(rows) and {r.reply_to for r in found if (r.conv_id, r.turn) == (1, 1)} == {0}
+    assert sum(r.position is None for r in found) == 2 and quotes.link_quotes(given.where("false")).count() == 0
+    assert quotes.as_mail(given).count() == len(rows)
+
+
 def tunes(seed, count, notes=64):
     rng, t = np.random.default_rng(seed), np.arange(256) / audio.RATE
     return [np.concatenate([20000 * np.sin(2 * np.pi * 220 * 2 ** (p / 12) * t) * np.hanning(256) for p in rng.integers(0, 24, notes)]) for _ in range(count)]
@@ -385,6 +466,16 @@ def test_odd_rows_and_empty_tables(spark):
     assert repeats.strip_repeats(rows).columns == rows.columns
 
 
+def test_odd_rows_in_pipeline_stages(spark):
+    rows = odd(spark).withColumnsRenamed({"key": "row", "uid": "all", "g": "_nth"}).withColumn("lang", F.when(F.col("doc_id") == 6, "en"))
+    bench = spark.createDataFrame([(1, "a b c d"), (None, "x"), (2, None)], "item_id long, text string")
+    model = languages.fit(spark.read.parquet(f"{SF}/documents.parquet"))
+    stages = {"known": (lambda d: languages.keep_known(d, model), 6), "one": (simhash.keep_one, 5), "strip": (repeats.strip_repeats, 9), "leaks": (lambda d: templates.drop_leaked(d, bench), 9)}
+    for name, (stage, n) in stages.items():
+        assert stage(rows).columns == rows.columns, name
+        assert stage(rows).count() == n and stage(rows.where("false")).count() == 0, (name, stage(rows).count())
+
+
 def test_pipeline(spark, docs):
     done = docs
     for _, stage in corpus_pipeline.STAGES[:-1]:
