@@ -62,8 +62,8 @@ def units(sizes: list[int], min_words: int = MIN_WORDS) -> list[tuple[int, int,
 
 
 def shingles(h: np.ndarray) -> np.ndarray:
-    """Distinct hashes (31 bits) of a paragraph's runs of five words, from its words' hashes; of all words if there are fewer."""
-    return np.unique(gram_hashes(h, SHINGLE_WORDS) % np.uint64(_PRIME)).astype(np.int64)
+    """Hashes (31 bits) of a paragraph's runs of five words, from its words' hashes; of all words if there are fewer. Some may be equal."""
+    return (gram_hashes(h, SHINGLE_WORDS) % np.uint64(_PRIME)).astype(np.int64)
 
 
 def anchors(h: np.ndarray) -> np.ndarray:
@@ -99,14 +99,34 @@ def _classes(batch: pa.RecordBatch, known: WordHashes, min_words: int) -> Iterat
             yield row, line, first, xxhash.xxh3_64_intdigest(own) >> 1, own
 
 
+_LAYOUT = "h long, h2 long, doc_id long, para int, first int, words int"
+
+
 def _places(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
-    known = WordHashes()
+    """Where paragraphs stand, with their class as h and no h2, and where passages do, with both halves of their hash."""
+    known, of = WordHashes(), xxhash.xxh3_128_digest
     for batch in batches:
         for part in slices(batch, "text"):
-            rows = [(row, line, first, len(own), same) for row, line, first, same, own in _classes(part, known, min_words)]
-            at, *rest = (list(c) for c in zip(*rows)) if rows else [[]] * 5
-            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64())
-            yield pa.record_batch([part.column("doc_id").take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(rest, kinds))], ["doc_id", "para", "first", "words", "same"])
+            row, same, para, first, words = [], [], [], [], []
+            p_row, digests, p_para, p_first = [], [], [], []
+            for r, sizes, h in _hashed(part, known):
+                for line, at, n in units(sizes, min_words):
+                    row.append(r)
+                    same.append(xxhash.xxh3_64_intdigest(h[at : at + n]) >> 1)
+                    para.append(line)
+                    first.append(at)
+                    words.append(n)
+                if len(a := anchors(h)):
+                    raw = h.view(np.uint8)
+                    digests += [of(raw[8 * k : 8 * (k + PASSAGE_WORDS)]) for k in a.tolist()]
+                    p_row.append(np.full(len(a), r))
+                    p_para.append(np.searchsorted(np.cumsum(sizes), a, side="right"))
+                    p_first.append(a)
+            halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+            row, para, first, words = (np.concatenate([np.array(x, np.int64), *y]).astype(np.int64) for x, y in ((row, p_row), (para, p_para), (first, p_first), (words, [np.full(len(halves), PASSAGE_WORDS)])))
+            none = np.arange(len(row)) < len(same)
+            h1, h2 = np.concatenate([np.array(same, np.int64), halves[:, 0]]), np.concatenate([np.zeros(len(same), np.int64), halves[:, 1]])
+            yield pa.record_batch([pa.array(h1), pa.array(h2, mask=none), part.column("doc_id").take(pa.array(row)), *(pa.array(x.astype(np.int32)) for x in (para, first, words))], ["h", "h2", "doc_id", "para", "first", "words"])
 
 
 def _minima(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -151,28 +171,12 @@ def _shingled(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.
             sets: dict[int, np.ndarray] = {}
             for *_, same, own in _classes(part, known, min_words):
                 if len(own) >= SHINGLE_WORDS and same not in sets:
-                    s = shingles(own).astype(np.int32)
-                    sets[same] = s if len(s) > 1 else np.append(s, np.int32(int(gram_hashes(own[:SHINGLE_WORDS], SHINGLE_WORDS)[0]) >> 33))
-            yield pa.record_batch([pa.array([*sets], pa.int64()), pa.array([*sets.values()], pa.list_(pa.int32()))], ["same", "shingles"])
-
-
-def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(hash in two halves, document, line, first word) of the passages of each text."""
-    known, of = WordHashes(), xxhash.xxh3_128_digest
-    for batch in batches:
-        for part in slices(batch, "text"):
-            rows, line, at, digests = [], [], [], []
-            for row, sizes, h in _hashed(part, known):
-                a = anchors(h)
-                if len(a):
-                    raw = np.ascontiguousarray(h).view(np.uint8)
-                    digests += [of(raw[8 * k : 8 * (k + PASSAGE_WORDS)]) for k in a.tolist()]
-                    rows.append(np.full(len(a), row))
-                    line.append(np.searchsorted(np.cumsum(sizes), a, side="right"))
-                    at.append(a)
-            halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-            rows, line, at = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (rows, line, at))
-            yield pa.record_batch([pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), part.column("doc_id").take(pa.array(rows)), pa.array(line.astype(np.int32)), pa.array(at.astype(np.int32))], ["h", "h2", "doc_id", "para", "first"])
+                    s = shingles(own)
+                    lone = len(s) == 1 or s[0] == s[1] and bool((s == s[0]).all())
+                    sets[same] = np.append(s[:1], int(gram_hashes(own[:SHINGLE_WORDS], SHINGLE_WORDS)[0]) >> 33) if lone else s
+            ends = np.cumsum([0, *map(len, sets.values())])
+            flat = np.concatenate([*sets.values()]).astype(np.int32) if sets else np.zeros(0, np.int32)
+            yield pa.record_batch([pa.array([*sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["same", "shingles"])
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,15 +186,20 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, ends = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
         out: list[tuple[int, int]] = []
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            sets = [flat[ends[k] : ends[k + 1]] for k in range(a, b)]
+            sets = [np.unique(flat[ends[k] : ends[k + 1]]) for k in range(a, b)]
             sizes = np.array([len(x) for x in sets])
-            joined, owner = np.concatenate(sets), np.repeat(np.arange(b - a), sizes)
+            joined, starts = np.concatenate(sets), np.cumsum(sizes) - sizes
             rest = np.arange(b - a)
             while len(rest):
                 reached, rest = [int(rest[0])], rest[1:]
                 while reached and len(rest):
                     u = reached.pop()
-                    both = np.bincount(owner[np.isin(joined, sets[u], kind="sort")], minlength=b - a)[rest]
+                    s = sets[u]
+                    if len(rest) == 1:
+                        other = sets[rest[0]]
+                        both = np.array([np.count_nonzero(s[np.minimum(np.searchsorted(s, other), len(s) - 1)] == other)])
+                    else:
+                        both = np.add.reduceat(s[np.minimum(np.searchsorted(s, joined), len(s) - 1)] == joined, starts, dtype=np.int64)[rest]
                     ok = both >= SIMILARITY * (sizes[rest] + sizes[u] - both)
                     out += [(same[a + u], same[a + v]) for v in rest[ok].tolist()]
                     reached += rest[ok].tolist()
@@ -215,8 +224,18 @@ def near_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null and empty texts have no paragraphs; rows whose doc_id is null are left alone; a repeated row repeats its
     paragraphs, which stay once. An empty table gives no rows.
     """
+    texts, places = _parsed(docs, id_col, text_col, min_words)
+    return _near(texts, places, min_words)
+
+
+def _parsed(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> tuple[DataFrame, DataFrame]:
+    """Texts, and the places of their paragraphs and passages, parsed once and written."""
     texts = pick(docs, id_col, text_col).where("doc_id is not null")
-    places = written(texts.mapInArrow(lambda x: _places(x, min_words), "doc_id long, para int, first int, words int, same long"))
+    return texts, written(texts.mapInArrow(lambda x: _places(x, min_words), _LAYOUT))
+
+
+def _near(texts: DataFrame, places: DataFrame, min_words: int) -> DataFrame:
+    places = places.where("h2 is null").select(F.col("h").alias("same"), *_ROW)
     dealt = texts.mapInArrow(lambda x: _bands(x, min_words), "key long, same long").repartition("key").distinct()
     # bands in which the same classes meet are one: a group is named by its members, and compared once
     by_key = Window.partitionBy("key")
@@ -250,10 +269,16 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     A word or a few that are said again and again have no such place. Odd rows are as in ``near_paragraphs``.
     """
-    texts = pick(docs, id_col, text_col).where("doc_id is not null")
-    found = written(texts.mapInArrow(_passages, "h long, h2 long, doc_id long, para int, first int"))
-    heads = found.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "para", "first")).alias("head")).where("n > 1").select("h", "h2", "head")
-    again = found.join(heads, ["h", "h2"]).select("doc_id", "para", "first", "head", (F.struct("doc_id", "para", "first") != F.col("head")).alias("removed")).distinct()
+    return _repeated(_parsed(docs, id_col, text_col, MIN_WORDS)[1])
+
+
+def _repeated(places: DataFrame) -> DataFrame:
+    found = places.where("h2 is not null").select("h", "h2", "doc_id", "para", "first")
+    # one half of the hash tells which may repeat; the few that do are then grouped by both
+    maybe = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    again = found.join(maybe, "h")
+    heads = again.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "para", "first")).alias("head")).where("n > 1").select("h", "h2", "head")
+    again = again.join(heads, ["h", "h2"]).select("doc_id", "para", "first", "head", (F.struct("doc_id", "para", "first") != F.col("head")).alias("removed")).distinct()
     in_order = Window.partitionBy("doc_id", "removed").orderBy("first")
     begins = F.coalesce((F.col("first") > F.lag("first").over(in_order) + PASSAGE_WORDS).cast("int"), F.lit(0))
     runs = again.withColumn("begins", begins).withColumn("run", F.sum("begins").over(in_order))
@@ -263,5 +288,5 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 def duplicate_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Near-duplicate paragraphs and repeated passages, told apart by ``kind`` ('paragraph' or 'passage'); see there."""
-    whole = near_paragraphs(docs, id_col, text_col).withColumn("kind", F.lit("paragraph"))
-    return whole.unionByName(repeated_passages(docs, id_col, text_col).withColumn("kind", F.lit("passage")))
+    texts, places = _parsed(docs, id_col, text_col, MIN_WORDS)
+    return _near(texts, places, MIN_WORDS).withColumn("kind", F.lit("paragraph")).unionByName(_repeated(places).withColumn("kind", F.lit("passage")))
