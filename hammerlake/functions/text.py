@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Words that deny a clause, and provinces with the beginnings of their addresses.
 NEGATIONS = ["없음", "없다", "해당없음", "아님", "소멸", "no ", "not ", "none"]
@@ -80,7 +81,7 @@ def _masked(text: str) -> str:
     return re.sub(rf"(?<![가-힣])([가-힣]{{2,6}})(?=\s*(?:\((?:{ROLES})|지분))", lambda m: one(m[1]), behind)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def masked_names(texts: pd.Series) -> pd.Series:
     """Texts with persons' names beside a role, or before a share, masked whole: in lists each of them, with the particle behind
     kept. Companies and words of the law stay. Null stays null. (A pandas function, as each match needs a decision.)"""

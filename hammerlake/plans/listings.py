@@ -95,7 +95,7 @@ def estimate(listings: DataFrame, trades: DataFrame) -> DataFrame:
 
 
 def estimate_confirmed(listings: DataFrame, trades: DataFrame) -> DataFrame:
-    """As ``estimate``, from ``trades`` (keys, trade_ymd, price, deleted, floor) of the very building and size.
+    """As ``estimate``, from ``trades`` (keys, trade_ymd, price, deleted, floor) of the very building and size (floor may be missing).
 
     Prices themselves are compared, in the shortest window of 12, 24 or 60 months with enough of them; confidence
     falls with its length, and an estimate far from the appraisal is none. A low floor costs what it does in that window, or the
@@ -105,6 +105,7 @@ def estimate_confirmed(listings: DataFrame, trades: DataFrame) -> DataFrame:
     rows = trades.where((F.coalesce("deleted", F.lit(0)) == 0) & (F.col("price") > 0)).withColumn("m", numbers.month_of(F.col("trade_ymd"))).where("m is not null").withColumn("price", F.col("price").cast("double"))
     band = bands.window_ladder(rows, KEY, "m", "price")
     newest = rows.groupBy(*KEY).agg(F.max("m").alias("newest"))
+    rows = rows if "floor" in rows.columns else rows.withColumn("floor", F.lit(None).cast("int"))
     within = rows.join(band.select(*KEY, "months"), KEY).join(newest, KEY).where("m >= newest - months and floor > 0")
     ratio = bands.clamped_ratio(within, KEY, F.col("floor") <= LOW_FLOOR, "price")
     joined = listings.select(*KEY, "address", "appraisal_price", "property_type", "special_rights").join(band, KEY, "left").join(ratio, KEY, "left").withColumn("mult", floor_factor(text.floor_of(F.col("address")), F.col("ratio")))

@@ -13,10 +13,14 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThanOrEqual, InputPartition, LessThanOrEqual
 
 
+#: The share of its rows that a page has at least; a service may lose a few between two calls, but no more.
+LEAST_SHARE = 0.9
+
+
 class Page(InputPartition):
-    def __init__(self, number: int) -> None:
+    def __init__(self, number: int, rows: int) -> None:
         super().__init__(number)
-        self.number = number
+        self.number, self.rows = number, rows
 
 
 class PagedReader(DataSourceReader):
@@ -51,14 +55,17 @@ class PagedReader(DataSourceReader):
         raise AssertionError
 
     def partitions(self) -> list[InputPartition]:
-        total = int(self.fetch(1)["totalCnt"])
-        pages = math.ceil(total / int(self.options.get("size", "40")))
+        total, size = int(self.fetch(1)["totalCnt"]), int(self.options.get("size", "40"))
+        pages = math.ceil(total / size)
         if pages > (most := int(self.options.get("max_pages", "10000"))):
             raise ValueError(f"{pages} pages are more than max_pages={most}: a part of the rows would be missing")
-        return [Page(k) for k in range(1, pages + 1)]
+        return [Page(k, min(size, total - size * (k - 1))) for k in range(1, pages + 1)]
 
     def read(self, partition: Page) -> Iterator[tuple]:
-        for row in self.fetch(partition.number)["rows"]:
+        rows = self.fetch(partition.number)["rows"]
+        if len(rows) < LEAST_SHARE * partition.rows:
+            raise ValueError(f"page {partition.number} has {len(rows)} rows of {partition.rows}: the table would be short without a word")
+        for row in rows:
             yield tuple(row.get(c) for c in self.names)
 
 

@@ -152,10 +152,71 @@ def test_texts(spark):
     assert [r[0] for r in d.select(text.labels(F.col("t"), {"유치권": "유치권", "가등기": "가등기"})).collect()] == [["유치권"], []]
     one = spark.range(1)
     assert one.select(text.korean_number(F.lit("2억 8,000")), text.korean_number(F.lit("3억5천만")), text.korean_number(F.lit("x"))).first()[:] == (280_000_000, 350_000_000, None)
-    assert one.select(text.masked_names(F.lit("임차인 홍길동 전입"))).first()[0] == "임차인 홍○○ 전입"
+    assert one.select(text.masked_names(F.lit("임차인 홍길동 전입"))).first()[0] == "임차인 [성명] 전입"
     assert one.select(text.floor_of(F.lit("가동 1 지하 1층")), text.floor_of(F.lit("가동 3층 12층")), text.floor_of(F.lit("가동"))).first()[:] == (0, 3, None)
 
 
+def test_masks(spark):
+    cases = {
+        "임차인 홍길동, 김철수 전입": "임차인 [성명], [성명] 전입",
+        "채무자 한국전력공사, 박영희의 지분": "채무자 한국전력공사, [성명]의 지분",
+        "소유자 전원의 지분": "소유자 전원의 지분",
+        "윤용섭 지분 2분의 1": "[성명] 지분 2분의 1",
+        "공유자 배우자 이순신": "공유자 배우자 [성명]",
+        "신청인 서울보증보험주식회사": "신청인 서울보증보험주식회사",
+    }
+    rows = spark.createDataFrame([*cases.items(), (None, None)], "t string, want string")
+    assert [(r.m, r.want) for r in rows.select(text.masked_names("t").alias("m"), "want").collect()] == [(w, w) for w in (*cases.values(), None)]
+    assert spark.range(1).select(text.names_left(F.lit("세입자 홍길동 거주")), text.names_left(F.lit("임차인 [성명] 전입"))).first()[:] == (True, False)
+
+
+def test_names_of_brands(spark):
+    keys = spark.createDataFrame([("e편한세상 가동",), ("이편한세상가동",)], "n string").select(text.name_key(F.col("n"))).distinct()
+    assert keys.count() == 1
+    assert estimated(spark, [trade(500_000_000, name="e편한세상")] * 3, apt_name="이편한세상").scope == L.SAME_SAME
+
+
+def test_unverified_rights_leave_no_score(spark):
+    unverified, barred = score_of(spark, rights_verified=False), score_of(spark, rights_verified=False, special_rights=["유치권"])
+    assert unverified.first().arb_score is None and barred.first().arb_score is not None
+    both = unverified.unionByName(score_of(spark, case_no="2", appraisal_price=900_000_000))
+    assert [r.case_no for r in L.ordered(both, "score").collect()] == ["2", "1"]
+
+
+def test_confirmed_estimates_of_all_listings(spark):
+    kinds = "court string, case_no string, item_no string, trade_ymd string, price bigint, deleted int, floor int"
+    rows = [("c", case, "1", "20260100", 500_000_000, 0, 9) for case in "124" for _ in range(3)] + [("c", "1", "1", "20260100", 450_000_000, 0, 1)] * 3
+    listed = spark.createDataFrame([listing(address="서울 가동 1 1층"), listing("2", property_type="토지"), listing("3"), listing("4", special_rights=["지분"])], COLUMNS)
+    got = {r.case_no: r for r in L.estimate_confirmed(listed, spark.createDataFrame(rows, kinds)).collect()}
+    assert {k: r.scope for k, r in got.items()} == {"1": L.SAME_SAME, "2": "unsupported", "3": "no_comps", "4": "share_sale"}
+    assert got["1"].est == 427_500_000 and all(got[k].est is None for k in "234")  # 475 million, and a low floor costs a tenth there
+
+
+def test_archive_and_snapshot_keep_what_is_stored(spark, tmp_path):
+    from hammerlake.sources import sinks
+
+    path, rows = str(tmp_path / "raw"), lambda *r: spark.createDataFrame([*r], "uid string, at int, body string")
+    sinks.archive(rows(("a", 1, "x"), ("b", 1, "x")), path, "uid", "at")
+    sinks.archive(rows(("b", 2, "y")), path, "uid", "at")
+    assert {(r.uid, r.body) for r in spark.read.parquet(path).collect()} == {("a", "x"), ("b", "y")}
+    broken = rows(("c", 1, "z")).withColumn("body", F.raise_error(F.lit("midway")).cast("string"))
+    with pytest.raises(Exception, match="midway"):
+        merging.swap_in(broken, path)
+    assert spark.read.parquet(path).count() == 2
+    merging.replace_snapshot(spark.read.parquet(path).where("uid = 'a'"), path)
+    assert spark.read.parquet(path).count() == 1
+    kept = merging.replace_children(spark.createDataFrame([(1, 0), (1, 1), (2, 0)], "k int, seq int"), spark.createDataFrame([(1, 0)], "k int, seq int"), ["k"])
+    assert sorted(map(tuple, kept.collect())) == [(1, 0), (2, 0)]
+
+
+def test_a_gate_that_fails_at_run_time_fails_alone(spark):
+    from hammerlake.operators import gates
+
+    rows = spark.range(3).toDF("k")
+    found = gates.run(spark, {"good": lambda: gates.violations("good", rows.where("k > 9")), "bad": lambda: gates.violations("bad", rows.where(F.raise_error(F.lit("no")).cast("boolean"))), "unknown": lambda: gates.violations("unknown", rows.where("nothing = 1"))})
+    assert {r.gate: (r.violations, r.ok) for r in found.collect()} == {"good": (0, True), "bad": (None, False), "unknown": (None, False)}
+
+
 def test_taxes(spark):
     tax = lambda p, kind="아파트", area=84.0, **k: spark.range(1).select(money.acquisition_tax(F.lit(p).cast("bigint"), F.lit(kind), F.lit(area), **k)).first()[0]
     assert tax(500_000_000) == 5_500_000

@@ -30,11 +30,13 @@ def test_json_files(spark, tmp_path):
 
 
 class Service(BaseHTTPRequestHandler):
+    lost = 0
+
     def do_GET(self):
         q = dict(x.split("=") for x in self.path.partition("?")[2].split("&"))
         rows = [{"id": i, "name": f"n{i}"} for i in range(95) if i >= int(q.get("id_min", 0))]
         size, page = int(q["size"]), int(q["page"])
-        body = json.dumps({"totalCnt": len(rows), "rows": rows[(page - 1) * size : page * size]}).encode()
+        body = json.dumps({"totalCnt": len(rows), "rows": rows[(page - 1) * size : page * size - self.lost]}).encode()
         self.send_response(200)
         self.end_headers()
         self.wfile.write(body)
@@ -52,6 +54,9 @@ def test_paged_source(spark):
     assert read().count() == 95 and read(size="10").where("id >= 90").count() == 5
     with pytest.raises(Exception, match="max_pages"):
         read(max_pages="1").count()
+    Service.lost = 3
+    with pytest.raises(Exception, match="short without a word"):
+        read(size="10").count()
     server.shutdown()
 
 
