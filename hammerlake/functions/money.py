@@ -65,3 +65,109 @@ def break_even_bid(sale: Column, rate: float, fee: float = 0.004, steps: int = 4
         return F.struct(F.when(ok, mid).otherwise(s["lo"]).alias("lo"), F.when(ok, s["hi"]).otherwise(mid - 1).alias("hi"))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, lambda s, i: halve(s, i), lambda s: s["lo"])
+
+
+# Stamp tax and agents' fees by price, the taxes of a sale, and what a simulation takes for granted.
+STAMPS = [(10_000_000, 0), (30_000_000, 20_000), (50_000_000, 40_000), (100_000_000, 70_000), (1_000_000_000, 150_000), (None, 350_000)]
+HOUSING_FEES = [(50_000_000, 0.006, 250_000), (200_000_000, 0.005, 800_000), (900_000_000, 0.004, None), (1_200_000_000, 0.005, None), (1_500_000_000, 0.006, None), (None, 0.007, None)]
+OFFICE, OFFICE_FEE, OTHER_FEE = "오피스텔", 0.005, 0.009
+BASIC_DEDUCTION, LOCAL_TAX, SHORT_TERM = 2_500_000, 0.10, {12: (0.70, 0.50), 24: (0.60, 0.40)}
+LONG_TERM_YEARS, LONG_TERM_RATE, LONG_TERM_MOST, SURCHARGES = 3, 0.02, 0.30, {2: 0.20, 3: 0.30}
+DEFAULTS = {"holding_months": 6, "assumed": 0, "eviction": 3_000_000, "repair": 0, "unpaid": 0, "registry": 500_000, "loan_share": 0.70, "loan_rate": 0.055, "mode": "dealer"}
+MOST_LOAN = 0.80
+
+
+def _won(x: Column) -> Column:
+    return F.bround(x).cast("bigint")
+
+
+def _first(cases: list[tuple[Column | None, Column]]) -> Column:
+    out = None
+    for cond, value in cases:
+        out = value if cond is None and out is None else out.otherwise(value) if cond is None else F.when(cond, value) if out is None else out.when(cond, value)
+    return out
+
+
+def stamp_tax(price: Column) -> Column:
+    return _first([(None if cap is None else price <= cap, F.lit(v).cast("bigint")) for cap, v in STAMPS])
+
+
+def agent_fee(sale: Column, kind: Column, area: Column) -> Column:
+    """An agent's highest fee for a sale: by brackets, some with a limit, for housing; a rate for small offices and for the rest."""
+    fee = lambda rate, most: _won(sale * rate) if most is None else F.least(_won(sale * rate), F.lit(most).cast("bigint"))
+    housing = _first([(None if cap is None else sale < cap, fee(rate, most)) for cap, rate, most in HOUSING_FEES])
+    k = F.trim(F.coalesce(kind, F.lit("")))
+    small = F.contains(k, F.lit(OFFICE)) & (area > 0) & (area <= SMALL_AREA)
+    return F.when(sale <= 0, F.lit(0).cast("bigint")).when(k.isin(HOUSING), housing).when(small, fee(OFFICE_FEE, None)).otherwise(fee(OTHER_FEE, None))
+
+
+def progressive(base: Column, more: float = 0.0) -> Column:
+    """Progressive tax, with a surcharge on each bracket's rate; nothing on a loss."""
+    return F.when(base <= 0, F.lit(0).cast("bigint")).otherwise(_first([(None if cap is None else base <= cap, F.greatest(F.lit(0).cast("bigint"), _won(base * (rate + more)) - less)) for cap, rate, less in INCOME_BRACKETS]))
+
+
+def _short_rate(months: Column, housing: Column) -> Column:
+    """The flat rate of a sale within two years, or null."""
+    return _first([(months < m, F.when(housing, F.lit(a)).otherwise(F.lit(b))) for m, (a, b) in SHORT_TERM.items()])
+
+
+def sale_tax(sale: Column, bought: Column, narrow: Column, broad: Column, months: Column, kind: Column, mode: str = "dealer", houses: int = 1, regulated: bool = False) -> Column:
+    """The tax of a sale with its local tax, for one who sells privately, as a dealer, or untaxed ('individual', 'dealer', 'none').
+
+    A private sale is taxed by a flat rate within two years, else progressively behind a deduction for long holding; a dealer
+    progressively, on what is left after all expenses. Several homes in a regulated area are surcharged: then there is no
+    such deduction, and the highest of the candidates counts. A loss isn't taxed.
+    """
+    k = F.trim(F.coalesce(kind, F.lit("")))
+    housing = k.isin(HOUSING) | F.contains(k, F.lit(OFFICE))
+    extra = SURCHARGES[3 if houses >= 3 else 2] if regulated and houses >= 2 else None
+    heavy = housing if extra is not None else F.lit(False)
+    gain, flat = sale - bought - narrow, _short_rate(months, housing)
+    zero = F.lit(0).cast("bigint")
+    if mode == "none":
+        return zero
+    surcharged = F.when(heavy, progressive(F.greatest(zero, gain - BASIC_DEDUCTION), extra or 0.0)).otherwise(zero)
+    if mode == "dealer":
+        own = progressive(F.greatest(zero, sale - bought - broad))
+        short = F.when(heavy & flat.isNotNull(), _won(F.greatest(zero, gain - BASIC_DEDUCTION) * flat)).otherwise(zero)
+        tax = F.greatest(own, surcharged, short)
+    else:
+        years = F.floor(months / 12)
+        long_term = F.when(heavy | flat.isNotNull() | (years < LONG_TERM_YEARS), F.lit(0.0)).otherwise(F.least(F.lit(LONG_TERM_MOST), years * LONG_TERM_RATE))
+        base = F.greatest(zero, gain - _won(gain * long_term) - BASIC_DEDUCTION)
+        tax = F.when(gain <= 0, zero).otherwise(F.greatest(F.when(flat.isNotNull(), _won(base * flat)).otherwise(progressive(base)), surcharged))
+    return tax + _won(tax * LOCAL_TAX)
+
+
+def simulate(bid: Column, sale: Column, kind: Column, area: Column, houses: int = 1, regulated: bool = False, corporation: bool = False, **over) -> Column:
+    """``(acquisition_tax, total, equity, interest, fee, tax, net, roi)`` of buying at ``bid`` and selling at ``sale``; ``over`` replaces
+    ``DEFAULTS`` by columns or values. roi is null without own money in it."""
+    given = {k: v if isinstance(v, Column) or k == "mode" else F.lit(v) for k, v in {**DEFAULTS, **over}.items()}
+    zero = F.lit(0).cast("bigint")
+    at_least = lambda k: F.greatest(F.lit(0), given[k])
+    taxed, stamp = acquisition_tax(bid, kind, area, houses, regulated, corporation), stamp_tax(bid)
+    other = at_least("assumed") + at_least("eviction") + at_least("repair") + at_least("unpaid")
+    total = bid + taxed + stamp + at_least("registry") + other
+    loan = _won(bid * F.least(F.lit(MOST_LOAN), F.greatest(F.lit(0.0), given["loan_share"])))
+    months = F.greatest(F.lit(0), given["holding_months"])
+    interest = _won(loan * F.greatest(F.lit(0.0), given["loan_rate"]) * months / 12)
+    fee = agent_fee(sale, kind, area)
+    narrow = taxed + stamp + at_least("registry") + fee
+    individual = given["mode"] == "individual"
+    tax = sale_tax(sale, bid, narrow if individual else narrow + at_least("assumed"), narrow + other + interest, months, kind, given["mode"], houses, regulated)
+    net, equity = sale - total - interest - fee - tax, total - loan
+    return F.struct(taxed.alias("acquisition_tax"), total.cast("bigint").alias("total"), equity.cast("bigint").alias("equity"), interest.alias("interest"), fee.alias("fee"), (tax + zero).alias("tax"), net.cast("bigint").alias("net"), F.when(equity > 0, net / equity).alias("roi"))
+
+
+def break_even(sale: Column, kind: Column, area: Column, **given) -> Column:
+    """The highest bid that still leaves a net profit, found by halving an interval (net profit falls as the bid rises); null if none does."""
+    net = lambda b: simulate(b, sale, kind, area, **given)["net"]
+    start = F.struct(F.lit(0).cast("bigint").alias("lo"), (sale * 2 + 100_000_000).cast("bigint").alias("hi"))
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("bigint")
+        gains = net(mid) > 0
+        return F.when(s["hi"] - s["lo"] <= 1, s).otherwise(F.struct(F.when(gains, mid).otherwise(s["lo"]).alias("lo"), F.when(gains, s["hi"]).otherwise(mid).alias("hi")))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(40)), start, halve, lambda s: s["lo"])
+    return F.when(net(F.lit(0).cast("bigint")) > 0, found)

@@ -228,6 +228,67 @@ def test_taxes(spark):
     assert spark.range(1).select(money.break_even_bid(F.lit(101_000_000).cast("bigint"), 0.01, 0.0)).first()[0] == 100_000_000
 
 
+def plain_simulation(bid, sale, kind, area, mode, months, houses, regulated):
+    """The same simulation in plain Python."""
+    housing = kind == "아파트"
+    part = lambda x: round(x)
+    heavy_buy = {0: 0, 8: 8, 12: 12}[money.surcharge(houses, regulated)]
+    base = heavy_buy / 100 if heavy_buy else 0.01 if bid <= 600_000_000 else round(bid * 2 / 300_000_000 - 3, 4) / 100 if bid <= 900_000_000 else 0.03
+    if housing:
+        rural = {0: 0.002, 8: 0.006, 12: 0.010}[heavy_buy] if area > 85 else 0
+        buy = part(bid * base) + part(bid * (0.004 if heavy_buy else base * 0.5 * 0.20)) + part(bid * rural)
+    else:
+        buy = part(bid * 0.04) + part(bid * 0.004) + part(bid * 0.002)
+    stamp = next(v for cap, v in money.STAMPS if cap is None or bid <= cap)
+    total = bid + buy + stamp + 500_000 + 3_000_000
+    loan = part(bid * 0.7)
+    interest = part(loan * 0.055 * months / 12)
+    fee = 0
+    if sale > 0 and housing:
+        rate, most = next((r, m) for cap, r, m in money.HOUSING_FEES if cap is None or sale < cap)
+        fee = min(part(sale * rate), most) if most else part(sale * rate)
+    elif sale > 0:
+        fee = part(sale * (0.005 if kind == "오피스텔" and area <= 85 else 0.009))
+    narrow = buy + stamp + 500_000 + fee
+
+    def progressive(b, more=0.0):
+        return 0 if b <= 0 else next(max(0, round(b * (r + more)) - d) for cap, r, d in money.INCOME_BRACKETS if cap is None or b <= cap)
+
+    as_home = housing or kind == "오피스텔"
+    heavy, extra = as_home and regulated and houses >= 2, 0.3 if houses >= 3 else 0.2
+    flat = (0.7 if as_home else 0.5) if months < 12 else (0.6 if as_home else 0.4) if months < 24 else None
+    gain = sale - bid - narrow
+    tbase = max(0, gain - 2_500_000)
+    if mode == "none":
+        tax = 0
+    elif mode == "dealer":
+        tax = max([progressive(max(0, gain - 3_000_000 - interest)), *([progressive(tbase, extra)] if heavy else []), *([round(tbase * flat)] if heavy and flat else [])])
+    elif gain <= 0:
+        tax = 0
+    else:
+        rate = 0 if flat or heavy or months // 12 < 3 else min(0.3, months // 12 * 0.02)
+        b = max(0, gain - round(gain * rate) - 2_500_000)
+        tax = max(round(b * flat) if flat else progressive(b), progressive(tbase, extra) if heavy else 0)
+    return sale - total - interest - fee - tax - round(tax * 0.1)
+
+
+def test_simulations_against_a_plain_model(spark):
+    rng = random.Random(5)
+    for mode, houses, regulated in (("dealer", 1, False), ("individual", 1, False), ("dealer", 3, True), ("individual", 2, True), ("none", 1, False)):
+        rows = [(rng.choice([0, 9_000_000, *[rng.randrange(10_000_000, 1_500_000_000)] * 4]), rng.randrange(0, 2_000_000_000), rng.choice(["아파트", "오피스텔", "토지"]), rng.choice([59.0, 101.0]), rng.choice([6, 12, 23, 24, 40, 200])) for _ in range(40)]
+        d = spark.createDataFrame(rows, "bid bigint, sale bigint, kind string, area double, months int")
+        out = d.select(*d.columns, money.simulate(F.col("bid"), F.col("sale"), F.col("kind"), F.col("area"), houses, regulated, mode=mode, holding_months=F.col("months"))["net"].alias("net")).collect()
+        for r in out:
+            assert r.net == plain_simulation(r.bid, r.sale, r.kind, r.area, mode, r.months, houses, regulated), (mode, r)
+
+
+def test_break_even_is_the_last_bid_with_a_profit(spark):
+    d = spark.createDataFrame([(500_000_000, "아파트", 84.0), (90_000_000, "토지", 50.0), (1_000_000, "아파트", 84.0)], "sale bigint, kind string, area double")
+    for r in d.select("*", money.break_even(F.col("sale"), F.col("kind"), F.col("area")).alias("most")).collect():
+        net = lambda b: plain_simulation(b, r.sale, r.kind, r.area, "dealer", 6, 1, False)  # noqa: B023, E731
+        assert r.most is None if net(0) <= 0 else net(r.most) > 0 >= net(r.most + 1)
+
+
 def test_numbers(spark):
     one = spark.range(1)
     assert one.select(numbers.lenient_number(F.lit("1,234.9")), numbers.lenient_number(F.lit("-")), numbers.iso_date(F.lit("20260701"))).first()[:] == (1234, None, "2026-07-01")
