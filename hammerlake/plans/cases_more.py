@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hammerlake.functions import buildings, numbers, text
-from hammerlake.operators import lookups, series
+from hammerlake.operators import fuzzy, lookups, series, zones
 from hammerlake.plans.cases import C, K, c, chosen, in_sql
 from hammerlake.plans.registry import query
 
@@ -125,3 +125,28 @@ MASKED = [("임차인 홍길동, 김철수 전입", "임차인 [성명], [성명
 @query(f"SELECT o_orderkey, {in_sql(K, [x[1] for x in MASKED])} AS masked, {in_sql(K, [x[2] for x in MASKED])} AS leaks FROM orders")
 def masked_texts(t):
     return t("orders").select(K, text.masked_names(chosen(K, [x[0] for x in MASKED])).alias("masked")).select(K, "masked", text.names_left(c("masked")).alias("leaks"))
+
+
+ZONED = [("서울 가동 1", "true", "서울"), ("경기 과천 2", "true", "과천"), ("경기 화성 3", "check", "화성"), ("부산 나동", "false", None), (None, "false", None)]
+
+
+@query(f"SELECT o_orderkey, adjusted, zone_name, adjusted = 'true' AND o_custkey % 2 = 0 AND (zone_name = '서울' OR o_custkey % 4 = 0) AS land_permit FROM (SELECT o_orderkey, o_custkey, {in_sql(K, [x[1] for x in ZONED])} AS adjusted, {in_sql(K, [x[2] for x in ZONED])} AS zone_name FROM orders) WHERE NOT (zone_name = '과천' AND o_custkey % 4 = 0) OR zone_name IS NULL")
+def regulated_zones(t):
+    spark = t("orders").sparkSession
+    table = spark.sql("select * from values ('서울', '서울', array(), array(), date'2026-12-31'), ('과천', null, array('과천'), array(), date'2020-12-31'), ('화성', null, array(), array('화성'), date'2026-12-31') as z(zone_name, prefix, tokens, check_tokens, expiry)")
+    rows = t("orders").select(K, C, chosen(K, [x[0] for x in ZONED]).alias("address"), (c(C) % 2 == 0).alias("apartment"))
+    found = zones.classify(rows, table, "address", "apartment", F.lit("2026-08-01").cast("date"))
+    return found.where(~((F.coalesce("zone_name", F.lit("")) == "과천") & (c(C) % 4 == 0))).select(K, "adjusted", "zone_name", "land_permit")
+
+
+# a building's name, and how a listing writes it
+BUILDINGS = [("푸른마을1단지", "푸른마을 1단지(주상복합)", 1), ("푸른마을2단지", "푸른마을 3단지", None), ("아이파크한빛", "한빛 IPARK", 3), ("더샵센트럴", "더샵 센트럴파크", 4), ("중앙하이츠", "전혀다른이름", None), ("래미안블루", "래미안 블루아파트", 6)]
+
+
+@query(f"SELECT o_orderkey, no AS complex_no, o_custkey % 3 * 10 + 59 AS area_no, '고신뢰' AS tier FROM (SELECT o_orderkey, o_custkey, {in_sql(K, [x[2] for x in BUILDINGS])} AS no FROM orders) WHERE no IS NOT NULL")
+def fuzzy_buildings(t):
+    rows = t("orders").select(K, (c(K) % len(BUILDINGS)).cast("string").alias("dong"), chosen(K, [x[1] for x in BUILDINGS]).alias("apt_name"), (c(C) % 3 * 10 + 59.5).alias("area_m2"))
+    spark = t("orders").sparkSession
+    sizes = spark.range(len(BUILDINGS) * 3).select((c("id") % len(BUILDINGS)).alias("i"), (c("id") / len(BUILDINGS)).cast("int").alias("s"))
+    sizes = sizes.select(c("i").cast("string").alias("dong"), (c("i") + 1).alias("complex_no"), F.element_at(F.array(*[F.lit(x[0]) for x in BUILDINGS]), (c("i") + 1).cast("int")).alias("complex_name"), (c("s") * 10 + 59).alias("area_no"), (c("s") * 10 + 59).cast("double").alias("area_m2"))
+    return fuzzy.match_buildings(rows, sizes, [K]).select(K, "complex_no", "area_no", "tier")

@@ -33,6 +33,51 @@ def trades(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return out.where("price > 0 and area_m2 > 0")
 
 
+# Fields of the three other kinds of trades ('sh' houses, 'nrg' commercial, 'land') and of building registers.
+OTHER_FIELDS = {
+    "price": ["거래금액", "dealAmount"], "year": ["년", "dealYear"], "month": ["월", "dealMonth"], "dong": ["법정동", "umdNm"], "floor": ["층", "floor"],
+    "house_type": ["주택유형", "houseType"], "plot_area": ["대지면적", "plottageAr"], "floor_area": ["연면적", "totalFloorAr"],
+    "building_use": ["건물주용도", "buildingUse"], "building_type": ["유형", "buildingType"], "building_area": ["건물면적", "buildingAr"],
+    "jimok": ["지목", "jimok"], "land_use": ["용도지역", "landUse"], "deal_area": ["거래면적", "dealArea"], "share_type": ["지분구분", "shareDealingType", "shareType"],
+}
+REGISTER_FIELDS = {"name": ["bldNm", "건물명"], "address": ["platPlc", "대지위치", "newPlatPlc"], "approved": ["useAprDay", "사용승인일"], "purpose": ["mainPurpsCdNm", "주용도"], "area_m2": ["totArea", "연면적"], "floors_above": ["grndFlrCnt", "지상층수"], "floors_below": ["ugrndFlrCnt", "지하층수"], "violation": ["violYn", "위반건축물", "violationYn"], "violation_text": ["violCn", "위반내용"]}
+
+
+def _items(spark: SparkSession, path: str, fields: dict[str, list[str]]) -> tuple[DataFrame, dict[str, Column]]:
+    """XML ``item`` elements, and the first name of each field that has a value; empty if none does."""
+    schema = ", ".join(f"`{n}` string" for names in fields.values() for n in names)
+    raw = spark.read.format("xml").option("rowTag", "item").schema(schema).load(path)
+    return raw, {k: F.coalesce(*[F.nullif(F.trim(F.col(f"`{n}`")), F.lit("")) for n in names], F.lit("")) for k, names in fields.items()}
+
+
+def other_trades(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """Trades of houses, commercial buildings or land: the area is the building's, or else the plot's; name and subtype say what was sold.
+    Rows without price or area are left out; an unknown kind is an error."""
+    raw, f = _items(spark, path, OTHER_FIELDS)
+    size = lambda k: F.nullif(F.coalesce(f[k].try_cast("double"), F.lit(0.0)), F.lit(0.0))
+    none = F.lit("")
+    area, name, subtype, zoning = {
+        "sh": (F.coalesce(size("floor_area"), size("plot_area")), F.coalesce(F.nullif(f["house_type"], none), F.lit("단독/다가구")), f["house_type"], none),
+        "nrg": (F.coalesce(size("building_area"), size("plot_area")), F.coalesce(F.nullif(f["building_use"], none), F.lit("상업업무용")), f["building_type"], none),
+        "land": (size("deal_area"), F.coalesce(F.nullif(f["jimok"], none), F.lit("토지")), f["share_type"], f["land_use"]),
+    }[kind]
+    plot = F.lit(0.0) if kind == "land" else F.coalesce(size("plot_area"), F.lit(0.0))
+    out = raw.select(F.lit(kind).alias("kind"), (numbers.lenient_number(f["price"]) * 10_000).alias("price"), area.alias("area_m2"), F.when(f["year"] != "", F.concat(f["year"], F.lpad(f["month"], 2, "0"))).otherwise("").alias("deal_ym"), f["dong"].alias("dong"), name.alias("name"), plot.alias("plot_area_m2"), subtype.alias("subtype"), zoning.alias("zoning"), F.coalesce(numbers.lenient_number(f["floor"]), F.lit(0)).cast("int").alias("floor"))
+    return out.where("price > 0 and area_m2 > 0")
+
+
+def as_trades(others: DataFrame, lawd_cd: str = "") -> DataFrame:
+    """Other kinds in the form of ``trades``: they have no building's name, and meet by neighbourhood and area only."""
+    return others.select(F.lit("").alias("apt_name"), "area_m2", "price", "deal_ym", "dong", "floor", "kind", F.lit(lawd_cd).alias("lawd_cd"), F.lit(False).alias("cancelled"))
+
+
+def registers(spark: SparkSession, path: str) -> DataFrame:
+    """Building records; sizes and floors that can't be read are 0."""
+    raw, f = _items(spark, path, REGISTER_FIELDS)
+    whole = {"floors_above": "int", "floors_below": "int", "area_m2": "double"}
+    return raw.select(*[(F.coalesce(v.try_cast(whole[k]), F.lit(0).cast(whole[k])) if k in whole else v).alias(k) for k, v in f.items()])
+
+
 def price_months(raw: DataFrame, json: str = "body") -> DataFrame:
     """Rows of a two-level history: each month's list of prices becomes rows; other columns stay."""
     schema = "realPriceOnMonthList array<struct<realPriceList: array<struct<tradeYear: string, tradeMonth: string, tradeDate: string, dealPrice: bigint, floor: int, deleteYn: string>>>>"

@@ -19,6 +19,27 @@ def test_trades_from_xml(spark, tmp_path):
     assert rows == [("가", 500_000_000, "202601", 0, True), ("가", 500_000_000, "202601", 7, False), ("나", 300_000_000, "202512", 3, False)]
 
 
+def test_other_kinds_of_trades_and_registers(spark, tmp_path):
+    wrap = lambda x: "<response><body><items>" + "".join(f"<item>{i}</item>" for i in x) + "</items></body></response>"
+    common = "<dealAmount> 50,000</dealAmount><dealYear>2026</dealYear><dealMonth>3</dealMonth><umdNm>가동</umdNm>"
+    files_of = {
+        "sh": [common + "<houseType>다가구</houseType><totalFloorAr>120.5</totalFloorAr><plottageAr>90</plottageAr>", common + "<대지면적>80</대지면적>", common],
+        "nrg": [common + "<buildingUse>업무</buildingUse><buildingType>집합</buildingType><buildingAr>33</buildingAr><floor>3</floor>"],
+        "land": [common + "<jimok>대</jimok><dealArea>55.5</dealArea><landUse>주거</landUse><shareDealingType>지분</shareDealingType>", "<dealAmount>0</dealAmount><dealArea>5</dealArea>"],
+    }
+    got = {}
+    for kind, items in files_of.items():
+        (tmp_path / f"{kind}.xml").write_text(wrap(items), encoding="utf-8")
+        rows = files.other_trades(spark, str(tmp_path / f"{kind}.xml"), kind)
+        got[kind] = sorted((r.price, r.area_m2, r.deal_ym, r.name, r.plot_area_m2, r.subtype, r.zoning, r.floor) for r in rows.collect())
+        assert {(r.kind, r.lawd_cd, r.apt_name) for r in files.as_trades(rows, "11110").collect()} == {(kind, "11110", "")}
+    m = 500_000_000
+    assert got == {"sh": [(m, 80.0, "202603", "단독/다가구", 80.0, "", "", 0), (m, 120.5, "202603", "다가구", 90.0, "다가구", "", 0)], "nrg": [(m, 33.0, "202603", "업무", 0.0, "집합", "", 3)], "land": [(m, 55.5, "202603", "대", 0.0, "지분", "주거", 0)]}
+    (tmp_path / "b.xml").write_text(wrap(["<bldNm>가동</bldNm><useAprDay>20000315</useAprDay><totArea>100.5</totArea><grndFlrCnt>x</grndFlrCnt><violYn>1</violYn>"]), encoding="utf-8")
+    r = files.registers(spark, str(tmp_path / "b.xml")).first()
+    assert (r.name, r.approved, r.area_m2, r.floors_above, r.violation, r.purpose) == ("가동", "20000315", 100.5, 0, "1", "")
+
+
 def test_json_files(spark, tmp_path):
     (tmp_path / "l.json").write_text(json.dumps([{"court": "c", "case_no": "1", "area_m2": 1.5}]))
     r = files.listings(spark, str(tmp_path / "l.json")).first()
