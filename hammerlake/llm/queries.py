@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import audio, bpe, languages, licenses, paragraphs, piece_counts, quotes, repeats, simhash, templates
 
@@ -64,5 +63,16 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_chroma, op3_paragraphs, op4_quotes, op5_templates, op6_bpe, op7_languages, op8_token_counts, op9_licenses, op10_repeats)}
 
-#: Checked against brute force, library results or held-out accuracy in tests/llm instead, but for those given here.
-ORACLE_SQL: dict[str, str] = {}
+#: The answer to ``op4_quotes`` from the turns alone: its mail quotes the message before and that one's quotation.
+_QUOTES_SQL = """
+WITH t AS (SELECT conv_id, turn, min(text) AS text FROM conversations GROUP BY 1, 2),
+l AS (SELECT conv_id, turn, text IS NOT NULL AS said, coalesce(regexp_matches(lag(text) OVER w, '[\\p{L}\\p{N}]'), false) AS one, coalesce(regexp_matches(lag(text, 2) OVER w, '[\\p{L}\\p{N}]'), false) AS two, lag(turn) OVER w AS prev, lag(turn, 2) OVER w AS before FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+q AS (SELECT conv_id, turn, CASE WHEN said THEN one::BIGINT + two::BIGINT ELSE 0 END AS n, CASE WHEN said AND two AND NOT one THEN before ELSE prev END AS reply_to FROM l),
+h AS (SELECT *, max(turn) FILTER (n = 0) OVER (PARTITION BY conv_id ORDER BY turn) AS thread FROM q)
+SELECT c.conv_id, c.turn, c.role, trim(c.text) AS own_text, reply_to, NULL::BIGINT AS quoted_conv, n AS n_quotes, n AS n_linked, thread,
+  row_number() OVER (PARTITION BY c.conv_id ORDER BY thread, c.turn, trim(c.text) NULLS FIRST, c.role NULLS FIRST) AS position
+FROM conversations c JOIN h ON c.conv_id = h.conv_id AND c.turn = h.turn
+"""
+
+#: The others are checked against brute force, library results or held-out accuracy in tests/llm instead.
+ORACLE_SQL: dict[str, str] = {"op4_quotes": _QUOTES_SQL}
