@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from hammerlake.llm import bpe, languages, repeats, simhash, templates
 from hammerlake.llm._util import checkpoint_dir
