@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hammerlake.functions import buildings, numbers, text
-from hammerlake.operators import fuzzy, lookups, series, zones
+from hammerlake.operators import crawl, fuzzy, lookups, series, zones
 from hammerlake.plans.cases import C, K, c, chosen, in_sql
 from hammerlake.plans.registry import query
 
@@ -150,3 +150,48 @@ def fuzzy_buildings(t):
     sizes = spark.range(len(BUILDINGS) * 3).select((c("id") % len(BUILDINGS)).alias("i"), (c("id") / len(BUILDINGS)).cast("int").alias("s"))
     sizes = sizes.select(c("i").cast("string").alias("dong"), (c("i") + 1).alias("complex_no"), F.element_at(F.array(*[F.lit(x[0]) for x in BUILDINGS]), (c("i") + 1).cast("int")).alias("complex_name"), (c("s") * 10 + 59).alias("area_no"), (c("s") * 10 + 59).cast("double").alias("area_m2"))
     return fuzzy.match_buildings(rows, sizes, [K]).select(K, "complex_no", "area_no", "tier")
+
+
+@query("WITH f AS (SELECT l_suppkey, count(*) AS n, max(strftime(l_shipdate, '%Y%m%d')) AS latest FROM lineitem WHERE l_returnflag = 'R' AND l_suppkey % 3 <> 0 GROUP BY 1) SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN 7 ELSE coalesce(n, 0) END::BIGINT AS n, CASE WHEN s_suppkey % 4 = 0 THEN '19950101' WHEN s_suppkey % 2 = 0 THEN greatest(coalesce(latest, ''), '19950101') ELSE latest END AS latest, s_suppkey % 4 = 0 AS untouched FROM supplier LEFT JOIN f ON s_suppkey = l_suppkey")
+def pair_states(t):
+    stamp = lambda s: F.lit(s).cast("timestamp")
+    every = t("supplier").select("s_suppkey")
+    stored = every.where("s_suppkey % 2 = 0").select("s_suppkey", F.lit(7).cast("bigint").alias("n"), F.lit("19950101").alias("latest"), F.lit(False).alias("exhausted"), stamp("2024-01-01").alias("checked"))
+    asked = every.where("s_suppkey % 4 <> 0").withColumn("exhausted", F.lit(True))
+    found = t("lineitem").where("l_returnflag = 'R' and l_suppkey % 3 <> 0").select(c("l_suppkey").alias("s_suppkey"), F.date_format("l_shipdate", "yyyyMMdd").alias("day"))
+    state = crawl.pair_state(stored, asked, found, ["s_suppkey"], "day", stamp("2024-02-01"))
+    return state.select("s_suppkey", "n", "latest", (c("checked") < stamp("2024-02-01")).alias("untouched"))
+
+
+@query("SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus <> 'P' AND o_orderkey % 5 <> 0 AND o_orderpriority NOT IN ('1-URGENT', '5-LOW')")
+def done_keys(t):
+    status = F.when(c(K) % 5 != 0, c("o_orderpriority"))
+    return crawl.done_keys(t("orders").where("o_orderstatus <> 'P'").select(C, status.alias("status")), [C], "status", ["1-URGENT", "5-LOW"])
+
+
+@query("WITH p AS (SELECT l_suppkey, l_linenumber AS page, strftime(l_shipdate, '%Y%m%d') AS day, l_orderkey, CASE WHEN l_suppkey % 3 <> 0 THEN '19970101' END AS mark FROM lineitem WHERE l_orderkey % 40 = 0), j AS (SELECT l_suppkey, page, bool_or(mark IS NULL OR day > mark) AS new FROM p GROUP BY 1, 2), x AS (SELECT *, page - coalesce(max(CASE WHEN new THEN page END) OVER w, min(page) OVER w - 1) AS idle FROM j WINDOW w AS (PARTITION BY l_suppkey ORDER BY page)), s AS (SELECT l_suppkey, min(page) AS stop FROM x WHERE idle > 1 GROUP BY 1) SELECT p.l_suppkey, p.page, p.l_orderkey, day FROM p LEFT JOIN s USING (l_suppkey) WHERE stop IS NULL OR page <= stop")
+def early_stop(t):
+    rows = t("lineitem").where("l_orderkey % 40 = 0").select("l_suppkey", c("l_linenumber").alias("page"), F.date_format("l_shipdate", "yyyyMMdd").alias("day"), "l_orderkey", F.when(c("l_suppkey") % 3 != 0, "19970101").alias("mark"))
+    return crawl.until_known(rows, ["l_suppkey"], "page", "day", "mark").drop("mark")
+
+
+@query("WITH r AS (SELECT p_partkey, strftime(l_shipdate, '%Y%m%d') AS d, floor(l_extendedprice)::BIGINT AS p FROM part JOIN lineitem ON p_partkey = l_partkey WHERE p_size % 3 <> 0 AND l_returnflag <> 'A'), x AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY d DESC, p DESC) AS i FROM r) SELECT p_partkey, string_agg(d || ':' || p, ' ' ORDER BY i) AS trades FROM x WHERE i <= 5 GROUP BY 1")
+def confirmed_lists(t):
+    prices = t("part").select("p_partkey", c("p_partkey").alias("complex_no"), chosen("p_size", ["수동", "고신뢰", "중신뢰"]).alias("match_conf"))
+    trades = t("lineitem").select(c("l_partkey").alias("complex_no"), F.date_format("l_shipdate", "yyyyMMdd").alias("trade_ymd"), F.floor("l_extendedprice").cast("bigint").alias("price"), (c("l_returnflag") == "A").cast("int").alias("deleted"))
+    found = crawl.trade_lists(prices, trades, ["p_partkey"], ["complex_no"], ["고신뢰", "중신뢰"], 5)
+    return found.select("p_partkey", F.array_join(F.transform("trades", lambda x: F.concat_ws(":", x["trade_ymd"], x["price"].cast("string"))), " ").alias("trades"))
+
+
+@query("WITH x AS (SELECT l_orderkey, strftime(l_shipdate, '%Y%m%d') AS date, l_linenumber // 2 * 10 AS price, row_number() OVER w AS r, lag(l_linenumber // 2 * 10) OVER w AS b FROM lineitem WHERE l_linenumber // 2 > 0 WINDOW w AS (PARTITION BY l_orderkey ORDER BY strftime(l_shipdate, '%Y%m%d'), l_linenumber // 2 * 10)), u AS (SELECT l_orderkey, date, price, r || '차' AS label, 0 AS z FROM x WHERE b IS DISTINCT FROM price UNION ALL SELECT o_orderkey, '20991231', 5, '현재', 1 FROM orders) SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY z, date, price)::INTEGER AS nth, date, price, label FROM u")
+def labelled_steps(t):
+    rounds = t("lineitem").select("l_orderkey", F.date_format("l_shipdate", "yyyyMMdd").alias("date"), (F.floor(c("l_linenumber") / 2) * 10).alias("price"))
+    now = t("orders").select(c(K).alias("l_orderkey"), F.lit("20991231").alias("date"), F.lit(5).cast("bigint").alias("price"))
+    return crawl.labelled_steps(rounds, ["l_orderkey"], "date", "price", now)
+
+
+@query("WITH b AS (SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50), s AS (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING max(l_shipdate) > TIMESTAMP '1998-06-01' - INTERVAL 30 DAY) SELECT o_orderkey FROM b WHERE o_orderstatus <> 'F' AND o_orderkey NOT IN (SELECT l_orderkey FROM s) ORDER BY o_totalprice DESC, o_orderkey LIMIT 5")
+def fresh_picks(t):
+    rows = t("orders").select(K, "o_totalprice", "o_orderstatus")
+    sent = t("lineitem").select(c("l_orderkey").alias(K), c("l_shipdate").cast("timestamp").alias("at"))
+    return crawl.picks(rows, [F.desc("o_totalprice"), c(K)], c("o_orderstatus") == "F", sent, [K], F.lit("1998-06-01").cast("timestamp")).select(K)
