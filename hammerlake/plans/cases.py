@@ -115,7 +115,7 @@ USAGES = [("아파트", "아파트"), ("상가,오피스텔", "혼합"), ("아
 CODES = [("20104", "아파트"), ("", None), ("10105", "토지"), ("99999", None), ("22101", "공장")]
 RECORD_FIELDS = {
     "area_m2": ([("철근 33.56㎡", 33.56), ("면적 없음", 84.0), ("120 ㎡ 외 3㎡", 120.0)], lambda x: records.area(x, F.lit("84㎡"))),
-    "lawd_cd": ([("11110", "11110"), (",47290", "47290"), ("5115,42150", "42150"), ("12,34", "1234")], records.district),
+    "lawd_cd": ([("11110", "11110"), (",47290", "47290"), ("5115, 42150", "42150"), ("12,34", "1234")], records.district),
     "share": ([("갑구 2분의 1 지분 전부", True), ("공유자 전원의 지분 1/2", False), ("지분 3분의 1", True), ("500분의 21.7", False)], lambda x: records.share_sale(x, F.lit("없음"))),
     "floor": ([("금 295,400,000원의 매수신청", 295_400_000), ("없음", 0), ("1,000,000원 매수신청, 2,000,000원 매수신청", 2_000_000)], records.creditor_floor),
     "case_no": ([("20230130002726", "2023타경2726"), ("20230131002726", None), ("2023", None)], records.case_number),

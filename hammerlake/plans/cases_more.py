@@ -8,6 +8,7 @@ from hammerlake.functions import buildings, numbers, text
 from hammerlake.operators import crawl, fuzzy, lookups, series, zones
 from hammerlake.plans.cases import C, K, c, chosen, in_sql
 from hammerlake.plans.registry import query
+from hammerlake.sources import details
 
 MONTH = "(year({0}) * 12 + month({0}))"
 
@@ -195,3 +196,34 @@ def fresh_picks(t):
     rows = t("orders").select(K, "o_totalprice", "o_orderstatus")
     sent = t("lineitem").select(c("l_orderkey").alias(K), c("l_shipdate").cast("timestamp").alias("at"))
     return crawl.picks(rows, [F.desc("o_totalprice"), c(K)], c("o_orderstatus") == "F", sent, [K], F.lit("1998-06-01").cast("timestamp")).select(K)
+
+
+@query("SELECT o_orderkey, o_orderkey % 7 <> 0 AS known, CASE WHEN o_orderkey % 7 <> 0 THEN n END::INTEGER AS tenants, CASE WHEN o_orderkey % 7 <> 0 THEN coalesce(dep, 0) END::BIGINT AS deposits, CASE WHEN o_orderkey % 3 <> 0 THEN '폐문부재' || chr(10) || '임차인 [성명] 전입' END AS possession FROM orders JOIN (SELECT l_orderkey, count(*) AS n, sum(l_linenumber * 10000000) FILTER (l_returnflag = 'R') AS dep FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
+def survey_tenants(t):
+    tenant = F.struct(F.date_format("l_shipdate", "yyyy.MM.dd").alias("mvinDtlCtt"), F.when(c("l_returnflag") == "R", F.concat(F.lit("금"), (c("l_linenumber") * 1000).cast("string"), F.lit("만원"))).alias("lesDposDts"))
+    homes = t("lineitem").groupBy(c("l_orderkey").alias(K)).agg(F.collect_list(tenant).alias("list"))
+    place = F.array(F.struct(F.when(c(K) % 3 != 0, "폐문부재<br/> 임차인 홍길동 전입 ").alias("gdsPossCtt")))
+    body = F.to_json(F.struct(F.struct((c(K) % 7 != 0).alias("ipcheck"), c("list").alias("dlt_ordTsLserLtn"), place.alias("dlt_ordTsRlet")).alias("result")))
+    found = details.surveys(t("orders").select(K).join(homes, K).select(K, body.alias("body")), [K])
+    return found.select(K, "known", F.when(c("tenants").isNotNull(), F.size("tenants")).alias("tenants"), F.aggregate("tenants", F.lit(0).cast("bigint"), lambda s, x: s + x["deposit"]).alias("deposits"), "possession")
+
+
+@query("WITH x AS (SELECT l_orderkey, strftime(l_shipdate, '%Y-%m-%d') AS d, floor(l_extendedprice)::BIGINT AS p, l_returnflag AS f, l_linenumber FROM lineitem) SELECT l_orderkey, min(d) AS first_day, arg_min(p, d || lpad(p::VARCHAR, 12, '0')) FILTER (l_linenumber <> 2) AS appraisal_price, arg_max(p, d || lpad(p::VARCHAR, 12, '0')) FILTER (l_linenumber <> 2) AS min_bid_price, count(*) FILTER (f = 'N')::INTEGER AS fail_count, '채무자 [성명] & 은행' AS senior_lien, '가' || chr(10) || '나' AS remark, 1234::BIGINT AS claim_amt FROM x GROUP BY 1")
+def detail_rows(t):
+    round_ = F.struct(F.date_format("l_shipdate", "yyyyMMdd").alias("dxdyYmd"), F.when(c("l_returnflag") == "N", "002").otherwise("001").alias("auctnDxdyRsltCd"), F.when(c("l_linenumber") == 2, "-").otherwise(F.floor("l_extendedprice").cast("string")).alias("tsLwsDspslPrc"))
+    rounds = t("lineitem").groupBy("l_orderkey").agg(F.collect_list(round_).alias("gdsDspslDxdyLst"))
+    sale = F.struct(F.lit("가 ").alias("gdsSpcfcRmk"), F.lit("나").alias("dspslGdsRmk"), F.lit("채무자 홍길동 &amp;amp; 은행").alias("tprtyRnkHypthcStngDts"))
+    body = F.to_json(F.struct(F.struct(F.lit("1,234").alias("clmAmt")).alias("csBaseInfo"), sale.alias("dspslGdsDxdyInfo"), "gdsDspslDxdyLst"))
+    found = details.details(rounds.select("l_orderkey", body.alias("body")), ["l_orderkey"], {}, {"001": "매각", "002": "유찰"}, {})
+    found = found.withColumn("v", details.case_view(c("schedule")))
+    return found.select("l_orderkey", F.element_at("schedule", -1)["ymd"].alias("first_day"), "v.appraisal_price", "v.min_bid_price", "v.fail_count", "senior_lien", "remark", "claim_amt")
+
+
+COURTS = [("광주지방법원", "B1"), ("광주", "B1"), ("수원 지방법원", None), ("지방법원", None), ("서울중앙지방법원", "B2"), ("", None), (None, None)]
+
+
+@query(f"SELECT o_orderkey, {in_sql(K, [x[1] for x in COURTS])} AS code, ([ '의정부지방법원 고양지원', '인천지방법원 북부지원', '수원지방법원', ''])[(o_custkey % 4 + 1)::INTEGER] AS full_name FROM orders")
+def court_codes(t):
+    raw = t("orders").select(chosen(K, ["광주지방법원", "서울중앙지방법원"]).alias("court"), chosen(K, ["B1 ", "B2"]).alias("code"))
+    rows = t("orders").select(K, chosen(K, [x[0] for x in COURTS]).alias("name"), details.full_court_name(chosen(C, ["고양지원", "인천북부지원", "수원지방법원", None]), {"인천북부지원": "인천지방법원 북부지원"}, {"고양지원": "의정부지방법원"}).alias("full_name"))
+    return details.office_code(rows, "name", details.codes_of_courts(raw)).select(K, "code", "full_name")
