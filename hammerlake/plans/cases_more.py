@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hammerlake.functions import buildings, numbers, text
-from hammerlake.operators import crawl, fuzzy, lookups, series, zones
+from hammerlake.operators import crawl, fuzzy, lookups, series, walks, zones
 from hammerlake.plans.cases import C, K, c, chosen, in_sql
 from hammerlake.plans.registry import query
-from hammerlake.sources import details
+from hammerlake.sources import details, records
 
 MONTH = "(year({0}) * 12 + month({0}))"
 
@@ -227,3 +227,52 @@ def court_codes(t):
     raw = t("orders").select(chosen(K, ["광주지방법원", "서울중앙지방법원"]).alias("court"), chosen(K, ["B1 ", "B2"]).alias("code"))
     rows = t("orders").select(K, chosen(K, [x[0] for x in COURTS]).alias("name"), details.full_court_name(chosen(C, ["고양지원", "인천북부지원", "수원지방법원", None]), {"인천북부지원": "인천지방법원 북부지원"}, {"고양지원": "의정부지방법원"}).alias("full_name"))
     return details.office_code(rows, "name", details.codes_of_courts(raw)).select(K, "code", "full_name")
+
+
+@query("WITH e AS (SELECT event_id, unnest(json_keys(props)) AS k, props FROM events) SELECT event_id, 'props.' || k AS path, json_extract_string(props, '$.' || k) AS value FROM e UNION ALL SELECT event_id, 'seen[0]', event_type FROM events UNION ALL SELECT event_id, 'seen[1].user', user_id::VARCHAR FROM events")
+def json_walk(t):
+    seen = F.concat(F.lit('["'), c("event_type"), F.lit('", {"user": '), c("user_id").cast("string"), F.lit("}]"))
+    body = F.concat(F.lit('{"props": '), c("props"), F.lit(', "seen": '), seen, F.lit("}"))
+    return walks.json_walk(t("events").select("event_id", body.alias("body")), ["event_id"], "body")
+
+
+@query("WITH x AS (SELECT doc_id % 7 AS round, lower(text) AS t FROM documents WHERE text IS NOT NULL), y AS (SELECT round, 'license' AS label FROM x WHERE regexp_matches(t, 'licen[sc]e') UNION ALL SELECT round, 'mail' FROM x WHERE regexp_matches(t, '@') UNION ALL SELECT round, 'other' FROM x WHERE NOT regexp_matches(t, 'licen[sc]e') AND NOT regexp_matches(t, '@')) SELECT label, min(round) AS first_round, count(DISTINCT round) AS rounds, count(*) AS n FROM y GROUP BY 1")
+def text_classes(t):
+    rows = t("documents").select((c("doc_id") % 7).alias("round"), F.lower("text").alias("text"))
+    return walks.class_rounds(walks.classify(rows, ["round"], "text", {"license": "licen[sc]e", "mail": "@"}), "round")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE 'none' END AS grade, CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE 0 END::INTEGER AS burden FROM orders")
+def schema_growth(t):
+    o = t("orders")
+    new = o.where(c(K) % 2 == 0).select(K, c("o_orderpriority").alias("grade"), F.lit(None).cast("int").alias("burden"))
+    defaults = {"grade": F.lit("none"), "burden": F.lit(0)}
+    return walks.grown(new, defaults).unionByName(walks.grown(o.where(c(K) % 2 != 0).select(K), defaults))
+
+
+@query("SELECT o_orderkey, n::BIGINT AS lines FROM orders JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey WHERE n <> o_orderkey % 7 + 1 OR o_orderkey % 5 = 0")
+def mirror_refresh(t):
+    stored = t("orders").select(K, F.when(c(K) % 5 != 0, c(K) % 7 + 1).alias("lines"))
+    return walks.refreshed(stored, [K], "lines", t("lineitem").groupBy(c("l_orderkey").alias(K)).agg(F.count(F.lit(1)).alias("lines")))
+
+
+@query("WITH x AS (SELECT CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey % 100 END AS score, hit FROM orders JOIN (SELECT l_orderkey, bool_or(l_returnflag = 'R') AS hit FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey) SELECT count(score) AS n, count(*) FILTER (score >= 80) AS picked, count(*) FILTER (score >= 80 AND hit) AS hits, count(*) FILTER (score >= 80 AND hit)::DOUBLE / nullif(count(*) FILTER (score >= 80), 0) AS precision FROM x")
+def score_precision(t):
+    rows = t("orders").select(K, F.when(c(K) % 3 != 0, c(C) % 100).alias("score"))
+    outcomes = t("lineitem").groupBy(c("l_orderkey").alias(K)).agg(F.bool_or(c("l_returnflag") == "R").alias("hit"))
+    return walks.precision(rows, outcomes, [K], "score", c("hit"), 80)
+
+
+@query("SELECT DISTINCT c_custkey AS asked, o_orderkey FROM customer JOIN orders ON CASE WHEN c_custkey % 2 = 0 THEN o_orderkey % 1000 = c_custkey AND year(o_orderdate) = 1996 ELSE o_orderkey % 1000 = c_custkey END WHERE c_custkey > 0")
+def case_lookup(t):
+    # a question has a year and a number, or the number alone: then all years are candidates
+    asked = t("customer").where("c_custkey > 0").select(c("c_custkey").alias("asked"), records.case_query(F.concat(F.when(c("c_custkey") % 2 == 0, "1996타경").otherwise("번호 "), c("c_custkey").cast("string"))).alias("q"))
+    cases = t("orders").select(K, F.year("o_orderdate").alias("year"), (c(K) % 1000).alias("serial"))
+    met = asked.select("asked", "q.*").withColumnRenamed("year", "asked_year").join(cases, "serial")
+    return met.where("asked_year is null or asked_year = year").select("asked", K).distinct()
+
+
+@query("SELECT l_suppkey, l_partkey, string_agg(DISTINCT l_shipmode, '|' ORDER BY l_shipmode) AS tags FROM (SELECT l_suppkey, l_partkey, l_returnflag || l_linestatus AS l_shipmode FROM lineitem) GROUP BY 1, 2")
+def joined_tags(t):
+    tag = F.concat("l_returnflag", "l_linestatus")
+    return t("lineitem").groupBy("l_suppkey", "l_partkey").agg(F.array_join(F.array_sort(F.collect_set(tag)), "|").alias("tags"))
