@@ -289,6 +289,47 @@ def test_break_even_is_the_last_bid_with_a_profit(spark):
         assert r.most is None if net(0) <= 0 else net(r.most) > 0 >= net(r.most + 1)
 
 
+def test_coordinates_against_the_way_back(spark):
+    """Degrees to projected metres, step by step in plain Python, and back by the columns."""
+    import math
+
+    from hammerlake.functions import coords as G
+
+    def space(lon, lat, a, f):
+        e2 = f * (2 - f)
+        n = a / math.sqrt(1 - e2 * math.sin(lat) ** 2)
+        return n * math.cos(lat) * math.cos(lon), n * math.cos(lat) * math.sin(lon), n * (1 - e2) * math.sin(lat)
+
+    def project(lon, lat):
+        x, y, z = space(math.radians(lon), math.radians(lat), *G.WGS84)
+        dx, dy, dz, *angles, ppm = G.SHIFT
+        rx, ry, rz = (math.radians(v / 3600) for v in angles)
+        p, q, s = x - dx, y - dy, z - dz
+        for _ in range(20):  # the shift's inverse, by iteration
+            k = 1 + ppm * 1e-6
+            u, v, w = k * (p - rz * q + ry * s), k * (rz * p + q - rx * s), k * (-ry * p + rx * q + s)
+            p, q, s = p + x - dx - u, q + y - dy - v, s + z - dz - w
+        a, f = G.BESSEL
+        e2, lon, lat = f * (2 - f), math.atan2(q, p), math.atan2(s, math.hypot(p, q) * (1 - f * (2 - f)))
+        for _ in range(20):
+            n = a / math.sqrt(1 - e2 * math.sin(lat) ** 2)
+            lat = math.atan2(s + e2 * n * math.sin(lat), math.hypot(p, q))
+        n, t, c, d = a / math.sqrt(1 - e2 * math.sin(lat) ** 2), math.tan(lat) ** 2, e2 / (1 - e2) * math.cos(lat) ** 2, (lon - math.radians(G.LON_0)) * math.cos(lat)
+        ep2 = e2 / (1 - e2)
+        east = G.SCALE * n * (d + (1 - t + c) * d**3 / 6 + (5 - 18 * t + t * t + 72 * c - 58 * ep2) * d**5 / 120)
+        north = G.SCALE * (G._meridian(lat, a, e2) - G._meridian(math.radians(G.LAT_0), a, e2) + n * math.tan(lat) * (d * d / 2 + (5 - t + 9 * c + 4 * c * c) * d**4 / 24 + (61 - 58 * t + t * t + 600 * c - 330 * ep2) * d**6 / 720))
+        return G.X_0 + east, G.Y_0 + north
+
+    places = [(126.978, 37.5665, "서울특별시 중구"), (129.075, 35.18, "부산광역시 연제구"), (126.53, 33.5, "제주특별자치도"), (128.0, 38.0, "강원도"), (130.9, 37.2, "경상북도")]
+    rows = spark.createDataFrame([(*project(lon, lat), lon, lat, a) for lon, lat, a in places] + [(0.0, 5.0, None, None, None), (None, 1.0, None, None, None)], "x double, y double, lon double, lat double, address string")
+    got = rows.select("*", G.to_wgs84(F.col("x"), F.col("y")).alias("g")).collect()
+    assert all(abs(r.g.lon - r.lon) < 1e-7 and abs(r.g.lat - r.lat) < 1e-7 for r in got[:5]) and [r.g for r in got[5:]] == [None, None]
+    # Seoul's city hall in the projection, as maps of that time have it
+    assert abs(got[0].x - 309_950) < 150 and abs(got[0].y - 552_100) < 150
+    ok = rows.where("lon is not null").select(G.plausible(F.col("lon"), F.col("lat"), F.col("address")), G.plausible(F.col("lon"), F.col("lat"), F.lit("대구광역시"))).collect()
+    assert [tuple(r) for r in ok] == [(True, False)] * 5
+
+
 def test_numbers(spark):
     one = spark.range(1)
     assert one.select(numbers.lenient_number(F.lit("1,234.9")), numbers.lenient_number(F.lit("-")), numbers.iso_date(F.lit("20260701"))).first()[:] == (1234, None, "2026-07-01")
