@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, bpe, languages, licenses, paragraphs, periodic, piece_counts, quotes, repeats, simhash, templates, tries
+from . import audio, bpe, jaccard, languages, licenses, paragraphs, periodic, piece_counts, quotes, repeats, simhash, templates, tries
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digest(repeats.remove_repeats(_table(spark, sf_dir, "documents")))
 
 
+def op11_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(_table(spark, sf_dir, "documents"))
+
+
 def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digest(periodic.find_runs(periodic.repeat_tails(_table(spark, sf_dir, "documents"))))
 
@@ -69,7 +73,7 @@ def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tries.prefix_trie(tries.rebuilt(_table(spark, sf_dir, "conversations")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_chroma, op3_paragraphs, op4_quotes, op5_templates, op6_bpe, op7_languages, op8_token_counts, op9_licenses, op10_repeats, op12_runs, op13_trie)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_chroma, op3_paragraphs, op4_quotes, op5_templates, op6_bpe, op7_languages, op8_token_counts, op9_licenses, op10_repeats, op11_jaccard, op12_runs, op13_trie)}
 
 #: The answer to ``op4_quotes`` from the turns alone: its mail quotes the message before and that one's quotation.
 _QUOTES_SQL = """
