@@ -485,4 +485,4 @@ def test_pipeline(spark, docs):
 
 
 def test_queries_are_registered():
-    assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{n}" for n in range(1, 14)]
