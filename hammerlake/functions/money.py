@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -77,6 +79,10 @@ DEFAULTS = {"holding_months": 6, "assumed": 0, "eviction": 3_000_000, "repair":
 MOST_LOAN = 0.80
 
 
+#: How an amount is rounded to whole won.
+Rounding = Callable[[Column], Column]
+
+
 def _won(x: Column) -> Column:
     return F.bround(x).cast("bigint")
 
@@ -92,18 +98,18 @@ def stamp_tax(price: Column) -> Column:
     return _first([(None if cap is None else price <= cap, F.lit(v).cast("bigint")) for cap, v in STAMPS])
 
 
-def agent_fee(sale: Column, kind: Column, area: Column) -> Column:
+def agent_fee(sale: Column, kind: Column, area: Column, won: Rounding = _won) -> Column:
     """An agent's highest fee for a sale: by brackets, some with a limit, for housing; a rate for small offices and for the rest."""
-    fee = lambda rate, most: _won(sale * rate) if most is None else F.least(_won(sale * rate), F.lit(most).cast("bigint"))
+    fee = lambda rate, most: won(sale * rate) if most is None else F.least(won(sale * rate), F.lit(most).cast("bigint"))
     housing = _first([(None if cap is None else sale < cap, fee(rate, most)) for cap, rate, most in HOUSING_FEES])
     k = F.trim(F.coalesce(kind, F.lit("")))
     small = F.contains(k, F.lit(OFFICE)) & (area > 0) & (area <= SMALL_AREA)
     return F.when(sale <= 0, F.lit(0).cast("bigint")).when(k.isin(HOUSING), housing).when(small, fee(OFFICE_FEE, None)).otherwise(fee(OTHER_FEE, None))
 
 
-def progressive(base: Column, more: float = 0.0) -> Column:
+def progressive(base: Column, more: float = 0.0, won: Rounding = _won) -> Column:
     """Progressive tax, with a surcharge on each bracket's rate; nothing on a loss."""
-    return F.when(base <= 0, F.lit(0).cast("bigint")).otherwise(_first([(None if cap is None else base <= cap, F.greatest(F.lit(0).cast("bigint"), _won(base * (rate + more)) - less)) for cap, rate, less in INCOME_BRACKETS]))
+    return F.when(base <= 0, F.lit(0).cast("bigint")).otherwise(_first([(None if cap is None else base <= cap, F.greatest(F.lit(0).cast("bigint"), won(base * (rate + more)) - less)) for cap, rate, less in INCOME_BRACKETS]))
 
 
 def _short_rate(months: Column, housing: Column) -> Column:
@@ -111,12 +117,12 @@ def _short_rate(months: Column, housing: Column) -> Column:
     return _first([(months < m, F.when(housing, F.lit(a)).otherwise(F.lit(b))) for m, (a, b) in SHORT_TERM.items()])
 
 
-def sale_tax(sale: Column, bought: Column, narrow: Column, broad: Column, months: Column, kind: Column, mode: str = "dealer", houses: int = 1, regulated: bool = False) -> Column:
+def sale_tax(sale: Column, bought: Column, narrow: Column, broad: Column, months: Column, kind: Column, mode: str = "dealer", houses: int = 1, regulated: bool = False, won: Rounding = _won) -> Column:
     """The tax of a sale with its local tax, for one who sells privately, as a dealer, or untaxed ('individual', 'dealer', 'none').
 
     A private sale is taxed by a flat rate within two years, else progressively behind a deduction for long holding; a dealer
     progressively, on what is left after all expenses. Several homes in a regulated area are surcharged: then there is no
-    such deduction, and the highest of the candidates counts. A loss isn't taxed.
+    such deduction, and the highest of the candidates counts. A loss isn't taxed. ``won`` rounds.
     """
     k = F.trim(F.coalesce(kind, F.lit("")))
     housing = k.isin(HOUSING) | F.contains(k, F.lit(OFFICE))
@@ -126,17 +132,17 @@ def sale_tax(sale: Column, bought: Column, narrow: Column, broad: Column, months
     zero = F.lit(0).cast("bigint")
     if mode == "none":
         return zero
-    surcharged = F.when(heavy, progressive(F.greatest(zero, gain - BASIC_DEDUCTION), extra or 0.0)).otherwise(zero)
+    surcharged = F.when(heavy, progressive(F.greatest(zero, gain - BASIC_DEDUCTION), extra or 0.0, won)).otherwise(zero)
     if mode == "dealer":
-        own = progressive(F.greatest(zero, sale - bought - broad))
-        short = F.when(heavy & flat.isNotNull(), _won(F.greatest(zero, gain - BASIC_DEDUCTION) * flat)).otherwise(zero)
+        own = progressive(F.greatest(zero, sale - bought - broad), 0.0, won)
+        short = F.when(heavy & flat.isNotNull(), won(F.greatest(zero, gain - BASIC_DEDUCTION) * flat)).otherwise(zero)
         tax = F.greatest(own, surcharged, short)
     else:
         years = F.floor(months / 12)
         long_term = F.when(heavy | flat.isNotNull() | (years < LONG_TERM_YEARS), F.lit(0.0)).otherwise(F.least(F.lit(LONG_TERM_MOST), years * LONG_TERM_RATE))
-        base = F.greatest(zero, gain - _won(gain * long_term) - BASIC_DEDUCTION)
-        tax = F.when(gain <= 0, zero).otherwise(F.greatest(F.when(flat.isNotNull(), _won(base * flat)).otherwise(progressive(base)), surcharged))
-    return tax + _won(tax * LOCAL_TAX)
+        base = F.greatest(zero, gain - won(gain * long_term) - BASIC_DEDUCTION)
+        tax = F.when(gain <= 0, zero).otherwise(F.greatest(F.when(flat.isNotNull(), won(base * flat)).otherwise(progressive(base, 0.0, won)), surcharged))
+    return tax + won(tax * LOCAL_TAX)
 
 
 def simulate(bid: Column, sale: Column, kind: Column, area: Column, houses: int = 1, regulated: bool = False, corporation: bool = False, **over) -> Column:

@@ -359,4 +359,4 @@ def raw_parse(t):
     return t("conversations").select("conv_id", "turn", "role", F.posexplode(F.split("text", r"\. ", -1)).alias("k", "sentence"))
 
 
-from hammerlake.plans import cases, cases_more  # noqa: E402, F401  register their queries
+from hammerlake.plans import cases, cases_flows, cases_more  # noqa: E402, F401  register their queries
