@@ -22,8 +22,8 @@ SIMILARITY = (4, 5)
 COUNTERS, COUNTERS_SENT = 1 << 21, 1 << 14
 #: Bits of a signature for each element, and the most of a signature.
 BITS_EACH, MOST_BITS = 2, 1 << 15
-#: Members of a tile that one task compares with each other; more are divided in blocks.
-HOT_TILE = 1024
+#: Members of a tile that one task compares with each other, and bytes that they have; more are divided in blocks.
+HOT_TILE, HOT_BYTES = 4096, 64 << 20
 #: Rows that are joined by broadcast at most (16 bytes each).
 BROADCAST_ROWS = 1_000_000
 
@@ -211,12 +211,12 @@ def _linked(batches: Iterator[pa.RecordBatch], comparer: Callable) -> Iterator[p
 def connect(members: DataFrame, walk: Callable) -> DataFrame:
     """Links that connect the ``(tile, cls, n, load)`` of each tile as ``walk`` finds them alike.
 
-    A tile with more than ``HOT_TILE`` members is divided in blocks, each with the tile's first member: what is like it,
+    A tile with more than ``HOT_TILE`` members or ``HOT_BYTES`` is divided in blocks, each with the tile's first member: what is like it,
     or like what is like it, is connected after that. Then those outside the largest group of a tile meet all its
     blocks, and nothing else does; pairs within that group need no comparison.
     """
-    sizes = members.groupBy("tile").agg(F.count(F.lit(1)).alias("m"), F.min("cls").alias("head")).where("m > 1")
-    dealt = members.join(sizes, "tile").withColumn("blocks", F.ceil(F.col("m") / HOT_TILE).cast("int"))
+    sizes = members.groupBy("tile").agg(F.count(F.lit(1)).alias("m"), F.sum(F.length("load")).alias("bytes"), F.min("cls").alias("head")).where("m > 1")
+    dealt = members.join(sizes, "tile").withColumn("blocks", F.ceil(F.greatest(F.col("m") / HOT_TILE, F.col("bytes") / HOT_BYTES)).cast("int"))
     block = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
     first = dealt.withColumn("part", F.explode(F.when(F.col("cls") == F.col("head"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(block)))).withColumn("other", F.lit(True))
     layout = ["tile", "part", "cls", "n", "other", "load"]
