@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -15,11 +16,14 @@ PROVINCES = ["서울", "부산", "대구", "인천", "광주", "대전", "울산
 # Spellings of brands in the order in which they are replaced, roles beside which names stand, what isn't a name, endings
 # of companies, and particles, the longest first.
 BRANDS = [("lh", "엘에이치"), ("gs", "지에스"), ("sk", "에스케이"), ("kcc", "케이씨씨"), ("e편한세상", "이편한세상"), ("xi", "자이")]
-ROLES = "임차인|채무자|소유자|채권자|임대인|전세권자|공유자|점유자|신청인|상속인|배우자|임차권자|연고자|유치권자"
+ROLES = ["주택임차권자", "유치권신고인", "유치권자", "임차권자", "근저당권설정자", "근저당권자", "가압류권자", "전세권자", "지상권자", "전세권설정자", "채권자", "채무자", "소유자", "공유자", "임차인", "임대인", "점유자", "신청인", "배우자", "상속인", "연고자"]
+ROLE_ENDINGS, PERSONS = ["권자", "신고인", "설정자", "의무자"], ["세입자", "거주자", "동거인", "대표자", "관리인"]
 NO_NAMES = {"공유자", "채무자", "소유자", "소유권", "임차인", "점유자", "신청인", "배우자", "상속인", "전원", "갑구", "을구", "지분", "대지권", "전부", "일부", "비율", "토지", "건물", "청구", "매각", "소유", "부분", "구분", "등기", "명의", "증여", "매매", "공유", "성명", "상속", "임대인", "임차권자", "연고자", "유치권자", "제출", "제출한", "확약서", "보정서", "동의서", "포기서", "신고서", "서면", "대리인", "주식", "있으며", "있음", "없으며", "없음", "미상", "불명", "다수", "수인", "본인", "모두", "각각", "해당", "동일", "상기", "전술", "아래", "기타", "및", "또는", "외의", "위의", "법인"}
 COMPANIES = ("은행", "카드", "캐피탈", "보험", "증권", "생명", "화재", "신탁", "저축", "대부", "공사", "공단", "금고", "신협", "농협", "수협", "축협", "조합", "재단", "협회", "공제", "센터", "관리단", "자산관리", "파이낸셜", "회사", "법인", "중앙회", "전력")
 PARTICLES = ["으로부터", "로부터", "으로", "에게", "에서", "부터", "로", "은", "는", "이", "가", "의", "에", "와", "과", "도", "만", "께", "님", "을", "를"]
-MASK, CANARY = "[성명]", r"(?:세입자|거주자|동거인|대표자|관리인)\s*[가-힣]{2,4}(?=[\s,.)]|$)"
+MASK = "[성명]"
+#: Roles as one pattern, longer ones first, as some begin others.
+_ROLE = "|".join(sorted(ROLES, key=len, reverse=True))
 WEEKDAYS = ["월", "화", "수", "목", "금", "토", "일"]
 
 
@@ -70,15 +74,27 @@ def korean_number(text: Column) -> Column:
     return F.when(F.coalesce(eok, man, cheon, bare).isNotNull(), total)
 
 
+def _is_name(word: str) -> tuple[str, str] | None:
+    """A word as a person's name and the particle behind it, or None if it is none."""
+    stem = next((word[: -len(j)] for j in PARTICLES if word.endswith(j) and len(word) - len(j) >= 2), word)
+    lawful = stem in NO_NAMES or word in NO_NAMES or stem in ROLES or word in ROLES
+    if not 2 <= len(stem) <= 4 or lawful or stem.endswith(COMPANIES) or word.endswith(COMPANIES):
+        return None
+    return stem, word[len(stem) :]
+
+
+# a role, perhaps with a particle or a second role behind it, then a list of words; a name before what it owns
+_BEHIND = re.compile(rf"((?:{_ROLE})[은는이가]?[\s:：]+(?:(?:{_ROLE})[\s:：]+)?)([가-힣]+(?:\s*[,，·]\s*[가-힣]+)*)(?!\s*\(주)")
+_BEFORE = re.compile(rf"(?<![가-힣])([가-힣]{{2,6}})(?=\s*(?:\((?:{_ROLE})|지분|소유(?![자권])))")
+
+
 def _masked(text: str) -> str:
-    def one(token: str) -> str:
-        stem = next((token[: -len(j)] for j in PARTICLES if token.endswith(j) and len(token) - len(j) >= 2), token)
-        if not 2 <= len(stem) <= 4 or stem in NO_NAMES or token in NO_NAMES or stem.endswith(COMPANIES) or token.endswith(COMPANIES):
-            return token
-        return MASK + token[len(stem) :]
+    def one(word: str) -> str:
+        found = _is_name(word)
+        return MASK + found[1] if found else word
 
-    behind = re.sub(rf"((?:{ROLES})[은는이가]?\s*[:：]?\s*)((?:{ROLES})\s+)?([가-힣]+(?:\s*[,，·]\s*[가-힣]+)*)", lambda m: m[1] + (m[2] or "") + re.sub(r"[가-힣]+", lambda x: one(x[0]), m[3]), text)
-    return re.sub(rf"(?<![가-힣])([가-힣]{{2,6}})(?=\s*(?:\((?:{ROLES})|지분))", lambda m: one(m[1]), behind)
+    behind = _BEHIND.sub(lambda m: m[1] + re.sub(r"[가-힣]+", lambda x: one(x[0]), m[2]), text)
+    return _BEFORE.sub(lambda m: one(m[1]), behind)
 
 
 @F.pandas_udf(StringType())
@@ -89,8 +105,23 @@ def masked_names(texts: pd.Series) -> pd.Series:
 
 
 def names_left(masked: Column) -> Column:
-    """Whether a masked text still has what looks like a name behind a word for a person that no role covers: a canary."""
-    return masked.rlike(CANARY)
+    """Whether a masked text still has what looks like a name behind a word for a person that is no role of ``ROLES``: a canary.
+
+    Courts coin such words; they have one of few endings, so that a new one is told by it and not by a list.
+    """
+    coined = rf"(?<![가-힣])(?!(?:{_ROLE})[\s:：])[가-힣]{{1,6}}(?:{'|'.join(ROLE_ENDINGS)})[\s:：]+"
+    person = rf"(?:{'|'.join(PERSONS)})\s*"
+    nobody = rf"(?![가-힣]*(?:{'|'.join(COMPANIES)}))(?!(?:{'|'.join(sorted(NO_NAMES))})(?![가-힣]))"
+    return masked.rlike(rf"(?:{coined}|{person}){nobody}[가-힣]{{2,4}}(?=[^가-힣]|(?:{'|'.join(PARTICLES)})|$)")
+
+
+def remasked(rows: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """``(keys, columns)`` with names masked, of the rows in which that changes something: all that a store has to write again."""
+    new = rows.select(*keys, *[F.col(c).alias(f"_{c}") for c in columns], *[masked_names(F.col(c)).alias(c) for c in columns])
+    changed = F.lit(False)
+    for c in columns:
+        changed = changed | ~F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return new.where(changed).select(*keys, *columns)
 
 
 def floor_of(address: Column) -> Column:

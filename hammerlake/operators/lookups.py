@@ -78,3 +78,9 @@ def round_robin(rows: DataFrame, group: str, order: Sequence[Column], n: int) ->
     ``n`` rows of a group at most."""
     ranked = rows.withColumn("turn", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("turn") <= n)
     return ranked.orderBy("turn", group).limit(n)
+
+
+def absent_keys(watched: DataFrame, present: DataFrame, key: str, forms: Sequence[Column]) -> DataFrame:
+    """The distinct keys of ``watched`` that no row of ``present`` has in any of its ``forms`` (whole keys, older short ones)."""
+    there = present.select(F.explode(F.array(*forms)).alias(key))
+    return watched.select(key).distinct().join(there, key, "left_anti")

@@ -60,6 +60,27 @@ def fingerprint_link(left: DataFrame, right: DataFrame, left_key: str, right_key
     return top.where((F.col("shared") >= least) & (F.col("shared") >= coverage * F.col("of")) & (F.col("shared") >= margin * F.col("second"))).drop("second")
 
 
+def top_up(links: DataFrame, left: DataFrame, right: DataFrame, left_key: str, right_key: str, month: str, price: str, floor: str, open_months: int = 2, most: int = 20) -> DataFrame:
+    """``(left_key, month, price, floor)``: what linked right groups have and left ones haven't got yet, the newest ``most`` of each.
+
+    A multiset difference: equal trades are numbered, so that of three of which one is known two are new. Only months count that the left
+    group has reached and that are among the last ``open_months`` of the right side, as trades may be cancelled later and closed months aren't read again. A floor
+    of 0 is an unknown one: it agrees with any of the same month and price, on either side.
+    """
+    marks = [month, price, floor]
+    mine = links.select(left_key, right_key).join(right.select(right_key, *marks), right_key)
+    own = left.select(left_key, *marks)
+    reached = own.groupBy(left_key).agg(F.max(month).alias("_own"))
+    newest = right.agg((F.max(month) - (open_months - 1)).alias("_open"))
+    mine = mine.join(reached, left_key).crossJoin(F.broadcast(newest)).where(F.col(month) >= F.greatest("_own", "_open"))
+    numbered = lambda rows: rows.withColumn("_nth", F.row_number().over(Window.partitionBy(left_key, *marks).orderBy(F.lit(0))))
+    new = numbered(mine.select(left_key, *marks)).join(numbered(own), [left_key, *marks, "_nth"], "left_anti")
+    pairs = own.groupBy(left_key, month, price).agg(F.bool_or(F.col(floor) == 0).alias("_unknown"))
+    new = new.join(pairs, [left_key, month, price], "left").where(F.col("_unknown").isNull() | (~F.col("_unknown") & (F.col(floor) != 0)))
+    order = Window.partitionBy(left_key).orderBy(F.desc(month), F.desc(price), F.desc(floor))
+    return new.withColumn("_i", F.row_number().over(order)).where(F.col("_i") <= most).select(left_key, *marks)
+
+
 def nearest(rows: DataFrame, group: str, size: str, key: str) -> DataFrame:
     """``(key, near_key, distance)``: the row of the same group with the nearest size; of equals, the smallest key.
 

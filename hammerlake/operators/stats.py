@@ -65,3 +65,43 @@ def differences(stored: DataFrame, computed: DataFrame, keys: Sequence[str], col
     both = stored.select(*keys, F.struct(*columns).alias("a")).join(computed.select(*keys, F.struct(*columns).alias("b")), list(keys))
     sums = both.agg(F.count(F.lit(1)).alias("compared"), *[F.count_if(~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))).alias(f"_{c}") for c in columns])
     return sums.select("compared", F.explode(F.map_from_arrays(F.array(*[F.lit(c) for c in columns]), F.array(*[F.col(f"_{c}") for c in columns]))).alias("column", "different")).select("column", "compared", "different")
+
+
+def doubled(text: Column, least: int = 10) -> Column:
+    """Whether a text is the same words twice, white space aside; null for texts without any, which tell nothing."""
+    t = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    half = F.floor(F.length(t) / 2).cast("int")
+    first, second = F.trim(F.substring(t, F.lit(1), half)), F.trim(F.substring(t, half + 1, F.length(t)))
+    return F.when(t != "", (F.length(t) >= least) & (first == second))
+
+
+def fidelity(stored: DataFrame, computed: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """``(column, compared, testable, different, doubled, verdict)``: what is stored against what its source gives now.
+
+    Texts are equal if their words are; a null number is 0. A column without any value to test is 'undecidable': nothing wrong
+    was found in it because there was nothing to look at. Otherwise it is 'ok' or 'wrong'.
+    """
+    def norm(c: str, side: str) -> Column:
+        x = F.col(f"{side}.{c}")
+        if stored.schema[c].dataType.typeName() == "string":
+            return F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), r"\s+", " "))
+        return F.coalesce(x, F.lit(0))
+
+    both = stored.select(*keys, F.struct(*columns).alias("a")).join(computed.select(*keys, F.struct(*columns).alias("b")), list(keys))
+
+    def of(c: str) -> Column:
+        a, b = norm(c, "a"), norm(c, "b")
+        some = (a != "") | (b != "") if stored.schema[c].dataType.typeName() == "string" else (a != 0) | (b != 0)
+        twice = F.coalesce(doubled(F.col(f"a.{c}")), F.lit(False)) if stored.schema[c].dataType.typeName() == "string" else F.lit(False)
+        return F.struct(F.lit(c).alias("column"), some.alias("testable"), (a != b).alias("different"), twice.alias("doubled"))
+
+    each = both.select(F.explode(F.array(*map(of, columns))).alias("x")).select("x.*")
+    sums = each.groupBy("column").agg(F.count(F.lit(1)).alias("compared"), *[F.count_if(c).alias(c) for c in ("testable", "different", "doubled")])
+    verdict = F.when(F.col("testable") == 0, "undecidable").when((F.col("different") > 0) | (F.col("doubled") > 0), "wrong").otherwise("ok")
+    return sums.select("*", verdict.alias("verdict"))
+
+
+def unread_keys(rows: DataFrame, body: str, parsed: Sequence[str]) -> DataFrame:
+    """``(key, n)``: the keys of JSON objects that have values and that no parser reads."""
+    pairs = rows.select(F.explode(F.from_json(body, "map<string,string>")).alias("key", "value"))
+    return pairs.where(F.trim(F.coalesce("value", F.lit(""))).isin("", "[]", "{}") == F.lit(False)).where(~F.col("key").isin(*parsed)).groupBy("key").agg(F.count(F.lit(1)).alias("n"))

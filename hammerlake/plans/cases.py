@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hammerlake.functions import detail, rights, text
-from hammerlake.operators import merging, ranking
+from hammerlake.operators import lookups, merging, ranking
 from hammerlake.plans import audits, closed, listings
 from hammerlake.plans.registry import query
 from hammerlake.sources import records
@@ -232,10 +232,11 @@ def sold_amounts(t):
     return rows.groupBy("l_orderkey", "l_linenumber").agg(F.max("amount").alias("amount"))
 
 
-@query("SELECT DISTINCT o_custkey, o_orderpriority FROM orders WHERE o_orderstatus = 'O' EXCEPT SELECT o_custkey, o_orderpriority FROM orders WHERE o_orderstatus = 'F'")
+@query("WITH p AS (SELECT o_custkey || '|' || o_orderpriority AS key, o_custkey::VARCHAR AS short FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 3 = 0) SELECT CASE WHEN o_orderkey % 2 = 0 THEN o_custkey || '|' || o_orderpriority ELSE o_custkey::VARCHAR END AS key FROM orders WHERE o_orderstatus = 'O' EXCEPT (SELECT key FROM p UNION SELECT short FROM p)")
 def watched_missing(t):
-    keys = ["o_custkey", "o_orderpriority"]
-    return t("orders").where("o_orderstatus = 'O'").select(*keys).exceptAll(t("orders").where("false").select(*keys)).distinct().join(t("orders").where("o_orderstatus = 'F'").select(*keys), keys, "left_anti")
+    whole, short = F.concat_ws("|", C, "o_orderpriority"), c(C).cast("string")
+    watched = t("orders").where("o_orderstatus = 'O'").select(F.when(c(K) % 2 == 0, whole).otherwise(short).alias("key"))
+    return lookups.absent_keys(watched, t("orders").where("o_orderstatus = 'F' and o_orderkey % 3 = 0"), "key", [whole, short])
 
 
 @query("SELECT l_orderkey, l_linenumber, arg_min(l_partkey, l_partkey) AS l_partkey FROM lineitem GROUP BY 1, 2")

@@ -132,3 +132,59 @@ def profile_matrix(t):
     found = profiles.matrix(bid=c("bid"), sale=c("sale"), kind=c("kind"), area=c("area"), regulated=c("inside"), sale_date=c("date"), houses=2)
     cell = facts.select(K, F.explode(found).alias("m")).select(K, "m.profile", "m.months", "m.of.*")
     return cell.drop("cash", "roi")
+
+
+# trades that the other source has already -------------------------------------------------------------------------------
+_LINK = "SELECT p_partkey AS l, p_partkey AS r FROM part WHERE p_size % 2 = 0"
+
+
+@query(f"WITH x AS (SELECT l_partkey AS k, year(l_shipdate) * 12 + month(l_shipdate) AS m, l_linenumber * 10 AS price, l_suppkey % 4 AS floor, l_quantity AS q FROM lineitem), own AS (SELECT k, m, price, floor FROM x WHERE q > 25 AND m < 23970), of AS (SELECT k, max(m) AS own FROM own GROUP BY 1), r AS (SELECT k, m, price, floor, row_number() OVER (PARTITION BY k, m, price, floor) AS nth FROM x JOIN of USING (k) WHERE k IN (SELECT l FROM ({_LINK})) AND m >= greatest(own, (SELECT max(m) - 23 FROM x))), o AS (SELECT *, row_number() OVER (PARTITION BY k, m, price, floor) AS nth FROM own), new AS (SELECT * FROM r ANTI JOIN o USING (k, m, price, floor, nth)), z AS (SELECT k, m, price, bool_or(floor = 0) AS u FROM own GROUP BY ALL) SELECT k AS l_partkey, m, price, floor FROM new LEFT JOIN z USING (k, m, price) WHERE u IS NULL OR (NOT u AND floor <> 0) QUALIFY row_number() OVER (PARTITION BY k ORDER BY m DESC, price DESC, floor DESC) <= 20")
+def trades_topped_up(t):
+    from hammerlake.functions import numbers
+    from hammerlake.operators import matching
+
+    every = t("lineitem").select("l_partkey", numbers.month_index(c("l_shipdate")).alias("m"), (c("l_linenumber") * 10).alias("price"), (c("l_suppkey") % 4).alias("floor"), "l_quantity")
+    links = t("part").where("p_size % 2 = 0").select(c("p_partkey").alias("l_partkey"), c("p_partkey").alias("r"))
+    return matching.top_up(links, every.where("l_quantity > 25 and m < 23970"), every.withColumnRenamed("l_partkey", "r"), "l_partkey", "r", "m", "price", "floor", 24)
+
+
+# stored texts against their source --------------------------------------------------------------------------------------
+SAID = [("매각 조건 변경 있음", False), ("보증금 인수 보증금 인수", True), ("", False), ("가나다라마 가나다라마", True), ("짧은 짧은", False)]
+
+
+@query(f"WITH s AS (SELECT o_orderkey, o_totalprice, o_custkey, {in_sql(K, [x[0] for x in SAID])} AS remark, {in_sql(K, [x[1] for x in SAID])} AS twice FROM orders) SELECT 'remark' AS \"column\", count(*) AS compared, count(*) FILTER (remark <> '') AS testable, count(*) FILTER (o_custkey % 50 = 0 AND remark <> '') AS different, count(*) FILTER (twice) AS doubled, 'wrong' AS verdict FROM s UNION ALL SELECT 'claim', count(*), count(*), 0, 0, 'ok' FROM s UNION ALL SELECT 'note', count(*), 0, 0, 0, 'undecidable' FROM s")
+def stored_fidelity(t):
+    from hammerlake.operators import stats
+
+    rows = t("orders").select(K, C, chosen(K, [x[0] for x in SAID]).alias("remark"), F.floor("o_totalprice").cast("bigint").alias("claim"), F.lit(" ").alias("note"))
+    again = rows.withColumn("remark", F.when((c(C) % 50 == 0) & (c("remark") != ""), F.concat("remark", F.lit("!"))).otherwise(F.replace("remark", F.lit(" "), F.lit("\n "))))
+    return stats.fidelity(rows, again, [K], ["remark", "claim", "note"])
+
+
+# asking prices --------------------------------------------------------------------------------------------------------
+ELEMENTS = [('{"price": %d, "label": "3층"}', True, None), ('{"price": %d.7}', True, None), ('{"price": "%d"}', False, "no number as price"), ('{"price": true, "x": %d}', False, "no number as price"), ('%d', False, "not an object in the list"), ('{"price": -%d}', False, "price not above zero")]
+
+
+def _asks(t):
+    from hammerlake.sources import asking
+
+    one = F.format_string("%s", F.replace(chosen("l_linenumber", [x[0] for x in ELEMENTS]), F.lit("%d"), c("l_partkey").cast("string")))
+    lists = t("lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", one.alias("e")))), lambda x: x["e"]), ",").alias("es"))
+    body = F.concat(F.lit('{"C'), "l_orderkey", F.lit('": ['), "es", F.lit("]"), F.when(c("l_orderkey") % 5 == 0, "").otherwise("}"))
+    return asking.asking_prices(lists.select(body.alias("value")))
+
+
+_ELEMENT = "([" + ", ".join(repr(x[2]) if x[2] else "NULL" for x in ELEMENTS) + "])[(l_linenumber % 6 + 1)::INTEGER]"
+
+
+_LISTED = f"SELECT *, CASE WHEN {_ELEMENT} IS NULL AND l_partkey = 0 AND l_linenumber % 6 = 0 THEN 'price not above zero' ELSE {_ELEMENT} END AS reason, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey)::INTEGER - 1 AS nth FROM lineitem WHERE l_orderkey % 5 <> 0"
+
+
+@query(f"SELECT 'C' || l_orderkey AS case_no, nth::INTEGER AS nth, l_partkey AS price, CASE WHEN l_linenumber % 6 = 0 THEN '3층' ELSE '' END AS label, '' AS observed_at FROM ({_LISTED}) WHERE reason IS NULL")
+def asked(t):
+    return _asks(t)[0]
+
+
+@query(f"SELECT 'C' || l_orderkey AS case_no, reason, count(*) AS n FROM ({_LISTED}) WHERE reason IS NOT NULL GROUP BY 1, 2 UNION ALL SELECT NULL, 'not an object', count(DISTINCT l_orderkey) FROM lineitem WHERE l_orderkey % 5 = 0")
+def asks_refused(t):
+    return _asks(t)[1].groupBy("case_no", "reason").agg(F.count(F.lit(1)).alias("n"))

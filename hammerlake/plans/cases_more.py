@@ -120,7 +120,7 @@ def register_summary(t):
     return buildings.summary(rows, ["l_orderkey"], F.lit(2024))
 
 
-MASKED = [("임차인 홍길동, 김철수 전입", "임차인 [성명], [성명] 전입", False), ("채무자 한국전력공사", "채무자 한국전력공사", False), ("세입자 이순신 거주", "세입자 이순신 거주", True), ("윤용섭 지분 전부", "[성명] 지분 전부", False), (None, None, None)]
+MASKED = [("임차인 홍길동, 김철수 전입", "임차인 [성명], [성명] 전입", False), ("채무자 한국전력공사", "채무자 한국전력공사", False), ("세입자 이순신 거주", "세입자 이순신 거주", True), ("윤용섭 지분 전부", "[성명] 지분 전부", False), (None, None, None), ("근저당권자 홍길동", "근저당권자 [성명]", False), ("가압류권자 김철수의 청구", "가압류권자 [성명]의 청구", False), ("지상권자 한국전력", "지상권자 한국전력", False), ("유치권신고인 : 이순신", "유치권신고인 : [성명]", False), ("근저당권설정자 최민수, 신한은행", "근저당권설정자 [성명], 신한은행", False), ("홍길동 소유", "[성명] 소유", False), ("현장조사 당시 소유자 미상", "현장조사 당시 소유자 미상", False), ("가등기권자 홍길동", "가등기권자 홍길동", True), ("주택임차권자 박영희로부터", "주택임차권자 [성명]로부터", False)]
 
 
 @query(f"SELECT o_orderkey, {in_sql(K, [x[1] for x in MASKED])} AS masked, {in_sql(K, [x[2] for x in MASKED])} AS leaks FROM orders")
@@ -128,16 +128,21 @@ def masked_texts(t):
     return t("orders").select(K, text.masked_names(chosen(K, [x[0] for x in MASKED])).alias("masked")).select(K, "masked", text.names_left(c("masked")).alias("leaks"))
 
 
+@query(f"SELECT o_orderkey, masked FROM (SELECT o_orderkey, {in_sql(K, [x[0] for x in MASKED])} AS body, {in_sql(K, [x[1] for x in MASKED])} AS masked FROM orders) WHERE body <> masked")
+def remasked_rows(t):
+    return text.remasked(t("orders").select(K, chosen(K, [x[0] for x in MASKED]).alias("masked")), [K], ["masked"])
+
+
 ZONED = [("서울 가동 1", "true", "서울"), ("경기 과천 2", "true", "과천"), ("경기 화성 3", "check", "화성"), ("부산 나동", "false", None), (None, "false", None)]
 
 
-@query(f"SELECT o_orderkey, adjusted, zone_name, adjusted = 'true' AND o_custkey % 2 = 0 AND (zone_name = '서울' OR o_custkey % 4 = 0) AS land_permit FROM (SELECT o_orderkey, o_custkey, {in_sql(K, [x[1] for x in ZONED])} AS adjusted, {in_sql(K, [x[2] for x in ZONED])} AS zone_name FROM orders) WHERE NOT (zone_name = '과천' AND o_custkey % 4 = 0) OR zone_name IS NULL")
+@query(f"SELECT o_orderkey, adjusted, zone_name, adjusted = 'true' AND o_custkey % 2 = 0 AND zone_name <> '과천' AS land_permit, adjusted = 'true' AND o_custkey % 2 = 0 AND zone_name = '과천' AS permit_expired FROM (SELECT o_orderkey, o_custkey, {in_sql(K, [x[1] for x in ZONED])} AS adjusted, {in_sql(K, [x[2] for x in ZONED])} AS zone_name FROM orders)")
 def regulated_zones(t):
     spark = t("orders").sparkSession
     table = spark.sql("select * from values ('서울', '서울', array(), array(), date'2026-12-31'), ('과천', null, array('과천'), array(), date'2020-12-31'), ('화성', null, array(), array('화성'), date'2026-12-31') as z(zone_name, prefix, tokens, check_tokens, expiry)")
     rows = t("orders").select(K, C, chosen(K, [x[0] for x in ZONED]).alias("address"), (c(C) % 2 == 0).alias("apartment"))
     found = zones.classify(rows, table, "address", "apartment", F.lit("2026-08-01").cast("date"))
-    return found.where(~((F.coalesce("zone_name", F.lit("")) == "과천") & (c(C) % 4 == 0))).select(K, "adjusted", "zone_name", "land_permit")
+    return found.select(K, "adjusted", "zone_name", "land_permit", "permit_expired")
 
 
 # a building's name, and how a listing writes it
@@ -170,10 +175,10 @@ def done_keys(t):
     return crawl.done_keys(t("orders").where("o_orderstatus <> 'P'").select(C, status.alias("status")), [C], "status", ["1-URGENT", "5-LOW"])
 
 
-@query("WITH p AS (SELECT l_suppkey, l_linenumber AS page, strftime(l_shipdate, '%Y%m%d') AS day, l_orderkey, CASE WHEN l_suppkey % 3 <> 0 THEN '19970101' END AS mark FROM lineitem WHERE l_orderkey % 40 = 0), j AS (SELECT l_suppkey, page, bool_or(mark IS NULL OR day > mark) AS new FROM p GROUP BY 1, 2), x AS (SELECT *, page - coalesce(max(CASE WHEN new THEN page END) OVER w, min(page) OVER w - 1) AS idle FROM j WINDOW w AS (PARTITION BY l_suppkey ORDER BY page)), s AS (SELECT l_suppkey, min(page) AS stop FROM x WHERE idle > 1 GROUP BY 1) SELECT p.l_suppkey, p.page, p.l_orderkey, day FROM p LEFT JOIN s USING (l_suppkey) WHERE stop IS NULL OR page <= stop")
+@query("WITH p AS (SELECT l_partkey, l_linenumber AS page, strftime(l_shipdate, '%Y%m%d') AS day, l_orderkey, CASE WHEN l_partkey % 3 <> 0 THEN '20000101' END AS mark FROM lineitem), j AS (SELECT l_partkey, page, bool_or(mark IS NULL OR day > mark) AS new FROM p GROUP BY 1, 2), x AS (SELECT *, page - coalesce(max(CASE WHEN new THEN page END) OVER w, min(page) OVER w - 1) AS idle FROM j WINDOW w AS (PARTITION BY l_partkey ORDER BY page)), s AS (SELECT l_partkey, min(page) AS stop FROM x WHERE idle > 1 GROUP BY 1) SELECT p.l_partkey, p.page, p.l_orderkey, day FROM p LEFT JOIN s USING (l_partkey) WHERE stop IS NULL OR page <= stop")
 def early_stop(t):
-    rows = t("lineitem").where("l_orderkey % 40 = 0").select("l_suppkey", c("l_linenumber").alias("page"), F.date_format("l_shipdate", "yyyyMMdd").alias("day"), "l_orderkey", F.when(c("l_suppkey") % 3 != 0, "19970101").alias("mark"))
-    return crawl.until_known(rows, ["l_suppkey"], "page", "day", "mark").drop("mark")
+    rows = t("lineitem").select("l_partkey", c("l_linenumber").alias("page"), F.date_format("l_shipdate", "yyyyMMdd").alias("day"), "l_orderkey", F.when(c("l_partkey") % 3 != 0, "20000101").alias("mark"))
+    return crawl.until_known(rows, ["l_partkey"], "page", "day", "mark").drop("mark")
 
 
 @query("WITH r AS (SELECT p_partkey, strftime(l_shipdate, '%Y%m%d') AS d, floor(l_extendedprice)::BIGINT AS p FROM part JOIN lineitem ON p_partkey = l_partkey WHERE p_size % 3 <> 0 AND l_returnflag <> 'A'), x AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY d DESC, p DESC) AS i FROM r) SELECT p_partkey, string_agg(d || ':' || p, ' ' ORDER BY i) AS trades FROM x WHERE i <= 5 GROUP BY 1")
