@@ -39,36 +39,6 @@ def acquisition_tax(price: Column, kind: Column, area: Column, houses: int = 1,
     return F.when(F.trim(F.coalesce(kind, F.lit(""))).isin(HOUSING), part(base) + part(education) + part(rural)).otherwise(other)
 
 
-def income_tax(base: Column) -> Column:
-    """Progressive tax on a gain; nothing on a loss."""
-    out = F.when(base <= 0, F.lit(0.0))
-    for upper, rate, less in INCOME_BRACKETS:
-        tax = base * rate - less
-        out = out.otherwise(tax) if upper is None else out.when(base <= upper, tax)
-    return F.floor(out).cast("bigint")
-
-
-def net_profit(bid: Column, sale: Column, tax: Column, loan_share: float = 0.7, rate: float = 0.05, months: int = 12, fee: float = 0.004) -> Column:
-    """What is left of a sale after the bid, its tax, interest, the agent's fee and income tax."""
-    interest = F.floor(bid * loan_share * rate * months / 12).cast("bigint")
-    gain = sale - bid - tax - interest - F.floor(sale * fee).cast("bigint")
-    return gain - income_tax(gain)
-
-
-def break_even_bid(sale: Column, rate: float, fee: float = 0.004, steps: int = 48) -> Column:
-    """The highest whole bid whose cost at ``rate`` of tax doesn't exceed the sale less the fee, by halving an interval."""
-    room = sale - F.floor(sale * fee).cast("bigint")
-    fits = lambda b: b + F.ceil(b * rate).cast("bigint") <= room
-    start = F.struct(F.lit(0).cast("bigint").alias("lo"), room.cast("bigint").alias("hi"))
-
-    def halve(s: Column, _: Column) -> Column:
-        mid = F.floor((s["lo"] + s["hi"] + 1) / 2).cast("bigint")
-        ok = fits(mid)
-        return F.struct(F.when(ok, mid).otherwise(s["lo"]).alias("lo"), F.when(ok, s["hi"]).otherwise(mid - 1).alias("hi"))
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, lambda s, i: halve(s, i), lambda s: s["lo"])
-
-
 # Stamp tax and agents' fees by price, the taxes of a sale, and what a simulation takes for granted.
 STAMPS = [(10_000_000, 0), (30_000_000, 20_000), (50_000_000, 40_000), (100_000_000, 70_000), (1_000_000_000, 150_000), (None, 350_000)]
 HOUSING_FEES = [(50_000_000, 0.006, 250_000), (200_000_000, 0.005, 800_000), (900_000_000, 0.004, None), (1_200_000_000, 0.005, None), (1_500_000_000, 0.006, None), (None, 0.007, None)]
@@ -145,24 +115,37 @@ def sale_tax(sale: Column, bought: Column, narrow: Column, broad: Column, months
     return tax + won(tax * LOCAL_TAX)
 
 
+def let(values: dict[str, Column], then: Callable[[Column], Column]) -> Column:
+    """``then`` of named values that are computed once, however often it uses them: brackets would copy them into each of their cases."""
+    return F.element_at(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), then), 1)
+
+
 def simulate(bid: Column, sale: Column, kind: Column, area: Column, houses: int = 1, regulated: bool = False, corporation: bool = False, **over) -> Column:
     """``(acquisition_tax, total, equity, interest, fee, tax, net, roi)`` of buying at ``bid`` and selling at ``sale``; ``over`` replaces
     ``DEFAULTS`` by columns or values. roi is null without own money in it."""
-    given = {k: v if isinstance(v, Column) or k == "mode" else F.lit(v) for k, v in {**DEFAULTS, **over}.items()}
-    zero = F.lit(0).cast("bigint")
-    at_least = lambda k: F.greatest(F.lit(0), given[k])
-    taxed, stamp = acquisition_tax(bid, kind, area, houses, regulated, corporation), stamp_tax(bid)
-    other = at_least("assumed") + at_least("eviction") + at_least("repair") + at_least("unpaid")
-    total = bid + taxed + stamp + at_least("registry") + other
-    loan = _won(bid * F.least(F.lit(MOST_LOAN), F.greatest(F.lit(0.0), given["loan_share"])))
-    months = F.greatest(F.lit(0), given["holding_months"])
-    interest = _won(loan * F.greatest(F.lit(0.0), given["loan_rate"]) * months / 12)
-    fee = agent_fee(sale, kind, area)
-    narrow = taxed + stamp + at_least("registry") + fee
-    individual = given["mode"] == "individual"
-    tax = sale_tax(sale, bid, narrow if individual else narrow + at_least("assumed"), narrow + other + interest, months, kind, given["mode"], houses, regulated)
-    net, equity = sale - total - interest - fee - tax, total - loan
-    return F.struct(taxed.alias("acquisition_tax"), total.cast("bigint").alias("total"), equity.cast("bigint").alias("equity"), interest.alias("interest"), fee.alias("fee"), (tax + zero).alias("tax"), net.cast("bigint").alias("net"), F.when(equity > 0, net / equity).alias("roi"))
+    given = {**DEFAULTS, **over}
+    mode = given.pop("mode")
+    value = lambda v: v if isinstance(v, Column) else F.lit(v)
+    at_least = lambda k: F.greatest(F.lit(0), value(given[k]))
+    shares = {"loan_share": F.least(F.lit(MOST_LOAN), F.greatest(F.lit(0.0), value(given["loan_share"]))), "loan_rate": F.greatest(F.lit(0.0), value(given["loan_rate"]))}
+    facts = {"bid": bid.cast("bigint"), "sale": sale.cast("bigint"), "kind": F.trim(F.coalesce(kind, F.lit(""))), "area": area.cast("double"), "months": at_least("holding_months"), "registry": at_least("registry"), "assumed": at_least("assumed"), "other": at_least("assumed") + at_least("eviction") + at_least("repair") + at_least("unpaid"), **shares}
+
+    def costs(g: Column) -> Column:
+        loan = _won(g["bid"] * g["loan_share"])
+        more = {"taxed": acquisition_tax(g["bid"], g["kind"], g["area"], houses, regulated, corporation), "stamp": stamp_tax(g["bid"]), "fee": agent_fee(g["sale"], g["kind"], g["area"]), "loan": loan, "interest": _won(loan * g["loan_rate"] * g["months"] / 12)}
+        return let(more, lambda x: taxes(g, x))
+
+    def taxes(g: Column, x: Column) -> Column:
+        narrow = x["taxed"] + x["stamp"] + g["registry"] + x["fee"]
+        spent = {"narrow": narrow if mode == "individual" else narrow + g["assumed"], "broad": narrow + g["other"] + x["interest"], "total": g["bid"] + x["taxed"] + x["stamp"] + g["registry"] + g["other"]}
+        return let(spent, lambda y: let({"tax": sale_tax(g["sale"], g["bid"], y["narrow"], y["broad"], g["months"], g["kind"], mode, houses, regulated)}, lambda z: result(g, x, y["total"], z["tax"])))
+
+    def result(g: Column, x: Column, total: Column, tax: Column) -> Column:
+        net, equity = g["sale"] - total - x["interest"] - x["fee"] - tax, total - x["loan"]
+        named = {"acquisition_tax": x["taxed"], "total": total, "equity": equity, "interest": x["interest"], "fee": x["fee"], "tax": tax, "net": net}
+        return F.struct(*[v.cast("bigint").alias(k) for k, v in named.items()], F.when(equity > 0, net / equity).alias("roi"))
+
+    return let(facts, costs)
 
 
 def break_even(sale: Column, kind: Column, area: Column, **given) -> Column:

@@ -63,11 +63,6 @@ def acquisition(bid: Column, kind: Column, area: Column, regulated: Column, hous
     return F.when(~housing, _won(bid * F.lit(NOT_HOUSING_RATE))).when(regulated, tax(inside)).otherwise(tax(outside))
 
 
-def _let(values: dict[str, Column], then: Callable[[Column], Column]) -> Column:
-    """``then`` of named values that are computed once, however often it uses them: brackets would copy them into each of their cases."""
-    return F.element_at(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), then), 1)
-
-
 def outcome(profile: str, months: int | Column, bid: Column, sale: Column, kind: Column, area: Column, regulated: Column, sale_date: Column, houses: int = 1, assumed: Column | int = 0, eviction: Column | int = 3_000_000, unpaid: Column | int = 0, repair: Column | int = 0, registry: Column | int = 500_000, loan_share: float = 0.7, loan_rate: float = 0.055, first_sale_exempt: bool = False) -> Column:
     """``(acquisition_tax, total_in, cash, interest, yearly_tax, fee, tax, net, roi)`` for one profile and length of holding (months).
 
@@ -87,27 +82,27 @@ def outcome(profile: str, months: int | Column, bid: Column, sale: Column, kind:
         held = F.coalesce(days_within(g["paid"], F.add_months(g["paid"], g["months"])), F.lit(0))
         yearly = F.when(g["kind"].isin(money.HOUSING), yearly_tax(g["sale"]) * held).otherwise(F.lit(0)).cast("bigint")
         more = {"taxed": taxed, "stamp": money.stamp_tax(g["bid"]), "fee": money.agent_fee(g["sale"], g["kind"], g["area"], _won), "loan": loan, "interest": _won(loan * F.lit(loan_rate) * g["months"] / 12), "yearly": yearly}
-        return _let(more, lambda x: _let({"book": g["bid"] + x["taxed"] + x["stamp"] + g["registry"] + g["assumed"]}, lambda y: taxes(g, x, y["book"])))
+        return money.let(more, lambda x: money.let({"book": g["bid"] + x["taxed"] + x["stamp"] + g["registry"] + g["assumed"]}, lambda y: taxes(g, x, y["book"])))
 
     def taxes(g: Column, x: Column, book: Column) -> Column:
         total, fee = book + g["other"], x["fee"]
         if profile == "corp":
             as_housing = g["kind"].isin(money.HOUSING) | F.contains(g["kind"], F.lit(money.OFFICE))
             more = F.lit(0) if first_sale_exempt else F.when(as_housing, _won(F.greatest(F.lit(0), g["sale"] - book) * F.lit(CORP_HOUSING))).otherwise(F.lit(0))
-            tax = _let({"national": marginal(g["sale"] - total - x["interest"] - fee, CORP_BRACKETS) + more}, lambda v: v["national"] + _won(v["national"] * F.lit(money.LOCAL_TAX)))
+            tax = money.let({"national": marginal(g["sale"] - total - x["interest"] - fee, CORP_BRACKETS) + more}, lambda v: v["national"] + _won(v["national"] * F.lit(money.LOCAL_TAX)))
         else:
             spent = {"narrow": book - g["bid"] + fee, "broad": total - g["bid"] + x["interest"] + fee}
             of = lambda v, inside: money.sale_tax(g["sale"], g["bid"], v["narrow"], v["broad"], g["months"], g["kind"], profile, houses, inside, _won)
-            tax = _let(spent, lambda v: F.when(g["inside"], of(v, True)).otherwise(of(v, False)) if houses > 1 else of(v, False))
+            tax = money.let(spent, lambda v: F.when(g["inside"], of(v, True)).otherwise(of(v, False)) if houses > 1 else of(v, False))
         left = {"total": total, "cash": total - x["loan"], "tax": tax}
-        return _let(left, lambda v: result(g, x, v))
+        return money.let(left, lambda v: result(g, x, v))
 
     def result(g: Column, x: Column, v: Column) -> Column:
         net = g["sale"] - v["total"] - x["interest"] - x["yearly"] - x["fee"] - v["tax"]
         named = {"acquisition_tax": x["taxed"], "total_in": v["total"], "cash": v["cash"], "interest": x["interest"], "yearly_tax": x["yearly"], "fee": x["fee"], "tax": v["tax"], "net": net}
         return F.struct(*[y.cast("bigint").alias(k) for k, y in named.items()], F.when(v["cash"] > 0, net / v["cash"]).alias("roi"))
 
-    return _let(given, costs)
+    return money.let(given, costs)
 
 
 def matrix(bands: tuple[int, ...] = BANDS, **facts) -> Column:

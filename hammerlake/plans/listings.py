@@ -117,6 +117,22 @@ def estimate_confirmed(listings: DataFrame, trades: DataFrame) -> DataFrame:
     return joined.select(*KEY, F.when(ok, est).alias("est"), F.when(ok, F.bround(F.col("lo") * F.col("mult")).cast("bigint")).alias("band_low"), "basis", "months", F.when(ok, F.col("confidence")).otherwise(1.0).alias("window_mult"), scope.alias("scope"))
 
 
+def in_order(confirmed: DataFrame, by_name: DataFrame) -> DataFrame:
+    """The estimate that counts for each listing of ``by_name``, with ``source`` 'confirmed', 'by_name' or 'blocked', and ``window_mult``.
+
+    ``confirmed`` (``estimate_confirmed``) has three outcomes: a value, which counts; none for want of trades, where the
+    match by name takes its place; or a contradiction of the appraisal, which bars that too, as trades of the very building
+    say that something is wrong.
+    """
+    own = confirmed.select(*KEY, F.struct("est", "band_low", "basis", "window_mult", "scope").alias("_c"))
+    rows = by_name.join(own, KEY, "left")
+    source = F.when(F.col("_c.est").isNotNull(), "confirmed").when(F.col("_c.scope") == "appraisal_mismatch", "blocked").otherwise("by_name")
+    rows = rows.withColumn("source", source)
+    of = lambda a, b, kind: F.when(F.col("source") == "by_name", F.col(a)).otherwise(b).cast(kind).alias(a)
+    basis = F.coalesce("_c.basis", F.lit(0))
+    return rows.select(*KEY, of("est", F.col("_c.est"), "bigint"), of("matched", basis, "bigint"), of("scope", F.col("_c.scope"), "string"), of("band_low", F.col("_c.band_low"), "bigint"), of("band_high", F.col("_c.est"), "bigint"), of("basis", F.col("_c.basis"), "bigint"), of("floor_mult", F.lit(1.0), "double"), F.when(F.col("source") == "confirmed", F.col("_c.window_mult")).otherwise(F.lit(1.0)).alias("window_mult"), "source")
+
+
 def comps(found: DataFrame) -> DataFrame:
     """``(keys, comps)``: the newest ``COMPS`` dated prices of each listing, in arrays of that bounded length."""
     from hammerlake.operators.ranking import ranked_within

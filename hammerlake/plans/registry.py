@@ -320,20 +320,6 @@ def tax(t):
     return t("orders").select("o_orderkey", money.acquisition_tax(price, F.lit("아파트"), F.lit(101.0)).alias("tax"))
 
 
-_BRACKETS = " ".join(f"WHEN g <= {upper} THEN floor(g * {rate}::DOUBLE - {less})" if upper else f"ELSE floor(g * {rate}::DOUBLE - {less})" for upper, rate, less in money.INCOME_BRACKETS)
-
-
-@query(
-    "WITH x AS (SELECT o_orderkey, floor(o_totalprice)::BIGINT * 3000 AS sale FROM orders), y AS (SELECT *, floor(sale * 0.8::DOUBLE)::BIGINT AS bid FROM x), r AS (SELECT *, CASE WHEN bid <= 600000000 THEN 0.01::DOUBLE WHEN bid <= 900000000 THEN round_even(bid * 2 / 300000000.0::DOUBLE - 3, 4) / 100 ELSE 0.03::DOUBLE END AS rate FROM y), "
-    + "z AS (SELECT *, round_even(bid * rate, 0)::BIGINT + round_even(bid * (rate * 0.5::DOUBLE * 0.2::DOUBLE), 0)::BIGINT AS tax, sale - floor(sale * 0.004::DOUBLE)::BIGINT AS room FROM r), g AS (SELECT *, sale - bid - tax - floor(bid * 0.7::DOUBLE * 0.05::DOUBLE * 12 / 12)::BIGINT - floor(sale * 0.004::DOUBLE)::BIGINT AS g FROM z) "
-    + f"SELECT o_orderkey, sale, bid, tax, (g - CASE WHEN g <= 0 THEN 0 {_BRACKETS} END)::BIGINT AS net, (SELECT max(b) FROM (SELECT unnest(range((room / 1.011)::BIGINT - 5, (room / 1.011)::BIGINT + 5)) AS b) WHERE b + ceil(b * 0.011::DOUBLE)::BIGINT <= room) AS most FROM g"
-)
-def bid_sim(t):
-    sale = F.floor(c("o_totalprice")).cast("bigint") * 3000
-    rows = t("orders").select("o_orderkey", sale.alias("sale"), (sale * 0.8).cast("bigint").alias("bid")).withColumn("tax", money.acquisition_tax(c("bid"), F.lit("아파트"), F.lit(84.0)))
-    return rows.select("o_orderkey", "sale", "bid", "tax", money.net_profit(c("bid"), c("sale"), c("tax")).alias("net"), money.break_even_bid(c("sale"), 0.011).alias("most"))
-
-
 # text ----------------------------------------------------------------------------------------------------------------
 CLAUSES = {"license": "licen[sc]e", "contact": "@|call", "and": r"\band\b"}
 
@@ -359,4 +345,4 @@ def raw_parse(t):
     return t("conversations").select("conv_id", "turn", "role", F.posexplode(F.split("text", r"\. ", -1)).alias("k", "sentence"))
 
 
-from hammerlake.plans import cases, cases_flows, cases_more  # noqa: E402, F401  register their queries
+from hammerlake.plans import cases, cases_flagship, cases_flows, cases_more  # noqa: E402, F401  register their queries
