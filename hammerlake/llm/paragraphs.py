@@ -15,13 +15,15 @@ from ._util import WordHashes, cut, gram_hashes, pick, slices, whole_groups, wri
 from .components import connected_components
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
-#: Lines with fewer words are taken together with their neighbours.
+#: Lines with fewer words are taken together with their neighbours, and each by itself as well.
 MIN_WORDS = 20
-ROWS_PER_BAND, RECALL = 3, 0.999
+ROWS_PER_BAND, RECALL = 2, 0.999
 #: Words of a passage, and words around a place within which it must have the smallest hash for a passage to begin there.
 PASSAGE_WORDS, REACH = 32, 5
 #: Paragraphs of one band value that a task compares; more are divided in blocks.
 HOT_BAND = 1024
+#: Documents that are picked by broadcast at most (8 bytes each).
+BROADCAST_ROWS = 1_000_000
 _PRIME = (1 << 31) - 1
 #: Shingles whose minima are taken at a time.
 _STEP = 4096
@@ -91,28 +93,43 @@ def _hashed(batch: pa.RecordBatch, known: WordHashes) -> Iterator[tuple[int, lis
         yield row, [*map(len, lines)], known.of([w for line in lines for w in line])
 
 
-def _classes(batch: pa.RecordBatch, known: WordHashes, min_words: int) -> Iterator[tuple[int, int, int, int, np.ndarray]]:
-    """(row, line, first word, hash of the words, words' hashes) of the paragraphs of a batch."""
-    for row, sizes, h in _hashed(batch, known):
-        for line, first, n in units(sizes, min_words):
+def _named(own: np.ndarray, line: bool) -> int:
+    """The class of a paragraph, or of a line by itself: these are never compared with each other."""
+    return xxhash.xxh3_64_intdigest(own, int(line)) >> 1
+
+
+def _units(sizes: list[int], min_words: int, lines: bool) -> list[tuple[int, int, int, bool]]:
+    """(line, first word, words, whether it's a line by itself) of what is compared: paragraphs, and with ``lines`` short lines too."""
+    out = [(*u, False) for u in units(sizes, min_words)]
+    if lines:
+        starts = np.cumsum([0, *sizes]).tolist()
+        out += [(k, starts[k], n, True) for k, n in enumerate(sizes) if 0 < n < min_words]
+    return out
+
+
+def _classes(batch: pa.RecordBatch, known: WordHashes, min_words: int, lines: bool) -> Iterator[tuple[int, bool, np.ndarray]]:
+    """(class, whether it's a line by itself, words' hashes) of what is compared in a batch."""
+    for _, sizes, h in _hashed(batch, known):
+        for _, first, n, line in _units(sizes, min_words, lines):
             own = h[first : first + n]
-            yield row, line, first, xxhash.xxh3_64_intdigest(own) >> 1, own
+            yield _named(own, line), line, own
 
 
-_LAYOUT = "h long, h2 long, doc_id long, para int, first int, words int"
+_LAYOUT = "h long, h2 long, doc_id long, para int, first int, words int, line boolean"
 
 
-def _places(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
+def _places(batches: Iterator[pa.RecordBatch], min_words: int, lines: bool) -> Iterator[pa.RecordBatch]:
     """Where paragraphs stand, with their class as h and no h2, and where passages do, with both halves of their hash."""
     known, of = WordHashes(), xxhash.xxh3_128_digest
     for batch in batches:
         for part in slices(batch, "text"):
-            row, same, para, first, words = [], [], [], [], []
+            row, same, para, first, words, alone = [], [], [], [], [], []
             p_row, digests, p_para, p_first = [], [], [], []
             for r, sizes, h in _hashed(part, known):
-                for line, at, n in units(sizes, min_words):
+                for line, at, n, single in _units(sizes, min_words, lines):
                     row.append(r)
-                    same.append(xxhash.xxh3_64_intdigest(h[at : at + n]) >> 1)
+                    same.append(_named(h[at : at + n], single))
+                    alone.append(single)
                     para.append(line)
                     first.append(at)
                     words.append(n)
@@ -126,7 +143,7 @@ def _places(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.Re
             row, para, first, words = (np.concatenate([np.array(x, np.int64), *y]).astype(np.int64) for x, y in ((row, p_row), (para, p_para), (first, p_first), (words, [np.full(len(halves), PASSAGE_WORDS)])))
             none = np.arange(len(row)) < len(same)
             h1, h2 = np.concatenate([np.array(same, np.int64), halves[:, 0]]), np.concatenate([np.zeros(len(same), np.int64), halves[:, 1]])
-            yield pa.record_batch([pa.array(h1), pa.array(h2, mask=none), part.column("doc_id").take(pa.array(row)), *(pa.array(x.astype(np.int32)) for x in (para, first, words))], ["h", "h2", "doc_id", "para", "first", "words"])
+            yield pa.record_batch([pa.array(h1), pa.array(h2, mask=none), part.column("doc_id").take(pa.array(row)), *(pa.array(x.astype(np.int32)) for x in (para, first, words)), pa.array(np.append(np.array(alone, bool), np.zeros(len(halves), bool)))], ["h", "h2", "doc_id", "para", "first", "words", "line"])
 
 
 def _minima(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -144,32 +161,34 @@ def _minima(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return least.T
 
 
-def _bands(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
+def _bands(batches: Iterator[pa.RecordBatch], min_words: int, lines: bool) -> Iterator[pa.RecordBatch]:
     """(key of each band, class) of the classes of each batch; those without a whole shingle equal no other class."""
     bands, known = bands_for(), WordHashes()
     a, b = _permutations(bands * ROWS_PER_BAND)
     for batch in batches:
         for part in slices(batch, "text"):
             sets: dict[int, np.ndarray] = {}
-            for *_, same, own in _classes(part, known, min_words):
+            kind: list[bool] = []
+            for same, line, own in _classes(part, known, min_words, lines):
                 if len(own) >= SHINGLE_WORDS and same not in sets:
                     sets[same] = shingles(own)
+                    kind.append(line)
             if sets:
                 least = _minima([*sets.values()], a, b).reshape(len(sets), bands, ROWS_PER_BAND).astype(np.uint64)
-                keys = np.tile(np.arange(1, bands + 1, dtype=np.uint64), (len(sets), 1))
+                keys = np.arange(1, bands + 1, dtype=np.uint64) + (np.array(kind, np.uint64) * np.uint64(bands))[:, None]
                 for k in range(ROWS_PER_BAND):
                     keys = (keys ^ least[:, :, k]) * np.uint64(0x9E3779B97F4A7C15)
                     keys ^= keys >> np.uint64(32)
                 yield pa.record_batch([pa.array((keys >> np.uint64(1)).astype(np.int64).ravel()), pa.array(np.repeat(np.array([*sets], np.int64), bands))], ["key", "same"])
 
 
-def _shingled(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
+def _shingled(batches: Iterator[pa.RecordBatch], min_words: int, lines: bool) -> Iterator[pa.RecordBatch]:
     """(class, shingles); a lone shingle has 31 more bits of its hash beside it, as its 31 are too few among millions."""
     known = WordHashes()
     for batch in batches:
         for part in slices(batch, "text"):
             sets: dict[int, np.ndarray] = {}
-            for *_, same, own in _classes(part, known, min_words):
+            for same, _, own in _classes(part, known, min_words, lines):
                 if len(own) >= SHINGLE_WORDS and same not in sets:
                     s = shingles(own)
                     lone = len(s) == 1 or s[0] == s[1] and bool((s == s[0]).all())
@@ -225,23 +244,28 @@ def near_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     paragraphs, which stay once. An empty table gives no rows.
     """
     texts, places = _parsed(docs, id_col, text_col, min_words)
-    return _near(texts, places, min_words)
+    return _near(texts, places, min_words).drop("line")
 
 
-def _parsed(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> tuple[DataFrame, DataFrame]:
-    """Texts, and the places of their paragraphs and passages, parsed once and written."""
+def _parsed(docs: DataFrame, id_col: str, text_col: str, min_words: int, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Texts, and the places of their paragraphs and passages, parsed once and written; with ``lines`` those of short lines too."""
     texts = pick(docs, id_col, text_col).where("doc_id is not null")
-    return texts, written(texts.mapInArrow(lambda x: _places(x, min_words), _LAYOUT))
+    return texts, written(texts.mapInArrow(lambda x: _places(x, min_words, lines), _LAYOUT))
 
 
-def _near(texts: DataFrame, places: DataFrame, min_words: int) -> DataFrame:
-    places = places.where("h2 is null").select(F.col("h").alias("same"), *_ROW)
-    dealt = texts.mapInArrow(lambda x: _bands(x, min_words), "key long, same long").repartition("key").distinct()
+def _near(texts: DataFrame, places: DataFrame, min_words: int, lines: bool = False) -> DataFrame:
+    places = places.where("h2 is null").select(F.col("h").alias("same"), *_ROW, "line")
+    classes = cut(places.groupBy("same").agg(F.min(F.struct(*_ROW)).alias("first"), F.count(F.lit(1)).alias("n")))
+    dealt = texts.mapInArrow(lambda x: _bands(x, min_words, lines), "key long, same long").repartition("key").distinct()
     # bands in which the same classes meet are one: a group is named by its members, and compared once
     by_key = Window.partitionBy("key")
-    met = dealt.withColumn("many", F.count(F.lit(1)).over(by_key)).where("many > 1").withColumn("group", F.bit_xor(F.xxhash64("same")).over(by_key))
-    pairs = cut(met.select(F.xxhash64("group", "many").alias("key"), "same", "many").distinct())
-    sets = texts.mapInArrow(lambda x: _shingled(x, min_words), "same long, shingles array<int>").join(pairs.select("same").distinct(), "same", "left_semi").groupBy("same").agg(F.any_value("shingles").alias("shingles"))
+    grouped = dealt.withColumn("many", F.count(F.lit(1)).over(by_key)).where("many > 1").withColumn("group", F.bit_xor(F.xxhash64("same")).over(by_key))
+    pairs = cut(grouped.select(F.xxhash64("group", "many").alias("key"), "same", "many").distinct())
+    met = cut(pairs.select("same").distinct())
+    # only documents that are the first with a class that is met are read again
+    holders = met.join(classes, "same").select(F.col("first.doc_id").alias("doc_id")).distinct()
+    again = texts.join(F.broadcast(holders) if holders.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else holders, "doc_id", "left_semi")
+    sets = again.mapInArrow(lambda x: _shingled(x, min_words, lines), "same long, shingles array<int>").join(met, "same", "left_semi").groupBy("same").agg(F.any_value("shingles").alias("shingles"))
     blocks = F.ceil(F.col("many") / HOT_BAND).cast("long")
     own = F.pmod(F.xxhash64("same"), blocks)
     parts = pairs.select("key", "same", blocks.alias("b"), own.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("j"))
@@ -249,12 +273,11 @@ def _near(texts: DataFrame, places: DataFrame, min_words: int) -> DataFrame:
     parts = parts.join(sets, "same").select("key", "part", "same", "shingles")
     links = parts.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_similar, "src long, dst long")
     groups = connected_components(links).select(F.col("node").alias("same"), F.col("component"))
-    classes = places.groupBy("same").agg(F.min(F.struct(*_ROW)).alias("first"), F.count(F.lit(1)).alias("n"))
     named = classes.join(groups, "same", "left").select("same", "n", "first", F.coalesce("component", "same").alias("component"))
     heads = named.groupBy("component").agg(F.min("first").alias("head"), F.sum("n").alias("members")).where("members > 1")
     clusters = named.join(heads, "component").select("same", "head")
     members = places.join(clusters, "same")
-    return members.select(*_ROW, F.col("head.doc_id").alias("cluster_doc"), F.col("head.para").alias("cluster_para"), F.col("head.first").alias("cluster_first"), (F.struct(*_ROW) != F.col("head")).alias("removed"))
+    return members.select(*_ROW, "line", F.col("head.doc_id").alias("cluster_doc"), F.col("head.para").alias("cluster_para"), F.col("head.first").alias("cluster_first"), (F.struct(*_ROW) != F.col("head")).alias("removed"))
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -287,6 +310,13 @@ def _repeated(places: DataFrame) -> DataFrame:
 
 
 def duplicate_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Near-duplicate paragraphs and repeated passages, told apart by ``kind`` ('paragraph' or 'passage'); see there."""
-    texts, places = _parsed(docs, id_col, text_col, MIN_WORDS)
-    return _near(texts, places, MIN_WORDS).withColumn("kind", F.lit("paragraph")).unionByName(_repeated(places).withColumn("kind", F.lit("passage")))
+    """Near-duplicate paragraphs, lines of fewer than ``MIN_WORDS`` words and repeated passages, told apart by ``kind``.
+
+    'paragraph' rows are those of ``near_paragraphs``, and 'passage' rows those of ``repeated_passages``. 'line' rows are short lines
+    by themselves, whatever stands around them, compared with each other only, in the same way. A short line that is a
+    whole text is a paragraph too.
+    """
+    texts, places = _parsed(docs, id_col, text_col, MIN_WORDS, True)
+    near = _near(texts, places, MIN_WORDS, True)
+    kinds = near.withColumn("kind", F.when(F.col("line"), "line").otherwise("paragraph")).drop("line")
+    return kinds.unionByName(_repeated(places).withColumn("kind", F.lit("passage")))

@@ -165,6 +165,18 @@ def test_paragraphs(spark):
     assert paragraphs.units([2, 40, 3, 50, 12]) == [(0, 0, 45), (3, 45, 50), (3, 45, 62)]
 
 
+def test_short_lines_are_a_kind_of_their_own(spark, docs, texts):
+    """Brute force over all lines of fewer than twenty words; a line of ten in six documents between unlike lines."""
+    lines = {(i, k): w for i, t in texts.items() for k, x in enumerate(t.encode().lower().split(b"\n")) if 0 < len(w := x.split()) < paragraphs.MIN_WORDS}
+    found = paragraphs.duplicate_paragraphs(docs)
+    assert clusters(found.where("kind = 'line'")) == near_by_brute_force(lines)
+    assert clusters(found.where("kind = 'paragraph'")) == clusters(paragraphs.near_paragraphs(docs))
+    said = "this very line of ten words stands in six documents"
+    rows = [(k, "\n".join([" ".join(f"a{k}x{j}" for j in range(15)), said, " ".join(f"b{k}x{j}" for j in range(15))])) for k in range(6)]
+    got = paragraphs.duplicate_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.para, r.words, r.kind, r.cluster_doc, r.removed) for r in got} == {(k, 1, 10, "line", 0, k > 0) for k in range(6)}
+
+
 def test_short_paragraphs(spark):
     long = "one two three four five six seven eight nine ten eleven twelve"
     lines = ["Chapter", "All rights reserved.", "chapter", "all  rights reserved.", "a b c d e", "A b c d e", "x x x x x", "x x x x x x x", "a b c d f", "", " ", "alone here", long, long + " thirteen", long[4:] + " on", "six words are in this line", "Six words are in this line"]
