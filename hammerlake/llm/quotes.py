@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ._util import cut
 
-#: Shorter quoted passages come from everywhere: they are linked within their conversation only.
+#: Shorter passages are said everywhere: they are linked to another conversation only if it is the only one that says them.
 MIN_WORDS = 4
 _PREFIX = r"^(?:[ \t]*>)*[ \t]?"
 
@@ -39,14 +39,40 @@ def _words(normal: Column) -> Column:
     return F.when(normal == "", 0).otherwise(F.size(F.split(normal, " ")))
 
 
+def _runs(lines: DataFrame) -> DataFrame:
+    """``(conv_id, turn, hash)``: passages of several lines that are a run of whole lines of a message of their conversation.
+
+    ``lines`` (conv_id, turn, row, passage, hash, pos, h) are the lines that have words, of passages and (with a null
+    passage) of own texts. A run of m lines is known by the hashes of its first and its last 2^k lines, with 2^k the greatest power that fits: as these
+    double from level to level, no line meets all runs that hold it, and no array grows with a message.
+    """
+    group = ["conv_id", "turn", "row", "passage"]
+    most = lines.where("passage is not null").agg(F.max("pos")).first()[0] or 0
+    levels = max(0, most.bit_length() - 1)
+    w = Window.partitionBy(*group).orderBy("pos")
+    table = lines.withColumn("m", F.max("pos").over(Window.partitionBy(*group))).withColumn("h0", F.col("h"))
+    for k in range(1, levels + 1):
+        table = table.withColumn(f"h{k}", F.when(F.lead(f"h{k - 1}", 1 << (k - 1)).over(w).isNotNull(), F.xxhash64(f"h{k - 1}", F.lead(f"h{k - 1}", 1 << (k - 1)).over(w))))
+    table = cut(table.select(*group, "hash", "pos", "m", F.array(*[f"h{k}" for k in range(levels + 1)]).alias("hs")))
+
+    level = F.floor(F.log2("m") + 1e-9).cast("int")
+    wanted = table.where("passage is not null and m > 1").withColumn("k", level).withColumn("second", F.col("m") - F.pow(F.lit(2), F.col("k")).cast("int") + 1)
+    at = lambda place: F.max(F.when(F.col("pos") == place, F.get("hs", F.col("k"))))
+    wanted = wanted.where((F.col("pos") == 1) | (F.col("pos") == F.col("second"))).groupBy(*group, "m", "k", "hash").agg(at(F.lit(1)).alias("first"), at(F.col("second")).alias("last"))
+    wanted = wanted.select("conv_id", "k", "m", "first", "last", "hash").distinct()
+    own = table.where("passage is null").select("conv_id", "turn", "row", "pos", F.posexplode("hs").alias("k", "h")).where("h is not null")
+    begun = own.join(wanted.withColumnRenamed("first", "h"), ["conv_id", "k", "h"]).select("conv_id", "turn", "row", "k", (F.col("pos") + F.col("m") - F.pow(F.lit(2), F.col("k")).cast("int")).alias("pos"), F.col("last").alias("h"), "hash")
+    return begun.join(own, ["conv_id", "turn", "row", "k", "pos", "h"]).select("conv_id", "turn", "hash").distinct()
+
+
 def link_quotes(messages: DataFrame) -> DataFrame:
     """``(conv_id, turn, role, own_text, reply_to, quoted_conv, n_quotes, n_linked, thread, position)`` for each message.
 
     ``messages`` has conv_id and turn (long), role and text. Lines that begin with ``>`` are quoted, nested as
     many levels as there are marks; neighbouring lines of one level are a passage. Passages that have words are
-    normalised, hashed, and joined to messages whose whole own text or one of whose own lines or paragraphs is the
-    same: the latest earlier message of the conversation, else, for passages of ``MIN_WORDS`` words or more, the first
-    of all conversations.
+    normalised, hashed, and joined to messages whose whole own text, one of whose own lines or paragraphs, or a run of whose own lines is the
+    same: the latest earlier message of the conversation, else (but for runs of lines) the first of all conversations; one of fewer than ``MIN_WORDS``
+    words only if no third conversation has it.
     A message replies to the turn of its shallowest linked passage in its conversation, or else to the turn
     before it. own_text is the text without quotes; thread the first turn that replies lead back to; position
     counts a conversation's messages thread by thread, each before its replies (equal turns in order of text).
@@ -68,18 +94,26 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     numbered = known.select("conv_id", "turn", F.xxhash64("role", "own_text").alias("row"), F.posexplode("lines").alias("k", "line"))
     by_row = Window.partitionBy("conv_id", "turn", "row").orderBy("k")
     opened = numbered.select("conv_id", "turn", "row", "k", "line.level", "line.text", (F.lag("line.level", 1, -1).over(by_row) != F.col("line.level")).cast("int").alias("opens"))
-    passages = opened.withColumn("passage", F.sum("opens").over(by_row)).where("level > 0").groupBy("conv_id", "turn", "row", "passage").agg(F.first("level").alias("level"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]), " ").alias("text"))
-    passages = passages.select("conv_id", "turn", "passage", "level", _normal(F.col("text")).alias("text")).where("text <> ''").select("conv_id", "turn", "passage", "level", F.xxhash64("text").alias("hash")).distinct()
+    opened = opened.withColumn("passage", F.sum("opens").over(by_row))
+    passages = opened.where("level > 0").groupBy("conv_id", "turn", "row", "passage").agg(F.first("level").alias("level"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]), " ").alias("text"))
+    passages = cut(passages.select("conv_id", "turn", "row", "passage", "level", _normal(F.col("text")).alias("text")).where("text <> ''").select("conv_id", "turn", "row", "passage", "level", F.xxhash64("text").alias("hash")))
+
+    # lines with words, numbered within their passage or own text
+    said = opened.select("conv_id", "turn", "row", F.when(F.col("level") > 0, F.col("passage")).alias("passage"), "k", _normal(F.col("text")).alias("text")).where("text <> ''")
+    placed = said.select("conv_id", "turn", "row", "passage", F.xxhash64("text").alias("h"), F.row_number().over(Window.partitionBy("conv_id", "turn", "row", "passage").orderBy("k")).alias("pos"))
+    runs = _runs(placed.join(passages.drop("level"), ["conv_id", "turn", "row", "passage"], "left"))
+    passages = passages.drop("row").distinct()
 
-    # originals: whole own texts, and their lines and paragraphs
+    # originals: whole own texts, their lines and paragraphs, and runs of lines that a passage of the conversation asks for
     parts = F.concat(F.array("own_text"), F.split("own_text", "\n"), F.split("own_text", r"\n\s*\n"))
     originals = known.select("conv_id", "turn", F.explode(parts).alias("text")).select("conv_id", "turn", _normal(F.col("text")).alias("text")).where("text <> ''").select("conv_id", "turn", F.xxhash64("text").alias("hash"), (_words(F.col("text")) >= MIN_WORDS).alias("long")).distinct()
 
     # within a conversation: the last original before each passage, by one sort instead of a join of all with all
-    both = originals.select("conv_id", "hash", "turn", F.col("turn").alias("original"), F.lit(None).cast("long").alias("passage"), F.lit(None).cast("int").alias("level")).unionByName(passages.select("conv_id", "hash", "turn", F.lit(None).cast("long").alias("original"), "passage", "level"))
+    here = originals.select("conv_id", "turn", "hash").unionByName(runs).distinct()
+    both = here.select("conv_id", "hash", "turn", F.col("turn").alias("original"), F.lit(None).cast("long").alias("passage"), F.lit(None).cast("int").alias("level")).unionByName(passages.select("conv_id", "hash", "turn", F.lit(None).cast("long").alias("original"), "passage", "level"))
     before = Window.partitionBy("conv_id", "hash").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
     near = both.withColumn("from_turn", F.last("original", ignorenulls=True).over(before)).where("passage is not null").drop("original")
-    first = originals.where("long").groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
+    first = originals.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("first"), (F.max("long") | (F.min("conv_id") == F.max("conv_id"))).alias("rare")).where("rare")
     linked = near.join(first, "hash", "left").select("conv_id", "turn", "passage", "level", "from_turn", F.when(F.col("from_turn").isNotNull(), F.col("conv_id")).otherwise(F.when(F.col("first.conv_id") != F.col("conv_id"), F.col("first.conv_id"))).alias("from_conv"))
     of_turn = linked.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n_quotes"), F.count("from_conv").alias("n_linked"), F.min(F.when(F.col("from_turn").isNotNull(), F.struct("level", (-F.col("from_turn")).alias("t")))).alias("reply"), F.min(F.when(F.col("from_conv") != F.col("conv_id"), F.col("from_conv"))).alias("quoted_conv"))
 

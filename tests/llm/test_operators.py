@@ -401,6 +401,43 @@ def test_quotes_by_brute_force(spark):
     assert got == brute_links(rows)
 
 
+def test_runs_of_lines(spark):
+    """Parts of a message, foreign mail with wrapped lines, and short passages that one other conversation has."""
+    first = "one alpha\n\ntwo beta gamma\nthree\nfour delta"
+    mail = "On Monday, Ann wrote:\n> one alpha two\n> beta gamma three four\n> delta\nAgreed."
+    rows = [(1, 0, first), (1, 1, "unlike"), (1, 2, "> one alpha\n>\n> two beta gamma\nfirst two"), (1, 3, "> Two, beta gamma\n> three\n> four delta\nlast three"), (1, 4, "> three\n> one alpha\nno such run"), (1, 5, "> > two beta gamma\n> > three\n> unlike\nnested"), (1, 6, mail), (2, 0, "> first two\nshort but said once"), (3, 0, "> unlike\nx"), (4, 0, "unlike"), (5, 0, "> > three\n> > four delta\ny")]
+    got = {(r.conv_id, r.turn): (r.n_quotes, r.n_linked, r.reply_to, r.quoted_conv) for r in quotes.link_quotes(spark.createDataFrame([(c, t, "u", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")).collect()}
+    assert got[1, 2] == (1, 1, 0, None) and got[1, 3] == (1, 1, 0, None) and got[1, 4] == (1, 0, 3, None)
+    assert got[1, 5] == (2, 2, 1, None) and got[1, 6] == (1, 1, 0, None)
+    assert got[2, 0] == (1, 1, None, 1) and got[3, 0] == (1, 0, None, None) and got[5, 0] == (1, 0, None, None)
+
+
+def test_partial_quotes_by_brute_force(spark):
+    """Replies that quote some lines in a row of an earlier message; all runs of all earlier messages are looked at. Recall is 1.
+
+    Passages are compared by their words, so those of one conversation that only break lines elsewhere are one.
+    """
+    rng, rows, quoted, texts = np.random.default_rng(21), [], {}, {}
+    for conv in range(4):
+        for turn in range(15):
+            lines = [" ".join(rng.choice(["a", "b", "c"], int(rng.integers(1, 3)))) for _ in range(int(rng.integers(1, 9)))]
+            if turn:
+                of = texts[conv, int(rng.integers(turn))]
+                at = int(rng.integers(len(of)))
+                quoted[conv, turn] = tuple(of[at : at + int(rng.integers(1, 6))])
+            rows.append((conv, turn, "u", "\n".join([*("> " + x for x in quoted.get((conv, turn), ())), *lines])))
+            texts[conv, turn] = lines
+
+    def source(conv, turn):
+        p = " ".join(quoted[conv, turn])
+        breaks = [q for (c, _), q in quoted.items() if c == conv and " ".join(q) == p]
+        has = lambda x: p == " ".join(x) or p in x or any(tuple(x[i : i + len(q)]) == q for q in breaks for i in range(len(x)))
+        return max(t for t in range(turn) if has(texts[conv, t]))
+
+    got = {(r.conv_id, r.turn): r.reply_to for r in quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect() if r.turn}
+    assert got == {k: source(*k) for k in quoted}
+
+
 def test_odd_messages(spark):
     layout = "conv_id long, turn long, role string, text string, hash long, lines int"
     rows = [(1, 0, "u", "The first message has words.", 1, 1), (1, 0, "u", "The first message has words.", 1, 1), (1, 1, None, None, 1, 1), (1, 1, "a", "> The first message has words.\nok", 1, 1), (None, 3, "u", "> a", 1, 1), (2, None, "u", "", 1, 1), (3, 5, "u", "> " * 50 + "x " * 20000, 1, 1)]
