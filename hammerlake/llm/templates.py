@@ -17,9 +17,15 @@ DRIFT_WORDS = 5
 #: 40 bytes each); more are shuffled.
 BROADCAST_ROWS = 200_000
 NUMBER, NAME, UNIT = "<number>", "<name>", "<unit>"
-# Words for numbers, and units of measure.
+# Words for numbers, and units of measure, in English, German, French and Spanish.
 NUMBER_WORDS = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "twenty", "thirty", "forty", "fifty", "hundred", "thousand", "million"]
+NUMBER_WORDS += ["null", "eins", "zwei", "drei", "vier", "fünf", "sechs", "sieben", "acht", "neun", "zehn", "elf", "zwölf", "zwanzig", "dreißig", "vierzig", "fünfzig", "hundert", "tausend", "millionen"]
+NUMBER_WORDS += ["zéro", "deux", "trois", "quatre", "cinq", "sept", "huit", "neuf", "dix", "onze", "douze", "vingt", "trente", "quarante", "cinquante", "mille", "millions"]
+NUMBER_WORDS += ["cero", "dos", "tres", "cuatro", "cinco", "seis", "siete", "ocho", "nueve", "diez", "doce", "veinte", "treinta", "cuarenta", "cincuenta", "cien", "mil", "millones"]
 UNITS = ["mm", "cm", "m", "km", "mg", "g", "kg", "t", "ml", "l", "s", "sec", "min", "h", "hr", "hz", "v", "w", "kw", "inch", "inches", "foot", "feet", "ft", "mile", "miles", "meter", "meters", "metre", "metres", "kilometers", "kilometres", "gram", "grams", "kilograms", "pound", "pounds", "lb", "lbs", "ounce", "ounces", "liter", "liters", "litre", "litres", "second", "seconds", "minute", "minutes", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "dollar", "dollars", "euro", "euros", "cent", "cents", "percent", "usd", "eur"]
+UNITS += ["kilometer", "gramm", "kilogramm", "pfund", "sekunde", "sekunden", "minuten", "stunde", "stunden", "tag", "tage", "woche", "wochen", "monat", "monate", "jahr", "jahre", "prozent"]
+UNITS += ["mètre", "mètres", "kilomètres", "gramme", "grammes", "kilogrammes", "seconde", "secondes", "heure", "heures", "jour", "jours", "semaine", "semaines", "mois", "an", "ans", "année", "années", "centimes"]
+UNITS += ["metro", "metros", "kilómetros", "gramo", "gramos", "kilogramos", "litro", "litros", "segundo", "segundos", "minuto", "minutos", "hora", "horas", "día", "días", "semana", "semanas", "mes", "meses", "año", "años", "dólares", "céntimos"]
 #: Before a capital within a sentence, and before one that begins a sentence or line.
 _MARK, _START = "\x02", "\x03"
 #: The share of an item's words that are no slots, from which equal numbers of the item may stand for different ones.
@@ -153,10 +159,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     return best.select("doc_id", "item_id", "b.coverage", F.col("b.n_slots").cast("long").alias("n_slots"), "b.verbatim", "b.consistent")
 
 
-def drop_leaked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def drop_leaked(docs: DataFrame, benchmark: DataFrame, inconsistent: bool = True) -> DataFrame:
     """``docs`` without those that hold a benchmark item; rows with a null doc_id or text stay, and all rows of one doc_id go together.
 
+    With ``inconsistent``, hits count whose equal numbers became different ones (``consistent`` is false in ``find_leaks``): a
+    question whose parameters were exchanged, or, less often, another one with the same frame. Without it these stay.
     ``docs`` has doc_id and text; its other columns and repeated rows stay as they are. Empty tables drop nothing.
     """
-    leaked = find_leaks(docs, benchmark).select("doc_id").distinct()
+    found = find_leaks(docs, benchmark)
+    leaked = (found if inconsistent else found.where("consistent")).select("doc_id").distinct()
     return docs.join(leaked, docs["doc_id"] == leaked["doc_id"], "left_anti").select(*[docs[f"`{c}`"] for c in docs.columns])
