@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
@@ -29,13 +30,31 @@ def least_share(name: str, rows: DataFrame, goods: list[Column], least: float, m
     return counted.select(F.lit(name).alias("gate"), F.when(bad, F.col("n") - F.col("g")).otherwise(0).cast("long").alias("violations"), (~bad).alias("ok"))
 
 
+def samples(gates: dict[str, DataFrame], most: int = 5) -> DataFrame:
+    """``(gate, sample)``: the first ``most`` violations of each gate, by the ``sample`` that names them."""
+    first = [rows.select(F.lit(name).alias("gate"), F.col("sample").cast("string").alias("sample")).orderBy("sample").limit(most) for name, rows in gates.items()]
+    return reduce(DataFrame.unionByName, first)
+
+
 def run(spark: SparkSession, gates: dict[str, Callable[[], DataFrame]]) -> DataFrame:
-    """The results of all gates, each run by itself as a job that brings one row; one that can't be run has failed (its
-    violations are null), and the others still tell."""
-    rows = []
+    """The results of all gates, from one job that brings a row of each: what several of them read or join is read once.
+
+    One that can't be run has failed (its violations are null), and the others still tell: those that can't be planned are left out of
+    the job, and if the job itself fails, each gate is run alone.
+    """
+    planned: dict[str, DataFrame] = {}
+    rows: list[tuple] = []
     for name, gate in gates.items():
         try:
-            rows.append(tuple(gate().select("gate", "violations", "ok").first()))
+            planned[name] = gate().select("gate", "violations", "ok")
         except (PySparkException, Py4JError):
             rows.append((name, None, False))
+    try:
+        rows += [tuple(r) for r in reduce(DataFrame.unionByName, planned.values()).collect()] if planned else []
+    except (PySparkException, Py4JError):
+        for name, gate in planned.items():
+            try:
+                rows.append(tuple(gate.first()))
+            except (PySparkException, Py4JError):
+                rows.append((name, None, False))
     return spark.createDataFrame(rows, "gate string, violations long, ok boolean")

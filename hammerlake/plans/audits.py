@@ -67,3 +67,9 @@ def run(scored: DataFrame, raw: DataFrame, rights: DataFrame, verified: DataFram
     canary = lambda: gates.least_share("field_canary", every["field_canary"](), [F.col("appraisal_price") > 0, F.col("min_bid_price") > 0], CANARY_SHARE, CANARY_ROWS)
     plain = {name: (lambda f=f, name=name: gates.violations(name, f())) for name, f in every.items() if name != "field_canary"}
     return gates.run(scored.sparkSession, plain | {"field_canary": canary})
+
+
+def samples(scored: DataFrame, raw: DataFrame, rights: DataFrame, verified: DataFrame, today: str, most: int = 5) -> DataFrame:
+    """``(gate, sample)``: the first ``most`` case numbers that violate each gate."""
+    every = checks(scored, raw, rights, verified, today)
+    return gates.samples({name: gate() for name, gate in every.items() if name != "field_canary"}, most)

@@ -261,6 +261,18 @@ GATES = {
 
 @query("SELECT gate, violations, violations = 0 AS ok FROM (" + " UNION ALL ".join(f"SELECT '{g}' AS gate, count(*) FILTER ({cond.replace('o_custkey % 5 = 1', 'o_orderkey % 97 <> 5 AND o_custkey % 5 = 1') if g == 'code_and_type' else 'o_orderkey % 97 <> 5 AND ' + cond if g == 'type_physical' else cond}) AS violations FROM orders" for g, cond in GATES.items()) + " UNION ALL SELECT 'field_canary', CASE WHEN count(*) >= 50 AND count(*) FILTER (o_orderkey % 8 <> 0) < 0.9 * count(*) THEN count(*) FILTER (o_orderkey % 8 = 0) ELSE 0 END FROM orders)")
 def data_gates(t):
+    return audits.run(*_gated(t))
+
+
+_SAMPLED = " UNION ALL ".join(f"(SELECT '{g}' AS gate, o_orderkey::VARCHAR AS sample FROM orders WHERE {'o_orderkey % 97 <> 5 AND ' if g in ('type_physical', 'code_and_type') else ''}{cond} ORDER BY 2 LIMIT 5)" for g, cond in GATES.items())
+
+
+@query(f"SELECT gate, sample FROM ({_SAMPLED})")
+def gate_samples(t):
+    return audits.samples(*_gated(t))
+
+
+def _gated(t):
     o = t("orders")
     key = [F.lit("c").alias("court"), c(K).cast("string").alias("case_no"), F.lit("1").alias("item_no")]
     scored = o.select(*key, F.lit("아파트").alias("property_type"), F.when(c(K) % 4 == 0, listings.SAME_SAME).otherwise("").alias("market_scope"), F.when(c(K) % 40 == 7, 900).otherwise(100).alias("est_market_price"), F.when(c(K) % 8 != 0, 300).otherwise(0).alias("appraisal_price"), F.lit(80).alias("min_bid_price"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("sale_date"), F.when(c(K) % 60 == 1, 9).otherwise(1).alias("market_band_low"), F.lit(5).alias("market_band_high"), F.lit(1).alias("profit_low"), F.lit(2).alias("profit_high"))
@@ -268,4 +280,4 @@ def data_gates(t):
     land = c("part") == 0
     raw = parts.where(land | (c(K) % 10 != 0)).select(*key, F.when(~land, "동").alias("buldNm"), F.lit("").alias("buldList"), F.lit("").alias("pjbBuldList"), F.when(land, "대").alias("jimokList"), F.when((c(C) % 5 == 1) & land, "20110").otherwise("20104").alias("sclsUtilCd"), F.when((c(C) % 13 == 0) & land, "2분의 1 지분").alias("maejibun"), F.lit("").alias("mulBigo"), F.lit("").alias("alias"))
     opinions = o.select(*key, F.when(c(C) % 50 == 0, "[{").otherwise("[]").alias("schedule"))
-    return audits.run(scored, raw, opinions, scored.where(c("case_no").cast("long") % 2 == 0), "1995-01-01")
+    return scored, raw, opinions, scored.where(c("case_no").cast("long") % 2 == 0), "1995-01-01"

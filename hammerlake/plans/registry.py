@@ -231,7 +231,7 @@ def json_profile(t):
     return stats.key_profile(t("events"), "props")
 
 
-@query()
+@query("SELECT count(*) AS n, max(ts) AS newest, sum(('0x' || substr(md5(event_id || '|' || event_type), 1, 8))::BIGINT)::BIGINT AS checksum FROM events")
 def dataset_fingerprint(t):
     return stats.dataset_fingerprint(t("events"), ["event_id", "event_type"], "ts")
 
