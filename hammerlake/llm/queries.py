@@ -86,5 +86,22 @@ SELECT c.conv_id, c.turn, c.role, trim(c.text) AS own_text, reply_to, NULL::BIGI
 FROM conversations c JOIN h ON c.conv_id = h.conv_id AND c.turn = h.turn
 """
 
+#: The answer to ``op13_trie`` from prefixes of digests: each node is a distinct prefix, and gives its saving to all above it.
+_CRC = "xor(list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda crc, byte: list_reduce(range(8), lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, xor(crc, byte)), 4294967295), 4294967295)"
+_TRIE_SQL = f"""
+WITH raw AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT conv_id AS c, {_CRC} % 9 AS h FROM (SELECT DISTINCT conv_id FROM raw)),
+n AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS k, md5(length(role) || ':' || role || text) AS d, strlen(text) AS b FROM raw),
+q AS (SELECT c, 0 AS part, k, d, b FROM ids JOIN n ON n.conv_id = c - c % 5 WHERE k < h UNION ALL SELECT c, 1, k, d, b FROM ids JOIN n ON n.conv_id = c WHERE k >= h),
+s AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY part, k) AS depth, d, b FROM q),
+p AS (SELECT c, depth, b, string_agg(d, '') OVER (PARTITION BY c ORDER BY depth) AS path FROM s UNION ALL SELECT c, 0, 0, '' FROM ids),
+node AS (SELECT path, depth, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(b) AS own FROM p GROUP BY ALL),
+kid AS (SELECT path[:length(path) - 32] AS path, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY 1),
+ends AS (SELECT path, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids FROM (SELECT * FROM p QUALIFY depth = max(depth) OVER (PARTITION BY c)) GROUP BY 1),
+below AS (SELECT p.path, sum(v.own) AS saved, count(*) FILTER (k.path IS NULL) AS leaves FROM node v JOIN p ON p.c = v.conv_id AND p.depth <= v.depth LEFT JOIN kid k ON k.path = v.path GROUP BY 1)
+SELECT v.conv_id, v.depth, u.conv_id AS parent_conv_id, v.n_convs, coalesce(n_children, 0) AS n_children, leaves AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM node v LEFT JOIN node u ON v.depth > 0 AND u.path = v.path[:length(v.path) - 32] LEFT JOIN kid ON kid.path = v.path LEFT JOIN ends ON ends.path = v.path JOIN below ON below.path = v.path
+"""
+
 #: The others are checked against brute force, library results or held-out accuracy in tests/llm instead.
-ORACLE_SQL: dict[str, str] = {"op4_quotes": _QUOTES_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_quotes": _QUOTES_SQL, "op13_trie": _TRIE_SQL}
