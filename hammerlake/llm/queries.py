@@ -86,6 +86,18 @@ SELECT c.conv_id, c.turn, c.role, trim(c.text) AS own_text, reply_to, NULL::BIGI
 FROM conversations c JOIN h ON c.conv_id = h.conv_id AND c.turn = h.turn
 """
 
+#: The answer to ``op11_jaccard``: all pairs with a common shingle are counted, and links followed until nothing is new.
+_JACCARD_SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, hash(unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS d, doc_id AS m FROM documents UNION SELECT e.a, r.m FROM r JOIN e ON e.b = r.d)
+SELECT d AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(m) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.d GROUP BY 1
+"""
+
 #: The answer to ``op13_trie`` from prefixes of digests: each node is a distinct prefix, and gives its saving to all above it.
 _CRC = "xor(list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda crc, byte: list_reduce(range(8), lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, xor(crc, byte)), 4294967295), 4294967295)"
 _TRIE_SQL = f"""
@@ -104,4 +116,4 @@ FROM node v LEFT JOIN node u ON v.depth > 0 AND u.path = v.path[:length(v.path)
 """
 
 #: The others are checked against brute force, library results or held-out accuracy in tests/llm instead.
-ORACLE_SQL: dict[str, str] = {"op4_quotes": _QUOTES_SQL, "op13_trie": _TRIE_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_quotes": _QUOTES_SQL, "op11_jaccard": _JACCARD_SQL, "op13_trie": _TRIE_SQL}
