@@ -17,7 +17,7 @@ from .components import connected_components
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 #: Lines with fewer words are taken together with their neighbours, and each by itself as well.
 MIN_WORDS = 20
-ROWS_PER_BAND, RECALL = 2, 0.999
+ROWS_PER_BAND, RECALL = 3, 0.999
 #: Words of a passage, and words around a place within which it must have the smallest hash for a passage to begin there.
 PASSAGE_WORDS, REACH = 32, 5
 #: Paragraphs of one band value that a task compares; more are divided in blocks.
@@ -183,7 +183,7 @@ def _bands(batches: Iterator[pa.RecordBatch], min_words: int, lines: bool) -> It
 
 
 def _shingled(batches: Iterator[pa.RecordBatch], min_words: int, lines: bool) -> Iterator[pa.RecordBatch]:
-    """(class, shingles); a lone shingle has 31 more bits of its hash beside it, as its 31 are too few among millions."""
+    """(class, distinct shingles in order); a lone shingle has 31 more bits of its hash beside it, as its 31 are too few among millions."""
     known = WordHashes()
     for batch in batches:
         for part in slices(batch, "text"):
@@ -192,7 +192,7 @@ def _shingled(batches: Iterator[pa.RecordBatch], min_words: int, lines: bool) ->
                 if len(own) >= SHINGLE_WORDS and same not in sets:
                     s = shingles(own)
                     lone = len(s) == 1 or s[0] == s[1] and bool((s == s[0]).all())
-                    sets[same] = np.append(s[:1], int(gram_hashes(own[:SHINGLE_WORDS], SHINGLE_WORDS)[0]) >> 33) if lone else s
+                    sets[same] = np.unique(np.append(s[:1], int(gram_hashes(own[:SHINGLE_WORDS], SHINGLE_WORDS)[0]) >> 33) if lone else s)
             ends = np.cumsum([0, *map(len, sets.values())])
             flat = np.concatenate([*sets.values()]).astype(np.int32) if sets else np.zeros(0, np.int32)
             yield pa.record_batch([pa.array([*sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["same", "shingles"])
@@ -205,8 +205,10 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, ends = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
         out: list[tuple[int, int]] = []
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            sets = [np.unique(flat[ends[k] : ends[k + 1]]) for k in range(a, b)]
-            sizes = np.array([len(x) for x in sets])
+            sizes = ends[a + 1 : b + 1] - ends[a:b]
+            if b - a == 2 and min(sizes) < SIMILARITY * max(sizes):
+                continue  # two sets of such sizes can't be similar
+            sets = [flat[ends[k] : ends[k + 1]] for k in range(a, b)]
             joined, starts = np.concatenate(sets), np.cumsum(sizes) - sizes
             rest = np.arange(b - a)
             while len(rest):
