@@ -99,3 +99,63 @@ def bid_sim(t):
     rows = t("orders").select(K, sale.alias("sale"), (sale * 0.8).cast("bigint").alias("bid")).withColumn("most", money.break_even(c("sale"), kind, area))
     net = lambda bid: money.simulate(bid, c("sale"), kind, area)["net"] > 0
     return rows.select(K, "bid", money.simulate(c("bid"), c("sale"), kind, area).alias("s"), net(c("most")).alias("gains"), net(c("most") + 1).alias("beyond")).select(K, "bid", "s.*", "gains", "beyond").drop("roi")
+
+
+# scores, and what is served where trades give no price ------------------------------------------------------------------
+KIND5, OCCUPANT5 = ["아파트", "오피스텔", "다세대", "토지", "기타"], ["공실", "임차인", "소유자점유", "다수점유", "기타"]
+RIGHTS6, PLACE4 = [[], ["지분"], ["가등기"], ["유치권"], ["위반건축물", "지분"], ["기타권리"]], ["서울 가 9층", "경기 나 1층", "부산 다 9층", "강원 라 2층"]
+
+
+def _candidates(t):
+    bid = (F.floor("o_totalprice") * 1000).cast("bigint")
+    rights = F.coalesce(*[F.when(c(K) % 6 == i, F.array(*map(F.lit, x)).cast("array<string>")) for i, x in enumerate(RIGHTS6)])
+    return t("orders").select(K, C, F.lit("C").alias("court"), c(K).cast("string").alias("case_no"), F.lit("1").alias("item_no"), chosen(C, KIND5).alias("property_type"), chosen(C, PLACE4).alias("address"), F.lit(84.0).alias("area_m2"), bid.alias("min_bid_price"), F.floor(bid * ((c(K) % 5) * 0.09)).cast("bigint").alias("assumed_amount"), rights.alias("special_rights"), (c(C) % 3 == 0).alias("tenant_opposable"), chosen(K, OCCUPANT5).alias("occupant_type"), (c(C) % 7 != 0).alias("rights_verified"), (c(K) % 11 == 0).alias("burden_amount_unknown"))
+
+
+def _scores(t):
+    rows = _candidates(t)
+    est = F.when((c(K) % 10 != 3) & (c(K) % 6 >= 2), F.floor(c("min_bid_price") * ((c(K) % 9) * 0.1 + 0.8)).cast("bigint"))
+    made = rows.select(*L.KEY, est.alias("est"), (c(K) % 6).alias("matched"), chosen(C, [L.SAME_SAME, "", L.SAME_DONG]).alias("scope"), F.floor(est * 0.9).cast("bigint").alias("band_low"), est.alias("band_high"), (c(C) % 8).alias("basis"), F.lit(1.0).alias("floor_mult"))
+    return L.score(rows, made)
+
+
+def _even(x: str) -> str:
+    """One decimal, half to even: a half is what is written with two decimals and a five at the end; all else is rounded as it is written."""
+    return f"CASE WHEN regexp_matches(({x})::VARCHAR, '[.][0-9]5$') THEN round(({x}) / 2, 1) * 2 ELSE round(({x})::VARCHAR::DECIMAL(38, 16), 1)::DOUBLE END"
+
+
+_SCORED = f"""o AS (SELECT o_orderkey AS k, o_custkey AS c, (floor(o_totalprice) * 1000)::BIGINT AS bid FROM orders),
+a AS (SELECT *, floor(bid * ((k % 5) * 0.09e0))::BIGINT AS assumed, CASE WHEN k % 10 <> 3 AND k % 6 >= 2 THEN floor(bid * ((k % 9) * 0.1e0 + 0.8e0))::BIGINT END AS est, k % 6 AS matched, CASE WHEN bid <= 600000000 THEN 0.01e0 WHEN bid <= 900000000 THEN round_even(bid * 2 / 300000000e0 - 3, 4) / 100 ELSE 0.03e0 END AS rate FROM o),
+b AS (SELECT *, floor(est * 0.9e0)::BIGINT AS low, bid + CASE WHEN c % 5 IN (0, 2) THEN {_e('bid * rate')} + {_e('bid * (rate * 0.5e0 * 0.2e0)')} ELSE {_e('bid * 0.04e0')} + {_e('bid * 0.004e0')} + {_e('bid * 0.002e0')} END AS cost, assumed / bid > 0.3e0 OR k % 6 = 3 AS gated,
+  greatest(0e0, least(100e0, round_even(100e0 - assumed / bid * 100 - ([0, 20, 25, 30, 35, 10])[(k % 6 + 1)::INTEGER] - CASE WHEN c % 3 = 0 THEN 30 ELSE 0 END - ([0, 10, 15, 25, 15])[(k % 5 + 1)::INTEGER], 1))) AS own,
+  greatest(0e0, least(100e0, round_even(([90e0, 75e0, 60e0, 35e0, 30e0])[(c % 5 + 1)::INTEGER] * ([1.10e0, 1.05e0, 1.00e0, 0.85e0])[(c % 4 + 1)::INTEGER] + least(10, 2 * matched), 1))) AS liquidity, CASE WHEN matched >= 3 THEN 1e0 WHEN matched = 2 THEN 0.85e0 WHEN matched = 1 THEN 0.7e0 ELSE 0.6e0 END AS conf FROM a),
+g AS (SELECT *, CASE WHEN gated THEN 0e0 ELSE own END AS rights, (est - cost) / est AS gap FROM b),
+s AS (SELECT *, GAP AS gap_score FROM g), r AS (SELECT *, {_even('(gap_score * 0.5e0 + rights * 0.3e0 + liquidity * 0.2e0) * conf')} AS raw FROM s),
+f AS (SELECT *, CASE WHEN gated AND raw > 25 THEN 25e0 ELSE raw END AS arb, c % 3 <> 2 AND c % 8 >= 5 AS strong FROM r),
+scored AS (SELECT *, est - cost AS profit, low - cost - assumed AS profit_low, CASE WHEN est IS NULL THEN CASE WHEN gated THEN '위험' WHEN c % 5 > 1 THEN '미지원유형' ELSE '시세추정불가' END WHEN gated THEN '위험' WHEN gap <= 0 OR low - cost - assumed <= 0 THEN '차익없음' WHEN c % 7 = 0 THEN '권리미확인'
+  ELSE CASE WHEN k % 11 = 0 THEN '주의' WHEN arb >= 60 AND NOT strong THEN '관심' WHEN arb >= 80 THEN CASE WHEN matched < 3 THEN '양호' ELSE '차익 유력' END WHEN arb >= 60 THEN '양호' WHEN arb >= 40 THEN '관심' ELSE '주의' END END AS grade, CASE WHEN c % 7 <> 0 OR gated THEN arb END AS arb_score FROM f)"""
+_GAP = "CASE WHEN {0} <= 0 THEN 0e0 WHEN {0} <= 0.1e0 THEN round_even(0e0 + ({0} - 0e0) / (0.1e0 - 0e0) * 35e0, 1) WHEN {0} <= 0.2e0 THEN round_even(35e0 + ({0} - 0.1e0) / (0.2e0 - 0.1e0) * 25e0, 1) WHEN {0} <= 0.3e0 THEN round_even(60e0 + ({0} - 0.2e0) / (0.3e0 - 0.2e0) * 20e0, 1) WHEN {0} <= 0.4e0 THEN round_even(80e0 + ({0} - 0.3e0) / (0.4e0 - 0.3e0) * 20e0, 1) WHEN {0} IS NOT NULL THEN 100e0 END".format("gap")
+
+
+@query(f"WITH {_SCORED.replace('GAP', _GAP)} SELECT k::VARCHAR AS case_no, cost, est, profit AS expected_profit, profit_low, coalesce(gap_score, 0) AS gap_score, rights AS rights_score, liquidity AS liquidity_score, arb_score, grade FROM scored")
+def scored(t):
+    return _scores(t).select("case_no", "cost", "est", "expected_profit", "profit_low", "gap_score", "rights_score", "liquidity_score", "arb_score", "grade")
+
+
+_SERVED = f"""WITH {_SCORED.replace('GAP', _GAP)},
+p AS (SELECT *, k % 8 <> 0 AS has, CASE WHEN k % 4 = 1 THEN floor(bid * 1.2e0)::BIGINT END AS kb, CASE WHEN k % 5 = 2 THEN floor(bid * 1.1e0)::BIGINT END AS ask, k % 3 AS asks, CASE WHEN k % 7 = 3 THEN floor(bid * 0.8e0)::BIGINT END AS lease, c % 5 = 1 AS office, CASE WHEN c % 4 = 1 THEN 0.92e0 WHEN c % 4 = 3 THEN 0.945e0 ELSE 1e0 END AS mult FROM scored),
+v AS (SELECT *, CASE WHEN NOT has THEN NULL WHEN est > 0 THEN 'trades' WHEN kb > 0 THEN 'kb' WHEN ask > 0 THEN 'ask' WHEN lease > 0 THEN 'lease' ELSE 'none' END AS source, floor(ask * CASE WHEN office THEN 0.85e0 ELSE 0.93e0 END)::BIGINT AS al, floor((ask + 10) * CASE WHEN office THEN 0.85e0 ELSE 0.93e0 END)::BIGINT AS ah, floor(lease / CASE WHEN office THEN 0.8e0 ELSE 0.65e0 END)::BIGINT AS lp FROM p),
+w AS (SELECT k, c, bid, cost, assumed, gated, rights, liquidity, matched, source, est AS old, profit_low AS old_low, arb_score AS old_arb, grade AS old_grade, floor(CASE source WHEN 'kb' THEN kb WHEN 'ask' THEN (al + ah) // 2 WHEN 'lease' THEN lp END * mult)::BIGINT AS est, floor(CASE source WHEN 'kb' THEN kb WHEN 'ask' THEN al WHEN 'lease' THEN lp END * mult)::BIGINT AS low, CASE source WHEN 'kb' THEN 0.75e0 WHEN 'ask' THEN CASE WHEN asks <= 1 THEN 0.45e0 ELSE 0.55e0 END WHEN 'lease' THEN 0.5e0 END AS conf FROM v),
+x AS (SELECT *, (est - cost) / est AS gap FROM w), y AS (SELECT *, {_GAP} AS gap_score FROM x), z AS (SELECT *, {_even('(gap_score * 0.5e0 + rights * 0.3e0 + liquidity * 0.2e0) * conf')} AS raw FROM y), u AS (SELECT *, CASE WHEN gated AND raw > 25 THEN 25e0 ELSE raw END AS arb FROM z)
+SELECT k::VARCHAR AS case_no, source AS market_source, coalesce(est, old) AS est, CASE WHEN est IS NULL THEN old_low ELSE low - cost - assumed END AS profit_low, CASE WHEN est IS NULL THEN old_arb WHEN c % 7 <> 0 OR gated THEN arb END AS arb_score,
+  CASE WHEN est IS NULL THEN old_grade WHEN gated THEN '위험' WHEN gap <= 0 OR low - cost - assumed <= 0 THEN '차익없음' WHEN c % 7 = 0 THEN '권리미확인' WHEN k % 11 = 0 THEN '주의' WHEN arb >= 80 THEN '차익 유력' WHEN arb >= 60 THEN '양호' WHEN arb >= 40 THEN '관심' ELSE '주의' END AS grade FROM u"""
+
+
+@query(_SERVED)
+def served_prices(t):
+    rows, k, bid = _candidates(t), c(K), c("min_bid_price")
+    some = lambda cond, x: F.when(cond, F.floor(bid * x).cast("bigint"))
+    none = F.lit(None).cast("bigint")
+    kb, ask = some(k % 4 == 1, 1.2), some(k % 5 == 2, 1.1)
+    prices = rows.where(k % 8 != 0).select(*L.KEY, none.alias("kb_low"), kb.alias("kb_avg"), none.alias("kb_high"), some(k % 7 == 3, 0.8).alias("lease_avg"), ask.alias("ask_min"), (ask + 10).alias("ask_max"), (k % 3).alias("ask_count"))
+    return L.market_view(_scores(t), prices).select("case_no", "market_source", "est", "profit_low", "arb_score", "grade")

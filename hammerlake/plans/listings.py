@@ -181,11 +181,12 @@ def _scored(rows: DataFrame, matched: Column, sample: tuple[Column, Column, Colu
     Each step is a column of its own: an expression that later ones use more than once is computed once.
     """
     false = lambda c: F.coalesce(F.col(c), F.lit(False))
-    rows = rows.withColumns({"expected_profit": F.col("_price") - F.col("cost"), "profit_low": F.col("_low") - F.col("cost") - F.coalesce("assumed_amount", F.lit(0)), "profit_high": F.col("_high") - F.col("cost"), "_gated": hard_gated()})
+    priced = lambda profit: F.when(F.col("_price").isNotNull(), profit)
+    rows = rows.withColumns({"expected_profit": F.col("_price") - F.col("cost"), "profit_low": priced(F.col("_low") - F.col("cost") - F.coalesce("assumed_amount", F.lit(0))), "profit_high": priced(F.col("_high") - F.col("cost")), "_gated": hard_gated()})
     rows = rows.withColumn("gap_rate", F.col("expected_profit") / F.col("_price"))
     rows = rows.withColumn("gap_score", numbers.interpolate(F.col("gap_rate"), GAP_KNOTS)).withColumn("_liquidity", liquidity_score(matched))
     rows = rows.withColumn("arb_score", F.bround((F.col("gap_score") * WEIGHTS[0] + F.col("rights_score") * WEIGHTS[1] + F.col("_liquidity") * WEIGHTS[2]) * F.col("_confidence"), 1))
-    rows = rows.withColumn("arb_score", F.when(F.col("_gated"), F.least("arb_score", F.lit(GATE_CEILING))).otherwise(F.col("arb_score")))
+    rows = rows.withColumn("arb_score", F.when(F.col("_gated") & (F.col("arb_score") > GATE_CEILING), F.lit(GATE_CEILING)).otherwise(F.col("arb_score")))
     rows = rows.withColumn("grade", grade(F.col("arb_score"), F.col("_gated"), false("rights_verified"), F.col("gap_rate"), F.col("profit_low"), false("burden_amount_unknown"), *(sample or ())))
     return rows.drop("_price", "_low", "_high", "_confidence", "_liquidity")
 
