@@ -188,3 +188,50 @@ def asked(t):
 @query(f"SELECT 'C' || l_orderkey AS case_no, reason, count(*) AS n FROM ({_LISTED}) WHERE reason IS NOT NULL GROUP BY 1, 2 UNION ALL SELECT NULL, 'not an object', count(DISTINCT l_orderkey) FROM lineitem WHERE l_orderkey % 5 = 0")
 def asks_refused(t):
     return _asks(t)[1].groupBy("case_no", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+# archived answers of services, read again -------------------------------------------------------------------------------
+def _tag(name: str, value) -> F.Column:
+    return F.concat(F.lit(f"<{name}>"), value.cast("string"), F.lit(f"</{name}>"))
+
+
+@query("SELECT l_orderkey, l_linenumber, 'sh' AS kind, l_partkey * 10000000 AS price, CASE WHEN l_linenumber % 3 = 0 THEN l_suppkey + 0.5e0 ELSE (l_suppkey + 7)::DOUBLE END AS area_m2, strftime(l_shipdate, '%Y%m') AS deal_ym, CASE WHEN l_linenumber % 4 = 0 THEN '단독/다가구' ELSE '다가구' END AS name, (l_suppkey + 7)::DOUBLE AS plot_area_m2, CASE WHEN l_linenumber % 5 = 0 THEN 0 ELSE l_linenumber END AS floor FROM lineitem WHERE l_partkey > 0 AND (l_linenumber % 3 <> 0 OR l_suppkey + 0.5 > 0)")
+def archived_trades(t):
+    from hammerlake.sources import files
+
+    price = F.format_number(c("l_partkey") * 1000, 0)
+    size = F.when(c("l_linenumber") % 3 == 0, _tag("totalFloorAr", c("l_suppkey") + 0.5)).otherwise("")
+    kind = F.when(c("l_linenumber") % 4 == 0, "<houseType> </houseType>").otherwise("<주택유형>다가구</주택유형>")
+    floor = F.when(c("l_linenumber") % 5 == 0, "<층>x</층>").otherwise(_tag("floor", c("l_linenumber")))
+    body = F.concat(F.lit("<item>"), F.lit("<dealAmount> "), price, F.lit("</dealAmount>"), _tag("dealYear", F.year("l_shipdate")), _tag("월", F.month("l_shipdate")), size, _tag("대지면적", c("l_suppkey") + 7), kind, floor, F.lit("</item>"))
+    rows = t("lineitem").select("l_orderkey", "l_linenumber", body.alias("body"))
+    return files.other_trades_of(rows, "sh").drop("dong", "subtype", "zoning")
+
+
+@query("SELECT p_partkey, p_name AS name, '가동 ' || p_partkey AS address, '2001-' || lpad((p_partkey % 12 + 1)::VARCHAR, 2, '0') AS approved, CASE WHEN p_partkey % 3 = 0 THEN '주택' ELSE '' END AS purpose, CASE WHEN p_partkey % 4 = 0 THEN 0e0 ELSE p_size + 0.25e0 END AS area_m2, p_size AS floors_above, 0 AS floors_below, CASE WHEN p_partkey % 5 = 0 THEN 'Y' ELSE '' END AS violation, '' AS violation_text FROM part")
+def archived_registers(t):
+    from hammerlake.sources import files
+
+    k = c("p_partkey")
+    size = F.when(k % 4 == 0, "<totArea>?</totArea>").otherwise(_tag("연면적", c("p_size") + 0.25))
+    approved = F.concat(F.lit("2001-"), F.lpad((k % 12 + 1).cast("string"), 2, "0"))
+    body = F.concat(F.lit("<item>"), _tag("bldNm", c("p_name")), _tag("대지위치", F.concat(F.lit("가동 "), k)), _tag("useAprDay", approved), F.when(k % 3 == 0, "<mainPurpsCdNm> 주택 </mainPurpsCdNm>").otherwise(""), size, _tag("grndFlrCnt", c("p_size")), F.when(k % 5 == 0, "<위반건축물>Y</위반건축물>").otherwise(""), F.lit("</item>"))
+    return files.registers_of(t("part").select("p_partkey", body.alias("body")))
+
+
+@query("SELECT l_orderkey, strftime(l_shipdate, '%Y%m') || CASE WHEN l_linenumber % 3 = 0 THEN '00' ELSE lpad(day(l_shipdate)::VARCHAR, 2, '0') END AS trade_ymd, l_partkey * 10000 AS price, CASE WHEN l_linenumber % 4 = 0 THEN 0 ELSE l_linenumber END AS floor, (l_returnflag = 'A')::INTEGER AS deleted FROM lineitem")
+def archived_histories(t):
+    from hammerlake.sources import files
+
+    one = F.struct(F.year("l_shipdate").cast("string").alias("tradeYear"), F.month("l_shipdate").cast("string").alias("tradeMonth"), F.when(c("l_linenumber") % 3 != 0, F.dayofmonth("l_shipdate").cast("string")).alias("tradeDate"), c("l_partkey").alias("dealPrice"), F.when(c("l_linenumber") % 4 != 0, c("l_linenumber")).alias("floor"), F.when(c("l_returnflag") == "A", "Y").otherwise("N").alias("deleteYn"))
+    months = t("lineitem").groupBy("l_orderkey", F.date_format("l_shipdate", "yyyyMM").alias("ym")).agg(F.collect_list(one).alias("realPriceList"))
+    bodies = months.groupBy("l_orderkey").agg(F.to_json(F.struct(F.collect_list(F.struct("realPriceList")).alias("realPriceOnMonthList"))).alias("body"))
+    return files.price_months(bodies)
+
+
+@query("SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN 'csNo,memo' ELSE 'csNo' END AS kept FROM orders")
+def raw_without_persons(t):
+    from hammerlake.sources import records
+
+    raw = F.create_map(F.lit("csNo"), c(K).cast("string"), F.lit("dbtrNm"), F.lit("x"), F.when(c(C) % 2 == 0, "memo").otherwise("telNo"), F.lit("y"))
+    return t("orders").select(K, F.array_join(F.array_sort(F.map_keys(records.without_personal(raw))), ",").alias("kept"))

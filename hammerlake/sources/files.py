@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,17 +45,38 @@ OTHER_FIELDS = {
 REGISTER_FIELDS = {"name": ["bldNm", "건물명"], "address": ["platPlc", "대지위치", "newPlatPlc"], "approved": ["useAprDay", "사용승인일"], "purpose": ["mainPurpsCdNm", "주용도"], "area_m2": ["totArea", "연면적"], "floors_above": ["grndFlrCnt", "지상층수"], "floors_below": ["ugrndFlrCnt", "지하층수"], "violation": ["violYn", "위반건축물", "violationYn"], "violation_text": ["violCn", "위반내용"]}
 
 
-def _items(spark: SparkSession, path: str, fields: dict[str, list[str]]) -> tuple[DataFrame, dict[str, Column]]:
-    """XML ``item`` elements, and the first name of each field that has a value; empty if none does."""
-    schema = ", ".join(f"`{n}` string" for names in fields.values() for n in names)
-    raw = spark.read.format("xml").option("rowTag", "item").schema(schema).load(path)
-    return raw, {k: F.coalesce(*[F.nullif(F.trim(F.col(f"`{n}`")), F.lit("")) for n in names], F.lit("")) for k, names in fields.items()}
+def _schema(fields: dict[str, list[str]]) -> str:
+    return ", ".join(f"`{n}` string" for names in fields.values() for n in names)
+
+
+def _load(spark: SparkSession, path: str, fields: dict[str, list[str]]) -> DataFrame:
+    """The ``item`` elements of XML files."""
+    return spark.read.format("xml").option("rowTag", "item").schema(_schema(fields)).load(path)
+
+
+def _archived(rows: DataFrame, fields: dict[str, list[str]], body: str) -> DataFrame:
+    """The ``item`` elements that an archive keeps as texts, one a row, with its other columns; what can't be read is empty."""
+    return rows.withColumn("_i", F.from_xml(body, _schema(fields))).select(*[c for c in rows.columns if c != body], "_i.*")
+
+
+def _first_names(fields: dict[str, list[str]]) -> dict[str, Column]:
+    """The first name of each field that has a value; empty if none does."""
+    return {k: F.coalesce(*[F.nullif(F.trim(F.col(f"`{n}`")), F.lit("")) for n in names], F.lit("")) for k, names in fields.items()}
 
 
 def other_trades(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """Trades of houses, commercial buildings or land: the area is the building's, or else the plot's; name and subtype say what was sold.
     Rows without price or area are left out; an unknown kind is an error."""
-    raw, f = _items(spark, path, OTHER_FIELDS)
+    return _other(_load(spark, path, OTHER_FIELDS), kind)
+
+
+def other_trades_of(rows: DataFrame, kind: str, body: str = "body") -> DataFrame:
+    """``other_trades`` of archived items (``body``), with the archive's other columns."""
+    return _other(_archived(rows, OTHER_FIELDS, body), kind, [c for c in rows.columns if c != body])
+
+
+def _other(raw: DataFrame, kind: str, keys: Sequence[str] = ()) -> DataFrame:
+    f = _first_names(OTHER_FIELDS)
     size = lambda k: F.nullif(F.coalesce(f[k].try_cast("double"), F.lit(0.0)), F.lit(0.0))
     none = F.lit("")
     area, name, subtype, zoning = {
@@ -62,7 +85,7 @@ def other_trades(spark: SparkSession, path: str, kind: str) -> DataFrame:
         "land": (size("deal_area"), F.coalesce(F.nullif(f["jimok"], none), F.lit("토지")), f["share_type"], f["land_use"]),
     }[kind]
     plot = F.lit(0.0) if kind == "land" else F.coalesce(size("plot_area"), F.lit(0.0))
-    out = raw.select(F.lit(kind).alias("kind"), (numbers.lenient_number(f["price"]) * 10_000).alias("price"), area.alias("area_m2"), F.when(f["year"] != "", F.concat(f["year"], F.lpad(f["month"], 2, "0"))).otherwise("").alias("deal_ym"), f["dong"].alias("dong"), name.alias("name"), plot.alias("plot_area_m2"), subtype.alias("subtype"), zoning.alias("zoning"), F.coalesce(numbers.lenient_number(f["floor"]), F.lit(0)).cast("int").alias("floor"))
+    out = raw.select(*keys, F.lit(kind).alias("kind"), (numbers.lenient_number(f["price"]) * 10_000).alias("price"), area.alias("area_m2"), F.when(f["year"] != "", F.concat(f["year"], F.lpad(f["month"], 2, "0"))).otherwise("").alias("deal_ym"), f["dong"].alias("dong"), name.alias("name"), plot.alias("plot_area_m2"), subtype.alias("subtype"), zoning.alias("zoning"), F.coalesce(numbers.lenient_number(f["floor"]), F.lit(0)).cast("int").alias("floor"))
     return out.where("price > 0 and area_m2 > 0")
 
 
@@ -73,9 +96,18 @@ def as_trades(others: DataFrame, lawd_cd: str = "") -> DataFrame:
 
 def registers(spark: SparkSession, path: str) -> DataFrame:
     """Building records; sizes and floors that can't be read are 0."""
-    raw, f = _items(spark, path, REGISTER_FIELDS)
+    return _register(_load(spark, path, REGISTER_FIELDS))
+
+
+def registers_of(rows: DataFrame, body: str = "body") -> DataFrame:
+    """``registers`` of archived items (``body``), with the archive's other columns."""
+    return _register(_archived(rows, REGISTER_FIELDS, body), [c for c in rows.columns if c != body])
+
+
+def _register(raw: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    f = _first_names(REGISTER_FIELDS)
     whole = {"floors_above": "int", "floors_below": "int", "area_m2": "double"}
-    return raw.select(*[(F.coalesce(v.try_cast(whole[k]), F.lit(0).cast(whole[k])) if k in whole else v).alias(k) for k, v in f.items()])
+    return raw.select(*keys, *[(F.coalesce(v.try_cast(whole[k]), F.lit(0).cast(whole[k])) if k in whole else v).alias(k) for k, v in f.items()])
 
 
 def price_months(raw: DataFrame, json: str = "body") -> DataFrame:
