@@ -229,9 +229,12 @@ def archived_histories(t):
     return files.price_months(bodies)
 
 
-@query("SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN 'csNo,memo' ELSE 'csNo' END AS kept FROM orders")
+@query("SELECT o_orderkey, 'buldNm=동 ' || o_orderkey || CASE o_custkey % 3 WHEN 0 THEN ';maejibun=[성명] 지분 2분의 1' WHEN 1 THEN ';mulBigo=채무자 [성명]' ELSE ';telNo=02' END AS kept FROM orders")
 def raw_without_persons(t):
     from hammerlake.sources import records
 
-    raw = F.create_map(F.lit("csNo"), c(K).cast("string"), F.lit("dbtrNm"), F.lit("x"), F.when(c(C) % 2 == 0, "memo").otherwise("telNo"), F.lit("y"))
-    return t("orders").select(K, F.array_join(F.array_sort(F.map_keys(records.without_personal(raw))), ",").alias("kept"))
+    key = chosen(C, ["maejibun", "mulBigo", "telNo"])
+    said = chosen(C, ["홍길동 지분 2분의 1", "채무자 김철수", "02"])
+    raw = F.create_map(F.lit("buldNm"), F.concat(F.lit("동 "), c(K)), F.lit("debtorNm"), F.lit("x"), F.lit("jpOwnerTel"), F.lit("y"), key, said)
+    pairs = F.array_sort(F.map_entries(records.without_personal(raw)))
+    return t("orders").select(K, F.array_join(F.transform(F.filter(pairs, lambda e: e["value"].isNotNull()), lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("kept"))
