@@ -84,3 +84,24 @@ def absent_keys(watched: DataFrame, present: DataFrame, key: str, forms: Sequenc
     """The distinct keys of ``watched`` that no row of ``present`` has in any of its ``forms`` (whole keys, older short ones)."""
     there = present.select(F.explode(F.array(*forms)).alias(key))
     return watched.select(key).distinct().join(there, key, "left_anti")
+
+
+def only_match(rows: DataFrame, table: DataFrame, on: Sequence[str], value: str) -> DataFrame:
+    """``rows`` with ``value`` of the rows of ``table`` with the same ``on``: null if none has one, or if they differ."""
+    known = table.where(F.coalesce(F.col(value).cast("string"), F.lit("")) != "")
+    one = known.groupBy(*on).agg(F.min(value).alias("_a"), F.max(value).alias("_b"))
+    return rows.join(one, list(on), "left").withColumn(value, F.when(F.col("_a") == F.col("_b"), F.col("_a"))).drop("_a", "_b")
+
+
+def fill_from_latest(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], *sources: tuple[DataFrame, str]) -> DataFrame:
+    """``rows`` with the cells of ``columns`` that are all empty filled together: from the latest row of each key that has them all, in the first
+    of ``sources`` (table, date column) that has one. Values that are known are never mixed with others."""
+    lacks = F.lit(True)
+    for c in columns:
+        lacks = lacks & F.col(c).isNull()
+    for k, (source, date) in enumerate(sources):
+        whole = source.dropna(subset=[*columns]).groupBy(*keys).agg(F.max_by(F.struct(*columns), F.col(date)).alias(f"_s{k}"))
+        rows = rows.join(whole, list(keys), "left")
+    found = F.coalesce(*[F.col(f"_s{k}") for k in range(len(sources))])
+    filled = rows.withColumn("_f", F.when(lacks, found))
+    return filled.withColumns({c: F.coalesce(c, f"_f.{c}") for c in columns}).drop("_f", *[f"_s{k}" for k in range(len(sources))])

@@ -238,3 +238,41 @@ def raw_without_persons(t):
     raw = F.create_map(F.lit("buldNm"), F.concat(F.lit("동 "), c(K)), F.lit("debtorNm"), F.lit("x"), F.lit("jpOwnerTel"), F.lit("y"), key, said)
     pairs = F.array_sort(F.map_entries(records.without_personal(raw)))
     return t("orders").select(K, F.array_join(F.transform(F.filter(pairs, lambda e: e["value"].isNotNull()), lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("kept"))
+
+
+# lists that are shown, and lookups behind them ---------------------------------------------------------------------------
+@query("SELECT o_orderkey::VARCHAR AS case_no, CASE WHEN o_custkey % 3 > 0 THEN floor(o_totalprice)::BIGINT END AS sold_price FROM orders ORDER BY o_custkey % 3 = 0, strftime(o_orderdate, '%Y-%m-%d') DESC, o_orderkey::VARCHAR LIMIT 200")
+def newest_sales(t):
+    from hammerlake.plans import closed
+
+    rows = t("orders").select(F.lit("C").alias("court"), c(K).cast("string").alias("case_no"), F.lit("1").alias("item_no"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("sale_date"), F.when(c(C) % 3 > 0, F.floor("o_totalprice").cast("bigint")).alias("sold_price"))
+    return closed.newest(rows).select("case_no", "sold_price")
+
+
+@query("SELECT o_orderkey, CASE WHEN a = b THEN a END AS complex_no FROM orders LEFT JOIN (SELECT l_orderkey, min(l_suppkey % 3) AS a, max(l_suppkey % 3) AS b FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) ON l_orderkey = o_orderkey")
+def sold_complexes(t):
+    from hammerlake.operators import lookups
+
+    table = t("lineitem").select(c("l_orderkey").alias(K), F.when(c("l_returnflag") == "R", c("l_suppkey") % 3).alias("complex_no"))
+    return lookups.only_match(t("orders").select(K), table, [K], "complex_no")
+
+
+@query("WITH a AS (SELECT l_partkey AS k, arg_max(l_suppkey, epoch(l_shipdate) * 100000000 + l_orderkey * 10 + l_linenumber) AS x, arg_max(l_orderkey, epoch(l_shipdate) * 100000000 + l_orderkey * 10 + l_linenumber) AS y FROM lineitem WHERE l_returnflag = 'R' AND l_suppkey % 4 > 0 GROUP BY 1), b AS (SELECT l_partkey AS k, arg_max(l_suppkey, epoch(l_shipdate) * 100000000 + l_orderkey * 10 + l_linenumber) AS x, arg_max(l_orderkey, epoch(l_shipdate) * 100000000 + l_orderkey * 10 + l_linenumber) AS y FROM lineitem WHERE l_returnflag = 'N' AND l_suppkey % 4 > 0 GROUP BY 1) SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_size::BIGINT WHEN a.k IS NOT NULL THEN a.x ELSE b.x END AS lon, CASE WHEN p_size % 2 = 0 THEN NULL WHEN a.k IS NOT NULL THEN a.y ELSE b.y END AS lat FROM part LEFT JOIN a ON a.k = p_partkey LEFT JOIN b ON b.k = p_partkey")
+def coordinates_filled(t):
+    from hammerlake.operators import lookups
+
+    at = F.unix_seconds(c("l_shipdate").cast("timestamp")) * 100_000_000 + c("l_orderkey") * 10 + c("l_linenumber")
+    known = t("lineitem").select(c("l_partkey").alias("p_partkey"), F.when(c("l_suppkey") % 4 > 0, c("l_suppkey").cast("bigint")).alias("lon"), c("l_orderkey").alias("lat"), at.alias("at"), "l_returnflag")
+    rows = t("part").select("p_partkey", F.when(c("p_size") % 2 == 0, c("p_size").cast("bigint")).alias("lon"), F.lit(None).cast("bigint").alias("lat"))
+    return lookups.fill_from_latest(rows, ["p_partkey"], ["lon", "lat"], (known.where("l_returnflag = 'R'"), "at"), (known.where("l_returnflag = 'N'"), "at"))
+
+
+_HOME = "WITH r AS (SELECT o_custkey % 4 = 0 AS clean, date_diff('day', DATE '1998-01-10', o_orderdate::DATE) AS d, floor(o_totalprice)::BIGINT * 2000 - 100000000 AS profit, o_custkey % 9 * 20000000 AS burden FROM orders WHERE o_orderkey % 5 > 0)"
+
+
+@query(f"{_HOME}, v AS (SELECT * FROM r WHERE profit - burden > 0) SELECT 'all' AS chip, count(*) AS n FROM v UNION ALL SELECT 'clean', count(*) FILTER (clean) FROM v UNION ALL SELECT 'soon', count(*) FILTER (d BETWEEN 1 AND 7) FROM v UNION ALL SELECT 'high', count(*) FILTER (profit >= 200000000) FROM v")
+def home_chips(t):
+    from hammerlake.plans import listings
+
+    rows = t("orders").select(F.when(c(K) % 5 > 0, c(K)).alias("est"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("sale_date"), F.lit("1000").alias("sale_time"), (F.floor("o_totalprice").cast("bigint") * 2000 - 100_000_000).alias("profit_low"), F.lit(None).cast("bigint").alias("expected_profit"), (c(C) % 9 * 20_000_000).alias("burden"), (c(C) % 4 == 0).alias("clean"))
+    return listings.chip_counts(rows, F.lit("1998-01-10 20:00:00").cast("timestamp"), "burden")

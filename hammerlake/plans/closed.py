@@ -80,3 +80,9 @@ def order_means_something(rows: DataFrame, key: str) -> bool:
     """Whether any row has a value to order by: a list without one must not look ordered."""
     value = {"profit": gap, "profit_asc": gap, "score": lambda: F.col("arb_score"), "score_asc": lambda: F.col("arb_score"), "price": lambda: F.col("sold_price"), "price_asc": lambda: F.col("sold_price")}.get(key)
     return value is None or not rows.where(value().isNotNull()).isEmpty()
+
+
+def newest(rows: DataFrame, n: int = 200, priced_first: bool = True) -> DataFrame:
+    """The first ``n`` closed sales: those with a known price before the others, newest first."""
+    by_price = [F.col("sold_price").isNull()] if priced_first else []
+    return rows.orderBy(*by_price, F.desc("sale_date"), "court", "case_no", "item_no").limit(n)

@@ -319,6 +319,31 @@ def search(rows: DataFrame, words: str | None = None, area: tuple[float | None,
     return rows
 
 
+#: Fixed value: a profit that counts as high.
+HIGH_PROFIT = 200_000_000
+CHIPS = ("clean", "soon", "high")
+
+
+def home(rows: DataFrame, now: Column, chip: str | None = None, burden: str | None = None, losses: bool = False) -> DataFrame:
+    """The list that is shown first: what has a price, without losses after burdens unless they are asked for; of a chip only those that are
+    clean (``clean`` column), sold soon and still open to bids, or of high profit. In the usual order."""
+    rows = rows.where(F.col("est").isNotNull()) if losses else positive(rows.where(F.col("est").isNotNull()), burden)
+    return ordered(rows.where(_chips(now)[chip]) if chip else rows, "profit", burden)
+
+
+def _chips(now: Column) -> dict[str, Column]:
+    until = days_until(now.cast("date"))
+    soon = until.between(0, SOON_DAYS) & ~bidding_closed(now)
+    return {"clean": F.coalesce("clean", F.lit(False)), "soon": F.coalesce(soon, F.lit(False)), "high": F.coalesce(decision_profit() >= HIGH_PROFIT, F.lit(False))}
+
+
+def chip_counts(rows: DataFrame, now: Column, burden: str | None = None) -> DataFrame:
+    """``(chip, n)``: how many rows ``home`` shows for each chip, and in all, by one aggregate."""
+    chips = _chips(now)
+    counts = positive(rows.where(F.col("est").isNotNull()), burden).agg(F.count(F.lit(1)).alias("all"), *[F.count_if(chips[k]).alias(k) for k in CHIPS])
+    return counts.select(F.explode(F.map_from_arrays(F.array(*[F.lit(k) for k in ("all", *CHIPS)]), F.array("all", *CHIPS))).alias("chip", "n"))
+
+
 _verified = lambda: F.coalesce("rights_verified", F.lit(False))
 ORDERS = {
     "profit": lambda b, u: [scope_tier(), F.when((F.coalesce(F.col(u), F.lit(False)) if u else F.lit(False)) | ~_verified(), 1).otherwise(0), F.coalesce(net_profit(b), F.lit(0)).desc()],
