@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ ROWS_PER_BAND, RECALL = 3, 0.999
 PASSAGE_WORDS, REACH = 32, 5
 #: Paragraphs of one band value that a task compares; more are divided in blocks.
 HOT_BAND = 1024
-#: Documents that are picked by broadcast at most (8 bytes each).
+#: Classes that are sent to every executor at most (8 bytes each, and a document's id for some of them); beyond, the join is shuffled.
 BROADCAST_ROWS = 1_000_000
 _PRIME = (1 << 31) - 1
 #: Shingles whose minima are taken at a time.
@@ -88,9 +89,9 @@ def _permutations(count: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _hashed(batch: pa.RecordBatch, known: WordHashes) -> Iterator[tuple[int, list[int], np.ndarray]]:
     """(row, words of each line, hashes of all words) of the texts of a batch."""
-    for row, text in enumerate(batch.column("text")):
-        lines = [line.split() for line in (text.as_py() or "").encode().lower().split(b"\n")]
-        yield row, [*map(len, lines)], known.of([w for line in lines for w in line])
+    for row, text in enumerate(batch.column("text").cast(pa.binary())):
+        lines = [*map(bytes.split, (text.as_py() or b"").lower().split(b"\n"))]
+        yield row, [*map(len, lines)], known.of([*chain.from_iterable(lines)])
 
 
 def _named(own: np.ndarray, line: bool) -> int:
@@ -107,43 +108,54 @@ def _units(sizes: list[int], min_words: int, lines: bool) -> list[tuple[int, int
     return out
 
 
-def _classes(batch: pa.RecordBatch, known: WordHashes, min_words: int, lines: bool) -> Iterator[tuple[int, bool, np.ndarray]]:
-    """(class, whether it's a line by itself, words' hashes) of what is compared in a batch."""
-    for _, sizes, h in _hashed(batch, known):
-        for _, first, n, line in _units(sizes, min_words, lines):
-            own = h[first : first + n]
-            yield _named(own, line), line, own
+_LAYOUT = "h long, h2 long, doc_id long, para int, first int, words int, kind byte"
+#: Kinds of rows: places of paragraphs, of lines by themselves and of passages, and band values.
+PARAGRAPH, LINE, PASSAGE, BAND = range(4)
 
 
-_LAYOUT = "h long, h2 long, doc_id long, para int, first int, words int, line boolean"
-
-
-def _places(batches: Iterator[pa.RecordBatch], min_words: int, lines: bool) -> Iterator[pa.RecordBatch]:
-    """Where paragraphs stand, with their class as h and no h2, and where passages do, with both halves of their hash."""
-    known, of = WordHashes(), xxhash.xxh3_128_digest
+def _parse(batches: Iterator[pa.RecordBatch], min_words: int, lines: bool) -> Iterator[pa.RecordBatch]:
+    """Where paragraphs and lines stand, with their class as h; where passages do, with both halves of their hash; and the band values (h) of
+    each class (h2) with whole shingles, once for each part of a batch."""
+    known, of, bands = WordHashes(), xxhash.xxh3_128_digest, bands_for()
+    a, b = _permutations(bands * ROWS_PER_BAND)
+    names = [x.split()[0] for x in _LAYOUT.split(", ")]
     for batch in batches:
         for part in slices(batch, "text"):
-            row, same, para, first, words, alone = [], [], [], [], [], []
+            units_of: list[tuple[int, int, int, int, int, bool]] = []
+            sets: dict[int, np.ndarray] = {}
+            alone: list[bool] = []
             p_row, digests, p_para, p_first = [], [], [], []
             for r, sizes, h in _hashed(part, known):
                 for line, at, n, single in _units(sizes, min_words, lines):
-                    row.append(r)
-                    same.append(_named(h[at : at + n], single))
-                    alone.append(single)
-                    para.append(line)
-                    first.append(at)
-                    words.append(n)
-                if len(a := anchors(h)):
+                    own = h[at : at + n]
+                    same = _named(own, single)
+                    units_of.append((same, r, line, at, n, single))
+                    if n >= SHINGLE_WORDS and same not in sets:
+                        sets[same] = shingles(own)
+                        alone.append(single)
+                if len(at := anchors(h)):
                     raw = h.view(np.uint8)
-                    digests += [of(raw[8 * k : 8 * (k + PASSAGE_WORDS)]) for k in a.tolist()]
-                    p_row.append(np.full(len(a), r))
-                    p_para.append(np.searchsorted(np.cumsum(sizes), a, side="right"))
-                    p_first.append(a)
-            halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-            row, para, first, words = (np.concatenate([np.array(x, np.int64), *y]).astype(np.int64) for x, y in ((row, p_row), (para, p_para), (first, p_first), (words, [np.full(len(halves), PASSAGE_WORDS)])))
-            none = np.arange(len(row)) < len(same)
-            h1, h2 = np.concatenate([np.array(same, np.int64), halves[:, 0]]), np.concatenate([np.zeros(len(same), np.int64), halves[:, 1]])
-            yield pa.record_batch([pa.array(h1), pa.array(h2, mask=none), part.column("doc_id").take(pa.array(row)), *(pa.array(x.astype(np.int32)) for x in (para, first, words)), pa.array(np.append(np.array(alone, bool), np.zeros(len(halves), bool)))], ["h", "h2", "doc_id", "para", "first", "words", "line"])
+                    digests += [of(raw[8 * k : 8 * (k + PASSAGE_WORDS)]) for k in at.tolist()]
+                    p_row.append(np.full(len(at), r))
+                    p_para.append(np.searchsorted(np.cumsum(sizes), at, side="right"))
+                    p_first.append(at)
+            same, row, para, first, words, single = (np.array(x, np.int64) for x in zip(*units_of)) if units_of else (np.zeros(0, np.int64),) * 6
+            ids = part.column("doc_id")
+            none = pa.nulls(len(same), pa.int64())
+            yield pa.record_batch([pa.array(same), none, ids.take(pa.array(row)), *(pa.array(x.astype(np.int32)) for x in (para, first, words)), pa.array(single.astype(np.int8))], names)
+            if digests:
+                halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+                row, para, first = (np.concatenate(x).astype(np.int64) for x in (p_row, p_para, p_first))
+                yield pa.record_batch([pa.array(halves[:, 0]), pa.array(halves[:, 1]), ids.take(pa.array(row)), *(pa.array(x.astype(np.int32)) for x in (para, first, np.full(len(row), PASSAGE_WORDS))), pa.array(np.full(len(row), PASSAGE, np.int8))], names)
+            if sets:
+                least = _minima([*sets.values()], a, b).reshape(len(sets), bands, ROWS_PER_BAND).astype(np.uint64)
+                keys = np.arange(1, bands + 1, dtype=np.uint64) + (np.array(alone, np.uint64) * np.uint64(bands))[:, None]
+                for k in range(ROWS_PER_BAND):
+                    keys = (keys ^ least[:, :, k]) * np.uint64(0x9E3779B97F4A7C15)
+                    keys ^= keys >> np.uint64(32)
+                flat = (keys >> np.uint64(1)).astype(np.int64).ravel()
+                nothing = [pa.nulls(len(flat), pa.int64()), *[pa.nulls(len(flat), pa.int32())] * 3]
+                yield pa.record_batch([pa.array(flat), pa.array(np.repeat(np.array([*sets], np.int64), bands)), *nothing, pa.array(np.full(len(flat), BAND, np.int8))], names)
 
 
 def _minima(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -161,38 +173,24 @@ def _minima(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return least.T
 
 
-def _bands(batches: Iterator[pa.RecordBatch], min_words: int, lines: bool) -> Iterator[pa.RecordBatch]:
-    """(key of each band, class) of the classes of each batch; those without a whole shingle equal no other class."""
-    bands, known = bands_for(), WordHashes()
-    a, b = _permutations(bands * ROWS_PER_BAND)
-    for batch in batches:
-        for part in slices(batch, "text"):
-            sets: dict[int, np.ndarray] = {}
-            kind: list[bool] = []
-            for same, line, own in _classes(part, known, min_words, lines):
-                if len(own) >= SHINGLE_WORDS and same not in sets:
-                    sets[same] = shingles(own)
-                    kind.append(line)
-            if sets:
-                least = _minima([*sets.values()], a, b).reshape(len(sets), bands, ROWS_PER_BAND).astype(np.uint64)
-                keys = np.arange(1, bands + 1, dtype=np.uint64) + (np.array(kind, np.uint64) * np.uint64(bands))[:, None]
-                for k in range(ROWS_PER_BAND):
-                    keys = (keys ^ least[:, :, k]) * np.uint64(0x9E3779B97F4A7C15)
-                    keys ^= keys >> np.uint64(32)
-                yield pa.record_batch([pa.array((keys >> np.uint64(1)).astype(np.int64).ravel()), pa.array(np.repeat(np.array([*sets], np.int64), bands))], ["key", "same"])
-
-
 def _shingled(batches: Iterator[pa.RecordBatch], min_words: int, lines: bool) -> Iterator[pa.RecordBatch]:
-    """(class, distinct shingles in order); a lone shingle has 31 more bits of its hash beside it, as its 31 are too few among millions."""
+    """(class, distinct shingles in order) of the classes that ``wanted`` names for each text; a lone shingle has 31 more bits of its hash
+    beside it, as its 31 are too few among millions."""
     known = WordHashes()
     for batch in batches:
         for part in slices(batch, "text"):
             sets: dict[int, np.ndarray] = {}
-            for same, _, own in _classes(part, known, min_words, lines):
-                if len(own) >= SHINGLE_WORDS and same not in sets:
-                    s = shingles(own)
-                    lone = len(s) == 1 or s[0] == s[1] and bool((s == s[0]).all())
-                    sets[same] = np.unique(np.append(s[:1], int(gram_hashes(own[:SHINGLE_WORDS], SHINGLE_WORDS)[0]) >> 33) if lone else s)
+            wanted = [*map(set, part.column("wanted").to_pylist())]
+            for row, sizes, h in _hashed(part, known):
+                for _, first, n, line in _units(sizes, min_words, lines):
+                    if n < SHINGLE_WORDS:
+                        continue
+                    own = h[first : first + n]
+                    same = _named(own, line)
+                    if same in wanted[row] and same not in sets:
+                        s = shingles(own)
+                        lone = len(s) == 1 or s[0] == s[1] and bool((s == s[0]).all())
+                        sets[same] = np.unique(np.append(s[:1], int(gram_hashes(own[:SHINGLE_WORDS], SHINGLE_WORDS)[0]) >> 33) if lone else s)
             ends = np.cumsum([0, *map(len, sets.values())])
             flat = np.concatenate([*sets.values()]).astype(np.int32) if sets else np.zeros(0, np.int32)
             yield pa.record_batch([pa.array([*sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["same", "shingles"])
@@ -245,29 +243,29 @@ def near_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null and empty texts have no paragraphs; rows whose doc_id is null are left alone; a repeated row repeats its
     paragraphs, which stay once. An empty table gives no rows.
     """
-    texts, places = _parsed(docs, id_col, text_col, min_words)
-    return _near(texts, places, min_words).drop("line")
+    texts, parsed = _parsed(docs, id_col, text_col, min_words)
+    return _near(texts, parsed, min_words).drop("line")
 
 
 def _parsed(docs: DataFrame, id_col: str, text_col: str, min_words: int, lines: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Texts, and the places of their paragraphs and passages, parsed once and written; with ``lines`` those of short lines too."""
+    """Texts, and the places and bands of their paragraphs and passages, parsed once and written; with ``lines`` those of short lines too."""
     texts = pick(docs, id_col, text_col).where("doc_id is not null")
-    return texts, written(texts.mapInArrow(lambda x: _places(x, min_words, lines), _LAYOUT))
+    return texts, written(texts.mapInArrow(lambda x: _parse(x, min_words, lines), _LAYOUT))
 
 
-def _near(texts: DataFrame, places: DataFrame, min_words: int, lines: bool = False) -> DataFrame:
-    places = places.where("h2 is null").select(F.col("h").alias("same"), *_ROW, "line")
+def _near(texts: DataFrame, parsed: DataFrame, min_words: int, lines: bool = False) -> DataFrame:
+    places = parsed.where(F.col("kind").isin(PARAGRAPH, LINE)).select(F.col("h").alias("same"), *_ROW, (F.col("kind") == LINE).alias("line"))
     classes = cut(places.groupBy("same").agg(F.min(F.struct(*_ROW)).alias("first"), F.count(F.lit(1)).alias("n")))
-    dealt = texts.mapInArrow(lambda x: _bands(x, min_words, lines), "key long, same long").repartition("key").distinct()
+    dealt = parsed.where(F.col("kind") == BAND).select(F.col("h").alias("key"), F.col("h2").alias("same")).repartition("key").distinct()
     # bands in which the same classes meet are one: a group is named by its members, and compared once
     by_key = Window.partitionBy("key")
     grouped = dealt.withColumn("many", F.count(F.lit(1)).over(by_key)).where("many > 1").withColumn("group", F.bit_xor(F.xxhash64("same")).over(by_key))
     pairs = cut(grouped.select(F.xxhash64("group", "many").alias("key"), "same", "many").distinct())
+    # only documents that are the first with a class that is met are read again, and only for those classes
     met = cut(pairs.select("same").distinct())
-    # only documents that are the first with a class that is met are read again
-    holders = met.join(classes, "same").select(F.col("first.doc_id").alias("doc_id")).distinct()
-    again = texts.join(F.broadcast(holders) if holders.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else holders, "doc_id", "left_semi")
-    sets = again.mapInArrow(lambda x: _shingled(x, min_words, lines), "same long, shingles array<int>").join(met, "same", "left_semi").groupBy("same").agg(F.any_value("shingles").alias("shingles"))
+    holders = cut(met.join(classes, "same").groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_set("same").alias("wanted")))
+    again = texts.join(F.broadcast(holders) if met.count() <= BROADCAST_ROWS else holders, "doc_id")
+    sets = again.mapInArrow(lambda x: _shingled(x, min_words, lines), "same long, shingles array<int>").groupBy("same").agg(F.any_value("shingles").alias("shingles"))
     blocks = F.ceil(F.col("many") / HOT_BAND).cast("long")
     own = F.pmod(F.xxhash64("same"), blocks)
     parts = pairs.select("key", "same", blocks.alias("b"), own.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("j"))
@@ -297,8 +295,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return _repeated(_parsed(docs, id_col, text_col, MIN_WORDS)[1])
 
 
-def _repeated(places: DataFrame) -> DataFrame:
-    found = places.where("h2 is not null").select("h", "h2", "doc_id", "para", "first")
+def _repeated(parsed: DataFrame) -> DataFrame:
+    found = parsed.where(F.col("kind") == PASSAGE).select("h", "h2", "doc_id", "para", "first")
     # one half of the hash tells which may repeat; the few that do are then grouped by both
     maybe = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     again = found.join(maybe, "h")
@@ -318,7 +316,7 @@ def duplicate_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str
     by themselves, whatever stands around them, compared with each other only, in the same way. A short line that is a
     whole text is a paragraph too.
     """
-    texts, places = _parsed(docs, id_col, text_col, MIN_WORDS, True)
-    near = _near(texts, places, MIN_WORDS, True)
+    texts, parsed = _parsed(docs, id_col, text_col, MIN_WORDS, True)
+    near = _near(texts, parsed, MIN_WORDS, True)
     kinds = near.withColumn("kind", F.when(F.col("line"), "line").otherwise("paragraph")).drop("line")
-    return kinds.unionByName(_repeated(places).withColumn("kind", F.lit("passage")))
+    return kinds.unionByName(_repeated(parsed).withColumn("kind", F.lit("passage")))
