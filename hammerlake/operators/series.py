@@ -18,7 +18,7 @@ def months_back(newest: Column, count: int) -> Column:
 def tasks(districts: DataFrame, kinds: DataFrame, newest: Column, count: int, done: DataFrame, open_months: int = 1) -> DataFrame:
     """``(lawd_cd, kind, ym)`` of the partitions that are still to be read: each district's kinds in each of the last ``count``
     months, without the closed ones that ``done`` has. The newest ``open_months`` are read again each time."""
-    every = districts.select("lawd_cd", "kind").distinct().join(F.broadcast(kinds.select("kind").distinct()), "kind", "left_semi")
+    every = districts.select("lawd_cd", "kind").distinct().join(kinds.select("kind").distinct(), "kind", "left_semi")
     every = every.select("lawd_cd", "kind", F.posexplode(months_back(newest, count)).alias("back", "ym"))
     closed = done.select("lawd_cd", "kind", "ym").distinct().withColumn("_d", F.lit(True))
     return every.join(closed, ["lawd_cd", "kind", "ym"], "left").where((F.col("back") < open_months) | F.col("_d").isNull()).select("lawd_cd", "kind", "ym")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CHECK = "check"
+#: Zones that every row may be held against; more are an error, as they are sent to every task.
+MOST_ZONES = 10_000
 
 
 def classify(rows: DataFrame, zones: DataFrame, address: str, apartment: str, as_of: Column) -> DataFrame:
@@ -15,6 +17,8 @@ def classify(rows: DataFrame, zones: DataFrame, address: str, apartment: str, as
     prefix or has a token, and has to be looked at if it has a check token only. Permits are for apartments, up to their last day.
     Of several zones a sure one comes first, then the first by name. Without any zone known, all is to be checked.
     """
+    if zones.limit(MOST_ZONES + 1).count() > MOST_ZONES:
+        raise ValueError(f"more than {MOST_ZONES} zones")
     z = zones.select("zone_name", F.coalesce("prefix", F.lit("")).alias("prefix"), F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"), F.coalesce("check_tokens", F.array().cast("array<string>")).alias("check_tokens"), "expiry")
     every = z.agg(F.collect_list(F.struct("*")).alias("_zones"))  # a dimension of some dozens of rows
     a = F.coalesce(F.col(address), F.lit(""))

@@ -74,7 +74,7 @@ def office_code(names: DataFrame, name: str, codes: DataFrame) -> DataFrame:
     ``codes`` (court, code) is a dimension of some dozens of rows; white space is no difference.
     """
     bare = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", "")
-    pairs = F.broadcast(codes.select(F.col("court").alias("_court"), "code"))
+    pairs = codes.select(F.col("court").alias("_court"), "code")
     target, known = bare(F.col(name)), bare(F.col("_court"))
     distinct = names.select(name).distinct()
     meets = (target != "") & (F.contains(known, target) | F.contains(target, known))
