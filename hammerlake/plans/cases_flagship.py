@@ -89,7 +89,7 @@ _SIMULATED = f"""WITH o AS (SELECT o_orderkey, floor(floor(o_totalprice) * 3000
 p AS (SELECT *, CASE WHEN bid <= 600000000 THEN 0.01e0 WHEN bid <= 900000000 THEN round_even(bid * 2 / 300000000e0 - 3, 4) / 100 ELSE 0.03e0 END AS rate FROM o),
 q AS (SELECT *, {_e('bid * rate')} + {_e('bid * (rate * 0.5e0 * 0.2e0)')} AS acq, {_STAMP} AS stamp, {_FEE} AS fee, {_e('bid * 0.7e0')} AS loan FROM p),
 r AS (SELECT *, {_e('loan * 0.055e0 * 6 / 12')} AS interest, bid + acq + stamp + 500000 + 3000000 AS total FROM q), s AS (SELECT *, greatest(0, sale - bid - acq - stamp - 500000 - fee - 3000000 - interest) AS base FROM r), t AS (SELECT *, {_INCOME} AS own FROM s)
-SELECT o_orderkey, bid, acq AS acquisition_tax, total, total - loan AS equity, interest, fee, (own + {_e('own * 0.1e0')})::BIGINT AS tax, (sale - total - interest - fee - own - {_e('own * 0.1e0')})::BIGINT AS net, true AS gains, false AS beyond FROM t"""
+SELECT o_orderkey, bid, acq AS acquisition_tax, total, total - loan AS equity, interest, fee, (own + {_e('own * 0.1e0')})::BIGINT AS tax, (sale - total - interest - fee - own - {_e('own * 0.1e0')})::BIGINT AS net, CASE WHEN sale - 3500000 - fee > 0 THEN true END AS gains, CASE WHEN sale - 3500000 - fee > 0 THEN false END AS beyond FROM t"""
 
 
 @query(_SIMULATED)
