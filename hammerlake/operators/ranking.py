@@ -39,3 +39,8 @@ def over_rate(rows: DataFrame, key: str, ts: str, order: str, seconds: int, limi
     w = Window.partitionBy(key).orderBy(ts, order)
     at = F.unix_micros(F.col(ts).cast("timestamp"))
     return rows.withColumn("_back", F.lag(at, limit).over(w)).where(at - F.col("_back") < seconds * 1_000_000).drop("_back")
+
+
+def dealt(rows: DataFrame, key: str, tasks_a_core: int = 4) -> DataFrame:
+    """``rows`` in several tasks for each core, whatever the number of files: for what computes long on few bytes."""
+    return rows.repartition(tasks_a_core * rows.sparkSession.sparkContext.defaultParallelism, key)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hammerlake.functions import money
+from hammerlake.operators import ranking
 from hammerlake.plans import listings as L
 from hammerlake.plans.cases import C, K, c, chosen
 from hammerlake.plans.registry import query
@@ -96,9 +97,12 @@ SELECT o_orderkey, bid, acq AS acquisition_tax, total, total - loan AS equity, i
 def bid_sim(t):
     kind, area = F.lit("아파트"), F.lit(84.0)
     sale = (F.floor("o_totalprice") * 3000).cast("bigint")
-    rows = t("orders").select(K, sale.alias("sale"), (sale * 0.8).cast("bigint").alias("bid")).withColumn("most", money.break_even(c("sale"), kind, area))
-    net = lambda bid: money.simulate(bid, c("sale"), kind, area)["net"] > 0
-    return rows.select(K, "bid", money.simulate(c("bid"), c("sale"), kind, area).alias("s"), net(c("most")).alias("gains"), net(c("most") + 1).alias("beyond")).select(K, "bid", "s.*", "gains", "beyond").drop("roi")
+    # a row takes long and is short: rows are dealt out, as few files would leave cores idle
+    rows = ranking.dealt(t("orders").select(K, sale.alias("sale"), (sale * 0.8).cast("bigint").alias("bid")), K)
+    rows = rows.withColumn("most", money.break_even(c("sale"), kind, area))
+    tried = F.transform(F.array("bid", "most", c("most") + 1), lambda b: money.simulate(b, c("sale"), kind, area))
+    gains = lambda i: (F.get("t", F.lit(i))["net"] > 0).alias("gains" if i == 1 else "beyond")
+    return rows.select(K, "bid", tried.alias("t")).select(K, "bid", F.get("t", F.lit(0)).alias("s"), gains(1), gains(2)).select(K, "bid", "s.*", "gains", "beyond").drop("roi")
 
 
 # scores, and what is served where trades give no price ------------------------------------------------------------------
