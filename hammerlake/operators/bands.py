@@ -7,12 +7,14 @@ gathered once, as an exact median's state is, and the windows are put together f
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TRIM_FROM, MIN_BASIS = 4, 3
+#: Limits of a ratio of two sides, and how many values each needs.
+LEAST_RATIO, MOST_RATIO, MIN_SIDE = 0.65, 1.0, 3
 #: Months that a window looks back, and what its confidence is multiplied by.
 LADDER = ((12, 1.0), (24, 0.9), (60, 0.75))
 
@@ -42,6 +44,21 @@ def recent(rows: DataFrame, keys: Sequence[str], month: str, months: int = 12, i
     return rows.join(newest, list(keys)).where(F.col(month).isNull() | F.col("_newest").isNull() | (F.col(month) >= edge)).drop("_newest")
 
 
+def recent_band(rows: DataFrame, keys: Sequence[str], month: str, value: str, low: Column, sided: Column, *more: Column, months: int = 12) -> DataFrame:
+    """``(keys, more, basis, lo, mid, ratio)``: ``trimmed_band`` of the ``recent`` values, with at least one left, and ``clamped_ratio`` of
+    those that are ``sided``; where there is none, basis, lo and mid are null. ``more`` are aggregates of all rows. One shuffle serves them all."""
+    of = Window.partitionBy(*keys)
+    newest = F.max(month).over(of)
+    new = F.when(F.col(month).isNull() | newest.isNull() | (F.col(month) >= newest - months), F.col(value))
+    rows = rows.withColumn("_v", new).withColumn("_i", F.row_number().over(of.orderBy(F.asc_nulls_last("_v"))))
+    side = lambda c: F.when(sided & c, F.col("_v"))
+    sums = rows.groupBy(*keys).agg(*more, F.count("_v").alias("_n"), F.median("_v").alias("mid"), F.min(F.when(F.col("_i") == 1, F.col("_v"))).alias("_first"), F.min(F.when(F.col("_i") == 2, F.col("_v"))).alias("_second"), *_sides(side, low))
+    trimmed = F.col("_n") >= TRIM_FROM
+    known = lambda x: F.when(F.col("_n") > 0, x)
+    kept = [c for c in sums.columns if not c.startswith("_") and c != "mid"]
+    return sums.select(*kept, known(F.col("_n") - F.when(trimmed, 2).otherwise(0)).alias("basis"), known(F.when(trimmed, F.col("_second")).otherwise(F.col("_first"))).alias("lo"), known(F.col("mid")).alias("mid"), _clamped(LEAST_RATIO, MOST_RATIO, MIN_SIDE).alias("ratio"))
+
+
 def _by_month(rows: DataFrame, keys: Sequence[str], month: str, value: str) -> DataFrame:
     """``(keys, month, values)``: one row for each month of a group."""
     return rows.where(F.col(value).isNotNull()).groupBy(*keys, month).agg(F.collect_list(value).alias("values"))
@@ -68,12 +85,19 @@ def window_ladder(rows: DataFrame, keys: Sequence[str], month: str, value: str,
     return best.select(*keys, "w.months", "w.confidence", "w.b.basis", "w.b.lo", "w.b.mid")
 
 
-def clamped_ratio(rows: DataFrame, keys: Sequence[str], low: Column, value: str, least: float = 0.65, most: float = 1.0, min_side: int = 3) -> DataFrame:
+def _sides(side: Callable[[Column], Column], low: Column) -> list[Column]:
+    return [F.count(side(low)).alias("_a"), F.count(side(~low)).alias("_b"), F.median(side(low)).alias("_x"), F.median(side(~low)).alias("_y")]
+
+
+def _clamped(least: float, most: float, min_side: int) -> Column:
+    enough = (F.col("_a") >= min_side) & (F.col("_b") >= min_side) & (F.col("_y") != 0)
+    return F.when(enough, F.greatest(F.lit(least), F.least(F.lit(most), F.col("_x") / F.col("_y"))))
+
+
+def clamped_ratio(rows: DataFrame, keys: Sequence[str], low: Column, value: str, least: float = LEAST_RATIO, most: float = MOST_RATIO, min_side: int = MIN_SIDE) -> DataFrame:
     """``(keys, ratio)``: median of the low side over that of the other, clamped; null if a side has too few."""
-    side = lambda c: F.when(c, F.col(value))
-    sides = rows.groupBy(*keys).agg(F.count(side(low)).alias("a"), F.count(side(~low)).alias("b"), F.median(side(low)).alias("x"), F.median(side(~low)).alias("y"))
-    enough = (F.col("a") >= min_side) & (F.col("b") >= min_side) & (F.col("y") != 0)
-    return sides.select(*keys, F.when(enough, F.greatest(F.lit(least), F.least(F.lit(most), F.col("x") / F.col("y")))).alias("ratio"))
+    sides = rows.groupBy(*keys).agg(*_sides(lambda c: F.when(c, F.col(value)), low))
+    return sides.select(*keys, _clamped(least, most, min_side).alias("ratio"))
 
 
 def rolling_band(rows: DataFrame, keys: Sequence[str], month: str, value: str, months: int = 12) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,6 +44,27 @@ def by_size(left: DataFrame, right: DataFrame, on: Sequence[str], left_size: str
     return a.join(b, [*on, "_step"]).where(F.abs(F.col(right_size) - F.col(left_size)) / F.col(left_size) <= band).drop("_step")
 
 
+def contained(left: DataFrame, right: DataFrame, on: Sequence[str], left_name: str, right_name: str) -> DataFrame:
+    """``(on, left_name, right_name)``: distinct names of which one is part of the other, where ``on`` agrees.
+
+    Of each name only the parts as long as some name of the other side are made, and these meet by equality: no two names are compared
+    that don't agree. There are no more lengths than the longest name has characters.
+    """
+    a, b = left.select(*on, left_name).distinct(), right.select(*on, right_name).distinct()
+    sizes = lambda rows, name: F.broadcast(rows.agg(F.collect_set(F.length(name)).alias("_sizes")))
+
+    def parts(rows: DataFrame, name: str, part: str, others: DataFrame, fits: Callable[[Column], Column]) -> DataFrame:
+        of = lambda n: F.transform(F.sequence(F.lit(1), F.length(name) - n + 1), lambda i: F.substring(F.col(name), i, n))
+        lengths = F.filter("_sizes", fits)
+        made = rows.crossJoin(sizes(others, part)).where(F.size(lengths) > 0)
+        return made.select(*on, name, F.explode(F.array_distinct(F.flatten(F.transform(lengths, of)))).alias(part))
+
+    right_has = parts(b, right_name, left_name, a, lambda n: (n > 0) & (n <= F.length(right_name))).join(a, [*on, left_name])
+    left_has = parts(a, left_name, right_name, b, lambda n: (n > 0) & (n < F.length(left_name))).join(b, [*on, right_name])
+    out = [*on, left_name, right_name]
+    return right_has.select(*out).unionByName(left_has.select(*out))
+
+
 def fingerprint_link(left: DataFrame, right: DataFrame, left_key: str, right_key: str, marks: Sequence[str], least: int = 3, coverage: float = 0.6, margin: float = 2.0) -> DataFrame:
     """``(left_key, right_key, shared, of)``: groups that are one because they share rare facts.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hammerlake.functions import money, numbers, text
@@ -45,23 +45,34 @@ def kind_of(property_type: Column) -> Column:
 def match_trades(listings: DataFrame, trades: DataFrame) -> DataFrame:
     """Listings with the trades they are compared with, of the first of three tiers: the building's with the same
     area, those with a near area, or those of the neighbourhood. Cancelled trades are in none; a tier of the
-    building's that mixes several blocks is passed over."""
-    t = trades.where(~F.coalesce(F.col("cancelled"), F.lit(False)) & (F.col("price") > 0)).select(F.col("kind"), F.col("lawd_cd").alias("t_lawd"), text.name_key(F.col("apt_name")).alias("t_name"), text.block_numbers(F.col("apt_name")).alias("t_blocks"), text.squeezed(F.col("dong")).alias("t_dong"), F.col("area_m2").alias("t_area"), "price", "deal_ym", "floor")
-    a = listings.select(*KEY, kind_of(F.col("property_type")).alias("kind"), "lawd_cd", text.name_key(F.col("apt_name")).alias("name"), text.squeezed(F.col("dong")).alias("own_dong"), "area_m2")
+    building's that mixes several blocks is passed over.
+
+    Names meet by equality of their parts and neighbourhoods by equality, so that a listing meets its own trades and not its district's.
+    """
     blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
-    a = a.where("kind is not null")
-    meet = lambda x, y, *more: matching.by_size(x, y, ["kind", *more], "area_m2", "t_area", NEAR_AREA)
-    # a district meets itself; only what has none meets all districts
-    placed = meet(a.where(~blank("lawd_cd")), t.where(~blank("t_lawd")).withColumnRenamed("t_lawd", "lawd_cd"), "lawd_cd")
-    pairs = placed.unionByName(meet(a.where(blank("lawd_cd")), t.drop("t_lawd"))).unionByName(meet(a.where(~blank("lawd_cd")), t.where(blank("t_lawd")).drop("t_lawd")))
-    named = (F.length("name") >= 2) & (F.length("t_name") >= 1) & (F.contains("t_name", "name") | F.contains("name", "t_name")) & (blank("t_dong") | (F.col("t_dong") == F.col("own_dong")))
+    # a district meets itself; what has none meets all: listings trades of any place, and trades listings of any place
+    places = lambda c, mine, every: F.explode(F.when(blank(c), F.array(F.lit(every[0]), *map(F.lit, every[1:]))).otherwise(F.array(F.concat(F.lit("="), F.col(c)), F.lit(mine)))).alias("place")
+    t = trades.where(~F.coalesce(F.col("cancelled"), F.lit(False)) & (F.col("price") > 0)).select("kind", places("lawd_cd", "any", ["any", "none"]), text.name_key(F.col("apt_name")).alias("t_name"), F.to_json(text.block_numbers(F.col("apt_name"))).alias("blocks"), text.squeezed(F.col("dong")).alias("t_dong"), F.col("area_m2").alias("t_area"), "price", "deal_ym", "floor")
+    a = listings.select(*KEY, kind_of(F.col("property_type")).alias("kind"), places("lawd_cd", "none", ["any"]), text.name_key(F.col("apt_name")).alias("name"), text.squeezed(F.col("dong")).alias("own_dong"), "area_m2")
+    a = a.where(F.col("kind").isNotNull()).where(" and ".join(f"{k} is not null" for k in KEY))
+    own = ["kind", "place"]
+    names = matching.contained(a.select(*own, "name").where(F.length("name") >= 2), t.select(*own, "t_name").where(F.length("t_name") >= 1), own, "name", "t_name")
+    fits = blank("t_dong") | (F.col("t_dong") == F.col("own_dong"))
+    named = matching.by_size(a.join(names, [*own, "name"]), t, [*own, "t_name"], "area_m2", "t_area", NEAR_AREA).where(fits)
+    beside = matching.by_size(a.where(~blank("own_dong")), t.withColumnRenamed("t_dong", "own_dong"), [*own, "own_dong"], "area_m2", "t_area", NEAR_AREA)
     close = F.abs(F.col("t_area") - F.col("area_m2")) / F.col("area_m2") <= SAME_AREA
-    spread = pairs.withColumn("tier", F.explode(F.array_compact(F.array(F.when(named & close, 1), F.when(named, 2), F.when(~blank("own_dong") & (F.col("t_dong") == F.col("own_dong")), 3)))))
-    # two different sets of block numbers are told by their extremes: nothing is collected
-    mixed = spread.groupBy(*KEY, "tier").agg(F.min(F.when(F.size("t_blocks") > 0, F.to_json("t_blocks"))).alias("x"), F.max(F.when(F.size("t_blocks") > 0, F.to_json("t_blocks"))).alias("y"))
-    best = mixed.where((F.col("tier") == 3) | F.col("x").isNull() | (F.col("x") == F.col("y"))).groupBy(*KEY).agg(F.min("tier").alias("tier"))
-    scope = F.when(F.col("tier") == 1, SAME_SAME).when(F.col("tier") == 2, SAME_NEAR).otherwise(SAME_DONG)
-    return spread.join(best, [*KEY, "tier"]).select(*KEY, scope.alias("scope"), "t_area", "price", "deal_ym", "floor")
+    kept = [*KEY, "blocks", "t_area", "price", "deal_ym", "floor"]
+    met = named.select(*kept, F.when(close, 1).otherwise(2).alias("tier")).unionByName(beside.select(*kept, F.lit(3).alias("tier")))
+    # two different sets of block numbers are told by their extremes; the first tier is part of the second
+    of = Window.partitionBy(*KEY)
+    within = {k: F.col("tier") <= k if k < 3 else F.col("tier") == k for k in (1, 2, 3)}
+    blocks = lambda f, k: f(F.when(within[k] & (F.col("blocks") != "[]"), F.col("blocks"))).over(of)
+    met = met.withColumns({"_n1": F.min("tier").over(of), "_n3": F.max("tier").over(of), **{f"_{n}{k}": blocks(f, k) for n, f in (("x", F.min), ("y", F.max)) for k in (1, 2)}})
+    single = lambda k: F.col(f"_x{k}").isNull() | (F.col(f"_x{k}") == F.col(f"_y{k}"))
+    best = F.when((F.col("_n1") == 1) & single(1), 1).when((F.col("_n1") <= 2) & single(2), 2).when(F.col("_n3") == 3, 3)
+    met = met.withColumn("_best", best).where(F.coalesce(*[F.when(F.col("_best") == k, within[k]) for k in (1, 2, 3)], F.lit(False)))
+    scope = F.when(F.col("_best") == 1, SAME_SAME).when(F.col("_best") == 2, SAME_NEAR).otherwise(SAME_DONG)
+    return met.select(*KEY, scope.alias("scope"), "t_area", "price", "deal_ym", "floor")
 
 
 def floor_factor(floor: Column, measured: Column | None = None) -> Column:
@@ -78,11 +89,9 @@ def estimate(listings: DataFrame, trades: DataFrame) -> DataFrame:
     their least the lower end. Too few, too far from the appraisal or too wide a band give none, and scope says why.
     """
     found = match_trades(listings, trades).withColumn("m", numbers.month_of(F.col("deal_ym"))).withColumn("unit", F.col("price") / F.col("t_area"))
-    totals = found.groupBy(*KEY).agg(F.count(F.lit(1)).alias("matched"), F.min("scope").alias("tier_scope"))
-    new = bands.recent(found, KEY, "m")
-    band = bands.trimmed_band(new, KEY, "unit", min_basis=1).withColumnRenamed("mid", "unit_mid").withColumnRenamed("lo", "unit_lo")
-    ratio = bands.clamped_ratio(new.where("floor > 0"), KEY, F.col("floor") <= LOW_FLOOR, "unit")
-    joined = listings.join(totals, KEY, "left").join(band, KEY, "left").join(ratio, KEY, "left").withColumn("floor_mult", floor_factor(text.floor_of(F.col("address")), F.col("ratio")))
+    band = bands.recent_band(found, KEY, "m", "unit", F.col("floor") <= LOW_FLOOR, F.col("floor") > 0, F.count(F.lit(1)).alias("matched"), F.min("scope").alias("tier_scope"))
+    band = band.withColumnsRenamed({"mid": "unit_mid", "lo": "unit_lo"})
+    joined = listings.join(band, KEY, "left").withColumn("floor_mult", floor_factor(text.floor_of(F.col("address")), F.col("ratio")))
     shared = F.arrays_overlap(F.coalesce("special_rights", F.array().cast("array<string>")), F.array(F.lit("지분"), F.lit("대지권미등기")))
     est = F.bround(F.col("unit_mid") * F.col("area_m2") * F.col("floor_mult")).cast("bigint")
     low = F.bround(F.col("unit_lo") * F.col("area_m2") * F.col("floor_mult")).cast("bigint")
