@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hammerlake.functions import detail, numbers, rights, text
+from hammerlake.functions import detail, money, numbers, rights, text
 
 # Keys of the survey and of the detail, as far as they are read: none that tells of persons is.
 SURVEY = "struct<errors: string, ipcheck: boolean, result: struct<ipcheck: boolean, dlt_ordTsLserLtn: array<struct<mvinDtlCtt: string, rgstryCrtcpCfmtnCtt: string, lesDposDts: string, lesUsgDts: string, lesPartCtt: string, gdsPossCtt: string>>, dma_curstExmnMngInf: struct<printRltnDts: string, exmnDtDts: string>, dlt_ordTsRlet: array<struct<gdsPossCtt: string, printSt: string, lesCnt: int>>>>"
@@ -27,9 +27,9 @@ def surveys(rows: DataFrame, keys: list[str], body: str = "body") -> DataFrame:
     def tenant(r: Column) -> Column:
         deposit = rights.won(F.regexp_replace(F.coalesce(r["lesDposDts"], F.lit("")), r"[금원\s]", ""))
         moved, confirmed = (F.coalesce(detail.first_date(r[k]), F.lit("")) for k in ("mvinDtlCtt", "rgstryCrtcpCfmtnCtt"))
-        usage, part = blank(r["lesUsgDts"]), blank(r["lesPartCtt"])
-        like = (deposit > 0) | (confirmed != "") | (usage != "") | (part != "")
-        return F.struct(moved.alias("movein_ymd"), confirmed.alias("confirm_ymd"), deposit.alias("deposit"), blank(r["gdsPossCtt"]).alias("possession"), usage.alias("usage"), part.alias("part"), like.alias("is_tenant_like"))
+        facts = {"movein_ymd": moved, "confirm_ymd": confirmed, "deposit": deposit, "possession": blank(r["gdsPossCtt"]), "usage": blank(r["lesUsgDts"]), "part": blank(r["lesPartCtt"])}
+        like = lambda x: (x["deposit"] > 0) | (x["confirm_ymd"] != "") | (x["usage"] != "") | (x["part"] != "")
+        return money.let(facts, lambda x: F.struct(*[x[k].alias(k) for k in facts], like(x).alias("is_tenant_like")))
 
     found = F.filter(F.coalesce("s.result.dlt_ordTsLserLtn", F.array()), lambda r: r.isNotNull())
     place = F.get("s.result.dlt_ordTsRlet", 0)
