@@ -56,7 +56,8 @@ def _load(spark: SparkSession, path: str, fields: dict[str, list[str]]) -> DataF
 
 def _archived(rows: DataFrame, fields: dict[str, list[str]], body: str) -> DataFrame:
     """The ``item`` elements that an archive keeps as texts, one a row, with its other columns; what can't be read is empty."""
-    return rows.withColumn("_i", F.from_xml(body, _schema(fields))).select(*[c for c in rows.columns if c != body], "_i.*")
+    # by way of an array: a condition on the fields would otherwise be pushed below, and parse the text again for each of them
+    return rows.withColumn("_i", F.explode(F.array(F.from_xml(body, _schema(fields))))).select(*[c for c in rows.columns if c != body], "_i.*")
 
 
 def _first_names(fields: dict[str, list[str]]) -> dict[str, Column]:
