@@ -10,19 +10,19 @@ from pyspark.sql import functions as F
 
 def json_walk(rows: DataFrame, keys: Sequence[str], body: str, depth: int = 6) -> DataFrame:
     """``(keys, path, value)`` of all scalars in JSON texts: ``a.b[0].c``. What lies deeper than ``depth`` is given as its JSON text;
-    nulls have a path and no value. Each level is one pass of generators over what is still nested: no document meets another."""
-    level = rows.select(*keys, F.lit("").alias("path"), F.col(body).alias("value"))
-    done = None
-    for _ in range(depth):
-        kind = F.substring(F.trim("value"), 1, 1)
-        of_map = F.transform(F.map_entries(F.from_json("value", "map<string,string>")), lambda e: F.struct(F.when(F.col("path") == "", e["key"]).otherwise(F.concat("path", F.lit("."), e["key"])).alias("path"), e["value"].alias("value")))
-        of_list = F.transform(F.from_json("value", "array<string>"), lambda x, i: F.struct(F.concat("path", F.lit("["), i.cast("string"), F.lit("]")).alias("path"), x.alias("value")))
-        nested = F.when(kind == "{", of_map).when(kind == "[", of_list)
-        split = level.withColumn("_n", nested)
-        flat = split.where("_n is null").select(*keys, "path", "value")
-        done = flat if done is None else done.unionByName(flat)
-        level = split.where("_n is not null").select(*keys, F.explode("_n").alias("_e")).select(*keys, "_e.path", "_e.value")
-    return done.unionByName(level)
+    nulls have a path and no value. A document is opened level by level in one pass, as an array of its own entries: no document meets another."""
+    entry = lambda path, value: F.struct(path.alias("path"), value.alias("value"))
+    kind = lambda e: F.substring(F.trim(e["value"]), 1, 1)
+
+    def opened(e: Column) -> Column:
+        of_map = F.transform(F.map_entries(F.from_json(e["value"], "map<string,string>")), lambda x: entry(F.when(e["path"] == "", x["key"]).otherwise(F.concat(e["path"], F.lit("."), x["key"])), x["value"]))
+        of_list = F.transform(F.from_json(e["value"], "array<string>"), lambda x, i: entry(F.concat(e["path"], F.lit("["), i.cast("string"), F.lit("]")), x))
+        return F.coalesce(F.when(kind(e) == "{", of_map).when(kind(e) == "[", of_list), F.array(e))
+
+    nested = lambda e: F.coalesce(kind(e).isin("{", "["), F.lit(False))
+    level = lambda entries, _: F.when(F.exists(entries, nested), F.flatten(F.transform(entries, opened))).otherwise(entries)
+    every = F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.array(entry(F.lit("").cast("string"), F.col(body))), level)
+    return rows.select(*keys, F.explode(every).alias("_e")).select(*keys, "_e.path", "_e.value")
 
 
 def classify(rows: DataFrame, keys: Sequence[str], text: str, patterns: dict[str, str], other: str = "other") -> DataFrame:
