@@ -21,22 +21,24 @@ def asking_prices(files: DataFrame, body: str = "value") -> tuple[DataFrame, Dat
     aren't lists and files that can't be read are refused, each with its reason; a file that is refused gives no prices. nth is the place in the list,
     from 0. Null and empty files give nothing.
     """
-    text = F.trim(F.col(body))
+    text, none = F.trim(F.col(body)), F.lit(None).cast("string")
     known = files.where(text != "").select(text.alias("value"), F.from_json(text, "map<string,string>", {"mode": "PERMISSIVE"}).alias("cases"))
-    good = F.col("value").startswith("{") & F.col("cases").isNotNull() & F.try_parse_json("value").isNotNull()
-    broken = known.where(~F.coalesce(good, F.lit(False))).select(F.lit(None).cast("string").alias("case_no"), F.lit(None).cast("int").alias("nth"), F.col("value").alias("element"), F.lit(NOT_AN_OBJECT).alias("reason"))
-    lists = known.where(good).select(F.explode("cases").alias("case_no", "list"))
-    is_list = F.coalesce(F.trim("list").startswith("["), F.lit(False))
-    no_list = lists.where(~is_list).select("case_no", F.lit(None).cast("int").alias("nth"), F.col("list").alias("element"), F.lit(NO_LIST).alias("reason"))
-    each = lists.where(is_list).select("case_no", F.posexplode(F.from_json("list", "array<string>")).alias("nth", "element"))
-    typed = F.try_parse_json("element")
-    kind = F.schema_of_variant(F.try_variant_get(typed, "$.price", "variant"))
-    number = F.try_variant_get(typed, "$.price", "double")
-    is_number = F.coalesce(kind.rlike(r"^(?:BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.lit(False))
-    reason = F.when(~F.coalesce(F.trim("element").startswith("{"), F.lit(False)), NO_ELEMENT).when(~is_number, NO_PRICE).when(~(number > 0), NOT_POSITIVE)
-    judged = each.select("case_no", "nth", "element", F.when(is_number, number).cast("bigint").alias("price"), reason.alias("reason"))
+    good = F.coalesce(F.col("value").startswith("{") & F.col("cases").isNotNull() & F.try_parse_json("value").isNotNull(), F.lit(False))
+    one = lambda case, element, why: F.struct(case.alias("case_no"), F.lit(None).cast("int").alias("nth"), element.alias("element"), why.alias("why"))
+
+    def listed(x: Column) -> Column:
+        each = F.transform(F.from_json(x["value"], "array<string>"), lambda e, i: F.struct(x["key"].alias("case_no"), i.alias("nth"), e.alias("element"), none.alias("why")))
+        return F.when(F.coalesce(F.trim(x["value"]).startswith("["), F.lit(False)), F.coalesce(each, F.array().cast("array<struct<case_no: string, nth: int, element: string, why: string>>"))).otherwise(F.array(one(x["key"], x["value"], F.lit(NO_LIST))))
+
+    # a file is read once: what can't be a list of elements is one element with its reason
+    opened = F.when(good, F.flatten(F.transform(F.map_entries("cases"), listed))).otherwise(F.array(one(none, F.col("value"), F.lit(NOT_AN_OBJECT))))
+    each = known.select(F.explode(opened).alias("_e")).select("_e.*").withColumn("_v", F.when(F.col("why").isNull(), F.try_parse_json("element")))
+    each = each.withColumns({"_kind": F.schema_of_variant(F.try_variant_get("_v", "$.price", "variant")), "_number": F.try_variant_get("_v", "$.price", "double")})
+    is_number = F.coalesce(F.col("_kind").rlike(r"^(?:BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.lit(False))
+    reason = F.when(F.col("why").isNotNull(), F.col("why")).when(~F.coalesce(F.trim("element").startswith("{"), F.lit(False)), NO_ELEMENT).when(~is_number, NO_PRICE).when(~(F.col("_number") > 0), NOT_POSITIVE)
+    judged = each.select("case_no", "nth", "element", F.when(is_number, F.col("_number")).cast("bigint").alias("price"), reason.alias("reason"))
     prices = judged.where("reason is null").select("case_no", "nth", "price", _text(F.col("element"), "label").alias("label"), _text(F.col("element"), "observed_at").alias("observed_at"))
-    return prices, judged.where("reason is not null").select("case_no", "nth", "element", "reason").unionByName(no_list).unionByName(broken)
+    return prices, judged.where("reason is not null").select("case_no", "nth", "element", "reason")
 
 
 def against_band(prices: DataFrame, bands: DataFrame, key: str = "case_no") -> DataFrame:
