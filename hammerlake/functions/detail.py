@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from hammerlake.functions import rights
+from hammerlake.functions.money import let
 
 # How dates are written, liens that rank first, and the reasons for a sale to come back.
 DATE = r"(\d{4})\s*[.\-년]\s*(\d{1,2})\s*[.\-월]\s*(\d{1,2})"
@@ -95,13 +96,22 @@ def resale(schedule: Column) -> Column:
     ``schedule`` has structs of ymd, result, price and sold, in any order. The last known reason after the last sale counts.
     """
     rows = F.array_sort(F.transform(F.filter(schedule, lambda r: r.isNotNull()), lambda r, i: F.struct(F.coalesce(r["ymd"], F.lit("")).alias("ymd"), i.alias("i"), r["result"].alias("result"), r["price"].alias("price"), r["sold"].alias("sold"))))
-    placed = F.transform(rows, lambda r, k: F.struct(k.alias("k"), r.alias("r")))
-    sold = F.filter(placed, lambda x: (x["r"]["result"] == SOLD) & (x["k"] < F.size(rows) - 1))
-    last = F.get(sold, F.size(sold) - 1)
-    mapped = F.transform(F.filter(placed, lambda x: x["k"] > last["k"]), lambda x: F.coalesce(*[F.when(x["r"]["result"] == k, F.lit(v)) for k, v in REASONS.items()]))
-    known = F.filter(mapped, lambda x: x.isNotNull())
-    above = lambda c: F.when(last["r"][c] > 0, last["r"][c])
-    return F.when(F.size(sold) > 0, F.struct(F.size(sold).alias("sold_count"), last["r"]["ymd"].alias("last_sold_ymd"), above("price").alias("floor"), above("sold").alias("sold_price"), F.coalesce(F.get(known, F.size(known) - 1), F.lit(NO_REASON)).alias("reason")))
+
+    def read(x: Column) -> Column:
+        before = F.slice(x["rows"], 1, F.greatest(F.lit(0), F.size(x["rows"]) - 1))
+        sold = F.filter(F.transform(before, lambda r, k: F.when(r["result"] == SOLD, k)), lambda k: k.isNotNull())
+        return let({"rows": x["rows"], "sold": sold}, lambda y: F.when(F.size(y["sold"]) > 0, let({"rows": y["rows"], "n": F.size(y["sold"]), "k": F.element_at(y["sold"], -1)}, told)))
+
+    def told(x: Column) -> Column:
+        later = F.slice(x["rows"], x["k"] + 2, F.size(x["rows"]))
+        known = F.filter(F.transform(later, lambda r: F.coalesce(*[F.when(r["result"] == k, F.lit(v)) for k, v in REASONS.items()])), lambda v: v.isNotNull())
+        return let({"last": F.get(x["rows"], x["k"]), "reason": F.get(F.reverse(known), F.lit(0))}, lambda y: of_last(x, y))
+
+    def of_last(x: Column, y: Column) -> Column:
+        above = lambda c: F.when(y["last"][c] > 0, y["last"][c])
+        return F.struct(x["n"].alias("sold_count"), y["last"]["ymd"].alias("last_sold_ymd"), above("price").alias("floor"), above("sold").alias("sold_price"), F.coalesce(y["reason"], F.lit(NO_REASON)).alias("reason"))
+
+    return let({"rows": rows}, read)
 
 
 def badge(surviving: Column, liens: Column, remark: Column, senior: Column) -> Column:

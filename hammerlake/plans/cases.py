@@ -96,7 +96,7 @@ def tenant_deposits(t):
 def resale_history(t):
     day = F.concat_ws("#", F.date_format("l_shipdate", "yyyy-MM-dd"), "l_linenumber", "l_partkey")
     round_ = F.struct(day.alias("ymd"), F.when(c("l_returnflag") == "R", "매각").when(c("l_returnflag") == "A", "미납").otherwise("유찰").alias("result"), F.floor("l_extendedprice").cast("bigint").alias("price"), F.lit(None).cast("bigint").alias("sold"))
-    found = t("lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(round_)).alias("s")).select("l_orderkey", detail.resale(c("s")).alias("r")).where("r is not null")
+    found = t("lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(round_)).alias("s")).select("l_orderkey", F.explode(F.array(detail.resale(c("s")))).alias("r")).where("r is not null")  # by way of an array, or the condition reads each schedule a second time
     return found.select("l_orderkey", c("r.sold_count").cast("long").alias("sold_count"), "r.last_sold_ymd", "r.floor", "r.reason")
 
 
