@@ -463,6 +463,48 @@ def test_odd_messages(spark):
     assert quotes.as_mail(given).count() == len(rows)
 
 
+def test_quotes_of_repeated_rows(spark):
+    """Copies of a row are read one by one (their lines don't mix), and quotes are those of the first text of a turn, over gaps between turns."""
+    said = [(1, 0, "u", "one alpha\ntwo beta"), (1, 0, "u", "an other text"), (1, 4, "a", "four gamma\n\nfive"), (1, 9, "u", "six"), (1, 9, "u", None), (1, 12, "a", "last"), (2, 3, "u", None), (2, 4, "a", "alone"), (None, 1, "u", "nowhere"), (3, None, "u", "no turn")]
+    given = spark.createDataFrame(said + said, "conv_id long, turn long, role string, text string")
+    mail = {(r.conv_id, r.turn, r.text) for r in quotes.as_mail(given).collect()}
+    assert mail == {(1, 0, "one alpha\ntwo beta"), (1, 0, "an other text"), (1, 4, "> an other text\nfour gamma\n\nfive"), (1, 9, "> > an other text\n> four gamma\n> \n> five\nsix"), (1, 9, None), (1, 12, "> > four gamma\n> > \n> > five\n> six\nlast"), (2, 3, None), (2, 4, "alone"), (None, 1, "nowhere"), (3, None, "no turn")}
+    got = quotes.link_quotes(quotes.as_mail(given)).collect()
+    assert {(r.turn, r.n_quotes, r.n_linked, r.reply_to, r.thread) for r in got if r.conv_id == 1} == {(0, 0, 0, None, 0), (4, 1, 1, 0, 0), (9, 2, 2, 4, 0), (12, 2, 2, 9, 0)}
+    assert sorted(r.position for r in got if r.conv_id == 1) == list(range(1, 13)) and [r.position for r in sorted((r for r in got if r.conv_id == 1), key=lambda r: (r.turn, r.own_text or ""))] == list(range(1, 13))
+    once = spark.createDataFrame([(1, 0, "u", "one alpha"), (1, 1, "a", "> one alpha\nyes"), (1, 1, "a", "> one alpha\nyes")], "conv_id long, turn long, role string, text string")
+    assert [(r.n_quotes, r.n_linked, r.reply_to, r.thread) for r in quotes.link_quotes(once).where("turn = 1").collect()] == [(1, 1, 0, 0)] * 2
+
+
+def test_threads_over_jumps(spark):
+    """Replies to turns before the last one are followed back to the first turn, through others that do so too."""
+    rng, rows, up, root = np.random.default_rng(5), [], {}, {}
+    for conv in range(3):
+        for turn in range(60):
+            back = None if turn == 0 or rng.random() < 0.1 else int(rng.integers(turn)) if rng.random() < 0.5 else turn - 1
+            rows.append((conv, 2 * turn, "u", ("" if back is None else f"> words of {conv} number {back}\n") + f"words of {conv} number {turn}"))
+            up[conv, turn], root[conv, turn] = back, turn if back is None else root[conv, back]
+    got = {(r.conv_id, r.turn // 2): (r.thread // 2, r.position) for r in quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    places = {k: 1 + sorted((root[x], x[1]) for x in root if x[0] == k[0]).index((root[k], k[1])) for k in root}
+    assert got == {k: (root[k], places[k]) for k in root} and len(set(root.values())) > 3
+
+
+def test_quotes_shuffle_texts_few_times(spark):
+    """What is written for shuffles is a small multiple of the texts: each was dealt out over ten times before."""
+    rng = np.random.default_rng(8)
+    rows = [(conv, turn, "u", "\n".join(bytes(rng.integers(97, 123, 400, dtype=np.uint8)).decode() for _ in range(3))) for conv in range(60) for turn in range(8)]
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+
+    def wrote():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}
+
+    before = wrote()
+    assert len(quotes.link_quotes(quotes.as_mail(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()) == len(rows)
+    assert 0 < sum(v for k, v in wrote().items() if k not in before) < 5 * sum(len(x[3]) for x in rows)
+
+
 def tunes(seed, count, notes=64):
     rng, t = np.random.default_rng(seed), np.arange(256) / audio.RATE
     return [np.concatenate([20000 * np.sin(2 * np.pi * 220 * 2 ** (p / 12) * t) * np.hanning(256) for p in rng.integers(0, 24, notes)]) for _ in range(count)]
