@@ -476,6 +476,21 @@ def test_quotes_of_repeated_rows(spark):
     assert [(r.n_quotes, r.n_linked, r.reply_to, r.thread) for r in quotes.link_quotes(once).where("turn = 1").collect()] == [(1, 1, 0, 0)] * 2
 
 
+def test_quotes_give_the_rows_of_their_sql(spark, tmp_path):
+    """Over repeated rows, other texts of a turn, texts that are null or have no words, and gaps between turns."""
+    import duckdb
+
+    turns = spark.read.parquet(f"{SF}/conversations.parquet").withColumn("turn", F.col("turn") * 3)
+    odd = turns.withColumn("text", F.when(F.col("turn") % 4 == 0, F.lit("--\n?")).when(F.col("turn") % 5 == 0, F.lit(None)).otherwise(F.col("text"))).withColumn("conv_id", F.col("conv_id") + 1000)
+    more = turns.where("conv_id % 2 = 0").unionByName(turns.where("conv_id % 3 = 0").withColumn("text", F.reverse("text"))).unionByName(odd)
+    turns.unionByName(more).write.parquet(f"{tmp_path}/conversations.parquet")
+    duckdb.sql(f"CREATE OR REPLACE TEMP VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    answer = duckdb.sql(queries.ORACLE_SQL["op4_quotes"])
+    got = queries.op4_quotes(spark, str(tmp_path)).select(*answer.columns)
+    key = lambda r: [(x is not None, x) for x in r]
+    assert sorted((tuple(r) for r in got.collect()), key=key) == sorted(answer.fetchall(), key=key)
+
+
 def test_threads_over_jumps(spark):
     """Replies to turns before the last one are followed back to the first turn, through others that do so too."""
     rng, rows, up, root = np.random.default_rng(5), [], {}, {}
