@@ -138,12 +138,14 @@ def record_fields(t):
     return t("orders").select(K, *[f(chosen(K, [x[0] for x in cases])).alias(name) for name, (cases, f) in RECORD_FIELDS.items()])
 
 
-@query("SELECT l_orderkey::VARCHAR AS case_no, arg_min(floor(l_extendedprice)::BIGINT, (CASE WHEN l_returnflag = 'R' THEN '0' ELSE '1' END) || lpad(l_linenumber::VARCHAR, 3, '0') || lpad(l_partkey::VARCHAR, 9, '0')) AS min_bid_price FROM lineitem GROUP BY 1")
+@query("SELECT l_orderkey::VARCHAR AS case_no, arg_min(greatest(coalesce(floor(l_extendedprice)::BIGINT, 0), 0), (CASE WHEN l_returnflag = 'R' THEN '0' ELSE '1' END) || lpad(coalesce(l_linenumber::VARCHAR, ''), 11, '0') || lpad(coalesce(l_partkey::VARCHAR, ''), 20, '0') || lpad(place::VARCHAR, 19, '0')) AS min_bid_price FROM (SELECT *, row_number() OVER () AS place FROM lineitem) GROUP BY 1")
 def item_rows(t):
     s = lambda x: F.lit(x)
+    # as wide as the largest number and its sign, or large ones would lose their last digits
+    wide = lambda x, n: F.lpad(F.coalesce(c(x).cast("string"), s("")), n, "0")
     # some lines of an order have one number and one part: the one that is written first is the first
-    place = F.concat(c("_metadata.file_path"), F.lpad(c("_metadata.row_index").cast("string"), 12, "0"))
-    raw = t("lineitem").select(s("c").alias("court"), c("l_orderkey").cast("string").alias("case_no"), s("1").alias("item_no"), F.concat(F.lpad(c("l_linenumber").cast("string"), 3, "0"), F.lpad(c("l_partkey").cast("string"), 9, "0"), place).alias("doc_id"), F.when(c("l_returnflag") == "R", "건물").alias("buldNm"), s("").alias("buldList"), s("").alias("pjbBuldList"), s("대").alias("jimokList"), s("아파트").alias("dspslUsgNm"), s("").alias("sclsUtilCd"), s("").alias("maejibun"), s("").alias("mulBigo"), s("").alias("convAddr"), s("84㎡").alias("areaList"), s("500,000,000").alias("gamevalAmt"), s("0").alias("notifyMinmaePrice1"), F.floor("l_extendedprice").cast("bigint").cast("string").alias("minmaePrice"), s("11110").alias("lawdCd"), s("20260701").alias("maeGiil"))
+    place = F.concat(c("_metadata.file_path"), wide("_metadata.row_index", 19))
+    raw = t("lineitem").select(s("c").alias("court"), c("l_orderkey").cast("string").alias("case_no"), s("1").alias("item_no"), F.concat(wide("l_linenumber", 11), wide("l_partkey", 20), place).alias("doc_id"), F.when(c("l_returnflag") == "R", "건물").alias("buldNm"), s("").alias("buldList"), s("").alias("pjbBuldList"), s("대").alias("jimokList"), s("아파트").alias("dspslUsgNm"), s("").alias("sclsUtilCd"), s("").alias("maejibun"), s("").alias("mulBigo"), s("").alias("convAddr"), s("84㎡").alias("areaList"), s("500,000,000").alias("gamevalAmt"), s("0").alias("notifyMinmaePrice1"), F.floor("l_extendedprice").cast("bigint").cast("string").alias("minmaePrice"), s("11110").alias("lawdCd"), s("20260701").alias("maeGiil"))
     return records.to_listings(raw).select("case_no", "min_bid_price")
 
 
