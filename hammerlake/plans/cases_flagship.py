@@ -93,16 +93,19 @@ r AS (SELECT *, {_e('loan * 0.055e0 * 6 / 12')} AS interest, bid + acq + stamp +
 SELECT o_orderkey, bid, acq AS acquisition_tax, total, total - loan AS equity, interest, fee, (own + {_e('own * 0.1e0')})::BIGINT AS tax, (sale - total - interest - fee - own - {_e('own * 0.1e0')})::BIGINT AS net, CASE WHEN sale - 3500000 - fee > 0 THEN true END AS gains, CASE WHEN sale - 3500000 - fee > 0 THEN false END AS beyond FROM t"""
 
 
+MONEY = ["acquisition_tax", "total", "equity", "interest", "fee", "tax", "net"]
+
+
 @query(_SIMULATED)
 def bid_sim(t):
     kind, area = F.lit("아파트"), F.lit(84.0)
     sale = (F.floor("o_totalprice") * 3000).cast("bigint")
     # a row takes long and is short: rows are dealt out, as few files would leave cores idle
     rows = ranking.dealt(t("orders").select(K, sale.alias("sale"), (sale * 0.8).cast("bigint").alias("bid")), K)
-    rows = rows.withColumn("most", money.break_even(c("sale"), kind, area))
-    tried = F.transform(F.array("bid", "most", c("most") + 1), lambda b: money.simulate(b, c("sale"), kind, area))
-    gains = lambda i: (F.get("t", F.lit(i))["net"] > 0).alias("gains" if i == 1 else "beyond")
-    return rows.select(K, "bid", tried.alias("t")).select(K, "bid", F.get("t", F.lit(0)).alias("s"), gains(1), gains(2)).select(K, "bid", "s.*", "gains", "beyond").drop("roi")
+    rows = money.simulated(rows, "", c("bid"), c("sale"), kind, area)
+    rows = money.with_break_even(rows, "most", c("sale"), kind, area)
+    rows = money.simulated(rows, "next_", c("most") + 1, c("sale"), kind, area)
+    return rows.select(K, "bid", *MONEY, (c("most_net") > 0).alias("gains"), (c("next_net") > 0).alias("beyond"))
 
 
 # scores, and what is served where trades give no price ------------------------------------------------------------------
